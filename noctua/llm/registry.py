@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noctua.llm import bpe_job, exact_dedup, token_files
+from noctua.llm import bpe_job, exact_dedup, mixing, sharding, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_simhash": simhash.op2_simhash,
         "op3_token_files": token_files.op3_token_files,
         "op4_byte_bpe": bpe_job.op4_byte_bpe,
+        "op5_sharding": sharding.op5_sharding,
+        "op6_mixing": mixing.op6_mixing,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.SQL}
+    return {"op6_mixing": mixing.SQL, "op7_exact_dedup": exact_dedup.SQL}
