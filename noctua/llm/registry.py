@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noctua.llm import bpe_job, exact_dedup, mixing, sharding, simhash, token_files
+from noctua.llm import bpe_job, exact_dedup, mixing, quality, sharding, simhash, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,8 +17,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sharding": sharding.op5_sharding,
         "op6_mixing": mixing.op6_mixing,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_warc": warc.op8_warc,
+        "op9_quality": quality.op9_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.SQL, "op7_exact_dedup": exact_dedup.SQL}
+    return {"op6_mixing": mixing.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_warc": warc.SQL}
