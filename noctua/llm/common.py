@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A group is hot from this share of the rows; there are at most HOT_SHARE hot groups, so they may be broadcast.
@@ -62,6 +62,23 @@ def look_up(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
 
 
+def only(docs: DataFrame, key: str, text: str, rows: DataFrame) -> DataFrame:
+    """The rows of docs that ``rows`` (id, exact, kept: one row for each row of docs) keeps, once each.
+
+    Rows are known by their key and the hash of their text. Of repeated rows, equal in both, one is returned.
+    """
+    known = rows.groupBy("id", "exact").agg(F.count("*").alias("copies"), F.max("kept").alias("kept")).where("kept")
+    known = cut(known.select(F.col("id").alias("__id"), F.col("exact").alias("__exact"), "copies"))
+    here = F.col(f"`{key}`").eqNullSafe(F.col("__id")) & (F.xxhash64(f"`{text}`") == F.col("__exact"))
+    found = docs.join(known.where("copies = 1"), here, "left_semi")
+    repeated = known.where("copies > 1")
+    if repeated.isEmpty():
+        return found
+    first = Window.partitionBy(f"`{key}`", F.xxhash64(f"`{text}`")).orderBy(F.lit(1))
+    more = docs.join(repeated, here, "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    return found.unionByName(more)
+
+
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system and the path of a URI; for use inside tasks. Local folders given as file:/x or file:///x."""
     if uri.startswith("file:"):

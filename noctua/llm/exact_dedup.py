@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noctua.llm.common import WHITE, cut, look_up, small_batches, table
+from noctua.llm.common import WHITE, cut, look_up, only, small_batches, table
 
 #: Rows of all runs of a range, about, before equal ones collapse.
 RANGE_ROWS = 50_000
@@ -32,7 +32,7 @@ RUN = "place int, run int, digest binary, points bigint, id bigint, row bigint,
 
 
 def digest_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """row, id, points (code points) and digest of each text, written once."""
+    """row, id, exact (a hash of the text as it is), points (code points) and digest of each text, written once."""
 
     def run(batches):
         at = TaskContext.get().partitionId() << 40
@@ -45,9 +45,9 @@ def digest_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
                 points.append(len(x or ""))
             rows = np.arange(at, at + batch.num_rows)
             at += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0).cast(pa.int64()), pa.array(points, pa.int64()), pa.array(digests, pa.binary())], names=["row", "id", "points", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), batch.column(2), pa.array(points, pa.int64()), pa.array(digests, pa.binary())], names=["row", "id", "exact", "points", "digest"])
 
-    return cut(docs.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(run, "row bigint, id bigint, points bigint, digest binary"))
+    return cut(docs.select(F.col(key).cast("bigint"), F.col(text), F.xxhash64(text)).mapInArrow(run, "row bigint, id bigint, exact bigint, points bigint, digest binary"))
 
 
 def merged(digest: np.ndarray, points: np.ndarray, ids: np.ndarray, rows: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
@@ -98,7 +98,7 @@ def best_rows(rows: DataFrame, total: int) -> DataFrame:
 
 
 def annotate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: id, points, digest, keep_id, group_size, kept.
+    """One row per row of docs: id, exact, points, digest, keep_id, group_size, kept.
 
     Null texts count as empty; all empty texts are one group. Of repeated rows (equal in key and text) one is kept.
     """
@@ -107,7 +107,12 @@ def annotate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     total = rows.count()
     best = best_rows(rows, total).select("digest", F.expr(f"nullif(id, {LARGEST})").alias("keep_id"), F.col("row").alias("keep_row"), F.col("n").alias("group_size"))
     found = look_up(rows, cut(best), "digest", "group_size", total)
-    return found.select("id", "points", "digest", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"))
+    return found.select("id", "exact", "points", "digest", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"))
+
+
+def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    return only(docs, key, text, annotate(docs, key, text).select("id", "exact", "kept"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,19 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: d
     return blocked.select(F.col("id").alias(key), F.col("source").alias(source), "block", slot.alias("slot"), (F.col("at") % block).alias("place"))
 
 
+def arranged(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None) -> DataFrame:
+    """The rows of docs in the order of the mix: partitions follow one another, and rows within them.
+
+    Rows of one key go together, to the first of their places.
+    """
+    places = mix(docs, key, source, weights).groupBy(F.col(key).alias("__id")).agg(F.min(F.struct("slot", "place")).alias("__at"))
+    places = cut(places)
+    last = places.agg(F.max("__at.slot")).first()[0] or 0
+    parts = (docs.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 1
+    placed = docs.join(places, F.col(f"`{key}`").eqNullSafe(F.col("__id"))).withColumn("__part", F.floor(F.col("__at.slot") * parts / (last + 1)).cast("int"))
+    return placed.repartitionById(parts, "__part").sortWithinPartitions("__at").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every document in the mix of all sources."""
     return mix(table(spark, sf_dir, "documents"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from noctua.llm import bpe_job, exact_dedup, langid, mixing, quality, sharding, simhash, token_files, warc
 
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_warc": warc.op8_warc,
         "op9_quality": quality.op9_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -16,10 +16,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noctua.llm.common import cut, look_up, small_batches, table, unsigned
+from noctua.llm.common import cut, look_up, only, small_batches, table, unsigned
 
 #: Fingerprints compared within one task at once, at most; more are dealt out as pairs of tiles.
 GROUP = 32_768
@@ -48,15 +49,18 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """id (the key) and fp (the fingerprint as a signed long) of each row."""
+    """row, id (the key), exact (a hash of the text) and fp (the fingerprint as a signed long) of each row."""
     small_batches(docs.sparkSession)
 
     def run(batches):
+        at = TaskContext.get().partitionId() << 40
         for batch in batches:
+            rows = np.arange(at, at + batch.num_rows)
+            at += batch.num_rows
             found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), batch.column(2), pa.array(found.view(np.int64))], names=["row", "id", "exact", "fp"])
 
-    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text)).mapInArrow(run, "id bigint, fp bigint")
+    return docs.select(F.col(key).cast("bigint"), F.col(text), F.xxhash64(text)).mapInArrow(run, "row bigint, id bigint, exact bigint, fp bigint")
 
 
 def flattened(parent: np.ndarray) -> np.ndarray:
@@ -167,18 +171,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def annotate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """One row per row of docs: id, fp, component_id (the smallest key reachable over links, itself included).
+    """One row per row of docs: id, exact, fp, component_id (the smallest key reachable over links, itself included), kept.
 
-    Null and empty texts have the fingerprint zero and are linked like any other. Keys that are null are reached by
-    none; a component of null keys only has a null id. Repeated rows have one fingerprint and one component.
+    Null and empty texts have the fingerprint zero and are linked like any other. Keys that are null are the largest;
+    a component of null keys only has a null id. Of each component the row of the smallest key is kept, of
+    repeated rows the first read.
     """
     rows = cut(fingerprints(docs, key, text, words))
-    distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    distinct = cut(rows.groupBy("fp").agg(first.alias("least"), F.count("*").alias("n")))
     roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     labelled = cut(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    groups = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps"))
-    named = cut(look_up(labelled, groups, "root", "fps", distinct.count()).select("fp", "component_id", "n"))
-    return look_up(rows, named, "fp", "n", rows.count()).select("id", "fp", "component_id")
+    groups = labelled.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("fps"))
+    named = cut(look_up(labelled, groups, "root", "fps", distinct.count()).select("fp", "first", "n"))
+    found = look_up(rows, named, "fp", "n", rows.count())
+    return found.select("id", "exact", "fp", F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"))
+
+
+def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
+    """One row of docs from each component, with all its columns."""
+    return only(docs, key, text, annotate(docs, key, text, words, radius).select("id", "exact", "kept"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
