@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from noctua.llm import bpe_job, exact_dedup, langid, mixing, quality, sharding, simhash, token_files, warc
+from noctua.llm import bpe_job, exact_dedup, langid, lm, mixing, quality, sharding, simhash, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": langid.op1_langid,
+        "op10_lm_scores": lm.op10_lm_scores,
         "op2_simhash": simhash.op2_simhash,
         "op3_token_files": token_files.op3_token_files,
         "op4_byte_bpe": bpe_job.op4_byte_bpe,
