@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,20 +115,19 @@ def resample(samples: DataFrame, target: int = 256, block: int = 8192) -> DataFr
     spread = other.withColumn("block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
     schema = "night_id string, channel string, sample_idx bigint, value double, fs int"
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        b, n, fs = int(key[2]), int(rows["n"].iloc[0]), int(rows["fs"].iloc[0])
-        rows = rows.sort_values("sample_idx")
-        start, count = int(rows["sample_idx"].iloc[0]), int(n * (target / fs))
-        final = (b + 1) * block >= n
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        night, channel, b = (k.as_py() for k in key)
+        at, value, fs, n = (rows.column(c).to_numpy() for c in ("sample_idx", "value", "fs", "n"))
+        order, fs, n = np.argsort(at), int(fs[0]), int(n[0])
+        count = int(n * (target / fs))
         low = -(-b * block * target // fs)
-        high = count if final else min(count, -(-(b + 1) * block * target // fs))
-        if b * block >= n:
-            return pd.DataFrame({"night_id": [], "channel": [], "sample_idx": [], "value": [], "fs": []})
-        at = np.arange(low, high)
-        value = spectral.spline(rows["value"].to_numpy(float)[None], at * (fs / target) - start)[0]
-        return pd.DataFrame({"night_id": key[0], "channel": key[1], "sample_idx": at, "value": value, "fs": target})
-
-    done = spread.join(total, ["night_id", "channel"]).groupBy("night_id", "channel", "block").applyInPandas(run, schema)
+        high = count if (b + 1) * block >= n else -(-(b + 1) * block * target // fs)
+        own = np.arange(low, max(low, min(high, count)) if b * block < n else low)
+        made = spectral.spline(value[order].astype(float)[None], own * (fs / target) - at.min())[0]
+        names = [pa.array([x] * len(own), pa.string()) for x in (night, channel)]
+        return pa.Table.from_arrays([*names, pa.array(own), pa.array(made, pa.float64()), pa.array(np.full(len(own), target, np.int32))], names=[c.split()[0] for c in schema.split(", ")])
+
+    done = spread.join(total, ["night_id", "channel"]).groupBy("night_id", "channel", "block").applyInArrow(run, schema)
     columns = [F.col(c.split()[0]).cast(c.split()[1]) for c in schema.split(", ")]
     return same.select(*columns).unionByName(done)
 

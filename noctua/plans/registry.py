@@ -1,15 +1,599 @@
-"""Registered queries of the recording operators and their DuckDB equivalents."""
+"""Registered queries of the recording operators and their DuckDB equivalents.
+
+Each query binds an operator to stand-ins derived from the driver's tables (plans/bindings.py).
+"""
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from noctua.functions.config import Config
+from noctua.operators import bedtime, checks, epochs, majority, signals, sinks, sleepstats
+from noctua.plans import bindings as b
+from noctua.sources import edf, nights, scores
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+#: Two events of under 60 in a row make a bedtime in the stand-in.
+RUN = 2
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def each(rows: DataFrame, column: str) -> DataFrame:
+    """The elements of an array as rows: pos, value."""
+    return rows.select(*(c for c in rows.columns if c != column), F.posexplode(column).alias("pos", "value"))
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder that executors and driver share."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="noctua-")
+    return f"{root if ':' in root else 'file://' + os.path.abspath(root)}/{name}-{uuid.uuid4().hex}"
+
+
+U, S, M = "WITH " + b.USABILITY, "WITH " + b.USABILITY + "," + b.STAGES, "WITH " + b.NUMBERED + "," + b.MOBILITY
+BAD = """,
+c AS (SELECT night_id, epoch_idx // 3 AS g, epoch_idx, CAST(2 * sum(CAST(label <> 0 AS INT)) > count(*) AS INT) AS bad FROM u GROUP BY ALL),
+g AS (SELECT night_id, g AS epoch_idx, 2 * sum(bad) > count(*) AS unusable FROM c GROUP BY ALL HAVING count(*) = 3)"""
+OVERLAY = S + BAD + """,
+o AS (SELECT s.night_id, s.epoch_idx, CASE WHEN unusable THEN -1 ELSE stage END AS stage FROM s JOIN g USING (night_id, epoch_idx))"""
+LIGHTS = """,
+r AS (SELECT night_id, epoch_idx, epoch_idx - row_number() OVER (PARTITION BY night_id ORDER BY epoch_idx) AS run FROM m WHERE label = 1),
+i AS (SELECT night_id, min(epoch_idx) AS start, max(epoch_idx) AS stop, count(*) AS n FROM r GROUP BY night_id, run HAVING count(*) >= 2),
+l AS (SELECT night_id, CAST(min(start) AS INTEGER) AS lo, CAST(max(stop) + 1 AS INTEGER) AS li FROM i GROUP BY night_id HAVING min(start) <> max(stop))"""
+NIGHTS = OVERLAY + "," + b.MOBILITY + LIGHTS + """,
+cb AS (SELECT night_id, lo // 3 AS start, (li - 1) // 3 + 1 AS stop FROM l)"""
+
+
+@query(U + " SELECT night_id, epoch_idx, channel, CASE WHEN label = 4 THEN 0 ELSE label END AS label FROM u")
+def p5_ignore_m_shaped(spark, sf_dir):
+    return majority.ignore_m_shaped(b.usability(spark, sf_dir))
+
+
+@query(U + " SELECT night_id, epoch_idx, channel, label, CAST(label <> 0 AS INT) AS unusable FROM u")
+def p6_unusable_flags(spark, sf_dir):
+    return majority.unusable_flags(b.usability(spark, sf_dir))
+
+
+@query(U + " SELECT night_id, epoch_idx, 2 * sum(CAST(label <> 0 AS INT)) > count(*) AS unusable FROM u GROUP BY ALL")
+def a1_channel_majority(spark, sf_dir):
+    return majority.channel_majority(b.usability(spark, sf_dir))
+
+
+@query(U + BAD + " SELECT night_id, epoch_idx, unusable FROM g")
+def a2_epoch_majority(spark, sf_dir):
+    return majority.epoch_majority(b.usability(spark, sf_dir))
+
+
+@query(OVERLAY + " SELECT night_id, epoch_idx, stage FROM o")
+def a3_overlay(spark, sf_dir):
+    return majority.overlay(b.usability(spark, sf_dir), b.stages(spark, sf_dir))
+
+
+@query(S + BAD + " SELECT night_id, epoch_idx, stage, unusable FROM s JOIN g USING (night_id, epoch_idx)")
+def j2_usability_with_stages(spark, sf_dir):
+    return b.stages(spark, sf_dir).join(majority.epoch_majority(b.usability(spark, sf_dir)), ["night_id", "epoch_idx"])
+
+
+@query(S + """ SELECT night_id, a.n AS n_usability, t.n AS n_stages FROM (SELECT night_id, CAST(max(epoch_idx) + 1 AS BIGINT) AS n FROM u GROUP BY 1) a
+JOIN (SELECT night_id, count(*) AS n FROM s WHERE epoch_idx < 10 GROUP BY 1) t USING (night_id) WHERE a.n // 3 <> t.n""")
+def j3_length_mismatch(spark, sf_dir):
+    return majority.length_mismatch(b.usability(spark, sf_dir), b.stages(spark, sf_dir).where("epoch_idx < 10"))
+
+
+@query(U + """ SELECT night_id, p AS usable_percent, CASE WHEN p < 50 THEN 'low' WHEN p < 80 THEN 'fair' ELSE 'good' END AS band
+FROM (SELECT night_id, avg(CAST(label = 0 AS INT)) * 100 AS p FROM u GROUP BY 1)""")
+def a4_usable_percent(spark, sf_dir):
+    return majority.usable_percent(b.usability(spark, sf_dir))
+
+
+@query(U + " SELECT night_id, CAST(unnest(range(n)) AS INTEGER) AS epoch_idx, 9 AS stage FROM (SELECT night_id, (max(epoch_idx) + 1) // 3 AS n FROM u GROUP BY 1)")
+def a9_pseudo_scores(spark, sf_dir):
+    return majority.pseudo_scores(b.usability(spark, sf_dir))
+
+
+@query(U + """, n AS (SELECT *, CASE WHEN label = 3 AND epoch_idx % 2 = 0 THEN 0 ELSE label END AS now FROM u)
+SELECT night_id, count(*) FILTER (label = 3) AS n_spiky, count(*) FILTER (label = 3 AND now = 0) AS n_recovered,
+round(count_if(label = 3 AND now = 0) / nullif(count_if(label = 3), 0) * 100, 2) AS recovered_percent FROM n GROUP BY 1""")
+def a5_recovery(spark, sf_dir):
+    before = b.usability(spark, sf_dir)
+    after = before.withColumn("label", F.when((F.col("label") == 3) & (F.col("epoch_idx") % 2 == 0), 0).otherwise(F.col("label")))
+    return majority.recovery(before, after)
+
+
+@query(U + " SELECT night_id, channel, epoch_idx, label, CASE WHEN label = 3 AND epoch_idx % 2 = 0 THEN 0 ELSE label END AS now FROM u")
+def j7_before_and_after(spark, sf_dir):
+    before = b.usability(spark, sf_dir)
+    after = before.withColumn("now", F.when((F.col("label") == 3) & (F.col("epoch_idx") % 2 == 0), 0).otherwise(F.col("label"))).drop("label")
+    return before.join(after, epochs.KEY).select(*epochs.KEY, "label", "now")
+
+
+@query(M + LIGHTS + """ SELECT night_id, lo AS lights_out_epoch, li AS lights_on_epoch, lo * 10 AS lights_out_second, li * 10 AS lights_on_second,
+CAST(lo AS BIGINT) * 2560 AS lights_out_data_index, CAST(li AS BIGINT) * 2560 AS lights_on_data_index FROM l""")
+def w1_lights(spark, sf_dir):
+    return bedtime.lights(b.mobility(spark, sf_dir), least_run=RUN)
+
+
+@query(M + LIGHTS.replace(">= 2", ">= 12") + " SELECT DISTINCT night_id FROM m WHERE night_id NOT IN (SELECT night_id FROM l)")
+def w1_without_lights(spark, sf_dir):
+    mobility = b.mobility(spark, sf_dir)
+    return bedtime.without_lights(mobility, bedtime.lights(mobility))
+
+
+@query(M + LIGHTS + " SELECT night_id, lo // 3 AS start, (li - 1) // 3 + 1 AS stop FROM l")
+def a6_crop_bounds(spark, sf_dir):
+    return bedtime.crop_bounds(bedtime.lights(b.mobility(spark, sf_dir), least_run=RUN), 30)
+
+
+@query(NIGHTS + " SELECT night_id, epoch_idx, stage FROM o JOIN cb USING (night_id) WHERE epoch_idx >= start AND epoch_idx < stop")
+def j4_crop(spark, sf_dir):
+    rejected = majority.overlay(b.usability(spark, sf_dir), b.stages(spark, sf_dir))
+    return bedtime.crop(rejected, bedtime.lights(b.mobility(spark, sf_dir), least_run=RUN), 30)
+
+
+STATISTICS = NIGHTS + """,
+t AS (SELECT o.*, coalesce(epoch_idx - start, epoch_idx) AS pos, start IS NULL OR (epoch_idx >= start AND epoch_idx < stop) AS inside, lo, li
+  FROM o LEFT JOIN cb USING (night_id) LEFT JOIN l USING (night_id)),
+f AS (SELECT *, min(pos) FILTER (inside AND stage > 0) OVER w AS first, max(pos) FILTER (inside AND stage > 0) OVER w AS last FROM t WINDOW w AS (PARTITION BY night_id)),
+k AS (SELECT night_id, count(*) AS total, any_value(lo) * 10 AS lo, any_value(li) * 10 AS li, count_if(inside) AS n, count_if(inside AND stage <> -1) AS ok, count_if(inside AND stage > 0) AS sl,
+  any_value(first) AS first, any_value(last) AS last, max(pos) FILTER (inside) AS fin, count_if(inside AND stage = 0 AND pos > first AND pos < last) AS wake,
+  count_if(inside AND stage = 1) AS n1, count_if(inside AND stage = 2) AS n2, count_if(inside AND stage = 3) AS n3, count_if(inside AND stage = 4) AS n4,
+  min(pos) FILTER (inside AND stage = 1) AS f1, min(pos) FILTER (inside AND stage = 2) AS f2, min(pos) FILTER (inside AND stage = 3) AS f3, min(pos) FILTER (inside AND stage = 4) AS f4
+  FROM f GROUP BY night_id),
+st AS (SELECT night_id, total * 0.5::DOUBLE AS Scores_duration_min, lo::DOUBLE AS Lights_out_sec, li::DOUBLE AS Lights_on_sec, n * 0.5::DOUBLE AS TIB_min, round(ok / n * 100, 2) AS Scorable_pct,
+  CASE WHEN sl = 0 THEN 0 ELSE (last - first + 1) * 0.5::DOUBLE END AS SPT_min, sl * 0.5::DOUBLE AS TST_min,
+  n1 * 0.5::DOUBLE AS N1_min, round(n1 / nullif(sl, 0) * 100, 2) AS N1_pct, n2 * 0.5::DOUBLE AS N2_min, round(n2 / nullif(sl, 0) * 100, 2) AS N2_pct,
+  n3 * 0.5::DOUBLE AS N3_min, round(n3 / nullif(sl, 0) * 100, 2) AS N3_pct, n4 * 0.5::DOUBLE AS REM_min, round(n4 / nullif(sl, 0) * 100, 2) AS REM_pct,
+  (n1 + n2 + n3) * 0.5::DOUBLE AS NREM_min, round((n1 + n2 + n3) / nullif(sl, 0) * 100, 2) AS NREM_pct, CASE WHEN sl > 0 THEN wake * 0.5::DOUBLE END AS WASO_min, first * 0.5::DOUBLE AS SOL_min,
+  f1 * 0.5::DOUBLE AS N1_latency_min, f2 * 0.5::DOUBLE AS N2_latency_min, f3 * 0.5::DOUBLE AS N3_latency_min, f4 * 0.5::DOUBLE AS REM_latency_min,
+  (fin - last) * 0.5::DOUBLE AS PSW_min, CASE WHEN sl = 0 THEN 0 ELSE round(sl / n * 100, 2) END AS SE_pct, CASE WHEN sl > 0 THEN round(sl / (last - first + 1) * 100, 2) END AS SME_pct
+  FROM k WHERE n * 0.5 > 1)"""
+
+
+@query(STATISTICS + " SELECT * FROM st")
+def a7_sleep_statistics(spark, sf_dir):
+    rejected = majority.overlay(b.usability(spark, sf_dir), b.stages(spark, sf_dir))
+    return sleepstats.sleep_statistics(rejected, bedtime.lights(b.mobility(spark, sf_dir), least_run=RUN))
+
+
+@query(S + """ SELECT night_id, min(epoch_idx) FILTER (stage > 0) AS first_sleep, max(epoch_idx) FILTER (stage > 0) AS last_sleep FROM s GROUP BY 1""")
+def w2_sleep_bounds(spark, sf_dir):
+    asleep = F.when(F.col("stage") > 0, F.col("epoch_idx"))
+    return b.stages(spark, sf_dir).groupBy("night_id").agg(F.min(asleep).alias("first_sleep"), F.max(asleep).alias("last_sleep"))
+
+
+@query("WITH " + b.NUMBERED + " SELECT night_id, rn AS epoch_idx, value FROM e")
+def w3_positions(spark, sf_dir):
+    return b.numbered(spark, sf_dir).select("night_id", F.col("rn").alias("epoch_idx"), "value")
+
+
+@query(OVERLAY + """, h AS (SELECT night_id, epoch_idx, stage, 0 AS origin FROM o WHERE CAST(night_id AS BIGINT) % 2 = 0)
+SELECT * FROM h UNION ALL SELECT night_id, epoch_idx, stage, 1 FROM s WHERE night_id NOT IN (SELECT night_id FROM h)""")
+def a8_best_scores(spark, sf_dir):
+    stages = b.stages(spark, sf_dir)
+    fresh = majority.overlay(b.usability(spark, sf_dir), stages).where(F.col("night_id").cast("long") % 2 == 0)
+    return sleepstats.best_scores([fresh, stages], stages)[0]
+
+
+@query(STATISTICS + """ SELECT night_id, TIB_min, SPT_min, TST_min, SOL_min FROM st""")
+def s11_s12_statistics_as_pairs(spark, sf_dir):
+    """To key and value, and back."""
+    keys = ["TIB_min", "SPT_min", "TST_min", "SOL_min"]
+    pairs = sleepstats.to_pairs(a7_sleep_statistics(spark, sf_dir).select("night_id", *keys))
+    return sleepstats.from_pairs(pairs, keys).select("night_id", *(F.col(k).cast("double").alias(k) for k in keys))
+
+
+@query("WITH " + b.NUMBERED + """ SELECT night_id, CAST(count(*) AS DOUBLE) AS seconds, CASE WHEN count(*) < 60 THEN 2 END AS code FROM e GROUP BY 1""")
+def p1_durations(spark, sf_dir):
+    return checks.durations(b.samples(spark, sf_dir))
+
+
+@query("WITH " + b.AXES + " SELECT night_id, min(value) AS low, max(value) AS high, CASE WHEN min(value) < -2 OR max(value) > 1 THEN 12 END AS code FROM a GROUP BY 1")
+def p2_acceleration_range(spark, sf_dir):
+    return checks.acceleration_in_range(b.axes(spark, sf_dir), high=1.0)
+
+
+@query("WITH " + b.AXES + " SELECT night_id, count(*) AS n FROM a WHERE channel = 'dX' AND sample_idx < 20 GROUP BY 1 HAVING max(value) <= 0.93")
+def p2_passing(spark, sf_dir):
+    x = b.axes(spark, sf_dir).where("channel = 'dX' AND sample_idx < 20")
+    return checks.passing(x, checks.acceleration_in_range(x, high=0.93)).groupBy("night_id").agg(F.count("*").alias("n"))
+
+
+@query(S + """, q AS (SELECT night_id, CASE WHEN CAST(night_id AS BIGINT) % 7 = 0 AND epoch_idx = 0 THEN NULL WHEN CAST(night_id AS BIGINT) % 5 = 0 THEN stage + 3 ELSE stage END AS stage FROM s),
+n AS (SELECT night_id, count(*) AS n, count_if(stage IS NULL) AS bad, min(stage) AS low, max(stage) AS high FROM q GROUP BY 1),
+d AS (SELECT night_id, max(epoch_idx) + 1 AS u FROM u GROUP BY 1)
+SELECT night_id, CASE WHEN bad > 0 THEN 4 WHEN u * 10 // 30 <> n THEN 5 WHEN (u - CAST(night_id AS BIGINT) % 3) // 3 <> n THEN 7 WHEN low < 0 OR high > 5 THEN 6 END AS code FROM n JOIN d USING (night_id)""")
+def p3_stage_faults(spark, sf_dir):
+    night = F.col("night_id").cast("long")
+    stage = F.when((night % 7 == 0) & (F.col("epoch_idx") == 0), None).when(night % 5 == 0, F.col("stage") + 3).otherwise(F.col("stage"))
+    facts = b.usability(spark, sf_dir).groupBy("night_id").agg((F.max("epoch_idx") + 1).alias("n"))
+    facts = facts.select("night_id", (F.col("n") * 10).alias("seconds"), (F.col("n") - night % 3).alias("n_usability"))
+    return checks.stage_faults(b.stages(spark, sf_dir).withColumn("stage", stage), facts)
+
+
+@query(S + """, q AS (SELECT night_id, epoch_idx, stage + CAST(CAST(night_id AS BIGINT) % 2 AS INTEGER) AS stage FROM s)
+SELECT night_id, epoch_idx, CASE WHEN stage = 5 AND max(CAST(stage = 4 AS INT)) OVER (PARTITION BY night_id) = 1 THEN 4 ELSE stage END AS stage FROM q""")
+def p4_unify_rem(spark, sf_dir):
+    shifted = F.col("stage") + (F.col("night_id").cast("long") % 2).cast("int")
+    return checks.unify_rem(b.stages(spark, sf_dir).withColumn("stage", shifted), only_if_both=True)
+
+
+@query(U + " SELECT night_id, channel, count(*) AS n_spiky, string_agg(CAST(epoch_idx AS VARCHAR), ',' ORDER BY epoch_idx) AS epochs FROM u WHERE label = 3 GROUP BY 1, 2")
+def p7_spiky_epochs(spark, sf_dir):
+    return checks.spiky_epochs(b.usability(spark, sf_dir)).withColumn("epochs", F.array_join(F.col("epochs").cast("array<string>"), ","))
+
+
+@query("SELECT vec_id, len(embedding) AS width FROM embeddings WHERE len(embedding) <> 63")
+def p8_wrong_width(spark, sf_dir):
+    return checks.wrong_width(b.vectors(spark, sf_dir), 63, "samples").select("vec_id", "width")
+
+
+@query(U + """, p AS (SELECT DISTINCT night_id, channel FROM u WHERE label = 2)
+SELECT night_id, CASE WHEN max(channel) = 'C0' THEN 'C1,C2' WHEN min(channel) = 'C1' THEN 'C0,C2' ELSE 'C2' END AS missing FROM p GROUP BY 1""")
+def s3_missing_channels(spark, sf_dir):
+    return checks.missing_channels(b.usability(spark, sf_dir).where("label = 2"), ["C0", "C1", "C2"]).withColumn("missing", F.array_join("missing", ","))
+
+
+@query("WITH " + b.NUMBERED + "," + b.MOBILITY + LIGHTS.replace(">= 2", ">= 12") + """
+SELECT night_id, 2 AS code, 'the recording is shorter than a minute' AS reason, true AS fatal FROM e GROUP BY 1 HAVING count(*) < 60
+UNION ALL SELECT DISTINCT night_id, 9, 'no lights-out or lights-on moment', false FROM m WHERE night_id NOT IN (SELECT night_id FROM l)""")
+def s14_error_report(spark, sf_dir):
+    return checks.error_report([checks.durations(b.samples(spark, sf_dir)), w1_without_lights(spark, sf_dir).withColumn("code", F.lit(9))])
+
+
+@query("WITH " + b.NUMBERED + """, n AS (SELECT night_id, count(*) < 60 AS failed FROM e GROUP BY 1)
+SELECT count(*) AS n_nights, count(*) FILTER (failed) AS n_failed, count(*) FILTER (NOT failed) AS n_passed FROM n""")
+def s14_success_count(spark, sf_dir):
+    return checks.success_count(b.samples(spark, sf_dir), s14_error_report(spark, sf_dir))
+
+
+@query("WITH " + b.NUMBERED + "," + b.SAMPLES + """ SELECT night_id, channel, sample_idx, value, fs FROM x JOIN (SELECT night_id, count(*) // 10 * 10 AS n FROM x GROUP BY 1) USING (night_id) WHERE sample_idx < n""")
+def g2_crop_to_epochs(spark, sf_dir):
+    return epochs.crop_to_epochs(b.samples(spark, sf_dir))
+
+
+@query("WITH " + b.NUMBERED + "," + b.SAMPLES + """ SELECT night_id, channel, sample_idx, value, fs FROM x JOIN (SELECT night_id, count(*) // 10 * 10 AS n FROM x GROUP BY 1) USING (night_id) WHERE sample_idx >= n""")
+def f2_tail(spark, sf_dir):
+    return epochs.tail(b.samples(spark, sf_dir))
+
+
+NORM = "WITH " + b.AXES + ", nm AS (SELECT night_id, sample_idx, dX * dX + dY * dY + dZ * dZ AS sq FROM w)"
+
+
+@query(NORM + " SELECT night_id, sample_idx, round(sqrt(sq), 6) AS value FROM nm")
+def g3_norm(spark, sf_dir):
+    return epochs.norm(b.axes(spark, sf_dir)).select("night_id", "sample_idx", F.round("value", 6).alias("value"))
+
+
+EPOCHS = "WITH " + b.NUMBERED + "," + b.SAMPLES + ", ep AS (SELECT night_id, channel, CAST(sample_idx // 10 AS INTEGER) AS epoch_idx, 1 AS fs, list(value ORDER BY sample_idx) AS samples FROM x GROUP BY 1, 2, 3 HAVING count(*) = 10)"
+
+
+@query(EPOCHS + " SELECT night_id, channel, epoch_idx, fs, CAST(unnest(range(10)) AS INTEGER) AS pos, unnest(samples) AS value FROM ep")
+def g4_epochs(spark, sf_dir):
+    return each(epochs.to_epochs(b.samples(spark, sf_dir)), "samples")
+
+
+@query(EPOCHS + " SELECT night_id, channel, CAST(epoch_idx AS BIGINT) * 10 + unnest(range(10)) AS sample_idx, unnest(samples) AS value, 1 AS fs FROM ep")
+def f2_stitched(spark, sf_dir):
+    return epochs.to_samples(epochs.to_epochs(b.samples(spark, sf_dir)))
+
+
+@query(S + " SELECT night_id, epoch_idx, epoch_idx * 30 + 1.0::DOUBLE / 256 AS start_time_sec, CAST((epoch_idx + 1) * 30 AS DOUBLE) AS end_time_sec FROM s")
+def g5_timestamps(spark, sf_dir):
+    return epochs.timestamps(b.stages(spark, sf_dir).drop("stage"), 30)
+
+
+@query(S + " SELECT night_id, epoch_idx, CAST(epoch_idx AS BIGINT) * 7680 AS start_data_index, (CAST(epoch_idx AS BIGINT) + 1) * 7680 - 1 AS end_data_index FROM s")
+def g6_data_indices(spark, sf_dir):
+    return epochs.data_indices(b.stages(spark, sf_dir).drop("stage"), 30)
+
+
+@query(EPOCHS + " SELECT night_id, 'ACCagg' AS channel, epoch_idx, 1 AS fs, CAST(unnest(range(10)) AS INTEGER) AS pos, 1.0::DOUBLE AS value FROM ep")
+def g7_pseudo_acceleration(spark, sf_dir):
+    return each(epochs.pseudo_acceleration(epochs.to_epochs(b.samples(spark, sf_dir))), "samples")
+
+
+@query("WITH " + b.AXES + " SELECT night_id, 16 AS fs, count(*) / 3 / 16 AS seconds, 3 AS n_channels FROM a GROUP BY 1")
+def g8_night_facts(spark, sf_dir):
+    return epochs.night_facts(b.axes(spark, sf_dir))
+
+
+@query("WITH " + b.NUMBERED + "," + b.SAMPLES + """, n AS (SELECT night_id, count(*) AS n FROM x GROUP BY 1)
+SELECT night_id, channel, 2 * sample_idx AS sample_idx, round(value, 6) AS value FROM x""")
+def g1_resample(spark, sf_dir):
+    """From 1 to 2 samples a second; a spline passes through its samples, which are every second one."""
+    doubled = signals.resample(b.samples(spark, sf_dir), target=2, block=32)
+    return doubled.where("sample_idx % 2 = 0").select("night_id", "channel", "sample_idx", F.round("value", 6).alias("value"))
+
+
+@query()
+def g1_resample_between(spark, sf_dir):
+    """All samples of that, with those between."""
+    return signals.resample(b.samples(spark, sf_dir), target=2, block=32)
+
+
+@query("WITH " + b.AXES + """, x AS (SELECT night_id, channel, CAST(sample_idx // 160 AS INTEGER) AS epoch_idx, count(*) AS n, round(sum(value), 6) AS total FROM a GROUP BY ALL HAVING count(*) = 160)
+SELECT p.night_id, p.channel, p.epoch_idx, p.total, q.total AS acc_total FROM x p JOIN x q ON q.channel = 'dZ' AND p.channel <> 'dZ' AND p.night_id = q.night_id AND p.epoch_idx = q.epoch_idx""")
+def j1_pair_with_acceleration(spark, sf_dir):
+    whole = epochs.to_epochs(b.axes(spark, sf_dir)).withColumn("total", F.round(F.aggregate("samples", F.lit(0.0), lambda t, v: t + v), 6)).drop("samples")
+    return epochs.pair_with_acceleration(whole.where("channel <> 'dZ'"), whole.where("channel = 'dZ'"), ["total"]).select(*epochs.KEY, "total", "acc_total")
+
+
+def vector_parts(spark, sf_dir):
+    part = lambda i: F.slice("samples", i, 4)
+    return b.vectors(spark, sf_dir).select("night_id", "channel", "epoch_idx", *(part(1 + 4 * i).alias(n) for i, n in enumerate(("spec", "acc_spec", "stat", "acc_stat"))))
+
+
+@query("WITH " + b.VECTORS + " SELECT night_id, 'EEG' AS channel, epoch_idx, CAST(unnest(range(16)) AS INTEGER) AS pos, unnest(samples[1:16]) AS value FROM v")
+def x6_usability_vector(spark, sf_dir):
+    return each(epochs.usability_vector(vector_parts(spark, sf_dir)), "features")
+
+
+@query("WITH " + b.VECTORS + " SELECT night_id, 'EEG' AS channel, epoch_idx, CAST(unnest(range(8)) AS INTEGER) AS pos, unnest(samples[1:8]) AS value FROM v")
+def x7_lite_vector(spark, sf_dir):
+    return each(epochs.lite_vector(vector_parts(spark, sf_dir)), "features")
+
+
+@query("WITH " + b.AXES + """, x AS (SELECT night_id, CAST(sample_idx // 160 AS INTEGER) AS epoch_idx, round(min(dX), 6) AS a, round(max(dX), 6) AS b, round(min(dY), 6) AS c, round(max(dY), 6) AS d, round(min(dZ), 6) AS e, round(max(dZ), 6) AS f
+FROM w GROUP BY ALL HAVING count(*) = 160) SELECT night_id, epoch_idx, CAST(unnest(range(6)) AS INTEGER) AS pos, unnest([a, b, c, d, e, f]) AS value FROM x""")
+def x8_mobility_vector(spark, sf_dir):
+    axes = epochs.to_epochs(b.axes(spark, sf_dir)).withColumn("stat", F.array(F.round(F.array_min("samples"), 6), F.round(F.array_max("samples"), 6)))
+    return each(epochs.mobility_vector(axes, "stat"), "features")
+
+
+@query(U + """, f AS (SELECT night_id, channel, epoch_idx, label + 10 AS label FROM u WHERE label = 3)
+SELECT u.night_id, u.channel, u.epoch_idx, coalesce(f.label, u.label) AS label FROM u LEFT JOIN f USING (night_id, channel, epoch_idx)""")
+def j5_put_back(spark, sf_dir):
+    usability = b.usability(spark, sf_dir)
+    changed = usability.where("label = 3").withColumn("label", F.col("label") + 10)
+    return epochs.put_back(usability, changed, "label").select(*epochs.KEY, "label")
+
+
+@query("WITH " + b.VECTORS + " SELECT night_id, 'EEG' AS channel, epoch_idx, CAST(unnest(range(8)) AS INTEGER) AS pos, unnest(CASE WHEN vec_id % 3 = 0 THEN list_reverse(samples[1:8]) ELSE samples[1:8] END) AS value FROM v")
+def j6_replace_features(spark, sf_dir):
+    rows = b.vectors(spark, sf_dir).select(*epochs.KEY, F.slice("samples", 1, 8).alias("features"), "vec_id")
+    return each(epochs.put_back(rows, rows.where("vec_id % 3 = 0").withColumn("features", F.reverse("features")), "features").select(*epochs.KEY, "features"), "features")
+
+
+@query("SELECT url AS path FROM pages WHERE page_id % 3 <> 0 UNION SELECT url FROM pages WHERE page_id % 2 = 0")
+def j8_merge_listings(spark, sf_dir):
+    pages = b.table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"))
+    return epochs.merge_listings(pages.where("page_id % 3 <> 0").select("path"), pages.where("page_id % 2 = 0").select("path"))
+
+
+@query("WITH " + b.VECTORS + """, m AS (SELECT night_id, epoch_idx, samples, list_avg(samples) AS mean FROM v),
+z AS (SELECT night_id, epoch_idx, j, (samples[j + 1] - mean) * (0.5 - 0.5 * cos(2 * pi() * j / 64)) AS d FROM m, (SELECT CAST(unnest(range(64)) AS INTEGER) AS j)),
+h AS (SELECT sum(power(0.5 - 0.5 * cos(2 * pi() * j / 64), 2)) AS w FROM (SELECT unnest(range(64)) AS j)),
+y AS (SELECT night_id, epoch_idx, k, (power(sum(d * cos(2 * pi() * k * j / 64)), 2) + power(sum(d * sin(2 * pi() * k * j / 64)), 2)) * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END / (64 * any_value(w)) AS x
+  FROM z, h, (SELECT unnest(range(33)) AS k) GROUP BY 1, 2, 3)
+SELECT night_id, 'EEG' AS channel, epoch_idx, k, round(x, 4) AS density FROM y""")
+def x2_power_features(spark, sf_dir):
+    found = signals.power_features(b.vectors(spark, sf_dir))
+    return found.select(*epochs.KEY, F.posexplode("pow").alias("k", "density")).withColumn("density", F.round(F.col("density") + 0.0, 4)).withColumn("k", F.col("k").cast("long"))
+
+
+@query()
+def x1_spectrogram_features(spark, sf_dir):
+    """Of whole epochs of the acceleration norm."""
+    return signals.spectrogram_features(epochs.to_epochs(epochs.norm(b.axes(spark, sf_dir)))).select(*epochs.KEY, "spec")
+
+
+@query("WITH " + b.VECTORS + """ SELECT night_id, 'EEG' AS channel, epoch_idx, round(list_max(samples), 6) AS max, round(list_avg(samples), 6) AS mean, round(list_min(samples), 6) AS min,
+round(list_median(samples), 6) AS median, round(sqrt(list_avg(list_transform(samples, lambda x: x * x))), 6) AS rms, round(list_var_pop(samples), 6) AS variance,
+round(list_sum(list_transform(samples, lambda x: x * x)), 6) AS energy, round(list_max(samples) - list_min(samples), 6) AS peak_to_peak,
+round(list_sum(list_transform(range(1, 64), lambda i: abs(samples[i + 1] - samples[i]))), 6) AS sum_abs_diff,
+len(list_filter(range(1, 64), lambda i: (samples[i + 1] < 0) <> (samples[i] < 0))) AS zero_crossings FROM v""")
+def x3_x4_features(spark, sf_dir):
+    """Those of the statistical and temporal features that SQL can state."""
+    from noctua.functions.features import STATISTICAL, TEMPORAL
+
+    found = signals.statistical_features(b.vectors(spark, sf_dir))
+    at = {n: i for i, n in enumerate(STATISTICAL + TEMPORAL)}
+    names = {"max": "max", "mean": "mean", "min": "min", "median": "median", "rms": "rms", "variance": "variance", "energy": "absolute_energy", "peak_to_peak": "peak_to_peak", "sum_abs_diff": "sum_abs_diff"}
+    crossings = F.col("stat")[at["zero_crossings"]].cast("long").alias("zero_crossings")
+    return found.select(*epochs.KEY, *(F.round(F.col("stat")[at[n]], 6).alias(k) for k, n in names.items()), crossings)
+
+
+@query()
+def x5_all_features(spark, sf_dir):
+    """All 390 features of the acceleration norm."""
+    return signals.statistical_features(epochs.to_epochs(epochs.norm(b.axes(spark, sf_dir)))).select(*epochs.KEY, "stat")
+
+
+def linear_model(x: np.ndarray) -> np.ndarray:
+    """A fixed stand-in for a trained model: the softmax of the first five values."""
+    z = np.exp(x[:, :5] - x[:, :5].max(axis=1, keepdims=True))
+    return z / z.sum(axis=1, keepdims=True)
+
+
+ARGMAX = "CAST(list_position(samples[1:5], list_max(samples[1:5])) - 1 AS INTEGER)"
+
+
+@query("WITH " + b.VECTORS + f""", p AS (SELECT night_id, epoch_idx, {ARGMAX} AS label, list_transform(samples[1:5], lambda x: exp(x)) AS z FROM v)
+SELECT night_id, 'EEG' AS channel, epoch_idx, label, round(list_max(z) / list_sum(z) * 100, 4) AS percent FROM p""")
+def m1_predict(spark, sf_dir):
+    found = signals.predict(b.vectors(spark, sf_dir), linear_model, "samples")
+    return found.select(*epochs.KEY, "label", F.round(F.array_max("probs"), 4).alias("percent"))
+
+
+@query("WITH " + b.AXES + """, x AS (SELECT night_id, CAST(sample_idx // 160 AS INTEGER) AS epoch_idx, round(max(dX), 6) AS a, round(max(dY), 6) AS b, round(max(dZ), 6) AS c FROM w GROUP BY ALL HAVING count(*) = 160)
+SELECT night_id, epoch_idx, CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS label FROM x""")
+def m2_predict_mobility(spark, sf_dir):
+    whole = epochs.to_epochs(b.axes(spark, sf_dir)).withColumn("top", F.array(F.round(F.array_max("samples"), 6)))
+    return signals.predict(epochs.mobility_vector(whole, "top"), linear_model).select("night_id", "epoch_idx", "label")
+
+
+@query("WITH " + b.VECTORS + f" SELECT night_id, 'EEG' AS channel, epoch_idx, CASE WHEN vec_id % 3 = 0 THEN {ARGMAX.replace('samples', 'r')} ELSE {ARGMAX} END AS label FROM (SELECT *, list_reverse(samples) AS r FROM v)")
+def m3_rescore(spark, sf_dir):
+    rows = b.vectors(spark, sf_dir)
+    labelled = signals.predict(rows, linear_model, "samples").select(*epochs.KEY, "label")
+    changed = rows.where("vec_id % 3 = 0").withColumn("samples", F.reverse("samples"))
+    return signals.rescore(labelled, changed, linear_model, "samples")
+
+
+@query("WITH " + b.VECTORS + f""", p AS (SELECT night_id, epoch_idx, list_transform(samples[1:5], lambda x: exp(x)) AS z FROM v)
+SELECT night_id, 'EEG' AS channel, epoch_idx, CAST(unnest(range(5)) AS INTEGER) AS class, unnest(list_transform(z, lambda x: round(x / list_sum(z) * 100, 4))) AS percent FROM p""")
+def s9_probability_rows(spark, sf_dir):
+    return sinks.probability_rows(signals.predict(b.vectors(spark, sf_dir), linear_model, "samples")).withColumn("percent", F.round("percent", 4))
+
+
+@query()
+def f1_filter_spiky(spark, sf_dir):
+    """Epochs of the acceleration norm, every third of them called spiky, filtered at 5 Hz."""
+    whole = epochs.to_epochs(epochs.norm(b.axes(spark, sf_dir)))
+    return signals.filter_spiky(whole.withColumn("label", F.when(F.col("epoch_idx") % 3 == 0, 3).otherwise(0)), cutoff=5.0)
+
+
+@query("WITH " + b.AXES + """, x AS (SELECT night_id, CAST(sample_idx // 160 AS INTEGER) AS epoch_idx, list(round(sqrt(dX * dX + dY * dY + dZ * dZ), 6) ORDER BY sample_idx) AS samples FROM w GROUP BY ALL HAVING count(*) = 160)
+SELECT night_id, 'ACCagg' AS channel, epoch_idx, CAST(unnest(range(160)) AS INTEGER) AS pos, unnest(samples) AS value FROM x WHERE epoch_idx % 3 <> 0""")
+def f1_untouched(spark, sf_dir):
+    """Epochs that the filter leaves as they are."""
+    kept = f1_filter_spiky(spark, sf_dir).where("label <> 3")
+    return each(kept.select(*epochs.KEY, "samples"), "samples").withColumn("value", F.round("value", 6))
+
+
+@query("WITH " + b.VECTORS + """, z AS (SELECT night_id, epoch_idx, j, samples[j + 1] * (0.5 - 0.5 * cos(2 * pi() * j / 64)) AS d FROM v, (SELECT CAST(unnest(range(64)) AS INTEGER) AS j)),
+h AS (SELECT sum(power(0.5 - 0.5 * cos(2 * pi() * j / 64), 2)) AS w FROM (SELECT unnest(range(64)) AS j)),
+y AS (SELECT night_id, epoch_idx, k, (power(sum(d * cos(2 * pi() * k * j / 64)), 2) + power(sum(d * sin(2 * pi() * k * j / 64)), 2)) / (64 * any_value(w)) AS x
+  FROM z, h, (SELECT unnest(range(3, 33)) AS k) GROUP BY 1, 2, 3)
+SELECT night_id, 'EEG' AS channel, epoch_idx, k - 3 AS bin, round(10 * log10(greatest((x - min(x) OVER n) / (max(x) OVER n - min(x) OVER n) * 10, 1e-10)), 3) AS db FROM y WINDOW n AS (PARTITION BY night_id)""")
+def d1_display_spectra(spark, sf_dir):
+    found = signals.display_spectra(b.vectors(spark, sf_dir))
+    return found.select(*epochs.KEY, F.posexplode("db").alias("bin", "db")).select(*epochs.KEY, F.col("bin").cast("long").alias("bin"), F.round("db", 3).alias("db"))
+
+
+@query(S + """ SELECT night_id, epoch_idx, stage, CAST(epoch_idx * 30 // 60 AS VARCHAR) || ':' || lpad(CAST(epoch_idx * 30 % 60 AS VARCHAR), 2, '0') AS elapsed FROM s""")
+def d2_hypnogram(spark, sf_dir):
+    return signals.hypnogram(b.stages(spark, sf_dir))
+
+
+@query(NORM + " SELECT night_id, sample_idx, (sample_idx + 1) / 16 AS time_sec FROM nm")
+def d3_trace(spark, sf_dir):
+    return signals.trace(epochs.norm(b.axes(spark, sf_dir))).select("night_id", "sample_idx", "time_sec")
+
+
+@query(U + " SELECT night_id, epoch_idx, max(label) FILTER (channel = 'C0') AS C0, max(label) FILTER (channel = 'C1') AS C1, epoch_idx * 10 + 1.0::DOUBLE / 256 AS start_time_sec, CAST((epoch_idx + 1) * 10 AS DOUBLE) AS end_time_sec FROM u GROUP BY night_id, epoch_idx")
+def s6_wide_usability(spark, sf_dir):
+    return sinks.wide_usability(b.usability(spark, sf_dir), ["C0", "C1"])
+
+
+@query(U + " SELECT night_id, epoch_idx, channel, label FROM u")
+def s5_scores_from_files(spark, sf_dir):
+    """The wide scores written by night as CSV with a comment, and read back."""
+    folder = shared(spark, "usability")
+    wide = s6_wide_usability(spark, sf_dir).select(F.col("night_id").alias("night"), "epoch_idx", "C0", "C1", "start_time_sec", F.col("end_time_sec").alias("End_time_sec"))
+    lines = F.concat_ws(",", "night", "epoch_idx", "C0", "C1", "start_time_sec", "End_time_sec")
+    of_night = F.sort_array(F.collect_list(F.struct("epoch_idx", lines.alias("line"))))
+    text = wide.groupBy("night").agg(F.concat_ws("\n", F.lit("# usability scores"), F.lit("night_id,epoch_idx,C0,C1,Start_time_sec,End_time_sec"), F.transform(of_night, lambda x: x["line"])).alias("value"), F.first("night").alias("n"))
+    text.select("value", "n").write.partitionBy("n").text(folder)
+    read = scores.read_wide_scores(spark, f"{folder}/n=*")
+    return scores.to_long(read.withColumn("epoch_idx", F.col("epoch_idx").cast("int")), ["C0", "C1"])
+
+
+@query(S + " SELECT night_id, epoch_idx, stage FROM s")
+def s4_stages_from_files(spark, sf_dir):
+    """The stages written as one text file for each night, with five lines before them, and read back."""
+    folder = shared(spark, "stages")
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("epoch_idx", "stage"))), lambda x: F.concat(x["stage"].cast("string"), F.lit("\tx")))
+    text = b.stages(spark, sf_dir).groupBy("night_id").agg(F.concat_ws("\n", F.array_repeat(F.lit("head"), 5), lines).alias("value"))
+    text.write.partitionBy("night_id").text(folder)
+    read = scores.read_stages(spark, f"{folder}/night_id=*")
+    return read.select(F.regexp_extract("path", r"night_id=(\d+)", 1).alias("night_id"), "epoch_idx", "stage")
+
+
+@query(OVERLAY + " SELECT night_id, epoch_idx, stage, epoch_idx * 30 + 1.0::DOUBLE / 256 AS start_time_sec, CAST((epoch_idx + 1) * 30 AS DOUBLE) AS end_time_sec FROM o")
+def s7_w4_rejected_scores(spark, sf_dir):
+    """Written by night in the order of epochs, and read back."""
+    folder = shared(spark, "rejected")
+    sinks.write_nights(sinks.rejected_scores(a3_overlay(spark, sf_dir)), folder)
+    return spark.read.parquet(folder).withColumn("night_id", F.col("night_id").cast("string"))
+
+
+@query(EPOCHS + ", n AS (SELECT night_id, max(epoch_idx) + 1 AS n FROM ep GROUP BY 1) SELECT night_id, n FROM n WHERE n < 6")
+def s8_features_to_compute(spark, sf_dir):
+    """Saved features hold six epochs of each night, so longer nights fit only their first six; others are computed."""
+    signal = epochs.to_epochs(b.samples(spark, sf_dir)).drop("samples")
+    size = signal.groupBy("night_id").agg((F.max("epoch_idx") + 1).alias("n"))
+    return sinks.to_compute(signal, signal.join(size.where("n >= 6"), "night_id").drop("n")).join(size, "night_id").select("night_id", "n").distinct()
+
+
+@query(M + LIGHTS + " SELECT night_id, lo * 10 AS lights_out_second, li * 10 AS lights_on_second FROM l")
+def s10_lights_table(spark, sf_dir):
+    folder = shared(spark, "lights")
+    w1_lights(spark, sf_dir).select("night_id", "lights_out_second", "lights_on_second").write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+@query("WITH " + b.NUMBERED + " SELECT DISTINCT night_id FROM e WHERE CAST(night_id AS BIGINT) % 3 <> 0")
+def s13_nights_to_do(spark, sf_dir):
+    found = b.numbered(spark, sf_dir).select("night_id").distinct()
+    done = found.where(F.col("night_id").cast("long") % 3 == 0).withColumns({"step": F.lit("usability"), "config_hash": F.lit(sinks.config_hash(Config()))})
+    return nights.to_do(found, done, "usability", sinks.config_hash(Config()))
+
+
+@query("WITH " + b.NUMBERED + """, p AS (SELECT DISTINCT night_id, '/raw/' || night_id AS src FROM e)
+SELECT night_id, CASE WHEN CAST(night_id AS BIGINT) % 2 = 0 THEN src ELSE replace(src, '/raw', '/out') END AS path FROM p""")
+def s13_locate_outputs(spark, sf_dir):
+    found = b.numbered(spark, sf_dir).select("night_id", F.concat(F.lit("/raw/"), "night_id").alias("src_path")).distinct()
+    placed = nights.with_destination(found, "/raw", "/out")
+    return nights.locate(placed.where("night_id % 2 = 0").select("night_id", F.col("src_path").alias("path")), placed.select("night_id", F.col("dest_path").alias("path")))
+
+
+@query("SELECT DISTINCT regexp_replace(url, '/[^/]*$', '') AS src_path, replace(regexp_replace(url, '/[^/]*$', ''), 'http', 'out') AS dest_path FROM pages")
+def s1_s15_nights(spark, sf_dir):
+    """Folders of the addresses of pages, as if each were a recording."""
+    files = b.table(spark, sf_dir, "pages").select(F.concat("url", F.lit(".EDF")).alias("path"))
+    return nights.with_destination(nights.nights(files), "http", "out")
+
+
+def edf_file(labels: tuple[str, ...], per_record: int, seconds: int):
+    """A column of EDF bytes from arrays of digital samples, one for each label; to have files to read."""
+    pad = lambda x, n: x.ljust(n)
+    count = len(labels)
+    body = "".join(pad(x, 16) for x in labels) + " " * 80 * count + pad("uV", 8) * count + pad("-32768", 8) * count + pad("32767", 8) * count + pad("-32768", 8) * count + pad("32767", 8) * count + " " * 80 * count + pad(str(per_record), 8) * count + " " * 32 * count
+
+    @F.udf("binary")
+    def build(*arrays):
+        records = len(arrays[0]) // per_record
+        fixed = pad("0", 8) + " " * 160 + "01.01.0101.01.01" + pad(str(256 * (count + 1)), 8) + " " * 44 + pad(str(records), 8) + pad(str(seconds), 8) + pad(str(count), 4)
+        data = np.stack([np.array(a[: records * per_record], "<i2").reshape(records, per_record) for a in arrays], axis=1)
+        return bytearray((fixed + body).encode("latin-1") + data.tobytes())
+
+    return build
+
+
+@query("WITH " + b.VECTORS + """ SELECT night_id, channel, CAST(epoch_idx // 1 AS INTEGER) AS epoch_idx, round(total, 3) AS total FROM (
+SELECT night_id, 'X' AS channel, epoch_idx, list_sum(list_transform(samples[1:60], lambda v: round(v * 100))) AS total FROM v
+UNION ALL SELECT night_id, 'Y', epoch_idx, list_sum(list_transform(samples[1:60], lambda v: -round(v * 100))) FROM v)""")
+def s2_s3_combined_edf(spark, sf_dir):
+    """Vectors of a label as two channels of an EDF file, ten seconds of 6 Hz a vector, decoded to epochs."""
+    rounded = F.transform(F.slice("samples", 1, 60), lambda v: F.round(v * 100).cast("int"))
+    every = b.vectors(spark, sf_dir).select("night_id", "epoch_idx", rounded.alias("s"))
+    files = every.groupBy("night_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("epoch_idx", "s"))), lambda x: x["s"])).alias("x"))
+    files = files.select(F.col("night_id").alias("src_path"), F.concat("night_id", F.lit(".edf")).alias("file"), edf_file(("X", "Y"), 6, 1)("x", F.transform("x", lambda v: -v)).alias("content"))
+    rows = edf.read_combined(files, ["X", "Y"])
+    return rows.select(F.col("src_path").alias("night_id"), "channel", "epoch_idx", F.round(F.aggregate("samples", F.lit(0.0), lambda t, v: t + v), 3).alias("total"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
