@@ -239,7 +239,7 @@ def p7_spiky_epochs(spark, sf_dir):
     return checks.spiky_epochs(b.usability(spark, sf_dir)).withColumn("epochs", F.array_join(F.col("epochs").cast("array<string>"), ","))
 
 
-@query("SELECT vec_id, len(embedding) AS width FROM embeddings WHERE len(embedding) <> 63")
+@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS width FROM embeddings WHERE len(embedding) <> 63")
 def p8_wrong_width(spark, sf_dir):
     return checks.wrong_width(b.vectors(spark, sf_dir), 63, "samples").select("vec_id", "width")
 
@@ -309,7 +309,7 @@ def g7_pseudo_acceleration(spark, sf_dir):
     return each(epochs.pseudo_acceleration(epochs.to_epochs(b.samples(spark, sf_dir))), "samples")
 
 
-@query("WITH " + b.AXES + " SELECT night_id, 16 AS fs, count(*) / 3 / 16 AS seconds, 3 AS n_channels FROM a GROUP BY 1")
+@query("WITH " + b.AXES + " SELECT night_id, 16 AS fs, count(*) / 3 / 16 AS seconds, CAST(3 AS BIGINT) AS n_channels FROM a GROUP BY 1")
 def g8_night_facts(spark, sf_dir):
     return epochs.night_facts(b.axes(spark, sf_dir))
 
