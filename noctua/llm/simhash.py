@@ -9,6 +9,8 @@ further, as pairs of tiles (population count, part), each pair a unit of work fo
 
 A task does not return the pairs it finds but a spanning forest of them (at most one link for each fingerprint), so a
 group of n near copies costs n links. Components come from alternating large-star and small-star steps on those links.
+
+annotate() links by fingerprints alone; annotate_similar() has a larger radius and lets the texts' shingles decide.
 """
 
 from __future__ import annotations
@@ -48,8 +50,31 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * total > len(a), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """row, id (the key), exact (a hash of the text) and fp (the fingerprint as a signed long) of each row."""
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct shingles of a text as sorted 32-bit hashes; empty without words."""
+    found = (text or "").encode().lower().split()
+    if not found:
+        return np.empty(0, "<u4")
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    k = min(words, len(found))
+    a, b = np.concatenate([[0], ends[:-1] + 1])[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist()
+    digest = xxhash.xxh32_intdigest
+    return np.unique(np.array([digest(joined[x:y], SEED) for x, y in zip(a, b)], "<u4"))
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """The similarity of two packed shingle sets; 1 if both are empty."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, sets: int | None = None) -> DataFrame:
+    """row, id (the key), exact (a hash of the text) and fp (the fingerprint as a signed long) of each row.
+
+    With ``sets``, also the set of its shingles of so many words.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -58,9 +83,13 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
             rows = np.arange(at, at + batch.num_rows)
             at += batch.num_rows
             found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), batch.column(2), pa.array(found.view(np.int64))], names=["row", "id", "exact", "fp"])
+            columns = {"row": pa.array(rows), "id": batch.column(0), "exact": batch.column(2), "fp": pa.array(found.view(np.int64))}
+            if sets:
+                columns["shingles"] = pa.array([shingle_set(t, sets).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.select(F.col(key).cast("bigint"), F.col(text), F.xxhash64(text)).mapInArrow(run, "row bigint, id bigint, exact bigint, fp bigint")
+    schema = "row bigint, id bigint, exact bigint, fp bigint" + ", shingles binary" * bool(sets)
+    return docs.select(F.col(key).cast("bigint"), F.col(text), F.xxhash64(text)).mapInArrow(run, schema)
 
 
 def flattened(parent: np.ndarray) -> np.ndarray:
@@ -69,49 +98,73 @@ def flattened(parent: np.ndarray) -> np.ndarray:
     return parent
 
 
-def connect(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Joins the trees of each a[i] and b[i]; every node points to the root of its tree, before and after."""
+def connect(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Joins the trees of each a[i] and b[i]; every node points to the root of its tree, before and after.
+
+    Also returns the pairs that joined two trees: as many as there are trees fewer.
+    """
+    used_a, used_b = [], []
     while True:
         x, y = parent[a], parent[b]
         apart = x != y
         if not apart.any():
-            return parent
+            return parent, used_a, used_b
         a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        high, low = np.maximum(x, y), np.minimum(x, y)
+        np.minimum.at(parent, high, low)
+        chosen = np.flatnonzero(parent[high] == low)
+        one = np.full(len(parent), -1)
+        one[high[chosen]] = chosen
+        one = one[one >= 0]
+        used_a.append(a[one])
+        used_b.append(b[one])
         parent = flattened(parent)
 
 
 def forest(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (smaller, larger) that connect what is within the radius, between places ``left`` and ``right`` of fps.
+    """Pairs within the radius that connect all that is within it, between places ``left`` and ``right`` of fps.
 
-    Both are in the order of the population count. One and the same array on both sides: all pairs within it.
+    Both are in the order of the population count. One and the same array on both sides: all pairs within it. Closer
+    pairs are taken first, in two steps, so a fingerprint hangs on one that is close to it where there is such.
     """
     ones = np.bitwise_count(fps)
-    parent = np.arange(len(fps))
-    for i in range(0, len(left), BLOCK):
-        a = left[i : i + BLOCK]
-        for j in range(i if left is right else 0, len(right), BLOCK):
-            b = right[j : j + BLOCK]
-            if int(ones[b[0]]) - int(ones[a[-1]]) > radius:
-                break
-            if int(ones[a[0]]) - int(ones[b[-1]]) > radius:
-                continue
-            near = np.bitwise_count(fps[a][:, None] ^ fps[b][None, :]) <= radius
-            x, y = np.nonzero(near)
-            parent = connect(parent, a[x], b[y])
-    low = fps.copy().view(np.int64)
-    np.minimum.at(low, parent, fps.view(np.int64))  # of each root: the least fingerprint of its tree
-    root = low[parent]
-    other = root != fps.view(np.int64)
-    return root[other], fps.view(np.int64)[other]
-
-
-def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """a < b: links whose components are those of all pairs of distinct fp within the radius."""
-    width = 64 // (radius + 1)
-    cuts = [(band * width, width if band < radius else 64 - radius * width) for band in range(radius + 1)]
-    values = [F.shiftrightunsigned("fp", at).bitwiseAND((1 << bits) - 1 if bits < 64 else -1) for at, bits in cuts]
-    banded = distinct.select("fp", F.posexplode(F.array(*values)).alias("band", "value"))
+    parent, used_a, used_b = np.arange(len(fps)), [], []
+    for most in sorted({min(radius, 4), radius}):
+        for i in range(0, len(left), BLOCK):
+            a = left[i : i + BLOCK]
+            for j in range(i if left is right else 0, len(right), BLOCK):
+                b = right[j : j + BLOCK]
+                if int(ones[b[0]]) - int(ones[a[-1]]) > most:
+                    break
+                if int(ones[a[0]]) - int(ones[b[-1]]) > most:
+                    continue
+                x, y = np.nonzero(np.bitwise_count(fps[a][:, None] ^ fps[b][None, :]) <= most)
+                parent, new_a, new_b = connect(parent, a[x], b[y])
+                used_a += new_a
+                used_b += new_b
+    signed = fps.view(np.int64)
+    if not used_a:
+        return signed[:0], signed[:0]
+    return signed[np.concatenate(used_a)], signed[np.concatenate(used_b)]
+
+
+def links(distinct: DataFrame, radius: int = 2, bands: int | None = None, flips: int = 0) -> DataFrame:
+    """a, b: links whose components are those of all pairs of distinct fp within the radius.
+
+    Of ``bands`` bands of bits (default: one more than the radius), two fingerprints within the radius differ in at most
+    radius // bands bits in one. With flips = 1 each fingerprint stands under the values of its bands with up to one
+    bit turned, so those that differ in two bits of a band meet: fewer and wider bands for a larger radius.
+    """
+    bands = bands or radius + 1
+    if radius // bands > 2 * flips:
+        raise ValueError("bands of so many bits can miss pairs within the radius")
+    width = 64 // bands
+    values = []
+    for band in range(bands):
+        bits = width if band < bands - 1 else 64 - (bands - 1) * width
+        value = F.shiftrightunsigned("fp", band * width).bitwiseAND((1 << bits) - 1 if bits < 64 else -1)
+        values += [F.struct(F.lit(band).alias("band"), v.alias("value")) for v in [value, *(value.bitwiseXOR(1 << k) for k in range(bits) if flips)]]
+    banded = distinct.select("fp", F.explode(F.array(*values)).alias("at")).select("fp", "at.band", "at.value")
     sizes = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
     ones = F.bit_count("fp")
     parts = F.when(F.col("n") <= GROUP, 0).otherwise(F.ceil(F.col("n") / (4 * GROUP)).cast("int"))
@@ -188,9 +241,42 @@ def annotate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     return found.select("id", "exact", "fp", F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"))
 
 
-def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """One row of docs from each component, with all its columns."""
-    return only(docs, key, text, annotate(docs, key, text, words, radius).select("id", "exact", "kept"))
+def annotate_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 11, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """As annotate(), but fingerprints within a larger radius only propose links, and the shingles of the texts decide.
+
+    A proposed link holds if the Jaccard similarity of the two texts' sets of ``shingle`` words is at least ``similarity``.
+    Proposed links are a spanning forest with close pairs first, so each text is compared with few others, whatever the
+    size of its group. Nodes are distinct texts; texts of one fingerprint are compared with the first of them.
+    """
+    rows = cut(fingerprints(docs, key, text, words, sets=shingle))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    texts = cut(rows.groupBy("exact").agg(first.alias("least"), F.min("fp").alias("fp"), F.first("shingles").alias("shingles"), F.count("*").alias("n")))
+    heads = cut(texts.groupBy("fp").agg(F.min("exact").alias("head"), F.count("*").alias("n")))
+    near = links(heads.select("fp"), radius, bands=4, flips=1)
+    a, b = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"{x}_text")) for x in "ab")
+    proposed = near.join(a, "a").join(b, "b").select("a_text", "b_text")
+    same = look_up(texts.select("exact", "fp"), heads, "fp", "n", texts.count()).where("exact <> head")
+    proposed = proposed.unionByName(same.select(F.col("head").alias("a_text"), F.col("exact").alias("b_text")))
+    proposed = proposed.select(F.least("a_text", "b_text").alias("a"), F.greatest("a_text", "b_text").alias("b")).distinct()
+    x, y = (texts.select(F.col("exact").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
+    both = proposed.join(y, "b").join(x, "a").select("a", "b", "a_set", "b_set")
+
+    def alike(batches):
+        for batch in batches:
+            good = pa.array([jaccard(p, q) >= similarity for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(good)
+
+    roots = components(both.mapInArrow(alike, "a bigint, b bigint")).withColumnRenamed("node", "exact")
+    labelled = cut(texts.drop("shingles").join(roots, "exact", "left").withColumn("root", F.coalesce("root", "exact")))
+    groups = labelled.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("texts"))
+    named = cut(look_up(labelled, groups, "root", "texts", texts.count()).select("exact", "first", "n"))
+    found = look_up(rows.drop("shingles"), named, "exact", "n", rows.count())
+    return found.select("id", "exact", "fp", F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"))
+
+
+def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs from each group of near copies (five words, a similarity of 0.8), with all its columns."""
+    return only(docs, key, text, annotate_similar(docs, key, text).select("id", "exact", "kept"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

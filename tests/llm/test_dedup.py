@@ -93,14 +93,54 @@ def test_near_against_brute_force(spark, monkeypatch, group):
     assert sum(r.kept for r in found) == len(set(roots)) < len(set(fps))
 
 
+def brute_similar(texts, least=0.8):
+    """Components of all pairs of texts whose sets of five-word shingles are that similar."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            if root[i] != root[j] and (not union or len(sets[i] & sets[j]) >= least * union):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    return root
+
+
+def test_similar_against_brute_force(spark):
+    """Only similar texts are put together, and nearly all that are: fingerprints must propose them."""
+    docs = near_copies(spark)
+    rows = docs.collect()
+    roots = brute_similar([r.text for r in rows])
+    found = simhash.annotate_similar(docs).collect()
+    group = defaultdict(set)
+    for r, root in zip(rows, roots):
+        group[root].add(r.doc_id)
+    whole = {d: min((x for x in g if x is not None), default=None) for g in group.values() for d in g}
+    assert len(found) == len(rows)
+    assert all(r.component_id is None or whole[r.component_id] == whole[r.id] for r in found)  # no group is too large
+    assert sum(r.kept for r in found) <= len(group) * 1.02 + 1
+
+
 def test_near_keeps_one_whole_row(spark):
     docs = edge.documents(spark)
     kept = simhash.keep(docs)
     assert kept.columns == docs.columns
-    assert kept.count() == len(set(brute_components([brute_fingerprint(r.text) for r in docs.collect()], 2)))
+    assert kept.count() == len(set(brute_similar([r.text for r in docs.collect()])))
     assert simhash.annotate(edge.documents(spark, empty=True)).count() == 0
 
 
+def test_bands_and_flips_reach_the_radius(spark):
+    fps = [0, 0b1111111111, (1 << 63) | (1 << 40) | (1 << 20) | 7, sum(1 << k for k in range(0, 64, 6))]
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    found = simhash.links(spark.createDataFrame(signed, "fp long"), 11, bands=4, flips=1).collect()
+    assert {x for r in found for x in (r.a, r.b)} == {x for (x,) in signed}  # all are within 11 bits of zero
+    assert len({r.root for r in simhash.components(spark.createDataFrame(found)).collect()}) == 1
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame(signed, "fp long"), 12, bands=4, flips=1)
+
+
 def test_forest_connects_what_is_near():
     rng = np.random.default_rng(0)
     centres = rng.integers(0, 1 << 63, 30, dtype=np.uint64)

@@ -1,12 +1,11 @@
 """The pipeline against the same five decisions made by brute force, and each stage on awkward rows."""
 
 import re
-from collections import Counter
 
 import corpus_pipeline
 from noctua.llm import bpe_job, langid
 from tests.llm import edge
-from tests.llm.test_dedup import brute_components, brute_fingerprint
+from tests.llm.test_dedup import brute_similar
 
 
 def test_run_against_brute_force(spark, sf_dir):
@@ -19,10 +18,14 @@ def test_run_against_brute_force(spark, sf_dir):
         if bare not in best or (-len(r.text), r.doc_id) < (-len(best[bare].text), best[bare].doc_id):
             best[bare] = r
     rows = sorted(best.values(), key=lambda r: r.doc_id)
-    roots = brute_components([brute_fingerprint(r.text) for r in rows], 2)
+    roots = brute_similar([r.text for r in rows])
     ids = [r.doc_id for i, r in enumerate(rows) if roots[i] == i]
-    wanted = Counter(map(tuple, bpe_job.digests(docs.where(docs.doc_id.isin(ids))).collect()))
-    assert Counter(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == wanted
+    every = {r.doc_id: tuple(r) for r in bpe_job.digests(docs).collect()}
+    found = corpus_pipeline.run(spark, sf_dir).collect()
+    assert len({r.doc_id for r in found}) == len(found) and all(every[r.doc_id] == tuple(r) for r in found)
+    # no document is lost that is not a copy; fingerprints propose nearly all pairs of similar texts, not all
+    more = {r.doc_id for r in found} - set(ids)
+    assert set(ids) <= {r.doc_id for r in found} and more <= {r.doc_id for r in rows} and len(more) <= 0.02 * len(ids)
     assert len(ids) >= 150
 
 
