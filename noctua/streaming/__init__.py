@@ -1,0 +1 @@
+"""Recordings are whole files and every job is a batch, so nothing is streamed."""
