@@ -148,6 +148,30 @@ def forest(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) ->
     return signed[np.concatenate(used_a)], signed[np.concatenate(used_b)]
 
 
+def first_meeting(a: np.ndarray, b: np.ndarray, cuts: list[tuple[int, int]], flips: int, band: int, value: int) -> np.ndarray:
+    """Whether each pair, of those that meet under a band's value, meets under no earlier band and no smaller value.
+
+    Links of other pairs can be left out: both ends meet earlier too, and by induction are connected there.
+    """
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    one = np.uint64(1)
+    first = np.ones(len(a), bool)
+    for at, bits in cuts[:band]:
+        first &= np.bitwise_count((a ^ b) >> np.uint64(at) & np.uint64((1 << bits) - 1)) > 2 * flips
+    if not flips:
+        return first
+    at, bits = cuts[band]
+    x, y = ((v >> np.uint64(at)) & np.uint64((1 << bits) - 1) for v in (a, b))
+    apart = x ^ y
+    low = apart & (~apart + one)
+    top = x.copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        top |= top >> np.uint64(k)
+    same = x ^ (top ^ top >> one)  # without its highest bit
+    least = np.where(apart == 0, same, np.where(apart == low, np.minimum(x, y), np.minimum(x ^ low, y ^ low)))
+    return first & (least == np.uint64(value))
+
+
 def links(distinct: DataFrame, radius: int = 2, bands: int | None = None, flips: int = 0) -> DataFrame:
     """a, b: links whose components are those of all pairs of distinct fp within the radius.
 
@@ -159,10 +183,10 @@ def links(distinct: DataFrame, radius: int = 2, bands: int | None = None, flips:
     if radius // bands > 2 * flips:
         raise ValueError("bands of so many bits can miss pairs within the radius")
     width = 64 // bands
+    cuts = [(band * width, width if band < bands - 1 else 64 - (bands - 1) * width) for band in range(bands)]
     values = []
-    for band in range(bands):
-        bits = width if band < bands - 1 else 64 - (bands - 1) * width
-        value = F.shiftrightunsigned("fp", band * width).bitwiseAND((1 << bits) - 1 if bits < 64 else -1)
+    for band, (at, bits) in enumerate(cuts):
+        value = F.shiftrightunsigned("fp", at).bitwiseAND((1 << bits) - 1 if bits < 64 else -1)
         values += [F.struct(F.lit(band).alias("band"), v.alias("value")) for v in [value, *(value.bitwiseXOR(1 << k) for k in range(bits) if flips)]]
     banded = distinct.select("fp", F.explode(F.array(*values)).alias("at")).select("fp", "at.band", "at.value")
     sizes = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
@@ -196,6 +220,8 @@ def links(distinct: DataFrame, radius: int = 2, bands: int | None = None, flips:
         left = order[own[order] == t]
         right = left if t == u else order[own[order] == u]
         a, b = forest(fps, left, right, radius) if len(left) and len(right) else (np.empty(0, np.int64),) * 2
+        own = first_meeting(a, b, cuts, flips, int(rows[0, 0]), int(rows[1, 0]))
+        a, b = a[own], b[own]
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
@@ -250,15 +276,18 @@ def annotate_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     """
     rows = cut(fingerprints(docs, key, text, words, sets=shingle))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
-    texts = cut(rows.groupBy("exact").agg(first.alias("least"), F.min("fp").alias("fp"), F.first("shingles").alias("shingles"), F.count("*").alias("n")))
-    heads = cut(texts.groupBy("fp").agg(F.min("exact").alias("head"), F.count("*").alias("n")))
+    texts = rows.groupBy("exact").agg(first.alias("least"), F.min("fp").alias("fp"), F.count("*").alias("n"))
+    texts = cut(texts.withColumn("node", F.col("least.row")))
+    heads = cut(texts.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")))
     near = links(heads.select("fp"), radius, bands=4, flips=1)
-    a, b = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"{x}_text")) for x in "ab")
-    proposed = near.join(a, "a").join(b, "b").select("a_text", "b_text")
-    same = look_up(texts.select("exact", "fp"), heads, "fp", "n", texts.count()).where("exact <> head")
-    proposed = proposed.unionByName(same.select(F.col("head").alias("a_text"), F.col("exact").alias("b_text")))
-    proposed = proposed.select(F.least("a_text", "b_text").alias("a"), F.greatest("a_text", "b_text").alias("b")).distinct()
-    x, y = (texts.select(F.col("exact").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
+    a, b = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"{x}_node")) for x in "ab")
+    proposed = near.join(a, "a").join(b, "b").select("a_node", "b_node")
+    same = look_up(texts.select("node", "fp"), heads, "fp", "n", texts.count()).where("node <> head")
+    proposed = proposed.unionByName(same.select(F.col("head").alias("a_node"), F.col("node").alias("b_node")))
+    proposed = cut(proposed.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
+    ends = proposed.select(F.col("a").alias("row")).union(proposed.select("b")).distinct()
+    sets = cut(rows.select("row", "shingles").join(ends, "row", "left_semi"))  # of texts that anything is proposed for
+    x, y = (sets.select(F.col("row").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
     both = proposed.join(y, "b").join(x, "a").select("a", "b", "a_set", "b_set")
 
     def alike(batches):
@@ -266,8 +295,8 @@ def annotate_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", w
             good = pa.array([jaccard(p, q) >= similarity for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(good)
 
-    roots = components(both.mapInArrow(alike, "a bigint, b bigint")).withColumnRenamed("node", "exact")
-    labelled = cut(texts.drop("shingles").join(roots, "exact", "left").withColumn("root", F.coalesce("root", "exact")))
+    roots = components(both.mapInArrow(alike, "a bigint, b bigint"))
+    labelled = cut(texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     groups = labelled.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("texts"))
     named = cut(look_up(labelled, groups, "root", "texts", texts.count()).select("exact", "first", "n"))
     found = look_up(rows.drop("shingles"), named, "exact", "n", rows.count())

@@ -141,6 +141,31 @@ def test_bands_and_flips_reach_the_radius(spark):
         simhash.links(spark.createDataFrame(signed, "fp long"), 12, bands=4, flips=1)
 
 
+@pytest.mark.parametrize("bands, flips", [(3, 0), (4, 1), (5, 1)])
+def test_a_pair_is_told_once(bands, flips):
+    """Of all values under which two fingerprints meet, one is the first."""
+    rng = np.random.default_rng(2)
+    width = 64 // bands
+    cuts = [(i * width, width if i < bands - 1 else 64 - (bands - 1) * width) for i in range(bands)]
+    for _ in range(200):
+        a = int(rng.integers(0, 1 << 63)) * 2 + 1
+        b = a
+        for k in rng.choice(64, rng.integers(0, 2 + 3 * flips), replace=False):
+            b ^= 1 << int(k)
+
+        def stands(v):
+            found = []
+            for band, (at, bits) in enumerate(cuts):
+                x = v >> at & (1 << bits) - 1
+                found += [(band, x)] + [(band, x ^ 1 << k) for k in range(bits) if flips]
+            return set(found)
+
+        meet = sorted(stands(a) & stands(b))
+        x, y = (np.array([v], np.uint64).view(np.int64) for v in (a, b))
+        told = [m for m in meet if simhash.first_meeting(x, y, cuts, flips, *m)[0]]
+        assert told == meet[:1]
+
+
 def test_forest_connects_what_is_near():
     rng = np.random.default_rng(0)
     centres = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
