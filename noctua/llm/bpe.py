@@ -22,8 +22,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Units that a worker keeps, at most; then it starts anew. About 250 bytes each.
-KEEP_UNITS = 1_000_000
+#: Units that a worker keeps, at most; then it starts anew. About 180 bytes each.
+KEEP_UNITS = 600_000
 #: Pretokens of one call of the library.
 CALL = 4000
 #: White space other than spaces and newlines.
@@ -96,6 +96,8 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class ByteBpe:
     """Encodes and decodes with one model; kept by a worker for all its tasks."""
 
+    keep_asked = False  # whether units stay by their numbers once they are encoded
+
     def __init__(self, model: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_str(model)
@@ -129,6 +131,8 @@ class ByteBpe:
     def learn(self) -> None:
         """Encodes the units that were not met before."""
         found = list(map(self.pretokens, self.asked[self.done :]))
+        if not self.keep_asked:
+            self.asked[self.done :] = [""] * len(found)
         self.done = len(self.asked)
         counts = np.fromiter(map(len, found), np.int64, len(found))
         number = Numbered([], "")
