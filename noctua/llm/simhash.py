@@ -10,7 +10,8 @@ further, as pairs of tiles (population count, part), each pair a unit of work fo
 A task does not return the pairs it finds but a spanning forest of them (at most one link for each fingerprint), so a
 group of n near copies costs n links. Components come from alternating large-star and small-star steps on those links.
 
-annotate() links by fingerprints alone; annotate_similar() has a larger radius and lets the texts' shingles decide.
+annotate() links by fingerprints alone; annotate_similar() has a larger radius and lets the texts' shingles decide. A
+forest stands for all pairs only where every link holds, so what a failed link leaves apart is compared pair by pair.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ BLOCK = 1024
 #: Hashes of which the bits are summed at once.
 SLICE = 65_536
 SEED = 42
+#: Forests that are tested, where links failed, before all pairs between components are.
+TURNS = 2
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -227,6 +230,80 @@ def links(distinct: DataFrame, radius: int = 2, bands: int | None = None, flips:
     return dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def pairs_apart(nodes: DataFrame, radius: int, similarity: float, bands: int, flips: int, turn: int | None = None) -> DataFrame:
+    """a, b: all pairs of nodes within the radius whose components differ and whose sizes allow the similarity.
+
+    Nodes are node, fp, size (of the shingle set) and root (the component so far). With ``turn``, only a forest that
+    connects the components, another one for each turn: to join what is alike before all pairs are listed.
+    """
+    width = 64 // bands
+    cuts = [(band * width, width if band < bands - 1 else 64 - (bands - 1) * width) for band in range(bands)]
+    values = []
+    for band, (at, bits) in enumerate(cuts):
+        value = F.shiftrightunsigned("fp", at).bitwiseAND((1 << bits) - 1)
+        values += [F.struct(F.lit(band).alias("band"), v.alias("value")) for v in [value, *(value.bitwiseXOR(1 << k) for k in range(bits) if flips)]]
+    banded = nodes.select("node", "fp", "size", "root", F.explode(F.array(*values)).alias("at")).select("at.band", "at.value", "node", "fp", "size", "root")
+    sizes = banded.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("root").alias("p"), F.max("root").alias("q")).where("p < q")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    tiles = banded.join(sizes.select("band", "value", parts.alias("parts")), ["band", "value"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("band", "value", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "tile", "node", "fp", "size", "root")
+    dealt = dealt.repartition("band", "value", "t", "u").sortWithinPartitions("band", "value", "t", "u")
+
+    def compare(batches):
+        held: list[np.ndarray] = []
+        for batch in batches:
+            rows = np.stack([batch.column(c).cast(pa.int64()).to_numpy() for c in range(9)])
+            if not rows.shape[1]:
+                continue
+            new = np.flatnonzero((rows[:4, 1:] != rows[:4, :-1]).any(axis=0)) + 1
+            for k, piece in enumerate(np.split(rows, new, axis=1)):
+                if held and (k or (held[-1][:4, -1] != piece[:4, 0]).any()):
+                    yield from found(np.concatenate(held, axis=1))
+                    held = []
+                held.append(piece)
+        if held:
+            yield from found(np.concatenate(held, axis=1))
+
+    def found(rows: np.ndarray):
+        (band, value, t, u), (own, node, fp, size, root) = rows[:4, 0].tolist(), rows[4:]
+        fp = np.ascontiguousarray(fp).view(np.uint64)
+        parent = np.unique(root, return_inverse=True)[1]
+        tree = np.arange(parent.max() + 1)
+        left, right = np.flatnonzero(own == t), np.flatnonzero(own == u)
+        if turn is not None:
+            right = np.random.default_rng(turn).permutation(right)
+        for i in range(0, len(left), BLOCK):
+            for j in range(0, len(right), BLOCK):
+                a, b = left[i : i + BLOCK], right[j : j + BLOCK]
+                near = np.bitwise_count(fp[a][:, None] ^ fp[b][None, :]) <= radius
+                near &= parent[a][:, None] != parent[b][None, :]
+                near &= np.minimum.outer(size[a], size[b]) >= similarity * np.maximum.outer(size[a], size[b])
+                if t == u:
+                    near &= a[:, None] < b[None, :]
+                x, y = np.nonzero(near)
+                x, y = a[x], b[y]
+                first = first_meeting(fp[x], fp[y], cuts, flips, band, value)
+                x, y = x[first], y[first]
+                if turn is not None and len(x):
+                    x, y = joining(tree, parent[x], parent[y], x, y)
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
+
+    def joining(tree, p, q, x, y):
+        """Those of the pairs (x, y) that join two trees; ``tree`` is changed."""
+        after, used_p, used_q = connect(tree.copy(), p, q)
+        tree[:] = after
+        if not used_p:
+            return x[:0], y[:0]
+        wanted = np.concatenate(used_p) * len(tree) + np.concatenate(used_q)
+        at = np.unique(p * len(tree) + q, return_index=True)
+        at = at[1][np.searchsorted(at[0], wanted)]
+        return x[at], y[at]
+
+    return dealt.mapInArrow(compare, "a bigint, b bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: each node of an edge but the root itself, with the least node of its component.
 
@@ -270,9 +347,11 @@ def annotate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
 def annotate_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 11, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """As annotate(), but fingerprints within a larger radius only propose links, and the shingles of the texts decide.
 
-    A proposed link holds if the Jaccard similarity of the two texts' sets of ``shingle`` words is at least ``similarity``.
-    Proposed links are a spanning forest with close pairs first, so each text is compared with few others, whatever the
-    size of its group. Nodes are distinct texts; texts of one fingerprint are compared with the first of them.
+    A link holds if the Jaccard similarity of the two texts' sets of ``shingle`` words is at least ``similarity``: the
+    result is the components of all pairs of texts within the radius that are that similar. First a spanning forest
+    with close pairs first is tested (nodes are distinct texts; texts of one fingerprint hang on the first of them).
+    Where each link of a tree holds, nothing is left to compare. In trees with a failed link, further forests join most of
+    what is alike, then all pairs within the radius between different components are tested, none left out.
     """
     rows = cut(fingerprints(docs, key, text, words, sets=shingle))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
@@ -287,15 +366,34 @@ def annotate_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     proposed = cut(proposed.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
     ends = proposed.select(F.col("a").alias("row")).union(proposed.select("b")).distinct()
     sets = cut(rows.select("row", "shingles").join(ends, "row", "left_semi"))  # of texts that anything is proposed for
-    x, y = (sets.select(F.col("row").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
-    both = proposed.join(y, "b").join(x, "a").select("a", "b", "a_set", "b_set")
 
     def alike(batches):
         for batch in batches:
             good = pa.array([jaccard(p, q) >= similarity for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(good)
-
-    roots = components(both.mapInArrow(alike, "a bigint, b bigint"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), good], names=["a", "b", "good"])
+
+    def tested(pairs):
+        x, y = (sets.select(F.col("row").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
+        both = pairs.join(y, "b").join(x, "a").select("a", "b", "a_set", "b_set")
+        return cut(both.mapInArrow(alike, "a bigint, b bigint, good boolean"))
+
+    done = tested(proposed)
+    good = done.where("good").select("a", "b")
+    roots = components(good)
+    if not (failed := done.where("NOT good").select("a", "b")).isEmpty():
+        trees = cut(components(proposed))
+        tree = F.coalesce("root", "node")
+        open_trees = failed.select(F.col("a").alias("node")).join(trees, "node", "left").select(tree.alias("tree")).distinct()
+        members = ends.select(F.col("row").alias("node")).join(trees, "node", "left").select("node", tree.alias("tree")).join(open_trees, "tree", "left_semi")
+        size = sets.select(F.col("row").alias("node"), (F.length("shingles") / 4).cast("bigint").alias("size"))
+        members = cut(members.select("node").join(texts.select("node", "fp"), "node").join(size, "node"))
+        for turn in [*range(TURNS), None]:
+            apart = cut(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+            found = tested(pairs_apart(apart, radius, similarity, 4, 1, turn)).where("good").select("a", "b")
+            if found.isEmpty():
+                continue
+            good = good.unionByName(found)
+            roots = components(good)
     labelled = cut(texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     groups = labelled.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("texts"))
     named = cut(look_up(labelled, groups, "root", "texts", texts.count()).select("exact", "first", "n"))

@@ -123,6 +123,38 @@ def test_similar_against_brute_force(spark):
     assert sum(r.kept for r in found) <= len(group) * 1.02 + 1
 
 
+@pytest.mark.parametrize("turns", [0, 2])
+def test_similar_finds_all_pairs_within_the_radius(spark, monkeypatch, turns):
+    """Texts that share a long passage: unlike ones lie between similar ones, whose links must not be lost with theirs."""
+    monkeypatch.setattr(simhash, "TURNS", turns)
+    monkeypatch.setattr(simhash, "BLOCK", 256)  # band values are dealt out as pairs of tiles
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for i in range(1200):
+        tail = [f"t{i // 3}x{k}" for k in range(int(rng.integers(8, 30)))]
+        own = [f"o{i}x{k}" for k in range(int(rng.integers(0, 10)))]
+        texts.append(" ".join(passage + tail + own))
+    fps = np.array([brute_fingerprint(t) for t in texts], np.uint64)
+    sets = [set(simhash.shingle_set(t).tolist()) for t in texts]
+    edges, unlike = [], 0
+    for i in range(len(texts)):
+        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= 11).tolist():
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                edges.append((i, j))
+            else:
+                unlike += 1
+    assert unlike > 1000 and len(edges) > 100
+    root = list(range(len(texts)))
+    for i, j in edges:
+        if root[i] != root[j]:
+            x, y = max(root[i], root[j]), min(root[i], root[j])
+            root = [y if r == x else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.id: r.component_id for r in simhash.annotate_similar(docs).collect()} == dict(enumerate(root))
+
+
 def test_near_keeps_one_whole_row(spark):
     docs = edge.documents(spark)
     kept = simhash.keep(docs)
