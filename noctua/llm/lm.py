@@ -6,8 +6,9 @@ within its class has its add-one share there, so probabilities of all ids add up
 each begins STRIDE ids after the last one, and an id is scored in the first window that reaches it.
 
 From the corpus come the counts of all training words (partial sums in tasks, then a shuffle; ids are counted from
-the distinct words), and training windows at a fixed rate, so both grow with it. Windows are dealt to lanes; each lane
-trains its own copy from common weights, the copies are averaged in a tree, and that is done ROUNDS times.
+the distinct words), and all training windows: the ids of each training text with its end, cut every WINDOW ids, the last
+window of a text as short as it is. Windows are dealt to lanes; each lane trains its own copy from common
+weights, the copies are averaged in a tree, and that is done ROUNDS times.
 
 Scoring reads each text once. The TOP most frequent words are sent to the tasks with their counts; other words leave
 as one row for each text and word, are joined with the counts by a shuffle, and come back as sums for each text.
@@ -34,8 +35,8 @@ TOP = 300_000
 #: Distinct words that a counting task holds before it passes them on.
 HELD = 400_000
 CLASSES, OWN_ROWS, WIDTH, WINDOW, STRIDE = 64, 1024, 16, 32, 24
-#: One of so many spans of SPAN words is trained on; windows of a lane, about; copies averaged at once.
-RATE, SPAN, LANE_WINDOWS, FAN_IN = 24, 24, 4096, 64
+#: Windows of a lane, about; from LANES lanes on up to MOST_WINDOWS, and only then more lanes; copies averaged at once.
+LANE_WINDOWS, LANES, MOST_WINDOWS, FAN_IN = 4096, 1000, 65_536, 64
 ROUNDS, BATCH, RATE_OF_STEP = 3, 64, 0.01
 #: Words that a worker keeps, at most.
 KEEP_WORDS = 900_000
@@ -218,12 +219,15 @@ def log_next(w: Weights, rows: np.ndarray, classes: np.ndarray, skip: int = 0) -
 
 
 def gradient(w: Weights, rows: np.ndarray, targets: np.ndarray) -> tuple[float, Weights]:
-    """Mean cross-entropy of the classes that follow, and its gradient."""
+    """Mean cross-entropy of the classes that follow, and its gradient. Places of which the target is negative do not count."""
     z, e, q, k, v, a, h, o = forward(w, rows)
-    y, m, flat = targets.ravel(), targets.size, lambda x: x.reshape(-1, x.shape[-1])
-    loss = -z[np.arange(m), y].mean()
+    y, flat = targets.ravel(), lambda x: x.reshape(-1, x.shape[-1])
+    at = np.flatnonzero(y >= 0)
+    m = max(len(at), 1)
+    loss = -z[at, y[at]].sum() / m
     dz = np.exp(z)
-    dz[np.arange(m), y] -= 1
+    dz[at, y[at]] -= 1
+    dz[y < 0] = 0
     dz /= m
     g = {"u": flat(o).T @ dz, "b": dz.sum(axis=0)}
     do = (dz @ w["u"].T).reshape(o.shape)
@@ -236,7 +240,10 @@ def gradient(w: Weights, rows: np.ndarray, targets: np.ndarray) -> tuple[float,
     de = do + d @ w["w"].T
     g["p"] = de.sum(axis=0)
     g["e"] = np.zeros_like(w["e"])
-    np.add.at(g["e"], rows.ravel(), flat(de))
+    order = np.argsort(rows, axis=None, kind="stable")
+    own = rows.ravel()[order]
+    begins = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    g["e"][own[begins]] = np.add.reduceat(flat(de)[order], begins, axis=0)
     return float(loss), g
 
 
@@ -313,32 +320,47 @@ def id_counts(counts: Counts, tokenizer: str) -> np.ndarray:
     return found
 
 
+def windows_of(ids: np.ndarray) -> list[np.ndarray]:
+    """The ids of a text between two ends, cut so that each but the first is the target of one window."""
+    return [ids[i : i + WINDOW + 1] for i in range(0, len(ids) - 1, WINDOW)]
+
+
+def padded(windows: list[bytes], vocab: Vocabulary, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the embedding and targets (classes) of each window; behind its end the target is -1."""
+    sizes = np.array([len(x) for x in windows], np.int64) // np.dtype(kind).itemsize
+    flat = np.frombuffer(b"".join(windows), kind).astype(np.int64)
+    at = np.arange(WINDOW + 1) < sizes[:, None]
+    ids = np.full(at.shape, vocab.end)
+    ids[at] = flat
+    return vocab.row_of[ids[:, :-1]].astype(np.int32), np.where(at[:, 1:], vocab.class_of[ids[:, 1:]], -1).astype(np.int8)
+
+
 def fit(texts: DataFrame, counts: Counts, tokenizer: str) -> Model:
-    """Trains on spans of SPAN words, one of RATE in each text, from a place that its hash gives."""
+    """Trains on all ids of all texts."""
     spark = texts.sparkSession
-    vocab = vocabulary(id_counts(counts, tokenizer))
+    found = id_counts(counts, tokenizer)
+    vocab = vocabulary(found)
     shipped = spark.sparkContext.broadcast((tokenizer, vocab))
+    kind = "<u2" if len(found) <= 1 << 16 else "<i4"
+    n = int(found.sum()) // WINDOW + counts.texts  # a little more than there are
+    size = min(max(LANE_WINDOWS, n // LANES), MOST_WINDOWS)
+    lanes = max(1, -(-n // size))
 
     def windows(batches):
-        coder = WordCoder(shipped.value[0])
+        coder, place = WordCoder(shipped.value[0]), TaskContext.get().partitionId() * 7919
         for batch in batches:
-            spans, at_start = [], []
-            for body in batch.column(0).to_pylist():
-                words = words_of(body)
-                first = hash_of(words) % RATE * SPAN
-                for i in range(first, len(words), RATE * SPAN):
-                    spans.append(words[i : i + SPAN])
-                    at_start.append(i == 0)
             out = []
-            for numbers, first in zip(coder.numbers_of(spans), at_start):
-                ids = np.concatenate([[vocab.end] * first, coder.ids_of(numbers)]).astype("<i4")
-                if len(ids) > WINDOW:
-                    out.append(ids[: WINDOW + 1].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
-
-    spans = cut(texts.mapInArrow(windows, "ids binary"))
-    lanes = max(1, -(-spans.count() // LANE_WINDOWS))
-    dealt = cut(spans.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int")).repartitionById(lanes, "lane"))
+            for numbers in coder.numbers_of([words_of(x) for x in batch.column(0).to_pylist()]):
+                end = shipped.value[1].end
+                ids = np.concatenate([[end], coder.ids_of(numbers), [end]]).astype(kind)
+                out += [x.tobytes() for x in windows_of(ids)]
+            for i in range(0, len(out), 10_000):
+                some = out[i : i + 10_000]
+                lane = (place + i + np.arange(len(some))) % lanes
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array(lane, pa.int32())], names=["ids", "lane"])
+            place += len(out)
+
+    dealt = cut(texts.mapInArrow(windows, "ids binary, lane int").repartitionById(lanes, "lane"))
     state = pack(fresh(vocab))
     for turn in range(ROUNDS):
 
@@ -349,10 +371,11 @@ def fit(texts: DataFrame, counts: Counts, tokenizer: str) -> Model:
                     lane = batch.column(1)[0].as_py()
                     found += batch.column(0).to_pylist()
             if found:
-                own = np.frombuffer(b"".join(sorted(found)), "<i4").reshape(-1, WINDOW + 1)
-                own = own[np.random.default_rng(turn).permutation(len(own))]
-                w = train(unpack(state), vocab.row_of[own[:, :-1]], vocab.class_of[own[:, 1:]], RATE_OF_STEP / (1 + turn))
-                yield pa.RecordBatch.from_pydict({"lane": [lane], "n": [len(own)], "w": [pack(w)]}, KIND)
+                vocab = shipped.value[1]
+                rows, targets = padded(sorted(found), vocab, kind)
+                order = np.random.default_rng(turn).permutation(len(rows))
+                w = train(unpack(state), rows[order], targets[order], RATE_OF_STEP / (1 + turn))
+                yield pa.RecordBatch.from_pydict({"lane": [lane], "n": [int((targets >= 0).sum())], "w": [pack(w)]}, KIND)
 
         def average(data: pa.Table) -> pa.Table:
             n = data.column("n").to_numpy().astype(np.float64)
@@ -371,11 +394,6 @@ def fit(texts: DataFrame, counts: Counts, tokenizer: str) -> Model:
 KIND = pa.schema([("lane", pa.int64()), ("n", pa.int64()), ("w", pa.binary())])
 
 
-def hash_of(words: list[bytes]) -> int:
-    """A hash of a text's length and ends that is the same in every process."""
-    return sum((i + 1) * b for i, b in enumerate(b" ".join(words[:4] + words[-4:]))) + len(words)
-
-
 def most_frequent(words: DataFrame, most: int) -> DataFrame:
     """Words from the least count on, in steps of 1/16 of a power of two, that leaves at most so many: a filter, no sort."""
     level = F.floor(F.log2("c") * 16)

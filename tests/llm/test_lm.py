@@ -118,3 +118,36 @@ def test_context_helps_on_held_out_texts(spark, sf_dir):
     held = [np.append(coder.ids_of(x), model.vocab.end) for x in coder.numbers_of([lm.words_of(r.text) for r in docs.where(lm.held_out("doc_id")).collect()])]
     flat = {**w, "u": np.zeros_like(w["u"]), "b": model.vocab.class_mass}
     assert lm.score_batch(w, model.vocab, held).sum() > lm.score_batch(flat, model.vocab, held).sum()
+
+
+def test_short_texts_train(spark):
+    """A table of texts that are all shorter than a window is trained on, their ends included."""
+    texts = spark.createDataFrame([(f"{a} {b}",) for a, b in (("red", "apple"), ("green", "pear"), ("blue", "plum")) * 50], "text string")
+    counts = lm.count_words(texts)
+    model = lm.fit(texts, counts, TOKENIZER)
+    assert model.weights != lm.pack(lm.fresh(model.vocab))
+    coder = lm.WordCoder(TOKENIZER)
+    ids = [np.append(coder.ids_of(x), model.vocab.end) for x in coder.numbers_of([[b"red", b"apple"], [b"blue", b"plum"]])]
+    start = lm.score_batch(lm.fresh(model.vocab), model.vocab, ids)
+    assert (lm.score_batch(lm.unpack(model.weights), model.vocab, ids) > start).all()
+
+
+@pytest.mark.parametrize("n", [0, 1, 30, 31, 32, 33, 63, 64, 100])
+def test_each_id_is_trained_on_once(n):
+    vocab, _, rng = tiny()
+    ids = np.concatenate([[vocab.end], rng.integers(0, 3000, n), [vocab.end]]).astype("<u2")
+    rows, targets = lm.padded([x.tobytes() for x in lm.windows_of(ids)], vocab, "<u2")
+    assert targets[targets >= 0].tolist() == vocab.class_of[ids[1:]].tolist()
+    assert rows[targets >= 0].tolist() == vocab.row_of[ids[:-1]].tolist()
+
+
+def test_padding_has_no_gradient():
+    vocab, w, rng = tiny()
+    rows, targets = rng.integers(0, 200, (1, 9)), rng.integers(0, lm.CLASSES, (1, 9))
+    loss, g = lm.gradient(w, rows[:, :5], targets[:, :5])
+    targets[:, 5:] = -1
+    padded_loss, padded_g = lm.gradient(w, rows, targets)
+    assert padded_loss == pytest.approx(loss, rel=1e-5)
+    assert not padded_g["p"][5:].any()
+    padded_g["p"] = padded_g["p"][:5]
+    assert all(padded_g[k] == pytest.approx(g[k], rel=1e-3, abs=1e-6) for k in g)
