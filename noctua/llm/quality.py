@@ -3,9 +3,10 @@
 Two histograms of a document are compared with the reference of its language by the Jensen-Shannon distance (the
 square root of the divergence in bits, 0 to 1): character classes, and the language's most common words with all
 other words as one more bin. A document too short for a histogram is not judged by it. References are counted over
-all documents of a language. The common words are found exactly in two passes: a word that makes up a share
-of all words makes up that share of some task's words, so tasks report words from that share on, and only those
-are then counted everywhere; neither pass moves a vocabulary.
+all documents of a language. For large languages the common words are found exactly in two passes: a word that makes up
+a share of all words makes up that share of some task's words, so tasks report words from that share on, and only those
+are then counted everywhere; neither pass moves a vocabulary. Of all other languages, however many, the words are counted
+by a shuffle, and references meet the documents in a join.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noctua.llm.common import small_batches, table
@@ -25,8 +26,10 @@ MARKS = b".,;:!?\"'()"
 CLASSES = ("lower", "upper", "beyond_ascii", "digit", "blank", "break", "mark", "symbol", "other")
 #: A word is common in a language from this share of its words; the histogram has this many of them.
 SHARE, COMMON = 1 / 1000, 100
-#: A language has a reference if it is that of one in so many documents at least, so there are no more languages than that.
+#: A language is large if it is that of one in so many documents at least, so there are no more large languages than that.
 LANGUAGES = 1000
+#: Distinct words of small languages that a counting task holds before it passes them on.
+HELD = 200_000
 
 
 def _classes() -> np.ndarray:
@@ -108,7 +111,7 @@ Reference = dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> Reference:
-    """Of each language: the class histogram, the place of each common word, and the histogram of common words.
+    """Of each large language: the class histogram, the place of each common word, and the histogram of common words.
 
     Rows without a language do not count. At most LANGUAGES languages of COMMON words come to the driver.
     """
@@ -179,11 +182,47 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> Refer
     return result
 
 
-def judge(docs: DataFrame, reference: Reference, key: str = "doc_id", text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
+def small_references(docs: DataFrame, reference: Reference, text: str = "text", lang: str = "lang") -> DataFrame:
+    """lang, classes, words, histogram: what references() gives, of each language that is not in ``reference``."""
+    small_batches(docs.sparkSession)
+    pairs = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    pairs = pairs.where(~F.col("lang").isin(list(reference))) if reference else pairs
+
+    def rows(held):
+        names, kinds, words = zip(*held) if held else ((),) * 3
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(kinds, pa.bool_()), pa.array(words, pa.binary()), pa.array(held.values(), pa.int64())], names=["lang", "of_word", "word", "n"])
+
+    def counted(batches):
+        held: Counter = Counter()
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = body.encode()
+                held.update((name, True, w) for w in plain(data.lower().split()))
+                for c, n in zip(CLASSES, class_counts(data).tolist()):
+                    held[name, False, c.encode()] += n
+                if len(held) > HELD:
+                    yield from rows(held)
+                    held.clear()
+        yield from rows(held)
+
+    sums = pairs.mapInArrow(counted, "lang string, of_word boolean, word binary, n bigint").groupBy("lang", "of_word", "word").agg(F.sum("n").alias("n"))
+    per_class = [F.sum(F.when(~F.col("of_word") & (F.col("word") == F.lit(c.encode())), F.col("n")).otherwise(0)) for c in CLASSES]
+    facts = sums.groupBy("lang").agg(F.array(*per_class).alias("classes"), F.sum(F.when(F.col("of_word"), F.col("n")).otherwise(0)).alias("total"))
+    common = sums.where("of_word AND length(word) > 0").join(facts.select("lang", "total"), "lang").where(F.col("n") >= SHARE * F.col("total"))
+    common = common.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= COMMON)
+    found = common.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "word", "n"))).alias("found"), F.sum("n").alias("covered"))
+    both = facts.join(found, "lang", "left")
+    bins = F.concat(F.coalesce("found.n", F.array().cast("array<bigint>")), F.array(F.col("total") - F.coalesce("covered", F.lit(0))))
+    return both.select("lang", "classes", F.coalesce("found.word", F.array().cast("array<binary>")).alias("words"), bins.alias("histogram"))
+
+
+def judge(docs: DataFrame, reference: Reference, key: str = "doc_id", text: str = "text", lang: str = "lang", rules: Rules = Rules(), small: DataFrame | None = None) -> DataFrame:
     """Counters, distances and verdict of each row. Null texts have no words; they and short ones fail the base rules.
 
-    A row without a language of its own reference is held against all of them and judged by the nearest. Without any
-    reference only the base rules count. Distances are null where a histogram is not judged.
+    Rows of a language that is not in ``reference`` are judged by its row of ``small``; of a language without one only
+    the base rules count. A row without a language is held against all of ``reference`` and judged by the nearest, as is
+    one of another language if ``small`` is not given. Without any reference only the base rules count. Distances are
+    null where a histogram is not judged.
     """
     small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(reference)
@@ -191,13 +230,12 @@ def judge(docs: DataFrame, reference: Reference, key: str = "doc_id", text: str
     names = [x.split()[0] for x in schema.split(", ")]
     blank = [CLASSES.index("blank"), CLASSES.index("break")]
 
-    def one(body: str | None, name: str | None):
+    def one(body: str | None, near: list):
         data = (body or "").encode()
         words = data.split()
         classes = class_counts(data)
         n, repeated = len(words), repeated_words(words)
         failed = n < rules.least_words or 100 * repeated > rules.most_repeated * n
-        near = [shipped.value[name]] if name in shipped.value else list(shipped.value.values())
         by_class = by_word = None
         if near and n >= rules.class_words:
             by_class = min(distance(classes, c) for c, _, _ in near)
@@ -207,16 +245,37 @@ def judge(docs: DataFrame, reference: Reference, key: str = "doc_id", text: str
         kept = not failed and (by_class is None or by_class <= rules.class_distance) and (by_word is None or by_word <= rules.word_distance)
         return n, int(classes.sum() - classes[blank].sum()), int(classes[CLASSES.index("symbol")]), repeated_lines(data), repeated, failed, by_class, by_word, kept
 
+    def judged(batch, nears):
+        rows = [one(b, x) for b, x in zip(batch.column(1).to_pylist(), nears)]
+        kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 9, kinds))], names=names)
+
     def run(batches):
         for batch in batches:
-            rows = [one(b, x) for b, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=names)
+            every = list(shipped.value.values())
+            yield judged(batch, [[shipped.value[x]] if x in shipped.value else every for x in batch.column(2).to_pylist()])
+
+    def run_small(batches):
+        for batch in batches:
+            known: dict = {}
+            nears = []
+            for name, c, w, h in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
+                if c is not None and name not in known:
+                    known[name] = (np.array(c, float), {x: i for i, x in enumerate(w)}, np.array(h, float))
+                nears.append([known[name]] if c is not None else [])
+            yield judged(batch, nears)
 
-    return docs.select(F.col(key).cast("bigint"), F.col(text), F.col(lang)).mapInArrow(run, schema)
+    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    if small is None:
+        return rows.mapInArrow(run, schema)
+    other = F.col("lang").isNotNull() & (~F.col("lang").isin(list(reference)) if reference else F.lit(True))
+    return rows.where(~other).mapInArrow(run, schema).unionByName(rows.where(other).join(small, "lang", "left").select("id", "text", "lang", "classes", "words", "histogram").mapInArrow(run_small, schema))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counters, divergences and verdict of every document."""
     docs = table(spark, sf_dir, "documents")
-    return judge(docs, references(docs)).withColumnRenamed("id", "doc_id")
+    reference = references(docs)
+    others = docs.where(~F.col("lang").isin(list(reference))) if reference else docs
+    small = None if others.where("lang IS NOT NULL").isEmpty() else small_references(docs, reference)
+    return judge(docs, reference, small=small).withColumnRenamed("id", "doc_id")

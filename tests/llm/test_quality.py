@@ -74,3 +74,31 @@ def test_short_texts_are_not_judged_by_histograms(spark):
     assert short.kept and short.class_distance is None and short.word_distance is None
     assert not long.kept and long.word_distance == 1.0
     assert all(r.kept for r in quality.judge(docs, {}).collect())
+
+
+def test_small_languages_have_their_own_reference(spark, tmp_path):
+    """A language of under a thousandth of the rows is not judged by another one."""
+    rng = np.random.default_rng(4)
+    text = lambda letter, n: " ".join(f"{letter}{k}" for k in rng.integers(0, 40, n))
+    rows = [(i, text("e", 12 if i % 10 else 150), "en") for i in range(4000)] + [(5000 + i, text("z", 150), "zz") for i in range(2)] + [(6000, "only two", "yy"), (6001, None, "xx")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).write.parquet(f"file://{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in quality.op9_quality(spark, f"file://{tmp_path}").collect()}
+    assert len(found) == len(rows)
+    assert all(found[5000 + i].kept and found[5000 + i].word_distance < 0.45 for i in range(2))
+    assert not found[6000].kept and found[6001].word_distance is None
+
+
+def test_small_references_are_those_of_large_ones(spark):
+    docs = edge.documents(spark).select("doc_id", "text", "lang")
+    large = quality.references(docs)
+    found = {r.lang: r for r in quality.small_references(docs, {}).collect()}
+    assert set(found) == set(large) and large
+    for lang, (classes, at, histogram) in large.items():
+        r = found[lang]
+        assert r.classes == classes.tolist() and [bytes(w) for w in r.words] == sorted(at, key=at.get) and r.histogram == histogram.tolist()
+    assert quality.small_references(docs, large).count() == 0
+    key = lambda r: str(tuple(r))
+    by_join = quality.judge(docs, {}, small=quality.small_references(docs, {})).where("id IS NOT NULL")
+    wanted = quality.judge(docs.where("lang IS NOT NULL"), large).where("id IS NOT NULL").collect()
+    ids = {r.id for r in wanted}
+    assert sorted((r for r in by_join.collect() if r.id in ids), key=key) != [] and set(map(key, wanted)) <= set(map(key, by_join.collect()))
