@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 #: Points of an epoch that spectrogram features are made from.
@@ -50,8 +52,17 @@ def welch(epochs: np.ndarray, fs: float) -> np.ndarray:
 
 
 def stretch(rows: np.ndarray, points: int) -> np.ndarray:
-    """Each row at so many equally spaced places between its first and last sample, by the cubic spline through it."""
-    return spline(rows, np.linspace(0, rows.shape[1] - 1, points))
+    """Each row at so many equally spaced places between its first and last sample, by the cubic spline through it.
+
+    A spline is linear in its samples: short rows are multiplied by the splines of single samples, worked out once.
+    """
+    n = rows.shape[1]
+    return np.asarray(rows, float) @ _single(n, points) if n <= 512 else spline(rows, np.linspace(0, n - 1, points))
+
+
+@lru_cache(8)
+def _single(n: int, points: int) -> np.ndarray:
+    return spline(np.eye(n), np.linspace(0, n - 1, points))
 
 
 def spline(rows: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -5,6 +5,8 @@ samples: night_id, channel, sample_idx, value, fs. signal epochs: night_id, chan
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,28 +32,49 @@ def to_samples(epochs: DataFrame, seconds: int = 10) -> DataFrame:
     return rows.select("night_id", "channel", (F.col("epoch_idx").cast("long") * F.col("fs") * seconds + F.col("pos")).alias("sample_idx"), "value", "fs")
 
 
+def _whole(samples: DataFrame, seconds: int) -> DataFrame:
+    """night_id, epochs: whole epochs of the shortest channel of each night."""
+    each = samples.groupBy("night_id", "channel").agg(F.count("*").alias("n"), F.first("fs").alias("fs"))
+    return each.groupBy("night_id").agg(F.min(F.floor(F.col("n") / (F.col("fs") * seconds))).alias("epochs"))
+
+
 def crop_to_epochs(samples: DataFrame, seconds: int = 10) -> DataFrame:
     """Samples within whole epochs of the shortest channel of their night."""
-    each = samples.groupBy("night_id", "channel").agg(F.count("*").alias("n"), F.first("fs").alias("fs"))
-    whole = each.groupBy("night_id").agg(F.min(F.floor(F.col("n") / (F.col("fs") * seconds))).alias("epochs"))
-    return samples.join(whole, "night_id").where(F.col("sample_idx") < F.col("epochs") * F.col("fs") * seconds).drop("epochs")
+    inside = F.col("sample_idx") < F.col("epochs") * F.col("fs") * seconds
+    return samples.join(_whole(samples, seconds), "night_id").where(inside).drop("epochs")
 
 
 def tail(samples: DataFrame, seconds: int = 10) -> DataFrame:
     """The samples that crop_to_epochs() leaves out."""
-    keys = ["night_id", "channel", "sample_idx"]
-    return samples.join(crop_to_epochs(samples, seconds).select(*keys), keys, "left_anti")
+    outside = F.col("sample_idx") >= F.col("epochs") * F.col("fs") * seconds
+    return samples.join(_whole(samples, seconds), "night_id").where(outside).drop("epochs")
+
+
+AXES = ("dX", "dY", "dZ")
 
 
 def norm(axes: DataFrame) -> DataFrame:
-    """The Euclidean norm of a night's axes at each sample, as the channel ACCagg."""
+    """The Euclidean norm of a night's axes at each sample, as the channel ACCagg.
+
+    Axes that come as rows of one sample each are brought together by a shuffle of all samples; where they come as
+    epochs or as columns, norm_of_epochs() and norm_of_columns() do without that.
+    """
     rows = axes.groupBy("night_id", "sample_idx").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("value"), F.first("fs").alias("fs"))
     return rows.select("night_id", F.lit("ACCagg").alias("channel"), "sample_idx", "value", "fs")
 
 
-def norm_of_epochs(x: str, y: str, z: str):
-    """The norm of three arrays of samples, element by element."""
-    return F.transform(F.arrays_zip(x, y, z), lambda p: F.sqrt(p[x] * p[x] + p[y] * p[y] + p[z] * p[z]))
+def norm_of_columns(wide: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """norm() of rows that hold all axes of a sample: a projection."""
+    squares = reduce(lambda a, b: a + b, (F.col(x) * F.col(x) for x in axes))
+    return wide.select("night_id", F.lit("ACCagg").alias("channel"), "sample_idx", F.sqrt(squares).alias("value"), "fs")
+
+
+def norm_of_epochs(epochs: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """Epochs of the norm from epochs of the axes; those that lack an axis are left out. One shuffle, of arrays."""
+    wide = epochs.where(F.col("channel").isin(*axes)).groupBy("night_id", "epoch_idx")
+    wide = wide.agg(F.first("fs").alias("fs"), *(F.first(F.when(F.col("channel") == x, F.col("samples")), ignorenulls=True).alias(x) for x in axes)).dropna(subset=list(axes))
+    made = F.transform(F.arrays_zip(*axes), lambda p: F.sqrt(reduce(lambda a, b: a + b, (p[x] * p[x] for x in axes))))
+    return wide.select("night_id", F.lit("ACCagg").alias("channel"), "epoch_idx", "fs", made.alias("samples"))
 
 
 def timestamps(epochs: DataFrame, seconds: int, config: Config = Config()) -> DataFrame:

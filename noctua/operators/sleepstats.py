@@ -85,6 +85,17 @@ def best_scores(candidates: list[DataFrame], nights: DataFrame) -> tuple[DataFra
     return chosen, nights.select("night_id").distinct().join(best, "night_id", "left_anti")
 
 
+def with_sources(statistics: DataFrame, facts: DataFrame, names: tuple[str, ...], reference: str) -> DataFrame:
+    """Puts Data_source and Sleep_score_source before the measures and Reference after them.
+
+    facts: night_id, src_path, and origin, the place in ``names`` of the scores that were used (from best_scores()).
+    """
+    measures = [c for c in statistics.columns if c != "night_id"]
+    source = F.array(*map(F.lit, names))[F.col("origin")]
+    joined = statistics.join(facts.select("night_id", F.col("src_path").alias("Data_source"), source.alias("Sleep_score_source")), "night_id")
+    return joined.select("night_id", "Data_source", "Sleep_score_source", *measures, F.lit(reference).alias("Reference"))
+
+
 def to_pairs(statistics: DataFrame) -> DataFrame:
     """night_id, key, value: the measures as text, absent ones included."""
     keys = [c for c in statistics.columns if c != "night_id"]

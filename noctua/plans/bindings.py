@@ -69,11 +69,15 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAMPLES = "\nx AS (SELECT night_id, 'EEG' AS channel, CAST(rn AS BIGINT) AS sample_idx, value, 1 AS fs FROM e)"
 
 
-def axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three axes at 16 samples a second, within about -2 to 2."""
+def wide_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three axes at 16 samples a second, within about -2 to 2, as columns."""
     order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("night_id"), (F.row_number().over(order) - 1).cast("long").alias("sample_idx"), (F.col("l_quantity") / 25 - 1).alias("dX"), (F.col("l_discount") * 10).alias("dY"), (F.col("l_tax") * 20 - 1).alias("dZ"))
-    return rows.unpivot(["night_id", "sample_idx"], ["dX", "dY", "dZ"], "channel", "value").withColumn("fs", F.lit(16))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("night_id"), (F.row_number().over(order) - 1).cast("long").alias("sample_idx"), (F.col("l_quantity") / 25 - 1).alias("dX"), (F.col("l_discount") * 10).alias("dY"), (F.col("l_tax") * 20 - 1).alias("dZ"), F.lit(16).alias("fs"))
+
+
+def axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as rows of the channels dX, dY, dZ."""
+    return wide_axes(spark, sf_dir).unpivot(["night_id", "sample_idx", "fs"], ["dX", "dY", "dZ"], "channel", "value")
 
 
 AXES = """w AS (SELECT CAST(l_suppkey AS VARCHAR) AS night_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice) - 1 AS BIGINT) AS sample_idx,
@@ -81,11 +85,29 @@ AXES = """w AS (SELECT CAST(l_suppkey AS VARCHAR) AS night_id, CAST(row_number()
 a AS (SELECT night_id, sample_idx, channel, value, 16 AS fs FROM (SELECT night_id, sample_idx, unnest(['dX', 'dY', 'dZ']) AS channel, unnest([dX, dY, dZ]) AS value FROM w))"""
 
 
+def recording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One channel at 256 samples a second; the lines of 8192 order keys are a night, so nights do not grow with the data."""
+    night = F.floor(F.col("l_orderkey") / 8192)
+    order = Window.partitionBy(night).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select(night.cast("string").alias("night_id"), F.lit("EEG").alias("channel"), (F.row_number().over(order) - 1).cast("long").alias("sample_idx"), (F.col("l_quantity") / 1000).alias("value"), F.lit(256).alias("fs"))
+
+
+RECORDING = """rec AS (SELECT CAST(l_orderkey // 8192 AS VARCHAR) AS night_id, row_number() OVER (PARTITION BY l_orderkey // 8192 ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice) - 1 AS sample_idx,
+  l_quantity / 1000 AS value FROM lineitem)"""
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """night_id, channel, epoch_idx, fs, samples: each embedding as an epoch of 64 points; the label is the night."""
-    order = Window.partitionBy("label").orderBy("vec_id")
+    """night_id, channel, epoch_idx, fs, samples: each embedding as an epoch of 64 points.
+
+    Those of a label among 64 neighbours are a night, so nights do not grow with the data.
+    """
+    part = F.floor(F.col("vec_id") / 64)
+    order = Window.partitionBy("label", part).orderBy("vec_id")
     rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
-    return rows.select(F.col("label").cast("string").alias("night_id"), F.lit("EEG").alias("channel"), (F.row_number().over(order) - 1).alias("epoch_idx"), F.lit(64).alias("fs"), F.col("embedding").cast("array<double>").alias("samples"), "vec_id")
+    night = F.concat_ws("-", F.col("label").cast("string"), part.cast("string"))
+    return rows.select(night.alias("night_id"), F.lit("EEG").alias("channel"), (F.row_number().over(order) - 1).alias("epoch_idx"), F.lit(64).alias("fs"), F.col("embedding").cast("array<double>").alias("samples"), "vec_id")
 
 
-VECTORS = """v AS (SELECT CAST(label AS VARCHAR) AS night_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS epoch_idx, CAST(embedding AS DOUBLE[]) AS samples, vec_id FROM embeddings)"""
+VECTORS = """v AS (SELECT CAST(label AS VARCHAR) || '-' || CAST(vec_id // 64 AS VARCHAR) AS night_id, CAST(row_number() OVER (PARTITION BY label, vec_id // 64 ORDER BY vec_id) - 1 AS INTEGER) AS epoch_idx,
+  CAST(embedding AS DOUBLE[]) AS samples, vec_id FROM embeddings)"""

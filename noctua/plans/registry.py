@@ -6,7 +6,6 @@ Each query binds an operator to stand-ins derived from the driver's tables (plan
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from noctua.functions.config import Config
 from noctua.operators import bedtime, checks, epochs, majority, signals, sinks, sleepstats
 from noctua.plans import bindings as b
+from noctua.plans import jobs
 from noctua.sources import edf, nights, scores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,8 +42,8 @@ def each(rows: DataFrame, column: str) -> DataFrame:
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new folder that executors and driver share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="noctua-")
+    """A new folder that executors and driver share: below spark.checkpoint.dir, or the warehouse where that is unset."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root if ':' in root else 'file://' + os.path.abspath(root)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -92,9 +92,12 @@ def j2_usability_with_stages(spark, sf_dir):
 
 
 @query(S + """ SELECT night_id, a.n AS n_usability, t.n AS n_stages FROM (SELECT night_id, CAST(max(epoch_idx) + 1 AS BIGINT) AS n FROM u GROUP BY 1) a
-JOIN (SELECT night_id, count(*) AS n FROM s WHERE epoch_idx < 10 GROUP BY 1) t USING (night_id) WHERE a.n // 3 <> t.n""")
+JOIN (SELECT night_id, count(*) + CAST(CAST(night_id AS BIGINT) % 3 = 0 AS BIGINT) AS n FROM s GROUP BY 1) t USING (night_id) WHERE a.n // 3 <> t.n""")
 def j3_length_mismatch(spark, sf_dir):
-    return majority.length_mismatch(b.usability(spark, sf_dir), b.stages(spark, sf_dir).where("epoch_idx < 10"))
+    """Every third night has a stage too many."""
+    stages = b.stages(spark, sf_dir)
+    last = stages.groupBy("night_id").agg((F.max("epoch_idx") + 1).alias("epoch_idx"), F.lit(0).alias("stage"))
+    return majority.length_mismatch(b.usability(spark, sf_dir), stages.unionByName(last.where(F.col("night_id").cast("long") % 3 == 0)))
 
 
 @query(U + """ SELECT night_id, p AS usable_percent, CASE WHEN p < 50 THEN 'low' WHEN p < 80 THEN 'fair' ELSE 'good' END AS band
@@ -191,6 +194,36 @@ def a8_best_scores(spark, sf_dir):
     return sleepstats.best_scores([fresh, stages], stages)[0]
 
 
+SOURCES = ("rejected", "rejected_saved", "stages", "stages_saved")
+
+
+@query(OVERLAY + """, o2 AS (SELECT *, CAST(night_id AS BIGINT) % 5 AS kind FROM o), s2 AS (SELECT *, CAST(night_id AS BIGINT) % 5 AS kind FROM s),
+cand AS (SELECT night_id, stage, kind FROM o2 WHERE kind IN (0, 1) UNION ALL SELECT night_id, stage, kind FROM s2 WHERE kind IN (2, 3))
+SELECT night_id, ['rejected', 'rejected_saved', 'stages', 'stages_saved'][CAST(kind AS INTEGER) + 1] AS source, count(*) AS n, CAST(sum(stage) AS BIGINT) AS total, CAST(NULL AS INTEGER) AS code FROM cand GROUP BY night_id, kind
+UNION ALL SELECT DISTINCT night_id, NULL, 0, NULL, 10 FROM s2 WHERE kind = 4""")
+def a8_four_sources(spark, sf_dir):
+    """Each fifth of the nights has its scores from another of the four sources, in their order; the last has none (error 10)."""
+    stages = b.stages(spark, sf_dir)
+    kind = F.col("night_id").cast("long") % 5
+    rejected, folder = majority.overlay(b.usability(spark, sf_dir), stages), shared(spark, "saved")
+    sinks.write_nights(sinks.rejected_scores(rejected.where(kind == 1)), f"{folder}/rejected")
+    sinks.write_nights(stages.where(kind == 3), f"{folder}/stages")
+    saved = [spark.read.parquet(f"{folder}/{n}").withColumn("night_id", F.col("night_id").cast("string")).select("night_id", "epoch_idx", "stage") for n in ("rejected", "stages")]
+    chosen, none = sleepstats.best_scores([rejected.where(kind == 0), saved[0], stages.where(kind == 2), saved[1]], stages)
+    found = chosen.groupBy("night_id", "origin").agg(F.count("*").alias("n"), F.sum("stage").alias("total"))
+    found = found.select("night_id", F.array(*map(F.lit, SOURCES))[F.col("origin")].alias("source"), "n", "total", F.lit(None).cast("int").alias("code"))
+    return found.unionByName(none.select("night_id", F.lit(None).cast("string").alias("source"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("total"), F.lit(10).alias("code")))
+
+
+@query(STATISTICS + """, h AS (SELECT night_id, '/raw/' || night_id AS src, CASE WHEN CAST(night_id AS BIGINT) % 2 = 0 THEN 'rejected' ELSE 'stages' END AS origin FROM st)
+SELECT night_id, unnest(['Data_source', 'Sleep_score_source', 'TIB_min', 'Reference']) AS key, unnest([src, origin, CAST(TIB_min AS VARCHAR), 'noctua']) AS value FROM st JOIN h USING (night_id)""")
+def s11_statistics_with_sources(spark, sf_dir):
+    """Statistics as pairs, with where the night lies, which scores they are of, and what made them."""
+    found = a7_sleep_statistics(spark, sf_dir).select("night_id", "TIB_min")
+    facts = found.select("night_id", F.concat(F.lit("/raw/"), "night_id").alias("src_path"), (F.col("night_id").cast("long") % 2 * 2).cast("int").alias("origin"))
+    return sleepstats.to_pairs(sleepstats.with_sources(found, facts, SOURCES, "noctua"))
+
+
 @query(STATISTICS + """ SELECT night_id, TIB_min, SPT_min, TST_min, SOL_min FROM st""")
 def s11_s12_statistics_as_pairs(spark, sf_dir):
     """To key and value, and back."""
@@ -209,10 +242,11 @@ def p2_acceleration_range(spark, sf_dir):
     return checks.acceleration_in_range(b.axes(spark, sf_dir), high=1.0)
 
 
-@query("WITH " + b.AXES + " SELECT night_id, count(*) AS n FROM a WHERE channel = 'dX' AND sample_idx < 20 GROUP BY 1 HAVING max(value) <= 0.93")
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS night_id, count(*) AS n FROM lineitem GROUP BY 1 HAVING max(l_quantity / 25 - 1) <= 0.5 AND min(l_quantity / 25 - 1) >= -0.9")
 def p2_passing(spark, sf_dir):
-    x = b.axes(spark, sf_dir).where("channel = 'dX' AND sample_idx < 20")
-    return checks.passing(x, checks.acceleration_in_range(x, high=0.93)).groupBy("night_id").agg(F.count("*").alias("n"))
+    """The lines of an order as a night of one axis: some nights leave the range, some do not."""
+    rows = b.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("night_id"), F.lit("dX").alias("channel"), (F.col("l_quantity") / 25 - 1).alias("value"))
+    return checks.passing(rows, checks.acceleration_in_range(rows, -0.9, 0.5)).groupBy("night_id").agg(F.count("*").alias("n"))
 
 
 @query(S + """, q AS (SELECT night_id, CASE WHEN CAST(night_id AS BIGINT) % 7 = 0 AND epoch_idx = 0 THEN NULL WHEN CAST(night_id AS BIGINT) % 5 = 0 THEN stage + 3 ELSE stage END AS stage FROM s),
@@ -281,6 +315,19 @@ def g3_norm(spark, sf_dir):
     return epochs.norm(b.axes(spark, sf_dir)).select("night_id", "sample_idx", F.round("value", 6).alias("value"))
 
 
+@query(NORM + """, x AS (SELECT night_id, CAST(sample_idx // 160 AS INTEGER) AS epoch_idx, list(round(sqrt(sq), 6) ORDER BY sample_idx) AS samples FROM nm GROUP BY ALL HAVING count(*) = 160)
+SELECT night_id, 'ACCagg' AS channel, epoch_idx, CAST(unnest(range(160)) AS INTEGER) AS pos, unnest(samples) AS value FROM x""")
+def g3_norm_of_epochs(spark, sf_dir):
+    """From epochs of the axes, as recordings are decoded."""
+    made = epochs.norm_of_epochs(epochs.to_epochs(b.axes(spark, sf_dir)))
+    return each(made.select(*epochs.KEY, "samples"), "samples").withColumn("value", F.round("value", 6))
+
+
+def acceleration(spark, sf_dir):
+    """Whole epochs of the norm of axes that come as columns."""
+    return epochs.to_epochs(epochs.norm_of_columns(b.wide_axes(spark, sf_dir)))
+
+
 EPOCHS = "WITH " + b.NUMBERED + "," + b.SAMPLES + ", ep AS (SELECT night_id, channel, CAST(sample_idx // 10 AS INTEGER) AS epoch_idx, 1 AS fs, list(value ORDER BY sample_idx) AS samples FROM x GROUP BY 1, 2, 3 HAVING count(*) = 10)"
 
 
@@ -314,18 +361,33 @@ def g8_night_facts(spark, sf_dir):
     return epochs.night_facts(b.axes(spark, sf_dir))
 
 
-@query("WITH " + b.NUMBERED + "," + b.SAMPLES + """, n AS (SELECT night_id, count(*) AS n FROM x GROUP BY 1)
-SELECT night_id, channel, 2 * sample_idx AS sample_idx, round(value, 6) AS value FROM x""")
+def resampled(rate: int) -> str:
+    """SQL of the not-a-knot spline through a night's samples (of one a second), by elimination from sample to sample."""
+    return "WITH RECURSIVE " + b.NUMBERED + "," + b.SAMPLES + f""",
+k AS (SELECT night_id, channel, list(value ORDER BY sample_idx) AS y, CAST(count(*) AS INTEGER) AS n FROM x GROUP BY 1, 2),
+q AS (SELECT *, list_transform(range(1, n - 1), lambda i: 6 * (y[i] - 2 * y[i + 1] + y[i + 2])) AS e FROM k),
+f AS (SELECT night_id, channel, y, n, e, 2 AS i, [0.25::DOUBLE] AS c, [(e[2] - e[1] / 6 - CASE WHEN n = 5 THEN e[n - 2] / 6 ELSE 0 END) / 4] AS d FROM q
+  UNION ALL SELECT night_id, channel, y, n, e, i + 1, list_append(c, 1 / (4 - c[-1])), list_append(d, (e[i + 1] - d[-1] - CASE WHEN i + 1 = n - 3 THEN e[n - 2] / 6 ELSE 0 END) / (4 - c[-1])) FROM f WHERE i < n - 3),
+g AS (SELECT night_id, channel, y, n, e, c, d, len(d) AS i, [d[-1]] AS m FROM f WHERE i = n - 3
+  UNION ALL SELECT night_id, channel, y, n, e, c, d, i - 1, list_prepend(d[i - 1] - c[i - 1] * m[1], m) FROM g WHERE i > 1),
+h AS (SELECT night_id, channel, y, n, [2 * e[1] / 6 - m[1], e[1] / 6] || m || [e[n - 2] / 6, 2 * e[n - 2] / 6 - m[-1]] AS m FROM g WHERE i = 1),
+o AS (SELECT *, unnest(range({rate} * n)) AS p FROM h),
+r AS (SELECT night_id, channel, y, m, p, least(p // {rate}, n - 2) AS i, p / {rate} - least(p // {rate}, n - 2) AS b FROM o)
+SELECT night_id, channel, p AS sample_idx, round((1 - b) * y[i + 1] + b * y[i + 2] + ((power(1 - b, 3) - (1 - b)) * m[i + 1] + (power(b, 3) - b) * m[i + 2]) / 6, 6) AS value FROM r"""
+
+
+@query(resampled(2))
 def g1_resample(spark, sf_dir):
-    """From 1 to 2 samples a second; a spline passes through its samples, which are every second one."""
+    """From 1 to 2 samples a second, in blocks of 32."""
     doubled = signals.resample(b.samples(spark, sf_dir), target=2, block=32)
-    return doubled.where("sample_idx % 2 = 0").select("night_id", "channel", "sample_idx", F.round("value", 6).alias("value"))
+    return doubled.select("night_id", "channel", "sample_idx", F.round("value", 6).alias("value"))
 
 
-@query()
+@query(resampled(3))
 def g1_resample_between(spark, sf_dir):
-    """All samples of that, with those between."""
-    return signals.resample(b.samples(spark, sf_dir), target=2, block=32)
+    """From 1 to 3 samples a second, in one block for each night."""
+    tripled = signals.resample(b.samples(spark, sf_dir), target=3)
+    return tripled.select("night_id", "channel", "sample_idx", F.round("value", 6).alias("value"))
 
 
 @query("WITH " + b.AXES + """, x AS (SELECT night_id, channel, CAST(sample_idx // 160 AS INTEGER) AS epoch_idx, count(*) AS n, round(sum(value), 6) AS total FROM a GROUP BY ALL HAVING count(*) = 160)
@@ -388,10 +450,36 @@ def x2_power_features(spark, sf_dir):
     return found.select(*epochs.KEY, F.posexplode("pow").alias("k", "density")).withColumn("density", F.round(F.col("density") + 0.0, 4)).withColumn("k", F.col("k").cast("long"))
 
 
-@query()
+@query("WITH " + b.RECORDING + """,
+ep AS (SELECT night_id, CAST(sample_idx // 2560 AS INTEGER) AS epoch_idx, list(value ORDER BY sample_idx) AS y FROM rec GROUP BY 1, 2 HAVING count(*) = 2560),
+w AS (SELECT j, CASE WHEN j < 32 THEN 0.5 * (1 - cos(pi() * j / 32)) WHEN j > 224 THEN 0.5 * (1 - cos(pi() * (256 - j) / 32)) ELSE 1 END AS w FROM (SELECT CAST(unnest(range(256)) AS INTEGER) AS j)),
+g AS (SELECT night_id, epoch_idx, t, y[t * 224 + 1 : t * 224 + 256] AS y FROM ep, (SELECT CAST(unnest(range(11)) AS INTEGER) AS t)),
+d AS (SELECT night_id, epoch_idx, t, j, (y[j + 1] - list_avg(y)) * w AS v FROM g, w),
+z AS (SELECT night_id, epoch_idx, t, k, (power(sum(v * cos(2 * pi() * (k * j % 256) / 256)), 2) + power(sum(v * sin(2 * pi() * (k * j % 256) / 256)), 2)) * CASE WHEN k IN (0, 128) THEN 1 ELSE 2 END / (256 * any_value(h)) AS x
+  FROM d, (SELECT sum(w * w) AS h FROM w), (SELECT CAST(unnest(range(129)) AS INTEGER) AS k) GROUP BY night_id, epoch_idx, t, k)
+SELECT night_id, 'EEG' AS channel, epoch_idx, t * 129 + k AS pos, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 9) AS density FROM z""")
 def x1_spectrogram_features(spark, sf_dir):
-    """Of whole epochs of the acceleration norm."""
-    return signals.spectrogram_features(epochs.to_epochs(epochs.norm(b.axes(spark, sf_dir)))).select(*epochs.KEY, "spec")
+    """Of epochs of 2560 points, as recordings have them at 256 samples a second."""
+    found = signals.spectrogram_features(epochs.to_epochs(b.recording(spark, sf_dir)))
+    return found.select(*epochs.KEY, F.posexplode("spec").alias("pos", "density")).withColumn("density", F.round("density", 9))
+
+
+@query()
+def x1_stretched_features(spark, sf_dir):
+    """Of whole epochs of the acceleration norm, of 160 points, brought to 2560."""
+    return signals.spectrogram_features(acceleration(spark, sf_dir)).select(*epochs.KEY, "spec")
+
+
+@query(NORM + """, x AS (SELECT night_id, CAST(sample_idx // 160 AS INTEGER) AS epoch_idx, channel, list(value ORDER BY sample_idx) AS y FROM a GROUP BY ALL HAVING count(*) = 160),
+m AS (SELECT *, list_avg(y) AS mean FROM x), js AS (SELECT CAST(unnest(range(160)) AS INTEGER) AS j),
+d AS (SELECT night_id, epoch_idx, channel, j, (y[j + 1] - mean) * (0.5 - 0.5 * cos(2 * pi() * j / 160)) AS v FROM m, js), h AS (SELECT sum(power(0.5 - 0.5 * cos(2 * pi() * j / 160), 2)) AS h FROM js),
+z AS (SELECT night_id, epoch_idx, channel, k, (power(sum(v * cos(2 * pi() * (k * j % 160) / 160)), 2) + power(sum(v * sin(2 * pi() * (k * j % 160) / 160)), 2)) * CASE WHEN k IN (0, 80) THEN 1 ELSE 2 END / (16 * any_value(h)) AS x
+  FROM d, h, (SELECT CAST(unnest(range(81)) AS INTEGER) AS k) GROUP BY night_id, epoch_idx, channel, k)
+SELECT night_id, epoch_idx, CAST(CASE channel WHEN 'dX' THEN 0 WHEN 'dY' THEN 81 ELSE 162 END + k AS INTEGER) AS pos, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 5) AS density FROM z""")
+def x8_mobility_power_vector(spark, sf_dir):
+    """The Welch densities of the three axes, one after another."""
+    found = signals.power_features(epochs.to_epochs(b.axes(spark, sf_dir)))
+    return each(epochs.mobility_vector(found, "pow"), "features").select("night_id", "epoch_idx", "pos", F.round("value", 5).alias("density"))
 
 
 @query("WITH " + b.VECTORS + """ SELECT night_id, 'EEG' AS channel, epoch_idx, round(list_max(samples), 6) AS max, round(list_avg(samples), 6) AS mean, round(list_min(samples), 6) AS min,
@@ -412,8 +500,8 @@ def x3_x4_features(spark, sf_dir):
 
 @query()
 def x5_all_features(spark, sf_dir):
-    """All 390 features of the acceleration norm."""
-    return signals.statistical_features(epochs.to_epochs(epochs.norm(b.axes(spark, sf_dir)))).select(*epochs.KEY, "stat")
+    """All 390 features of epochs of 2560 points."""
+    return signals.statistical_features(epochs.to_epochs(b.recording(spark, sf_dir))).select(*epochs.KEY, "stat")
 
 
 def linear_model(x: np.ndarray) -> np.ndarray:
@@ -456,8 +544,7 @@ def s9_probability_rows(spark, sf_dir):
 @query()
 def f1_filter_spiky(spark, sf_dir):
     """Epochs of the acceleration norm, every third of them called spiky, filtered at 5 Hz."""
-    whole = epochs.to_epochs(epochs.norm(b.axes(spark, sf_dir)))
-    return signals.filter_spiky(whole.withColumn("label", F.when(F.col("epoch_idx") % 3 == 0, 3).otherwise(0)), cutoff=5.0)
+    return signals.filter_spiky(acceleration(spark, sf_dir).withColumn("label", F.when(F.col("epoch_idx") % 3 == 0, 3).otherwise(0)), cutoff=5.0)
 
 
 @query("WITH " + b.AXES + """, x AS (SELECT night_id, CAST(sample_idx // 160 AS INTEGER) AS epoch_idx, list(round(sqrt(dX * dX + dY * dY + dZ * dZ), 6) ORDER BY sample_idx) AS samples FROM w GROUP BY ALL HAVING count(*) = 160)
@@ -471,11 +558,12 @@ def f1_untouched(spark, sf_dir):
 @query("WITH " + b.VECTORS + """, z AS (SELECT night_id, epoch_idx, j, samples[j + 1] * (0.5 - 0.5 * cos(2 * pi() * j / 64)) AS d FROM v, (SELECT CAST(unnest(range(64)) AS INTEGER) AS j)),
 h AS (SELECT sum(power(0.5 - 0.5 * cos(2 * pi() * j / 64), 2)) AS w FROM (SELECT unnest(range(64)) AS j)),
 y AS (SELECT night_id, epoch_idx, k, (power(sum(d * cos(2 * pi() * k * j / 64)), 2) + power(sum(d * sin(2 * pi() * k * j / 64)), 2)) / (64 * any_value(w)) AS x
-  FROM z, h, (SELECT unnest(range(3, 33)) AS k) GROUP BY 1, 2, 3)
-SELECT night_id, 'EEG' AS channel, epoch_idx, k - 3 AS bin, round(10 * log10(greatest((x - min(x) OVER n) / (max(x) OVER n - min(x) OVER n) * 10, 1e-10)), 3) AS db FROM y WINDOW n AS (PARTITION BY night_id)""")
+  FROM z, h, (SELECT unnest(range(3, 33)) AS k) GROUP BY 1, 2, 3),
+r AS (SELECT night_id, 'EEG' AS channel, epoch_idx, k - 3 AS bin, round(10 * log10(greatest((x - min(x) OVER n) / (max(x) OVER n - min(x) OVER n) * 10, 1e-10)), 3) AS db FROM y WINDOW n AS (PARTITION BY night_id))
+SELECT night_id, channel, epoch_idx, bin, CASE WHEN db = 0 THEN 0 ELSE db END AS db FROM r""")
 def d1_display_spectra(spark, sf_dir):
     found = signals.display_spectra(b.vectors(spark, sf_dir))
-    return found.select(*epochs.KEY, F.posexplode("db").alias("bin", "db")).select(*epochs.KEY, F.col("bin").cast("long").alias("bin"), F.round("db", 3).alias("db"))
+    return found.select(*epochs.KEY, F.posexplode("db").alias("bin", "db")).select(*epochs.KEY, F.col("bin").cast("long").alias("bin"), (F.round("db", 3) + 0.0).alias("db"))
 
 
 @query(S + """ SELECT night_id, epoch_idx, stage, CAST(epoch_idx * 30 // 60 AS VARCHAR) || ':' || lpad(CAST(epoch_idx * 30 % 60 AS VARCHAR), 2, '0') AS elapsed FROM s""")
@@ -485,7 +573,7 @@ def d2_hypnogram(spark, sf_dir):
 
 @query(NORM + " SELECT night_id, sample_idx, (sample_idx + 1) / 16 AS time_sec FROM nm")
 def d3_trace(spark, sf_dir):
-    return signals.trace(epochs.norm(b.axes(spark, sf_dir))).select("night_id", "sample_idx", "time_sec")
+    return signals.trace(epochs.norm_of_columns(b.wide_axes(spark, sf_dir))).select("night_id", "sample_idx", "time_sec")
 
 
 @query(U + " SELECT night_id, epoch_idx, max(label) FILTER (channel = 'C0') AS C0, max(label) FILTER (channel = 'C1') AS C1, epoch_idx * 10 + 1.0::DOUBLE / 256 AS start_time_sec, CAST((epoch_idx + 1) * 10 AS DOUBLE) AS end_time_sec FROM u GROUP BY night_id, epoch_idx")
@@ -497,24 +585,29 @@ def s6_wide_usability(spark, sf_dir):
 def s5_scores_from_files(spark, sf_dir):
     """The wide scores written by night as CSV with a comment, and read back."""
     folder = shared(spark, "usability")
-    wide = s6_wide_usability(spark, sf_dir).select(F.col("night_id").alias("night"), "epoch_idx", "C0", "C1", "start_time_sec", F.col("end_time_sec").alias("End_time_sec"))
-    lines = F.concat_ws(",", "night", "epoch_idx", "C0", "C1", "start_time_sec", "End_time_sec")
-    of_night = F.sort_array(F.collect_list(F.struct("epoch_idx", lines.alias("line"))))
-    text = wide.groupBy("night").agg(F.concat_ws("\n", F.lit("# usability scores"), F.lit("night_id,epoch_idx,C0,C1,Start_time_sec,End_time_sec"), F.transform(of_night, lambda x: x["line"])).alias("value"), F.first("night").alias("n"))
-    text.select("value", "n").write.partitionBy("n").text(folder)
+    wide = s6_wide_usability(spark, sf_dir)
+    lines = wide.select(F.col("night_id").alias("n"), F.col("epoch_idx").alias("at"), F.concat_ws(",", "night_id", "epoch_idx", "C0", "C1", "start_time_sec", "end_time_sec").alias("value"))
+    head = {-2: "# usability scores", -1: "night_id,epoch_idx,C0,C1,Start_time_sec,End_time_sec"}
+    write_lines(lines, head, folder)
     read = scores.read_wide_scores(spark, f"{folder}/n=*")
     return scores.to_long(read.withColumn("epoch_idx", F.col("epoch_idx").cast("int")), ["C0", "C1"])
 
 
+def write_lines(lines: DataFrame, head: dict[int, str], folder: str) -> None:
+    """A text file of each n, its lines in the order of ``at``, those of head first."""
+    first = lines.select("n").distinct().select("n", F.explode(F.create_map(*(F.lit(x) for kv in head.items() for x in kv))).alias("at", "value"))
+    every = lines.unionByName(first).repartition("n").sortWithinPartitions("n", "at")
+    every.select("value", "n").write.partitionBy("n").text(folder)
+
+
 @query(S + " SELECT night_id, epoch_idx, stage FROM s")
 def s4_stages_from_files(spark, sf_dir):
     """The stages written as one text file for each night, with five lines before them, and read back."""
     folder = shared(spark, "stages")
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("epoch_idx", "stage"))), lambda x: F.concat(x["stage"].cast("string"), F.lit("\tx")))
-    text = b.stages(spark, sf_dir).groupBy("night_id").agg(F.concat_ws("\n", F.array_repeat(F.lit("head"), 5), lines).alias("value"))
-    text.write.partitionBy("night_id").text(folder)
-    read = scores.read_stages(spark, f"{folder}/night_id=*")
-    return read.select(F.regexp_extract("path", r"night_id=(\d+)", 1).alias("night_id"), "epoch_idx", "stage")
+    lines = b.stages(spark, sf_dir).select(F.col("night_id").alias("n"), F.col("epoch_idx").alias("at"), F.concat(F.col("stage").cast("string"), F.lit("\tx")).alias("value"))
+    write_lines(lines, dict.fromkeys(range(-5, 0), "head"), folder)
+    read = scores.read_stages(spark, f"{folder}/n=*")
+    return read.select(F.regexp_extract("path", r"/n=(\d+)", 1).alias("night_id"), "epoch_idx", "stage")
 
 
 @query(OVERLAY + " SELECT night_id, epoch_idx, stage, epoch_idx * 30 + 1.0::DOUBLE / 256 AS start_time_sec, CAST((epoch_idx + 1) * 30 AS DOUBLE) AS end_time_sec FROM o")
@@ -583,12 +676,112 @@ SELECT night_id, 'X' AS channel, epoch_idx, list_sum(list_transform(samples[1:60
 UNION ALL SELECT night_id, 'Y', epoch_idx, list_sum(list_transform(samples[1:60], lambda v: -round(v * 100))) FROM v)""")
 def s2_s3_combined_edf(spark, sf_dir):
     """Vectors of a label as two channels of an EDF file, ten seconds of 6 Hz a vector, decoded to epochs."""
+    files = nights_of_samples(spark, sf_dir)
+    files = files.select(F.col("night_id").alias("src_path"), F.concat("night_id", F.lit(".edf")).alias("file"), edf_file(("X", "Y"), 6, 1)("x", F.transform("x", lambda v: -v)).alias("content"))
+    return totals(edf.read_combined(files, ["X", "Y"]))
+
+
+def nights_of_samples(spark, sf_dir):
+    """night_id, x: the digital samples of a night, 60 of each vector."""
     rounded = F.transform(F.slice("samples", 1, 60), lambda v: F.round(v * 100).cast("int"))
     every = b.vectors(spark, sf_dir).select("night_id", "epoch_idx", rounded.alias("s"))
-    files = every.groupBy("night_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("epoch_idx", "s"))), lambda x: x["s"])).alias("x"))
-    files = files.select(F.col("night_id").alias("src_path"), F.concat("night_id", F.lit(".edf")).alias("file"), edf_file(("X", "Y"), 6, 1)("x", F.transform("x", lambda v: -v)).alias("content"))
-    rows = edf.read_combined(files, ["X", "Y"])
-    return rows.select(F.col("src_path").alias("night_id"), "channel", "epoch_idx", F.round(F.aggregate("samples", F.lit(0.0), lambda t, v: t + v), 3).alias("total"))
+    return every.groupBy("night_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("epoch_idx", "s"))), lambda x: x["s"])).alias("x"))
+
+
+def totals(blocks: DataFrame) -> DataFrame:
+    return blocks.select(F.col("src_path").alias("night_id"), "channel", "epoch_idx", F.round(F.aggregate("samples", F.lit(0.0), lambda t, v: t + v), 3).alias("total"))
+
+
+def channel_files(spark, sf_dir):
+    """A file for each of two channels of a night. Of four nights the second has a damaged file of Y, the third besides
+    that a good one of another ending, the fourth none."""
+    one = lambda name, x: edf_file((name,), 6, 1)(x)
+    night = nights_of_samples(spark, sf_dir).select("night_id", one("X", F.col("x")).alias("x"), one("Y", F.transform("x", lambda v: -v)).alias("y"))
+    kind = F.split_part("night_id", F.lit("-"), F.lit(2)).cast("int") % 4
+    file = lambda when, name, content: F.when(when, F.struct(F.lit(name).alias("file"), content.alias("content")))
+    damaged = F.substring("y", 1, 600)
+    every = F.array(file(F.lit(True), "X.edf", F.col("x")), file(kind == 0, "Y.edf", F.col("y")), file(kind.isin(1, 2), "Y.edf", damaged), file(kind == 2, "Y.EDF", F.col("y")))
+    return night.select(F.col("night_id").alias("src_path"), F.explode(F.filter(every, lambda f: f.isNotNull())).alias("f")).select("src_path", "f.file", "f.content")
+
+
+KIND = "CAST(split_part(night_id, '-', 2) AS INTEGER) % 4"
+
+
+@query("WITH " + b.VECTORS + f""" SELECT night_id, channel, epoch_idx, round(total, 3) AS total FROM (
+SELECT night_id, 'X' AS channel, epoch_idx, list_sum(list_transform(samples[1:60], lambda v: round(v * 100))) AS total FROM v
+UNION ALL SELECT night_id, 'Y', epoch_idx, list_sum(list_transform(samples[1:60], lambda v: -round(v * 100))) FROM v) WHERE {KIND} IN (0, 2)""")
+def s2_per_channel_edf(spark, sf_dir):
+    """Nights of which each channel has a file that can be read."""
+    return totals(edf.read_per_channel(channel_files(spark, sf_dir), ["X", "Y"]))
+
+
+@query("WITH " + b.VECTORS + f", n AS (SELECT DISTINCT night_id FROM v) SELECT night_id, 1 AS code, 'Y' AS channels FROM n WHERE {KIND} IN (1, 3) UNION ALL SELECT night_id, 13, 'Y' FROM n WHERE {KIND} = 3")
+def s2_per_channel_faults(spark, sf_dir):
+    found = edf.per_channel_faults(channel_files(spark, sf_dir), ["X", "Y"])
+    return found.select(F.col("src_path").alias("night_id"), "code", F.array_join("channels", ",").alias("channels"))
+
+
+@query("WITH " + b.VECTORS + f", n AS (SELECT DISTINCT night_id FROM v) SELECT night_id, CASE {KIND} WHEN 0 THEN 13 ELSE 3 END AS code FROM n WHERE {KIND} <> 3 UNION ALL SELECT night_id, 13 FROM n WHERE {KIND} = 3")
+def s3_combined_faults(spark, sf_dir):
+    """The same files, where the whole night should be in one: there are several, or the one lacks a channel."""
+    files = channel_files(spark, sf_dir)
+    first = F.split_part("src_path", F.lit("-"), F.lit(2)).cast("int") % 4 == 0
+    return edf.combined_faults(files.where(~first | (F.col("file") == "X.edf")), ["X", "Y"]).select(F.col("src_path").alias("night_id"), "code")
+
+
+def job_files(spark, sf_dir):
+    """A file of four channels for each night of wide axes at 16 samples a second: EEG stands for the price of a line.
+
+    The lines of 8192 order keys are a night, so nights do not grow with the data.
+    """
+    night = F.floor(F.col("l_orderkey") / 8192).cast("string")
+    order = F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax")))
+    grouped = b.table(spark, sf_dir, "lineitem").groupBy(night.alias("src_path")).agg(order.alias("x"))
+    part = lambda f: F.transform("x", f)
+    channels = [
+        part(lambda v: (v["l_extendedprice"] % 2000 - 1000).cast("int")), part(lambda v: (v["l_quantity"] * 10).cast("int")),
+        part(lambda v: (v["l_discount"] * 1000).cast("int")), part(lambda v: (v["l_tax"] * 1000).cast("int")),
+    ]
+    return grouped.select("src_path", F.lit("night.edf").alias("file"), edf_file(("EEG", "dX", "dY", "dZ"), 16, 1)(*channels).alias("content"))
+
+
+def parity(first: int, second: int):
+    """A stand-in for a model: one of two labels by whether the mean of the vector lies over 1, with probability 0.9."""
+
+    def model(x: np.ndarray) -> np.ndarray:
+        out = np.full((len(x), 4), 0.1 / 3)
+        out[np.arange(len(x)), np.where(x.mean(axis=1) > 1, first, second)] = 0.9
+        return out
+
+    return model
+
+
+def job_setup() -> jobs.Setup:
+    return jobs.Setup(["EEG"], parity(0, 3), parity(1, 3), config=Config(rate=16), least_run=2, lite=True)
+
+
+def job_stages(whole: DataFrame) -> DataFrame:
+    """A stage for each whole sleep epoch: its number modulo 5."""
+    n = whole.where("channel = 'EEG'").groupBy("night_id").agg(F.floor((F.max("epoch_idx") + 1) / 3).cast("int").alias("n")).where("n > 0")
+    return n.select("night_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("epoch_idx")).withColumn("stage", F.col("epoch_idx") % 5)
+
+
+@query()
+def job_night_statistics(spark, sf_dir):
+    """From files to statistics in one plan: decode, epochs, features, labels, both majorities, lights, statistics."""
+    files, setup = job_files(spark, sf_dir), job_setup()
+    stages = job_stages(jobs.signal_epochs(files, setup)[0])
+    return jobs.night_statistics(files, stages, setup).statistics
+
+
+@query()
+def job_filter_spiky(spark, sf_dir):
+    """The recovery of each night: spiky epochs filtered, their features and labels made anew."""
+    files, setup = job_files(spark, sf_dir), job_setup()
+    whole, _ = jobs.signal_epochs(files, setup)
+    eeg, axes = whole.where("channel = 'EEG'"), whole.where("channel <> 'EEG'")
+    usability = jobs.night_statistics(files, job_stages(whole), setup).usability
+    return jobs.filter_spiky_epochs(eeg, epochs.norm_of_epochs(axes), usability, setup, cutoff=2.0)[2]
 
 
 def queries() -> dict[str, Query]:

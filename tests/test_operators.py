@@ -1,5 +1,7 @@
 """Edge cases of the recording operators on small tables written here."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -222,16 +224,21 @@ def test_combined_files_and_their_faults(spark):
     data = [("/a", "x.edf", good), ("/b", "x.edf", good), ("/b", "y.EDF", good), ("/c", "x.bdf", b"junk"), ("/d", "x.edf", other)]
     files = spark.createDataFrame([(a, b, bytearray(c)) for a, b, c in data], "src_path string, file string, content binary")
     found = edf.read_combined(files, ["A", "B"])
-    assert sorted((r.src_path, r.channel, [round(v, 2) for v in r.samples]) for r in found.where("error IS NULL").collect()) == [("/a", "A", [0.5, 1, 1.5, 2]), ("/a", "B", [2.5, 3, 3.5, 4]), ("/d", "A", [0.5] * 4)]
-    assert rows(edf.combined_faults(files, found, ["A", "B"])) == [("/b", 3), ("/c", 1), ("/d", 13)]
+    assert sorted((r.src_path, r.channel, [round(v, 2) for v in r.samples]) for r in found.collect()) == [("/a", "A", [0.5, 1, 1.5, 2]), ("/a", "B", [2.5, 3, 3.5, 4])]
+    assert rows(edf.combined_faults(files, ["A", "B"])) == [("/b", 3), ("/c", 1), ("/d", 13)]
 
 
 def test_per_channel_files(spark):
     one, two = edf_bytes({"s": [2, 2]}), edf_bytes({"s": [4, 4], "t": [6, 6]})
-    data = [("/a", "C3.bdf", two), ("/a", "C3.edf", one), ("/a", "C4.EDF", two), ("/b", "C3.edf", one)]
+    data = [("/a", "C3.bdf", two), ("/a", "C3.edf", one), ("/a", "C4.EDF", two), ("/b", "C3.edf", one), ("/c", "C3.edf", one[:-1]), ("/c", "C3.BDF", one), ("/c", "C4.edf", one), ("/d", "C3.edf", b"junk"), ("/d", "C4.edf", one), ("/e", "other.edf", one)]
     files = spark.createDataFrame([(a, b, bytearray(c)) for a, b, c in data], "src_path string, file string, content binary")
     found = edf.read_per_channel(files, ["C3", "C4"]).collect()
-    assert sorted((r.src_path, r.channel, [round(v, 2) for v in r.samples]) for r in found) == [("/a", "C3", [1, 1]), ("/a", "C4", [2, 2, 3, 3])]
+    wanted = [("/a", "C3", [1, 1]), ("/a", "C4", [2, 2, 3, 3]), ("/c", "C3", [1, 1]), ("/c", "C4", [1, 1])]
+    assert sorted((r.src_path, r.channel, [round(v, 2) for v in r.samples]) for r in found) == wanted
+    faults = {(r.src_path, r.code): r.channels for r in edf.per_channel_faults(files, ["C3", "C4"]).collect()}
+    assert faults == {("/b", 1): ["C4"], ("/b", 13): ["C4"], ("/d", 1): ["C3"], ("/e", 1): ["C3", "C4"], ("/e", 13): ["C3", "C4"]}
+    nights = spark.createDataFrame([("/a",), ("/f",)], "src_path string")
+    assert sorted((r.src_path, r.code) for r in edf.per_channel_faults(files, ["C3"], nights).collect()) == [("/f", 1), ("/f", 13)]
 
 
 def test_stage_files(spark, tmp_path):
@@ -247,3 +254,140 @@ def test_score_tables(spark, tmp_path):
     wide = scores.read_wide_scores(spark, str(tmp_path / "u.csv"))
     assert wide.columns == ["C3", "C4", "path"] and wide.count() == 2
     assert sorted(r.comment for r in scores.read_comments(spark, str(tmp_path / "u.csv")).collect()) == ["made by a test", "twice"]
+
+
+def test_golden_night(spark):
+    """The published sample night: lights, the crop to the time in bed, and all statistics."""
+    order = [2] * 31 + [0] * 100 + [-1] * 251 + [0] * 119 + [3] * 151 + [1, 4]  # between the first and last sleep; late stages last
+    bed = [0] * 43 + [-1] * 36 + [None] * 659 + [-1] * 176 + [0] * 44
+    for place, stage in ((79, 2), (87, 3), (197, 4), (200, 1), (737, 3)):
+        bed[place] = stage
+    rest = iter(order)
+    bed = [next(rest) if s is None else s for s in bed]
+    assert Counter(bed) == {-1: 463, 0: 306, 1: 2, 2: 32, 3: 153, 4: 2} and len(bed) == 958
+    night = [0] * 5 + bed + [-1] * 6  # 969 epochs
+    stages = spark.createDataFrame([("n", i, s) for i, s in enumerate(night)], "night_id string, epoch_idx int, stage int")
+    mobility = spark.createDataFrame([("n", i, 1 if 17 <= i < 2889 else 3) for i in range(2907)], "night_id string, epoch_idx int, label int")
+    lights = bedtime.lights(mobility)
+    assert [tuple(r)[1:] for r in lights.select("night_id", "lights_out_epoch", "lights_on_epoch", "lights_out_second", "lights_on_second", "lights_out_data_index", "lights_on_data_index").collect()] == [(17, 2889, 170, 28890, 43520, 7395840)]
+    cropped = bedtime.crop(stages, lights, 30)
+    assert cropped.agg({"epoch_idx": "min"}).first()[0] == 5 and cropped.agg({"epoch_idx": "max"}).first()[0] == 962
+    found = sleepstats.sleep_statistics(stages, lights).first().asDict()
+    wanted = {
+        "Scores_duration_min": 484.5, "Lights_out_sec": 170, "Lights_on_sec": 28890, "TIB_min": 479.0, "Scorable_pct": 51.67, "SPT_min": 329.5, "TST_min": 94.5, "N1_min": 1.0, "N1_pct": 1.06,
+        "N2_min": 16.0, "N2_pct": 16.93, "N3_min": 76.5, "N3_pct": 80.95, "REM_min": 1.0, "REM_pct": 1.06, "NREM_min": 93.5, "NREM_pct": 98.94, "WASO_min": 109.5, "SOL_min": 39.5,
+        "N1_latency_min": 100.0, "N2_latency_min": 39.5, "N3_latency_min": 43.5, "REM_latency_min": 98.5, "PSW_min": 110.0, "SE_pct": 19.73, "SME_pct": 28.68,
+    }
+    assert {k: found[k] for k in wanted} == wanted
+
+
+def test_filtered_epochs_against_the_difference_equation(spark, sf_dir):
+    """The registered filter query, sample by sample in plain Python."""
+    from noctua.functions import filters
+    from noctua.plans import registry
+
+    found = {(r.night_id, r.epoch_idx): r.samples for r in registry.f1_filter_spiky(spark, sf_dir).collect()}
+    plain = {(r.night_id, r.epoch_idx): list(r.samples) for r in registry.acceleration(spark, sf_dir).collect()}
+    b, a = (x.tolist() for x in filters.butter_low(4, 5.0, 16))
+    start = filters.steady(np.array(b), np.array(a)).tolist()
+
+    def once(x):
+        # y[t] = b0 x[t] + ... + b4 x[t-4] - a1 y[t-1] - ... - a4 y[t-4], begun in the steady state of the first sample
+        z = [s * x[0] for s in start] + [0.0]
+        out = []
+        for v in x:
+            y = b[0] * v + z[0]
+            z = [z[k + 1] + b[k + 1] * v - a[k + 1] * y for k in range(4)] + [0.0]
+            out.append(y)
+        return out
+
+    spiky = [k for k in plain if k[1] % 3 == 0]
+    assert spiky and set(found) == set(plain)
+    for k in plain:
+        x = plain[k]
+        if k in spiky:
+            pad = 3 * len(a)
+            x = [2 * x[0] - v for v in x[pad:0:-1]] + x + [2 * x[-1] - v for v in x[-2 : -pad - 2 : -1]]
+            x = once(once(x)[::-1])[::-1][pad:-pad]
+        assert found[k] == pytest.approx(x, abs=1e-9)
+
+
+def test_stretched_epochs_against_one_spline_each(spark, sf_dir):
+    from noctua.functions import spectral
+    from noctua.plans import registry
+
+    found = {(r.night_id, r.epoch_idx): r.spec for r in registry.x1_stretched_features(spark, sf_dir).collect()}
+    for r in registry.acceleration(spark, sf_dir).collect():
+        x = spectral.spline(np.array([r.samples]), np.linspace(0, 159, 2560))[0]
+        window, step = spectral.tukey(256), 224
+        for t in (0, 5, 10):
+            part = x[t * step : t * step + 256]
+            power = np.abs(np.fft.fft((part - part.mean()) * window)[:129]) ** 2 / (256 * (window**2).sum())
+            power[1:-1] *= 2
+            assert found[r.night_id, r.epoch_idx][t * 129 : (t + 1) * 129] == pytest.approx(power, rel=1e-4, abs=1e-9)
+
+
+def test_all_features_of_the_query(spark, sf_dir):
+    """As the helper gives them epoch by epoch; the moments and the spectrum by their definitions."""
+    from noctua.functions import features
+    from noctua.plans import bindings, registry
+
+    found = {(r.night_id, r.epoch_idx): r.stat for r in registry.x5_all_features(spark, sf_dir).collect()}
+    whole = epochs.to_epochs(bindings.recording(spark, sf_dir)).collect()
+    assert len(found) == len(whole) > 0
+    at = {n: i for i, n in enumerate(features.STATISTICAL + features.TEMPORAL)}
+    for r in whole:
+        x, own = np.array(r.samples), found[r.night_id, r.epoch_idx]
+        assert own == pytest.approx(features.all_features(x[None], 256)[0], rel=1e-9, abs=1e-12)
+        assert (own[at["variance"]], own[at["skewness"]]) == pytest.approx((x.var(), ((x - x.mean()) ** 3).mean() / x.std() ** 3))
+        frames = [x[i : i + 510] - x[i : i + 510].mean() for i in range(0, 2560 - 509, 255)]
+        k = np.exp(-2j * np.pi * np.outer(np.arange(256), np.arange(510)) / 510)
+        assert own[54 : 54 + 256] == pytest.approx(np.mean([np.abs(k @ f) ** 2 / (256 * 510) for f in frames], axis=0), rel=1e-6, abs=1e-12)
+
+
+def test_job_against_its_steps(spark, sf_dir):
+    """The whole job against one night after another in plain numpy."""
+    from noctua.functions import spectral
+    from noctua.plans import jobs, registry
+
+    files, setup = registry.job_files(spark, sf_dir).cache(), registry.job_setup()
+    stages = registry.job_stages(jobs.signal_epochs(files, setup)[0])
+    found = jobs.night_statistics(files, stages, setup)
+    usability = {(r.night_id, r.epoch_idx): r.label for r in found.usability.collect()}
+    mobility = {(r.night_id, r.epoch_idx): r.label for r in found.mobility.collect()}
+    rejected = {(r.night_id, r.epoch_idx): r.stage for r in found.rejected.collect()}
+    statistics = {r.night_id: r for r in registry.job_night_statistics(spark, sf_dir).collect()}
+    recovered = {r.night_id: r for r in registry.job_filter_spiky(spark, sf_dir).collect()}
+    nights_seen = 0
+    for f in files.collect():
+        x = {label: s.astype(float)[: len(s) // 160 * 160].reshape(-1, 160) for label, _, s in edf.signals(bytes(f.content))}
+        n = len(x["EEG"])
+        if n < 6:
+            continue
+        nights_seen += 1
+        norm = np.sqrt(x["dX"] ** 2 + x["dY"] ** 2 + x["dZ"] ** 2)
+        lite = np.concatenate([spectral.spectrogram(x["EEG"], 16), spectral.spectrogram(norm, 16)], axis=1)
+        labels = np.where(lite.mean(axis=1) > 1, 0, 3)
+        power = np.concatenate([spectral.welch(x[a], 16) for a in ("dX", "dY", "dZ")], axis=1)
+        moves = np.where(power.mean(axis=1) > 1, 1, 3)
+        assert [usability[f.src_path, i] for i in range(n)] == labels.tolist()
+        assert [mobility[f.src_path, i] for i in range(n)] == moves.tolist()
+        wanted = [-1 if 2 * sum(labels[3 * i : 3 * i + 3] != 0) > 3 else i % 5 for i in range(n // 3)]
+        assert [rejected[f.src_path, i] for i in range(n // 3)] == wanted
+        assert f.src_path in statistics and statistics[f.src_path].Scores_duration_min == n // 3 / 2
+        assert recovered[f.src_path].n_spiky == (labels == 3).sum()
+    assert nights_seen
+
+
+def test_job_passes_over_finished_and_broken_nights(spark):
+    from noctua.plans import jobs
+
+    good = edf_bytes({"A": [1, 2, 3, 4], "B": [5, 6, 7, 8]})
+    files = spark.createDataFrame([("/a", "x.edf", bytearray(good)), ("/b", "x.edf", bytearray(good)), ("/c", "x.edf", bytearray(b"junk"))], "src_path string, file string, content binary")
+    config = Config(rate=2)
+    done = spark.createDataFrame([("/a", "usability", sinks.config_hash(config)), ("/b", "usability", "other")], "night_id string, step string, config_hash string")
+    left = jobs.nights_to_do(files, done, "usability", config)
+    assert sorted(r.src_path for r in left.collect()) == ["/b", "/c"]
+    setup = jobs.Setup(["A"], None, None, axes=("B",), config=config)
+    whole, faults = jobs.signal_epochs(left, setup)
+    assert whole.count() == 0 and rows(faults) == [("/b", 2), ("/c", 1)]
