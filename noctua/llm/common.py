@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyarrow import fs
@@ -20,18 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows: texts are long, and a batch is held in a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def quoted(name: str) -> Column:
+    """The column of that name, whatever it holds."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def slices(batches, rows: int = 500):
+    """The Arrow batches of a task in pieces of at most so many rows, so few are held as Python objects.
+
+    Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB by default).
+    """
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a folder of the warehouse."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
-        root = root or tempfile.mkdtemp(prefix="noctua-checkpoints-")
+        root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/noctua-checkpoints"
         context.setCheckpointDir(root)
     return root or context.getCheckpointDir()
 
@@ -49,6 +57,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """As cut(), for large tables: compressed, as Parquet below the shared folder."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def look_up(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of rows with groups (one row for each key, of which column ``size`` counts the rows).
 
@@ -100,3 +115,9 @@ def write_file(uri: str, parts) -> None:
 def unsigned(hash_column: Column) -> Column:
     """A 64-bit hash as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(hash_column), 16, "0"))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows: texts are long, and a batch is held in a Python worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
