@@ -7,34 +7,39 @@ r agree wholly in one of r + 1 bands of bits, so tiles are formed within the fin
 with the pairs that share a band, not with all pairs. A band value with over GROUP fingerprints is dealt out
 further, as pairs of tiles (population count, part), each pair a unit of work for any task.
 
-A task does not return the pairs it finds but a spanning forest of them (at most one link for each fingerprint), so a
-group of n near copies costs n links. Components come from alternating large-star and small-star steps on those links.
+Where pairs are many, a task does not return them but a spanning forest of them (at most one link for each fingerprint),
+so a group of n near copies costs n links. Components come from alternating large-star and small-star steps on those links.
 
-annotate() links by fingerprints alone; annotate_similar() has a larger radius and lets the texts' shingles decide. A
-forest stands for all pairs only where every link holds, so what a failed link leaves apart is compared pair by pair.
+annotate() links by fingerprints alone; annotate_similar() has a larger radius and lets the texts' shingles decide: there
+a forest would not do, since a link of it may fail, so what it returns is made of tested pairs only.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noctua.llm.common import cut, look_up, only, small_batches, table, unsigned
+from noctua.llm.common import cut, look_up, only, slices, table, unsigned
 
 #: Fingerprints compared within one task at once, at most; more are dealt out as pairs of tiles.
 GROUP = 32_768
+#: As many with their sets of shingles.
+SETS = 4096
+#: Values with a HOT-th of all rows or more are dealt out at the latest: there are no more than HOT.
+HOT = 100_000
 #: Side of a block of the comparison in numpy.
 BLOCK = 1024
+#: Pairs for each fingerprint of a value up to which all are listed.
+PAIRS = 16
 #: Hashes of which the bits are summed at once.
 SLICE = 65_536
 SEED = 42
-#: Forests that are tested, where links failed, before all pairs between components are.
-TURNS = 2
-
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """Bits that are set in over half the XXH64 of the shingles, repeats included; 0 without words."""
@@ -78,11 +83,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
 
     With ``sets``, also the set of its shingles of so many words.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches):
         at = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in slices(batches):
             rows = np.arange(at, at + batch.num_rows)
             at += batch.num_rows
             found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
@@ -124,15 +128,26 @@ def connect(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarra
         parent = flattened(parent)
 
 
-def forest(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within the radius that connect all that is within it, between places ``left`` and ``right`` of fps.
+@dataclass(frozen=True)
+class Reach:
+    """Which two texts may be linked: fingerprints within the radius, and sizes that allow the similarity (if there is one)."""
 
-    Both are in the order of the population count. One and the same array on both sides: all pairs within it. Closer
-    pairs are taken first, in two steps, so a fingerprint hangs on one that is close to it where there is such.
-    """
-    ones = np.bitwise_count(fps)
-    parent, used_a, used_b = np.arange(len(fps)), [], []
-    for most in sorted({min(radius, 4), radius}):
+    radius: int
+    similarity: float = 0.0
+
+    def within(self, fp_a, size_a, fp_b, size_b, most: int) -> np.ndarray:
+        near = np.bitwise_count(fp_a[:, None] ^ fp_b[None, :]) <= most
+        if self.similarity:
+            near &= np.minimum.outer(size_a, size_b) >= self.similarity * np.maximum.outer(size_a, size_b)
+        return near
+
+    def blocks(self, fps: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, most: int):
+        """Block by block, the places of left and right that may be linked at up to ``most`` bits, as a matrix.
+
+        Both are in the order of the population count, and a pair of blocks too far apart in it is skipped. One and the
+        same array on both sides: each pair once.
+        """
+        ones = np.bitwise_count(fps)
         for i in range(0, len(left), BLOCK):
             a = left[i : i + BLOCK]
             for j in range(i if left is right else 0, len(right), BLOCK):
@@ -141,14 +156,50 @@ def forest(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) ->
                     break
                 if int(ones[a[0]]) - int(ones[b[-1]]) > most:
                     continue
-                x, y = np.nonzero(np.bitwise_count(fps[a][:, None] ^ fps[b][None, :]) <= most)
-                parent, new_a, new_b = connect(parent, a[x], b[y])
+                near = self.within(fps[a], sizes[a], fps[b], sizes[b], most)
+                yield a, b, np.triu(near, 1) if left is right and i == j else near
+
+    def pairs(self, fps: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """All pairs of places that may be linked; None if there are more than ``most``."""
+        x, y, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        for a, b, near in self.blocks(fps, sizes, left, right, self.radius):
+            if (n := n + np.count_nonzero(near)) > most:
+                return None
+            i, j = np.nonzero(near)
+            x.append(a[i])
+            y.append(b[j])
+        return np.concatenate(x), np.concatenate(y)
+
+    def linked(self, fps: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places that may be linked with any."""
+        found = np.zeros(len(fps), bool)
+        for a, b, near in self.blocks(fps, sizes, left, right, self.radius):
+            found[a] |= near.any(axis=1)
+            found[b] |= near.any(axis=0)
+        return np.flatnonzero(found)
+
+    def forest(self, fps: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of places that connect all that may be linked; a place hangs on one that is close to it where there is such."""
+        parent, used_a, used_b = np.arange(len(fps)), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for most in sorted({min(self.radius, 4), self.radius}):
+            for a, b, near in self.blocks(fps, sizes, left, right, most):
+                near &= parent[a][:, None] != parent[b][None, :]
+                i, j = np.nonzero(near)
+                parent, new_a, new_b = connect(parent, a[i], b[j])
                 used_a += new_a
                 used_b += new_b
-    signed = fps.view(np.int64)
-    if not used_a:
-        return signed[:0], signed[:0]
-    return signed[np.concatenate(used_a)], signed[np.concatenate(used_b)]
+        return np.concatenate(used_a), np.concatenate(used_b)
+
+
+def similar(sets: list[np.ndarray], own: int, others: np.ndarray, least: float) -> np.ndarray:
+    """Which of the others' sets of shingles are that similar to one; two empty sets are."""
+    x, sizes = sets[own], np.array([len(sets[k]) for k in others.tolist()], np.int64)
+    flat = np.concatenate([sets[k] for k in others.tolist()])
+    hit = np.zeros(len(flat), bool)
+    if len(x) and len(flat):
+        hit = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+    both = np.bincount(np.repeat(np.arange(len(others)), sizes), hit, len(others))
+    return both >= least * (len(x) + sizes - both)
 
 
 def first_meeting(a: np.ndarray, b: np.ndarray, cuts: list[tuple[int, int]], flips: int, band: int, value: int) -> np.ndarray:
@@ -175,133 +226,157 @@ def first_meeting(a: np.ndarray, b: np.ndarray, cuts: list[tuple[int, int]], fli
     return first & (least == np.uint64(value))
 
 
-def links(distinct: DataFrame, radius: int = 2, bands: int | None = None, flips: int = 0) -> DataFrame:
-    """a, b: links whose components are those of all pairs of distinct fp within the radius.
+@dataclass(frozen=True)
+class Bands:
+    """Bands of bits. Two fingerprints within the radius differ in at most radius // bands bits in one of them.
 
-    Of ``bands`` bands of bits (default: one more than the radius), two fingerprints within the radius differ in at most
-    radius // bands bits in one. With flips = 1 each fingerprint stands under the values of its bands with up to one
-    bit turned, so those that differ in two bits of a band meet: fewer and wider bands for a larger radius.
+    With flips = 1 each fingerprint stands under the values of its bands with up to one bit turned, so those that differ in
+    two bits of a band meet: fewer and wider bands for a larger radius.
     """
-    bands = bands or radius + 1
-    if radius // bands > 2 * flips:
-        raise ValueError("bands of so many bits can miss pairs within the radius")
-    width = 64 // bands
-    cuts = [(band * width, width if band < bands - 1 else 64 - (bands - 1) * width) for band in range(bands)]
-    values = []
-    for band, (at, bits) in enumerate(cuts):
-        value = F.shiftrightunsigned("fp", at).bitwiseAND((1 << bits) - 1 if bits < 64 else -1)
-        values += [F.struct(F.lit(band).alias("band"), v.alias("value")) for v in [value, *(value.bitwiseXOR(1 << k) for k in range(bits) if flips)]]
-    banded = distinct.select("fp", F.explode(F.array(*values)).alias("at")).select("fp", "at.band", "at.value")
-    sizes = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-    ones = F.bit_count("fp")
-    parts = F.when(F.col("n") <= GROUP, 0).otherwise(F.ceil(F.col("n") / (4 * GROUP)).cast("int"))
-    tiles = banded.join(sizes, ["band", "value"]).withColumn("parts", parts).withColumn("tile", F.expr("IF(parts = 0, -1, bit_count(fp) * parts + pmod(xxhash64(fp), parts))").cast("int"))
-    partners = F.when(F.col("parts") == 0, F.array(F.lit(-1))).otherwise(F.sequence((ones - radius) * F.col("parts"), (ones + radius + 1) * F.col("parts") - 1).cast("array<int>"))
-    pairs = tiles.select("band", "value", "fp", "tile", F.explode(partners).alias("other"))
-    pairs = pairs.select("band", "value", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), F.col("tile"), F.col("fp"))
-    dealt = pairs.repartition("band", "value", "t", "u").sortWithinPartitions("band", "value", "t", "u")
 
-    def compare(batches):
-        held: list[np.ndarray] = []
-        for batch in batches:
-            rows = np.stack([batch.column(c).cast(pa.int64()).to_numpy() for c in range(6)])
-            if not rows.shape[1]:
-                continue
-            new = np.flatnonzero((rows[:4, 1:] != rows[:4, :-1]).any(axis=0)) + 1
-            for k, piece in enumerate(np.split(rows, new, axis=1)):
-                if held and (k or (held[-1][:4, -1] != piece[:4, 0]).any()):
-                    yield found(np.concatenate(held, axis=1))
-                    held = []
-                held.append(piece)
+    bands: int
+    flips: int = 0
+
+    def check(self, radius: int) -> None:
+        if radius // self.bands > 2 * self.flips:
+            raise ValueError("bands of so many bits can miss pairs within the radius")
+
+    @property
+    def cuts(self) -> list[tuple[int, int]]:
+        width = 64 // self.bands
+        return [(i * width, width if i < self.bands - 1 else 64 - i * width) for i in range(self.bands)]
+
+    def own(self) -> list[Column]:
+        """band << 32 | value of each band."""
+        return [F.shiftrightunsigned("fp", at).bitwiseAND((1 << bits) - 1).bitwiseOR(F.lit(i << 32)) for i, (at, bits) in enumerate(self.cuts)]
+
+    def turned(self, value: Column, i: int) -> list[Column]:
+        return [value, *(value.bitwiseXOR(1 << k) for k in range(self.cuts[i][1] if self.flips else 0))]
+
+
+def meetings(nodes: DataFrame, reach: Reach, bands: Bands, group: int | None = None) -> DataFrame:
+    """Rows of nodes (node, fp, size and others) under each value at which they meet, those of one value side by side.
+
+    Values of over GROUP rows (or a HOT-th of all) are dealt out as pairs (t, u) of tiles, by population count and hash:
+    their number is bounded by HOT, so they are broadcast. How many rows a value has follows from the values
+    without turned bits, which are few. All rows are shuffled once.
+    """
+    bands.check(reach.radius)
+    group = max(group or GROUP, nodes.count() * len(bands.own()) * (1 + 64 // bands.bands * bands.flips) // HOT)
+    counts = nodes.select(F.explode(F.array(*bands.own())).alias("at")).groupBy("at").count()
+    if bands.flips:
+        band = F.shiftright("at", 32)
+        spread = F.coalesce(*(F.when(band == i, F.array(*bands.turned(F.col("at"), i))) for i in range(bands.bands)))
+        counts = counts.select(F.explode(spread).alias("at"), "count").groupBy("at").agg(F.sum("count").alias("count"))
+    hot = counts.where(F.col("count") > group).select("at", F.ceil(F.col("count") / (4 * group)).cast("int").alias("parts"))
+    every = nodes.withColumn("at", F.explode(F.array(*(v for i, own in enumerate(bands.own()) for v in bands.turned(own, i)))))
+    tiles = every.join(F.broadcast(hot), "at", "left").withColumn("tile", F.expr("IF(parts IS NULL, -1, bit_count(fp) * parts + pmod(xxhash64(node), parts))").cast("int"))
+    ones, radius, parts = F.bit_count("fp"), reach.radius, F.col("parts")
+    partners = F.when(parts.isNull(), F.array(F.lit(-1))).otherwise(F.sequence((ones - radius) * parts, (ones + radius + 1) * parts - 1).cast("array<int>"))
+    pairs = tiles.select("at", "tile", *nodes.columns, F.explode(partners).alias("other"))
+    pairs = pairs.select("at", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "tile", *nodes.columns)
+    return pairs.repartition("at", "t", "u").sortWithinPartitions("at", "t", "u")
+
+
+def groups_of(batches):
+    """The rows of each (at, t, u) with two rows or more: an array of the integer columns, and the binary ones as lists."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        plain = [c for c in batch.columns if not pa.types.is_binary(c.type)]
+        rows = np.stack([c.cast(pa.int64()).to_numpy() for c in plain])
+        more = [c.to_pylist() for c in batch.columns if pa.types.is_binary(c.type)]
         if held:
-            yield found(np.concatenate(held, axis=1))
-
-    def found(rows: np.ndarray) -> pa.RecordBatch:
-        fps = rows[5].view(np.uint64) if rows[5].flags.c_contiguous else rows[5].copy().view(np.uint64)
-        order = np.argsort(np.bitwise_count(fps), kind="stable")
-        t, u, own = rows[2, 0], rows[3, 0], rows[4]
-        left = order[own[order] == t]
-        right = left if t == u else order[own[order] == u]
-        a, b = forest(fps, left, right, radius) if len(left) and len(right) else (np.empty(0, np.int64),) * 2
-        own = first_meeting(a, b, cuts, flips, int(rows[0, 0]), int(rows[1, 0]))
-        a, b = a[own], b[own]
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            rows, more = np.concatenate([held[0], rows], axis=1), [x + y for x, y in zip(held[1], more)]
+        begins = np.append(0, np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1)
+        for a, b in zip(begins[:-1].tolist(), begins[1:].tolist()):
+            if b - a > 1:
+                yield rows[:, a:b], [x[a:b] for x in more]
+        held = rows[:, begins[-1] :], [x[begins[-1] :] for x in more]
+    if held and held[0].shape[1] > 1:
+        yield held
 
-    return dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
 
+def sides(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of a group: node, fp, size, and the places on its left and right side in the order of the population count."""
+    t, u, own = rows[1, 0], rows[2, 0], rows[3]
+    fps = np.ascontiguousarray(rows[5]).view(np.uint64)
+    order = np.argsort(np.bitwise_count(fps), kind="stable")
+    left = order if t == u == -1 else order[own[order] == t]
+    return rows[4], fps, rows[6], left, left if t == u else order[own[order] == u]
 
-def pairs_apart(nodes: DataFrame, radius: int, similarity: float, bands: int, flips: int, turn: int | None = None) -> DataFrame:
-    """a, b: all pairs of nodes within the radius whose components differ and whose sizes allow the similarity.
 
-    Nodes are node, fp, size (of the shingle set) and root (the component so far). With ``turn``, only a forest that
-    connects the components, another one for each turn: to join what is alike before all pairs are listed.
+def edges_of(a: list | np.ndarray, b: list | np.ndarray) -> pa.RecordBatch:
+    a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def proposals(nodes: DataFrame, reach: Reach, bands: Bands, forests: bool) -> DataFrame:
+    """a, b: pairs of nodes (node, fp, size) that may be linked, each told once.
+
+    Where the nodes of a value have at most PAIRS pairs for each of them, those are all its pairs. Where they have more, as
+    thousands of near copies do, a forest that connects them (``forests``), or nothing but each of its nodes as
+    (node, node): all pairs that are missing are between such nodes.
     """
-    width = 64 // bands
-    cuts = [(band * width, width if band < bands - 1 else 64 - (bands - 1) * width) for band in range(bands)]
-    values = []
-    for band, (at, bits) in enumerate(cuts):
-        value = F.shiftrightunsigned("fp", at).bitwiseAND((1 << bits) - 1)
-        values += [F.struct(F.lit(band).alias("band"), v.alias("value")) for v in [value, *(value.bitwiseXOR(1 << k) for k in range(bits) if flips)]]
-    banded = nodes.select("node", "fp", "size", "root", F.explode(F.array(*values)).alias("at")).select("at.band", "at.value", "node", "fp", "size", "root")
-    sizes = banded.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("root").alias("p"), F.max("root").alias("q")).where("p < q")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    tiles = banded.join(sizes.select("band", "value", parts.alias("parts")), ["band", "value"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("band", "value", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "tile", "node", "fp", "size", "root")
-    dealt = dealt.repartition("band", "value", "t", "u").sortWithinPartitions("band", "value", "t", "u")
+    cuts, flips, most = bands.cuts, bands.flips, PAIRS
 
     def compare(batches):
-        held: list[np.ndarray] = []
-        for batch in batches:
-            rows = np.stack([batch.column(c).cast(pa.int64()).to_numpy() for c in range(9)])
-            if not rows.shape[1]:
+        for rows, _ in groups_of(batches):
+            at = int(rows[0, 0])
+            node, fps, size, left, right = sides(rows)
+            pairs = reach.pairs(fps, size, left, right, most * len(fps))
+            if pairs is None and not forests:
+                several = node[reach.linked(fps, size, left, right)]
+                yield edges_of(several, several)
                 continue
-            new = np.flatnonzero((rows[:4, 1:] != rows[:4, :-1]).any(axis=0)) + 1
-            for k, piece in enumerate(np.split(rows, new, axis=1)):
-                if held and (k or (held[-1][:4, -1] != piece[:4, 0]).any()):
-                    yield from found(np.concatenate(held, axis=1))
-                    held = []
-                held.append(piece)
-        if held:
-            yield from found(np.concatenate(held, axis=1))
-
-    def found(rows: np.ndarray):
-        (band, value, t, u), (own, node, fp, size, root) = rows[:4, 0].tolist(), rows[4:]
-        fp = np.ascontiguousarray(fp).view(np.uint64)
-        parent = np.unique(root, return_inverse=True)[1]
-        tree = np.arange(parent.max() + 1)
-        left, right = np.flatnonzero(own == t), np.flatnonzero(own == u)
-        if turn is not None:
-            right = np.random.default_rng(turn).permutation(right)
-        for i in range(0, len(left), BLOCK):
-            for j in range(0, len(right), BLOCK):
-                a, b = left[i : i + BLOCK], right[j : j + BLOCK]
-                near = np.bitwise_count(fp[a][:, None] ^ fp[b][None, :]) <= radius
-                near &= parent[a][:, None] != parent[b][None, :]
-                near &= np.minimum.outer(size[a], size[b]) >= similarity * np.maximum.outer(size[a], size[b])
-                if t == u:
-                    near &= a[:, None] < b[None, :]
+            x, y = pairs or reach.forest(fps, size, left, right)
+            if len(x):
+                first = first_meeting(fps[x], fps[y], cuts, flips, at >> 32, at & 0xFFFFFFFF)
+                yield edges_of(node[x[first]], node[y[first]])
+
+    return meetings(nodes.select("node", "fp", "size"), reach, bands).mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def links(distinct: DataFrame, radius: int = 2, bands: int | None = None, flips: int = 0) -> DataFrame:
+    """a, b: links whose components are those of all pairs of distinct fp within the radius."""
+    nodes = distinct.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("bigint").alias("size"))
+    return proposals(nodes, Reach(radius), Bands(bands or radius + 1, flips), forests=True)
+
+
+def verified(nodes: DataFrame, reach: Reach, bands: Bands) -> DataFrame:
+    """a, b: pairs of nodes (node, fp, size, shingles) that are similar, whose components are those of all such pairs.
+
+    Every pair within the radius is tested where it first meets, the closest first, unless tested pairs connect it already.
+    """
+    cuts, flips, least = bands.cuts, bands.flips, reach.similarity
+
+    def compare(batches):
+        for rows, (packed,) in groups_of(batches):
+            at = int(rows[0, 0])
+            node, fps, size, left, right = sides(rows)
+            sets, tree, used = [np.frombuffer(x, "<u4") for x in packed], np.arange(len(fps)), []
+            for a, b, near in reach.blocks(fps, size, left, right, reach.radius) if len(left) and len(right) else ():
+                near &= tree[a][:, None] != tree[b][None, :]
                 x, y = np.nonzero(near)
                 x, y = a[x], b[y]
-                first = first_meeting(fp[x], fp[y], cuts, flips, band, value)
+                first = first_meeting(fps[x], fps[y], cuts, flips, at >> 32, at & 0xFFFFFFFF)
                 x, y = x[first], y[first]
-                if turn is not None and len(x):
-                    x, y = joining(tree, parent[x], parent[y], x, y)
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
-
-    def joining(tree, p, q, x, y):
-        """Those of the pairs (x, y) that join two trees; ``tree`` is changed."""
-        after, used_p, used_q = connect(tree.copy(), p, q)
-        tree[:] = after
-        if not used_p:
-            return x[:0], y[:0]
-        wanted = np.concatenate(used_p) * len(tree) + np.concatenate(used_q)
-        at = np.unique(p * len(tree) + q, return_index=True)
-        at = at[1][np.searchsorted(at[0], wanted)]
-        return x[at], y[at]
-
-    return dealt.mapInArrow(compare, "a bigint, b bigint")
+                order = np.lexsort((np.bitwise_count(fps[x] ^ fps[y]), x))
+                x, y = x[order], y[order]
+                for others in np.split(y, np.flatnonzero(x[1:] != x[:-1]) + 1) if len(x) else ():
+                    own, x, k = int(x[0]), x[len(others) :], 1
+                    while len(others := others[tree[others] != tree[own]]):
+                        some, others, k = others[:k], others[k:], min(4 * k, 256)
+                        for other in some[similar(sets, own, some, least)].tolist():
+                            if tree[other] != tree[own]:
+                                used.append((own, other))
+                                tree[tree == tree[other]] = tree[own]
+            if used:
+                yield edges_of(*(node[list(side)] for side in zip(*used)))
+
+    dealt = meetings(nodes.select("node", "fp", "size", "shingles"), reach, bands, SETS)
+    return dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -348,52 +423,32 @@ def annotate_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     """As annotate(), but fingerprints within a larger radius only propose links, and the shingles of the texts decide.
 
     A link holds if the Jaccard similarity of the two texts' sets of ``shingle`` words is at least ``similarity``: the
-    result is the components of all pairs of texts within the radius that are that similar. First a spanning forest
-    with close pairs first is tested (nodes are distinct texts; texts of one fingerprint hang on the first of them).
-    Where each link of a tree holds, nothing is left to compare. In trees with a failed link, further forests join most of
-    what is alike, then all pairs within the radius between different components are tested, none left out.
+    result is the components of all pairs of texts within the radius that are that similar, however the table is split.
+    Pairs that proposals() lists are tested by joins with the sets; those of values with too many pairs are between few
+    texts, which go with their sets to where they meet, and are tested there by verified().
     """
+    reach, bands = Reach(radius, similarity), Bands(4, 1)
     rows = cut(fingerprints(docs, key, text, words, sets=shingle))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
-    texts = rows.groupBy("exact").agg(first.alias("least"), F.min("fp").alias("fp"), F.count("*").alias("n"))
+    texts = rows.groupBy("exact").agg(first.alias("least"), F.min("fp").alias("fp"), F.min((F.length("shingles") / 4).cast("bigint")).alias("size"), F.count("*").alias("n"))
     texts = cut(texts.withColumn("node", F.col("least.row")))
-    heads = cut(texts.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")))
-    near = links(heads.select("fp"), radius, bands=4, flips=1)
-    a, b = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"{x}_node")) for x in "ab")
-    proposed = near.join(a, "a").join(b, "b").select("a_node", "b_node")
-    same = look_up(texts.select("node", "fp"), heads, "fp", "n", texts.count()).where("node <> head")
-    proposed = proposed.unionByName(same.select(F.col("head").alias("a_node"), F.col("node").alias("b_node")))
-    proposed = cut(proposed.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
-    ends = proposed.select(F.col("a").alias("row")).union(proposed.select("b")).distinct()
-    sets = cut(rows.select("row", "shingles").join(ends, "row", "left_semi"))  # of texts that anything is proposed for
+    proposed = cut(proposals(texts, reach, bands, forests=False))
+    pairs, several = proposed.where("a <> b"), proposed.where("a = b").select(F.col("a").alias("node"))
+    sets = rows.select(F.col("row").alias("node"), "shingles")
 
     def alike(batches):
         for batch in batches:
-            good = pa.array([jaccard(p, q) >= similarity for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), good], names=["a", "b", "good"])
-
-    def tested(pairs):
-        x, y = (sets.select(F.col("row").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
-        both = pairs.join(y, "b").join(x, "a").select("a", "b", "a_set", "b_set")
-        return cut(both.mapInArrow(alike, "a bigint, b bigint, good boolean"))
-
-    done = tested(proposed)
-    good = done.where("good").select("a", "b")
+            good = [jaccard(p, q) >= similarity for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = cut(sets.join(ends, "node", "left_semi"))  # of texts that a pair is proposed for
+    x, y = (own.select(F.col("node").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
+    good = pairs.join(y, "b").join(x, "a").select("a", "b", "a_set", "b_set").mapInArrow(alike, "a bigint, b bigint")
+    if not several.isEmpty():
+        members = cut(several.join(texts.select("node", "fp", "size"), "node").join(sets, "node"))
+        good = good.unionByName(verified(members, reach, bands))
     roots = components(good)
-    if not (failed := done.where("NOT good").select("a", "b")).isEmpty():
-        trees = cut(components(proposed))
-        tree = F.coalesce("root", "node")
-        open_trees = failed.select(F.col("a").alias("node")).join(trees, "node", "left").select(tree.alias("tree")).distinct()
-        members = ends.select(F.col("row").alias("node")).join(trees, "node", "left").select("node", tree.alias("tree")).join(open_trees, "tree", "left_semi")
-        size = sets.select(F.col("row").alias("node"), (F.length("shingles") / 4).cast("bigint").alias("size"))
-        members = cut(members.select("node").join(texts.select("node", "fp"), "node").join(size, "node"))
-        for turn in [*range(TURNS), None]:
-            apart = cut(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-            found = tested(pairs_apart(apart, radius, similarity, 4, 1, turn)).where("good").select("a", "b")
-            if found.isEmpty():
-                continue
-            good = good.unionByName(found)
-            roots = components(good)
     labelled = cut(texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     groups = labelled.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("texts"))
     named = cut(look_up(labelled, groups, "root", "texts", texts.count()).select("exact", "first", "n"))

@@ -1,6 +1,7 @@
 """Exact and near duplicates against brute force."""
 
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -123,11 +124,12 @@ def test_similar_against_brute_force(spark):
     assert sum(r.kept for r in found) <= len(group) * 1.02 + 1
 
 
-@pytest.mark.parametrize("turns", [0, 2])
-def test_similar_finds_all_pairs_within_the_radius(spark, monkeypatch, turns):
+@pytest.mark.parametrize("group, pairs", [(32_768, 16), (32_768, 1000), (300, 0)])
+def test_similar_finds_all_pairs_within_the_radius(spark, monkeypatch, group, pairs):
     """Texts that share a long passage: unlike ones lie between similar ones, whose links must not be lost with theirs."""
-    monkeypatch.setattr(simhash, "TURNS", turns)
-    monkeypatch.setattr(simhash, "BLOCK", 256)  # band values are dealt out as pairs of tiles
+    monkeypatch.setattr(simhash, "SETS", group)
+    monkeypatch.setattr(simhash, "GROUP", group)  # with 300, band values are dealt out as pairs of tiles
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
     rng = np.random.default_rng(8)
     passage = [f"p{i}" for i in range(60)]
     texts = []
@@ -204,10 +206,11 @@ def test_forest_connects_what_is_near():
     flips = np.uint64(1) << rng.integers(0, 64, (30, 100), dtype=np.uint64)
     fps = np.unique(np.concatenate([centres[:, None] ^ flips, centres[:, None]], axis=1))
     order = np.argsort(np.bitwise_count(fps), kind="stable")
-    a, b = simhash.forest(fps, order, order, 2)
+    reach, sizes = simhash.Reach(2), np.zeros(len(fps), np.int64)
+    a, b = reach.forest(fps, sizes, order, order)
     assert len(a) == len(fps) - 30  # a spanning tree of each of the 30 groups, not their pairs
     half = len(order) // 2
-    x, y = simhash.forest(fps, order[:half], order[half:], 2)
+    x, y = reach.forest(fps, sizes, order[:half], order[half:])
     assert len(x) <= len(fps)
 
 
@@ -216,3 +219,52 @@ def test_components_of_long_chains(spark):
     found = {r.node: r.root for r in simhash.components(edges).collect()}
     assert set(found) == set(range(1, 201)) - {78} | {300}
     assert all(root == (0 if node < 78 or node == 300 else 78) for node, root in found.items())
+
+
+WHOLE = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(f"{WHOLE}/documents.parquet") and not os.path.isfile(f"{WHOLE}/documents.parquet"), reason="the generated tables are not here")
+def test_recall_over_true_pairs_however_the_table_is_split(spark):
+    """All pairs of similar texts of a larger table are found, but for the few that fingerprints do not propose.
+
+    Pairs come from shingles that texts share; the rows kept do not depend on partitions.
+    """
+    docs = exact_dedup.keep(spark.read.parquet(f"{WHOLE}/documents.parquet")).select("doc_id", "text").cache()
+    sets = {r.doc_id: frozenset(simhash.shingle_set(r.text).tolist()) for r in docs.collect()}
+    holders = defaultdict(list)
+    for d, own in sets.items():
+        for h in own:
+            holders[h].append(d)
+    tried, pairs = set(), []
+    for own in holders.values():
+        if 1 < len(own) < 300:
+            tried.update((a, b) for i, a in enumerate(own) for b in own[:i])
+    for a, b in tried:
+        both = len(sets[a] & sets[b])
+        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            pairs.append((a, b))
+    assert len(pairs) > 30
+    kept = set()
+    for parts, shuffles in ((3, "9"), (13, "4")):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        found = {r.id: (r.component_id, r.kept) for r in simhash.annotate_similar(docs.repartition(parts)).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        together = [found[a][0] == found[b][0] for a, b in pairs]
+        long = [t for t, (a, b) in zip(together, pairs) if min(len(sets[a]), len(sets[b])) >= 200]
+        assert np.mean(together) >= 0.9 and np.mean(long) >= 0.9
+        # nothing is joined but by chains of similar texts
+        root = {d: d for d in found}
+
+        def top(d):
+            while root[d] != d:
+                d = root[d]
+            return d
+
+        for a, b in pairs:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+        empty = min((d for d in found if not sets[d]), default=None)
+        assert all(top(d) == found[d][0] or found[d][0] == empty for d in found if found[d][0] != d)
+        kept.add(frozenset(d for d, (_, k) in found.items() if k))
+    assert len(kept) == 1
