@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from noctua.llm import mixing, sharding
 from tests.llm import edge
@@ -56,6 +57,28 @@ def test_shuffle_is_uniform(spark):
     assert all(70 < n < 130 for n in halves.values())
 
 
+@pytest.mark.parametrize("part_rows", [20_000, 16])
+def test_deal_against_plain_python(spark, monkeypatch, part_rows):
+    """The same deal, row by row, from the same matrix and the same hashes."""
+    monkeypatch.setattr(sharding, "PART_ROWS", part_rows)
+    n, shards, seed = 300, 5, 11
+    base = spark.range(n)
+    keys = base.select("id", *(F.xxhash64(F.lit(seed * 4 + salt), "id").alias(f"k{salt}") for salt in range(4))).collect()
+    parts, buckets = -(-n // part_rows), max(1, -(-n // (shards * part_rows)))
+    of_part = defaultdict(list)
+    for r in keys:
+        of_part[r.k0 % parts].append(r)
+    capacities = [n // shards + (s < n % shards) for s in range(shards)]
+    matrix = sharding.draw_matrix([len(of_part[p]) for p in range(parts)], capacities, seed)
+    dealt = defaultdict(list)
+    for p in range(parts):
+        rest = iter(sorted(of_part[p], key=lambda r: (r.k1, r.id)))
+        for s, count in enumerate(matrix[p]):
+            dealt[s] += [next(rest) for _ in range(count)]
+    wanted = {r.id: (s, slot) for s, own in dealt.items() for slot, r in enumerate(sorted(own, key=lambda r: (r.k2 % buckets, r.k3, r.id)))}
+    assert {r.id: (r.shard, r.slot) for r in sharding.shard(base, shards, seed).collect()} == wanted
+
+
 def test_the_query_of_shards(spark, sf_dir):
     found = sharding.op5_sharding(spark, sf_dir)
     sizes = Counter(r.shard for r in found.collect())
@@ -68,22 +91,56 @@ def test_the_query_of_shards(spark, sf_dir):
         assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 16, zlib.crc32(data), "rows", None)
 
 
-def schedule(spark, weights, counts=None):
-    shared = mixing.shares(spark.createDataFrame([(k, 1) for k in weights], "source string, n long"), weights)
-    return [r for r in mixing.period(shared).orderBy("t").collect()]
+def schedule(spark, weights):
+    """source, j, a and period of each slot."""
+    sources = mixing.classes(mixing.shares(spark.createDataFrame([(k, 1) for k in weights], "source string, n long"), weights))
+    own = {(r.a, r.r): r for r in sources.collect()}
+    slots = mixing.period(sources).orderBy("t").collect()
+    assert [r.t for r in slots] == list(range(slots[0].period))
+    k = {r.a: r.k for r in own.values()}
+    return [(own[s.a, s.n % k[s.a]].source, s.n // k[s.a], s.a, s.period) for s in slots]
+
+
+SHARES = [{"a": 1.0}, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.6} | {f"t{i}": 0.01 for i in range(40)}, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}, {"a": 0.5} | {f"t{i}": 0.5 / 3000 for i in range(3000)}]
 
 
-@pytest.mark.parametrize("weights", [{"a": 1.0}, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.6} | {f"t{i}": 0.01 for i in range(40)}, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}])
+@pytest.mark.parametrize("weights", SHARES)
 def test_every_prefix_is_within_a_block_of_its_share(spark, weights):
     slots = schedule(spark, weights)
-    m = slots[0].period
-    assert [r.t for r in slots] == list(range(m))
-    placed, share = Counter(), {r.source: r.a / m for r in slots}
-    for t, r in enumerate(slots, 1):
-        assert r.j == placed[r.source]
-        placed[r.source] += 1
-        assert all(abs(placed[s] - t * w) < 1 for s, w in share.items())
-    assert all(placed[r.source] == r.a for r in slots)
+    m, placed, share = slots[0][3], Counter(), {s: a for s, _, a, _ in slots}
+    of_share = {a: [s for s in share if share[s] == a] for a in share.values()}
+    for t, (source, j, _, _) in enumerate(slots, 1):
+        assert j == placed[source]
+        placed[source] += 1
+        for a, names in of_share.items():  # extremes only: thousands of sources have one share
+            some = [source, names[0], names[-1]] if len(names) > 50 else names
+            assert all(abs(placed[s] * m - t * share[s]) < m for s in some)
+    assert all(placed[s] == share[s] for s in share) and set(share) == set(weights)
+
+
+def brute_schedule(shares):
+    """Slot by slot over all sources: of the blocks whose window has begun, the earliest deadline."""
+    m, done, out = sum(shares.values()), Counter(), []
+    for t in range(m):
+        ready = [(-(-(done[s] + 1) * m // a), a, done[s], s) for s, a in shares.items() if done[s] * m < (t + 1) * a]
+        out.append(min(ready)[3])
+        done[out[-1]] += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", SHARES[:4])
+def test_schedule_against_brute_force(spark, weights):
+    slots = schedule(spark, weights)
+    assert [s[0] for s in slots] == brute_schedule({s: a for s, _, a, _ in slots})
+
+
+def test_a_key_of_many_rows_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK_ROWS", 50)
+    docs = spark.createDataFrame([(None if i % 3 else i, "s", "t") for i in range(3000)], "doc_id long, source string, text string")
+    rows = mixing.mix(docs).collect()
+    assert len({(r.slot, r.place) for r in rows}) == len(rows) == 3000
+    first = sum(r.doc_id is None for r in rows if r.slot < 100)
+    assert abs(first / sum(r.slot < 100 for r in rows) - 2 / 3) < 0.1
 
 
 def test_mix_places_every_row_once(spark, monkeypatch):
