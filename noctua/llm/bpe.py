@@ -69,9 +69,10 @@ def model_from_ranks(ranks: dict[bytes, int]) -> str:
 
 
 def model_from_file(path: str) -> str:
-    """The description in a tokenizer file, without its own splitting and special tokens, which are then ordinary text."""
+    """The description in a tokenizer file, without its own splitting. Its added tokens stay: they are found in a text first."""
     with open(path, encoding="utf-8") as file:
-        return json.dumps({"version": "1.0", "added_tokens": [], "model": json.load(file)["model"]})
+        whole = json.load(file)
+    return json.dumps({"version": "1.0", "added_tokens": whole["added_tokens"], "model": whole["model"]})
 
 
 class Numbered(dict):
@@ -96,28 +97,33 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class ByteBpe:
     """Encodes and decodes with one model; kept by a worker for all its tasks."""
 
-    keep_asked = False  # whether units stay by their numbers once they are encoded
-
     def __init__(self, model: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.library = Tokenizer.from_str(model)
+        whole = json.loads(model)
+        #: Tokens that are found in a text as they stand, before it is split: their ids.
+        self.added = {t["content"]: t["id"] for t in whole["added_tokens"]}
+        self.at_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.library = Tokenizer.from_str(json.dumps({**whole, "added_tokens": []}))
         self.pattern = regex.compile(pattern)
         back = {c: b for b, c in enumerate(byte_characters())}
         self.lut = np.array([*map(ord, byte_characters())], "<u2")
         self.lut[0xFF] = ord(" ")  # no byte of UTF-8: between pretokens
         vocab = self.library.get_vocab(with_added_tokens=False)
-        self.bytes_of: list[bytes] = [b""] * (max(vocab.values()) + 1)
+        self.bytes_of: list[bytes] = [b""] * (max([*vocab.values(), *self.added.values()]) + 1)
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(back[c] for c in token)
+        for token, i in self.added.items():
+            self.bytes_of[i] = token.encode()
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
         self.kind = np.dtype("<u2") if len(self.bytes_of) <= 1 << 16 else np.dtype("<u4")
         self.forget()
 
     def forget(self) -> None:
-        self.asked: list[str] = []  # units by number
+        self.asked: list[str] = list(self.added)  # units by number
         self.spaced, self.plain = Numbered(self.asked, " "), Numbered(self.asked, "")
-        self.done = 0  # units of lower numbers are encoded
-        self.flat, self.starts, self.sizes = np.empty(0, self.kind), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.plain.update((token, i) for i, token in enumerate(self.added))
+        self.done = n = len(self.asked)  # units of lower numbers are encoded
+        self.flat, self.starts, self.sizes = np.array(list(self.added.values()), self.kind), np.arange(n), np.ones(n, np.int64)
 
     def pretokens(self, unit: str) -> list[str]:
         """The matches of the pattern; a space, letters, and one mark at most are split without it."""
@@ -131,8 +137,7 @@ class ByteBpe:
     def learn(self) -> None:
         """Encodes the units that were not met before."""
         found = list(map(self.pretokens, self.asked[self.done :]))
-        if not self.keep_asked:
-            self.asked[self.done :] = [""] * len(found)
+        self.asked[self.done :] = [""] * len(found)
         self.done = len(self.asked)
         counts = np.fromiter(map(len, found), np.int64, len(found))
         number = Numbered([], "")
@@ -164,6 +169,18 @@ class ByteBpe:
         return units + [open_] if open_ else units
 
     def numbers(self, text: str | None) -> list[int]:
+        if not text:
+            return []
+        if self.at_added and self.at_added.search(text):
+            found, at = [], 0
+            for hit in self.at_added.finditer(text):
+                found += [*self.ordinary(text[at : hit.start()]), self.plain[hit[0]]]
+                at = hit.end()
+            return found + self.ordinary(text[at:])
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> list[int]:
+        """Units of a text without added tokens."""
         if not text:
             return []
         odd = "  " in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noctua.llm import bpe
-from noctua.llm.common import open_fs, shared_folder, small_batches, table, write_file
+from noctua.llm.common import open_fs, shared_folder, slices, table, write_file
 
 MODEL = "byte_bpe_50k.json"
 #: Stands for a null key, which comes first.
@@ -61,7 +61,6 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
     """Encodes all documents and writes the set. Null texts are empty: the end id alone. Keys are integers; documents of
     one key are in one part, in the order of their ids."""
     spark = docs.sparkSession
-    small_batches(spark)
     shipped = spark.sparkContext.broadcast(model or bpe.model_from_file(public_tokenizers.path(MODEL)))
     bounds = np.array(bounds_of(docs, key), np.int64)
     parts = len(bounds) + 1
@@ -69,7 +68,7 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
     def encode(batches):
         coder = bpe.loaded(shipped.value, public_tokenizers.PATTERN)
         end = np.array([end_id], coder.kind)
-        for batch in batches:
+        for batch in slices(batches, 1000):
             keys = batch.column(0).cast(pa.int64()).fill_null(NULL_KEY)
             ids = [np.concatenate([x, end]).tobytes() for x in coder.encode_batch(batch.column(1).to_pylist())]
             part = np.searchsorted(bounds, keys.to_numpy(), "left").astype(np.int32)

@@ -46,6 +46,34 @@ def test_split_characters():
     assert CODER.offsets(ids)[-1] == 4
 
 
+FILE_LIBRARY = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+FILE_CODER = bpe.ByteBpe(bpe.model_from_file(P.path("byte_bpe_50k.json")), P.PATTERN)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", "<", " ", "  ", "\n", "a", " b", "é", "'s", "1"]), max_size=12).map("".join))
+def test_added_tokens_as_the_library_finds_them(text):
+    ids = FILE_CODER.encode_batch([text])[0]
+    assert ids.tolist() == FILE_LIBRARY.encode(text, add_special_tokens=False).ids
+    assert FILE_CODER.decode(ids) == text.encode()
+
+
+def test_queries_as_registered(spark, sf_dir):
+    """op3 and op4 over the whole table, against both libraries as they come."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    start = 0
+    found = {r.doc_id: r for r in token_files.op3_token_files(spark, sf_dir).collect()}
+    assert set(found) == set(docs)
+    for doc in sorted(docs):
+        ids = FILE_LIBRARY.encode(docs[doc], add_special_tokens=False).ids + [2]
+        assert (found[doc].start, found[doc].n_tokens, found[doc].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    for r in bpe_job.op4_byte_bpe(spark, sf_dir).collect():
+        ids = LIBRARY.encode_ordinary(docs[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
 def test_digests_of_every_text(spark):
     docs = edge.documents(spark)
     found = Counter(map(tuple, bpe_job.digests(docs).collect()))
@@ -74,7 +102,6 @@ def edge_column():
 def test_token_files(spark):
     docs = edge.documents(spark)
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     folder = common.shared_folder(spark, "tokens")
     tokens = token_files.write(docs, folder)
     rows = docs.select("doc_id", "text").collect()
