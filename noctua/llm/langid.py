@@ -4,7 +4,9 @@ Letters are lower-cased, each run of other characters is one blank, and n-grams
 BUCKETS. Document frequencies come from all training rows: each task sums its rows, and only the sums are shuffled.
 The weights come from a bounded sample of SAMPLE rows for each language (the least hashes of the key), by
 follow-the-regularised-leader with elastic-net penalties, which leaves most weights zero; a fifth of the sample is
-kept back to fit one temperature for all probabilities. Prediction is a narrow pass over whole texts.
+kept back to fit one temperature for all probabilities. Prediction is a narrow pass over whole texts; tasks are sent
+those weights only that are not zero. Texts of any length are read whole, piece by piece; repeated rows count as often as
+they come, and are given the same language.
 """
 
 from __future__ import annotations
@@ -17,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noctua.llm.common import small_batches, table
+from noctua.llm.common import slices, table
 
 BUCKETS_LOG2 = 15
 BUCKETS = 1 << BUCKETS_LOG2
 LONGEST = 3
-#: Labelled rows that weights are fitted on: of each language, and of all, at most.
+#: Labelled rows that weights are fitted on: of each language, and of all, at most. So no more than half as many languages
+#: are learned, those of the most rows; documents of any other are given one of them.
 SAMPLE, SAMPLE_ALL = 600, 12_000
 #: Characters of a text handled at once.
 SLICE = 1 << 20
@@ -40,11 +43,27 @@ class Penalties:
 
 @dataclass(frozen=True)
 class Model:
+    """Weights that are not zero, bucket by bucket: those of bucket b stand at starts[b] to starts[b + 1]."""
+
     languages: list[str]
     idf: np.ndarray
-    weights: np.ndarray  # buckets x languages
+    starts: np.ndarray
+    language: np.ndarray
+    weight: np.ndarray
     temperature: float
 
+    def logits(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        sizes = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(sizes)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - sizes), sizes)
+        return np.bincount(self.language[places], self.weight[places] * np.repeat(x, sizes), len(self.languages)) / self.temperature
+
+
+def model_of(languages: list[str], idf: np.ndarray, weights: np.ndarray, temperature: float) -> Model:
+    """From weights as a matrix of buckets and languages."""
+    bucket, language = np.nonzero(weights)
+    return Model(languages, idf, np.searchsorted(bucket, np.arange(BUCKETS + 1)), language.astype(np.int32), weights[bucket, language], temperature)
+
 
 @lru_cache(1)
 def letters() -> np.ndarray:
@@ -137,12 +156,11 @@ def held_out(key: str):
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, penalties: Penalties = Penalties()) -> Model:
     """Learns from text and non-null lang of the rows that are not held out."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
     def frequencies(batches):
         df, seen = np.zeros(BUCKETS + 1, np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             for body in batch.column(0).to_pylist():
                 counts = ngram_counts(body)
                 if counts is not None:
@@ -159,29 +177,30 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     counts = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_ALL // 2).collect())
     languages = sorted(counts)
     if not languages:
-        return Model([], idf, np.zeros((BUCKETS, 0)), 1.0)
+        return model_of([], idf, np.zeros((BUCKETS, 0)), 1.0)
     each = min(sample, max(2, SAMPLE_ALL // len(languages)))
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.3 * each / n))))
     h = F.xxhash64(F.col("id").cast("string"))
-    some = rows.withColumn("h", h).where(F.pmod("h", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003).orderBy("h", "text").limit(2 * each * len(languages))
+    some = rows.withColumn("h", h).where(F.pmod("h", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
 
     def sparse(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [ngram_counts(x) for x in batch.column("text").to_pylist()]
             at = [None if c is None else np.flatnonzero(c) for c in found]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("lang"),
-                    batch.column("h"),
+                    *(batch.column(c) for c in ("lang", "h", "t")),
                     pa.array([None if a is None else a.astype("<u2").tobytes() for a in at], pa.binary()),
                     pa.array([None if a is None else c[a].astype("<u4").tobytes() for a, c in zip(at, found)], pa.binary()),
                 ],
-                names=["lang", "h", "at", "n"],
+                names=["lang", "h", "t", "at", "n"],
             )
 
+    counted = some.select("lang", "h", F.xxhash64("text").alias("t"), "text").mapInArrow(sparse, "lang string, h bigint, t bigint, at binary, n binary")
+    counted = counted.where("at IS NOT NULL").orderBy("h", "t").limit(2 * each * len(languages))  # counts of n-grams, not texts
     train, kept, used = [], [], dict.fromkeys(languages, 0)
-    for row in some.select("lang", "h", "text").mapInArrow(sparse, "lang string, h bigint, at binary, n binary").toLocalIterator():
-        if row.at is None or used[row.lang] >= each:
+    for row in counted.toLocalIterator():
+        if used[row.lang] >= each:
             continue
         used[row.lang] += 1
         c = np.zeros(BUCKETS, np.int64)
@@ -189,7 +208,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         (kept if row.h // 7 % 5 == 0 else train).append((*features(c, idf), languages.index(row.lang)))
     weights = fit_weights(train, len(languages), penalties)
     logits = np.array([x @ weights[at] for at, x, _ in kept]).reshape(len(kept), len(languages))
-    return Model(languages, idf, weights, fit_temperature(logits, np.array([y for _, _, y in kept], np.int64)))
+    return model_of(languages, idf, weights, fit_temperature(logits, np.array([y for _, _, y in kept], np.int64)))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -197,14 +216,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text", label: str = "lan
 
     Only the text is used. Null texts, texts without letters, and all texts if nothing was learned: ``und``, score 0.
     """
-    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in (label, score)]
     rows = docs.select(*(F.col(f"`{c}`") for c in kept))
 
     def run(batches):
         m = shipped.value
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = [], []
             for body in batch.column(text).to_pylist():
                 counts = ngram_counts(body) if m.languages else None
@@ -213,7 +231,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", label: str = "lan
                     scores.append(0.0)
                     continue
                 at, x = features(counts, m.idf)
-                p = softmax(x @ m.weights[at] / m.temperature)
+                p = softmax(m.logits(at, x))
                 best = int(p.argmax())
                 names.append(m.languages[best])
                 scores.append(float(p[best]))

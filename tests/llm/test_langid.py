@@ -1,5 +1,6 @@
 """Language identification: held-out accuracy, calibration, and what must not matter."""
 
+import math
 import zlib
 
 import numpy as np
@@ -27,7 +28,47 @@ def test_labels_of_held_out_rows_do_not_matter(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     changed = docs.withColumn("lang", F.when(langid.held_out("doc_id"), F.lit("xx")).otherwise(F.col("lang"))).withColumn("text", F.when(langid.held_out("doc_id"), F.lit("zzz")).otherwise(F.col("text")))
     a, b = langid.fit(docs), langid.fit(changed)
-    assert a.languages == b.languages and (a.weights == b.weights).all() and (a.idf == b.idf).all() and a.temperature == b.temperature
+    assert a.languages == b.languages and all((getattr(a, k) == getattr(b, k)).all() for k in ("weight", "language", "starts", "idf")) and a.temperature == b.temperature
+
+
+def plain_prediction(text, model):
+    """The language and its probability, n-gram by n-gram in plain Python."""
+    whole = (1 << 64) - 1
+    chars = [c if c.isalpha() else " " for c in (text or "").lower()]
+    if not any(c != " " for c in chars):
+        return "und", 0.0
+    kept = [32, 32] + [ord(c) for i, c in enumerate(chars) if c != " " or (i and chars[i - 1] != " ")]
+    found = {}
+
+    def hashed(n, p):  # of the n characters that end at p
+        if n == 1:
+            return kept[p] * 0x9E3779B97F4A7C15 & whole
+        return ((hashed(n - 1, p - 1) ^ hashed(n - 1, p) >> 31) * 0xD6E8FEB86659FD93 + kept[p] * (2 * n + 1)) & whole
+
+    for p in range(2, len(kept)):
+        for n in (1, 2, 3):
+            b = (hashed(n, p) * 0xFF51AFD7ED558CCD & whole) >> 64 - langid.BUCKETS_LOG2
+            found[b] = found.get(b, 0) + 1
+    x = {b: math.log(1 + n) * model.idf[b] for b, n in found.items()}
+    length = math.sqrt(sum(v * v for v in x.values()))
+    z = [0.0] * len(model.languages)
+    for b, v in x.items():
+        for i in range(model.starts[b], model.starts[b + 1]):
+            z[model.language[i]] += v / length * model.weight[i] / model.temperature
+    p = [math.exp(v - max(z)) for v in z]
+    return model.languages[z.index(max(z))], max(p) / sum(p)
+
+
+def test_query_against_plain_loops(spark, sf_dir, monkeypatch):
+    models, fit = [], langid.fit
+    monkeypatch.setattr(langid, "fit", lambda *a: models.append(fit(*a)) or models[-1])
+    found = {r.doc_id: r for r in langid.op1_langid(spark, sf_dir).collect()}
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    rows = sorted(rows, key=lambda r: len(r.text or ""))[: len(rows) * 3 // 4]
+    assert len(rows) > 100
+    for r in rows:
+        lang, score = plain_prediction(r.text, models[0])
+        assert found[r.doc_id].lang_pred == lang and found[r.doc_id].score == pytest.approx(score, rel=1e-9)
 
 
 def test_edges(spark):
