@@ -1,45 +1,56 @@
 """Language-model scores of whole texts: a smoothed unigram over words, and causal self-attention over subword ids.
 
-Words are lower-cased (A-Z); each is encoded by the byte-level tokenizer, a text is the ids of its words and an end.
-The attention model predicts the class of the next id (classes of about equal mass in the training texts), and an id
-within its class has its add-one share there, so probabilities of all ids add up to one. Windows of WINDOW ids overlap:
-each begins STRIDE ids after the last one, and an id is scored in the first window that reaches it.
-
-From the corpus come the counts of all training words (partial sums in tasks, then a shuffle; ids are counted from
-the distinct words), and all training windows: the ids of each training text with its end, cut every WINDOW ids, the last
-window of a text as short as it is. Windows are dealt to lanes; each lane trains its own copy from common
-weights, the copies are averaged in a tree, and that is done ROUNDS times.
-
-Scoring reads each text once. The TOP most frequent words are sent to the tasks with their counts; other words leave
-as one row for each text and word, are joined with the counts by a shuffle, and come back as sums for each text.
+Words are lower-cased (A-Z); a text is its words with a space before each, encoded to byte-level ids, and an end. The
+attention model predicts the class of the next id: first one of GROUPS, then one of MEMBERS in it, each by a softmax over
+what attention found. Classes have about equal mass in the training texts, so a frequent id is a class of its own; among
+the ids of one class each has its add-one share, so probabilities of all ids add up to one. Windows of WINDOW ids
+overlap: each begins STRIDE ids after the last one, and an id is scored in the first window that reaches it.
+
+prepare() reads the texts once and writes a table: of each text its words and ids, and of the training texts the words
+that a task has counted. Everything else reads that table: word counts (partial sums, then a shuffle), id counts,
+training and scores. Training takes all ids of all training texts, ends included, each as a target once; short windows
+are padded and masked. Each task trains its own copy from common weights where the ids lie, on one of ROUNDS shares of
+the texts; the copies are averaged in a tree, and that is done ROUNDS times. Batches pass by, none is held. What is
+learned depends a little on how the table is split, as in any such training; counts and base scores do not.
+
+Scoring sends the TOP most frequent words to the tasks with their counts; other words leave as one row each, are joined
+with the counts by a shuffle, and come back as sums for each text.
+
+Null and empty texts are only an end. Texts of any length are read whole. Repeated rows are counted, trained on and
+scored as often as they come. A null key counts as the empty text where rows are held out. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import ctypes
 import math
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+import tiktoken
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noctua.llm import bpe
-from noctua.llm.common import cut, small_batches, table
+from noctua.llm.common import cut, shared_folder, slices, stored, table
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+#: A word with the space before it; pieces of longer words are encoded on their own, so no word is slow.
+PIECE = " ?[^ ]{1,64}"
 #: Words whose counts tasks hold, at most: about 50 MB in a worker.
 TOP = 300_000
-#: Distinct words that a counting task holds before it passes them on.
-HELD = 400_000
-CLASSES, OWN_ROWS, WIDTH, WINDOW, STRIDE = 64, 1024, 16, 32, 24
-#: Windows of a lane, about; from LANES lanes on up to MOST_WINDOWS, and only then more lanes; copies averaged at once.
-LANE_WINDOWS, LANES, MOST_WINDOWS, FAN_IN = 4096, 1000, 65_536, 64
-ROUNDS, BATCH, RATE_OF_STEP = 3, 64, 0.01
-#: Words that a worker keeps, at most.
-KEEP_WORDS = 900_000
+#: Distinct words that a task knows before it passes their counts on and begins anew.
+HELD = 250_000
+GROUPS, MEMBERS, OWN_ROWS, WIDTH, WINDOW, STRIDE = 8, 20, 1024, 16, 32, 28
+CLASSES = GROUPS * MEMBERS
+#: Rounds of training, windows of a step, size of the first steps and steps after which it is halved; copies averaged at once.
+ROUNDS, BATCH, RATE_OF_STEP, HALVED, FAN_IN = 3, 256, 0.02, 500, 64
+#: Windows that are scored at once.
+AT_ONCE = 256
 END_OF_WORDS = b""  # no word is empty
 
 
@@ -55,7 +66,7 @@ class Counts:
         return math.log10(self.total + self.distinct + 1)
 
 
-def held_out(key: str):
+def held_out(key: str) -> Column:
     """Rows of which crc32(key as text) mod 7 is 2; a null key counts as the empty text."""
     return (F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % 7) == 2
 
@@ -64,62 +75,142 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def count_words(texts: DataFrame) -> Counts:
-    """Counts of all words of a table with the one column text; each text also has one end, which is a token."""
+class Coder:
+    """The byte-level tokenizer of some ranks. The id after the last rank is the end of a text."""
 
-    def run(batches):
-        held: Counter = Counter()
-        texts = 0
-        for batch in batches:
-            for body in batch.column(0).to_pylist():
-                held.update(words_of(body))
-                texts += 1
-            if len(held) > HELD:
-                yield from rows(held)
-                held.clear()
-        held[END_OF_WORDS] = texts
-        yield from rows(held)
-
-    def rows(held):
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-
-    words = cut(texts.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"))
-    total, distinct, ends = words.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("word") == F.lit(END_OF_WORDS), F.col("c")))).first()
-    return Counts(words, total or 0, distinct, ends or 0)
+    def __init__(self, ranks: dict[bytes, int]):
+        self.library = tiktoken.Encoding("ranks", pat_str=PIECE, mergeable_ranks=ranks, special_tokens={})
+        self.end = max(ranks.values()) + 1
+        self.kind = kind_of(self.end)
+        self.lengths = np.zeros(self.end, np.int64)
+        for token, i in ranks.items():
+            self.lengths[i] = len(token)
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        """The ids of a text's words, each with the space before it."""
+        return np.array(self.library.encode_ordinary(b"".join(b" " + w for w in words).decode()), np.int64)
+
+
+def kind_of(end: int) -> str:
+    return "<u2" if end < 1 << 16 else "<u4"
+
+
+_CODERS: dict[int, Coder] = {}
 
 
-class WordCoder(bpe.ByteBpe):
-    """Subword ids of words, each with the space before it; further facts of a word are kept beside them."""
+def coder_of(ranks: dict[bytes, int]) -> Coder:
+    """The worker's coder of these ranks, used by its later tasks again."""
+    key = hash(frozenset(ranks.items()))
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = Coder(ranks)
+    return _CODERS[key]
 
-    keep_asked = True
 
-    def __init__(self, model: str, top: dict[bytes, int] | None = None):
-        self.top = top or {}
-        super().__init__(model, public_tokenizers.PATTERN)
+class Words(dict):
+    """Numbers words in the order in which they are first asked for; each is encoded once, and counted."""
 
-    def forget(self) -> None:
-        super().forget()
-        self.spaced = bpe.Numbered(self.asked, b" ")
-        self.counts = np.empty(0, np.int64)
+    def __init__(self, coder: Coder):
+        super().__init__()
+        self.coder, self.asked, self.counts = coder, [], np.zeros(0, np.int64)
+        self.flat, self.starts, self.sizes = np.zeros(0, coder.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def pretokens(self, unit: bytes) -> list[str]:
-        return super().pretokens(unit.decode())
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.asked)
+        self.asked.append(word)
+        return number
 
-    def learn(self) -> None:
-        new = self.asked[self.done :]
-        super().learn()
-        self.counts = np.concatenate([self.counts, np.array([self.top.get(w[1:], -1) for w in new], np.int64)])
+    def encode_new(self) -> None:
+        new = self.asked[len(self.sizes) :]
+        ids = self.coder.ids(new)
+        ends = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)) + 1)
+        cuts = np.searchsorted(np.cumsum(self.coder.lengths[ids]), ends, "right")  # no token crosses words
+        sizes = np.diff(cuts, prepend=0)
+        self.starts = np.concatenate([self.starts, len(self.flat) + cuts - sizes])
+        self.flat = np.concatenate([self.flat, ids.astype(self.coder.kind)])
+        self.sizes = np.concatenate([self.sizes, sizes])
 
-    def numbers_of(self, words: list[list[bytes]]) -> list[np.ndarray]:
-        if len(self.asked) > KEEP_WORDS:
-            self.forget()
-        found = [np.fromiter(map(self.spaced.__getitem__, w), np.int64, len(w)) for w in words]
-        if self.done < len(self.asked):
-            self.learn()
+    def numbers(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        found = [np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in texts]
+        if len(self.asked) > len(self.sizes):
+            self.encode_new()
         return found
 
-    def ids_of(self, numbers: np.ndarray) -> np.ndarray:
-        return self.flat[bpe.ragged(self.starts[numbers], self.sizes[numbers])].astype(np.int64)
+    def count(self, numbers: list[np.ndarray]) -> None:
+        new = np.bincount(np.concatenate([np.zeros(0, np.int64), *numbers]), minlength=len(self.asked))
+        new[: len(self.counts)] += self.counts
+        self.counts = new
+
+    def packed(self, numbers: list[np.ndarray]) -> list[bytes]:
+        """The ids of each text, and its end, as bytes."""
+        flat = np.concatenate([np.zeros(0, np.int64), *numbers])
+        sizes = self.sizes[flat]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        tokens = np.diff(before[np.cumsum([0, *map(len, numbers)])])
+        out = np.full(len(numbers) + before[-1], self.coder.end, self.coder.kind)
+        out[np.arange(before[-1]) + np.repeat(np.arange(len(numbers)), tokens)] = self.flat[bpe.ragged(self.starts[flat], sizes)]
+        data, ends = out.tobytes(), (np.cumsum(tokens + 1) * out.itemsize).tolist()
+        return [data[x:y] for x, y in zip([0, *ends], ends)]
+
+
+@dataclass(frozen=True)
+class Prepared:
+    rows: DataFrame  # texts: row, id, held_out, body, ids; counted words: word, n
+    size: int  # ids; the last one is the end
+
+    @property
+    def kind(self) -> str:
+        return kind_of(self.size - 1)
+
+    @property
+    def texts(self) -> DataFrame:
+        return self.rows.where("word IS NULL")
+
+
+ROW = "row bigint, id bigint, held_out boolean, body binary, ids binary, word binary, n bigint"
+
+
+def prepare(docs: DataFrame, key: str = "doc_id", text: str = "text", held: Column | None = None, ranks: dict[bytes, int] | None = None) -> Prepared:
+    """Words and ids of each text, and partial counts of the words of those not held out, as a table in the shared folder."""
+    spark = docs.sparkSession
+    ranks = ranks or bpe.read_ranks(public_tokenizers.path(RANKS))
+    shipped = spark.sparkContext.broadcast(ranks)
+    names = [x.split()[0] for x in ROW.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+
+    def run(batches):
+        row, texts = TaskContext.get().partitionId() << 40, 0
+        words = Words(coder_of(shipped.value))
+        for batch in slices(batches):
+            held, split = batch.column(1).to_pylist(), list(map(words_of, batch.column(2).to_pylist()))
+            numbers = words.numbers(split)
+            words.count([x for x, own in zip(numbers, held) if not own])
+            n, texts = len(held), texts + held.count(False)
+            columns = [pa.array(np.arange(row, row + n)), batch.column(0), batch.column(1), pa.array(list(map(b" ".join, split)), pa.binary()), pa.array(words.packed(numbers), pa.binary())]
+            row += n
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names=names)
+            if len(words) > HELD:
+                yield counted(words, texts)
+                words, texts = Words(words.coder), 0
+        yield counted(words, texts)
+
+    def counted(words: Words, texts: int):
+        some = np.flatnonzero(words.counts)
+        n = len(some) + 1
+        columns = [pa.array([END_OF_WORDS, *map(words.asked.__getitem__, some.tolist())], pa.binary()), pa.array([texts, *words.counts[some].tolist()], pa.int64())]
+        return pa.RecordBatch.from_arrays([*(pa.nulls(n, k) for k in kinds[:5]), *columns], names=names)
+
+    rows = docs.select(F.col(key).cast("bigint").alias("id"), (held_out(key) if held is None else held).alias("held_out"), F.col(text))
+    folder = shared_folder(spark, "lm")
+    rows.mapInArrow(run, ROW).write.option("compression", "snappy").parquet(folder)
+    return Prepared(spark.read.schema(ROW).parquet(folder), max(ranks.values()) + 2)
+
+
+def count_words(prepared: Prepared) -> Counts:
+    """Counts of all training words; each training text also has one end, which is a token."""
+    words = stored(prepared.rows.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "words")
+    total, distinct, ends = words.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("word") == F.lit(END_OF_WORDS), F.col("c")))).first()
+    return Counts(words, total or 0, distinct, ends or 0)
 
 
 @dataclass(frozen=True)
@@ -129,7 +220,7 @@ class Vocabulary:
     class_of: np.ndarray
     row_of: np.ndarray
     inner: np.ndarray
-    class_mass: np.ndarray
+    class_mass: np.ndarray  # logarithms; very low where a class has no id
 
     @property
     def end(self) -> int:
@@ -137,19 +228,28 @@ class Vocabulary:
 
 
 def vocabulary(counts: np.ndarray) -> Vocabulary:
-    """Classes of about equal mass, from the most frequent id on."""
+    """As many classes of about equal mass as there may be, from the most frequent id on."""
     order = np.argsort(-counts, kind="stable")
     mass = np.cumsum(counts[order] + 1e-9) - (counts[order] + 1e-9) / 2
-    ranked = np.minimum((mass / (counts.sum() + 1e-9 * len(counts)) * CLASSES).astype(np.int64), CLASSES - 1)
-    class_of, row_of = np.empty(len(counts), np.int64), np.empty(len(counts), np.int64)
+    mass /= counts.sum() + 1e-9 * len(counts)
+    for parts in range(2 * CLASSES, 0, -1):  # a frequent id takes the room of several classes, so there are more parts than classes
+        ranked = np.minimum((mass * parts).astype(np.int64), parts - 1)
+        ranked = np.cumsum(np.diff(ranked, prepend=ranked[0]) > 0)
+        if ranked[-1] < CLASSES:
+            break
+    class_of, row_of = np.empty(len(counts), np.int32), np.empty(len(counts), np.int32)
     class_of[order] = ranked
     row_of[order] = np.where(np.arange(len(counts)) < OWN_ROWS, np.arange(len(counts)), OWN_ROWS + ranked)
     sums, sizes = np.bincount(class_of, counts, CLASSES), np.bincount(class_of, minlength=CLASSES)
     inner = np.log((counts + 1) / (sums + sizes)[class_of])
-    return Vocabulary(class_of, row_of, inner.astype(np.float32), np.log((sums + sizes + 1) / (sums + sizes + 1).sum()).astype(np.float32))
+    share = np.where(sizes > 0, np.log(np.maximum(sums + sizes, 1) / (sums + sizes).sum()), -1e9)
+    return Vocabulary(class_of, row_of, inner.astype(np.float32), share.astype(np.float32))
 
 
-SHAPES = {"e": (OWN_ROWS + CLASSES, WIDTH), "p": (WINDOW, WIDTH), "w": (WIDTH, 3 * WIDTH), "o": (WIDTH, WIDTH), "u": (WIDTH, CLASSES), "b": (CLASSES,)}
+SHAPES = {
+    "e": (OWN_ROWS + CLASSES, WIDTH), "p": (WINDOW, WIDTH), "w": (WIDTH, 3 * WIDTH), "o": (WIDTH, WIDTH),
+    "u": (WIDTH, GROUPS), "b": (GROUPS,), "c": (GROUPS, WIDTH, MEMBERS), "d": (GROUPS, MEMBERS),
+}
 Weights = dict[str, np.ndarray]
 
 
@@ -166,103 +266,167 @@ def unpack(data: bytes) -> Weights:
 
 
 def fresh(vocab: Vocabulary, seed: int = 5) -> Weights:
-    """Small random weights; the bias is the classes' mass, so training starts from the unigram of classes."""
+    """Small random weights; the biases are the classes' mass, so training starts from the unigram of classes."""
     rng = np.random.default_rng(seed)
-    w = {k: (rng.standard_normal(s) * (0.3 if k in "ep" else s[0] ** -0.5 * 0.5)).astype(np.float32) for k, s in SHAPES.items() if k != "b"}
-    return w | {"b": vocab.class_mass.copy()}
-
+    w = {k: (rng.standard_normal(s) * (0.3 if k in "ep" else WIDTH**-0.5 * 0.5)).astype(np.float32) for k, s in SHAPES.items() if k not in "bd"}
+    mass = vocab.class_mass.reshape(GROUPS, MEMBERS)
+    return w | {"b": np.logaddexp.reduce(mass, axis=1), "d": mass.copy()}
 
-MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
-BACK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
+#: Which keys (last axis) a place may see.
+SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+def exponentials(z: np.ndarray, axis: int, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of z, and their sums over an axis, which is kept; those that are not seen are 0.
 
-def forward(w: Weights, rows: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Log probabilities of the next class at each place of each window (rows of the embedding), and what led there."""
+    Scores are small, so nothing is subtracted first; only where a sum has overflowed or vanished is that done.
+    """
+    with np.errstate(over="ignore"):
+        e = np.exp(z)
+    if seen is not None:
+        e *= seen
+    sums = (e.reshape(-1, e.shape[-1]) @ np.ones((e.shape[-1], 1), e.dtype)).reshape(*e.shape[:-1], 1) if axis == e.ndim - 1 else e.sum(axis=axis, keepdims=True)
+    if np.isfinite(sums).all() and (sums > 0).all():
+        return e, sums
+    z = z if seen is None else np.where(seen > 0, z, -np.inf)
+    e = np.exp(z - z.max(axis=axis, keepdims=True))
+    return e, e.sum(axis=axis, keepdims=True)
+
+
+def attend(w: Weights, rows: np.ndarray, skip: int = 0):
+    """What stands at each place of each window from ``skip`` on, after attention to it and what lies before it.
+
+    Returns the embedding, queries, keys, values, weights of attention and their sums, the mixture, the result.
+    """
     n, length = rows.shape
-    e = w["e"][rows] + w["p"][:length]
-    q, k, v = np.split(e @ w["w"], 3, axis=2)
-    s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + MASK[:length, :length]
-    s -= s.max(axis=2, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
-    h = s @ v
-    o = e + h @ w["o"]
-    z = o.reshape(-1, WIDTH) @ w["u"] + w["b"]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z, e, q, k, v, s, h, o
+    e = w["e"].take(rows.ravel(), axis=0).reshape(n, length, WIDTH)
+    e += w["p"][:length]
+    both = (e.reshape(-1, WIDTH) @ w["w"][:, WIDTH:]).reshape(n, length, 2 * WIDTH)
+    k, v = both[:, :, :WIDTH], both[:, :, WIDTH:]
+    own = np.ascontiguousarray(e[:, skip:]) if skip else e
+    q = (own.reshape(-1, WIDTH) @ (w["w"][:, :WIDTH] * e.dtype.type(WIDTH**-0.5))).reshape(own.shape)
+    a, sums = exponentials(q @ k.transpose(0, 2, 1), 2, SEEN[skip:length, :length])
+    h = a @ v
+    h /= sums
+    o = own.reshape(-1, WIDTH) + h.reshape(-1, WIDTH) @ w["o"]
+    return e, q, k, v, a, sums, h, o
+
+
+def by_group(classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of places by the group of their class, and each group with where it begins and ends in that order."""
+    groups = (classes // MEMBERS).astype(np.uint8)
+    order = np.argsort(groups, kind="stable")
+    cuts = np.cumsum(np.bincount(groups, minlength=GROUPS)).tolist()
+    return order, [(j, a, b) for j, (a, b) in enumerate(zip([0, *cuts], cuts)) if a < b]
+
+
+def shares(w: Weights, o: np.ndarray, order: np.ndarray, parts: list[tuple[int, int, int]]) -> tuple[np.ndarray, ...]:
+    """Exponentials for the groups at each place (group, place) and for the members of its group (member, place in order).
+
+    Also their sums, and the places in order.
+    """
+    first = w["u"].T @ o.T
+    first += w["b"][:, None]
+    sorted_o, second = o.take(order, axis=0), np.empty((MEMBERS, len(o)), o.dtype)
+    turned = np.ascontiguousarray(sorted_o.T)
+    for j, a, b in parts:
+        np.matmul(w["c"][j].T, turned[:, a:b], out=second[:, a:b])
+        second[:, a:b] += w["d"][j][:, None]
+    return *exponentials(first, 0), *exponentials(second, 0), turned
 
 
 def log_next(w: Weights, rows: np.ndarray, classes: np.ndarray, skip: int = 0) -> np.ndarray:
-    """What forward() gives for the classes that follow, from place ``skip`` of each window on, and no more.
+    """Log probabilities of the classes that follow, from place ``skip`` of each window on; earlier places are only seen."""
+    o, y = attend(w, rows, skip)[-1], classes.ravel()
+    order, parts = by_group(y)
+    first, sums, second, sums2, _ = shares(w, o, order, parts)
+    place = np.arange(len(y))
+    p = first[y // MEMBERS, place] / sums[0]
+    p[order] *= second[(y % MEMBERS)[order], place] / sums2[0]
+    return np.log(np.maximum(p, np.finfo(p.dtype).tiny)).reshape(classes.shape)
 
-    Earlier places are only looked at. Exponents are bounded instead of shifted.
+
+def gradient(w: Weights, rows: np.ndarray, targets: np.ndarray, loss: bool = True) -> tuple[float, Weights]:
+    """Mean cross-entropy of the classes that follow (0 if not asked for), and its gradient.
+
+    Places of which the target is negative do not count.
     """
-    n, length = rows.shape
-    e = w["e"][rows] + w["p"][:length]
-    k, v = (x.reshape(n, length, WIDTH) for x in (e.reshape(-1, WIDTH) @ w["w"][:, WIDTH : 2 * WIDTH], e.reshape(-1, WIDTH) @ w["w"][:, 2 * WIDTH :]))
-    e = np.ascontiguousarray(e[:, skip:])
-    q = e.reshape(-1, WIDTH) @ (w["w"][:, :WIDTH] * e.dtype.type(WIDTH**-0.5))
-    s = q.reshape(n, length - skip, WIDTH) @ k.transpose(0, 2, 1)
-    np.minimum(s, 60, out=s)
-    np.exp(s, out=s)
-    s *= BACK[skip:length, :length]
-    h = s @ v
-    h /= s.sum(axis=2, keepdims=True)
-    o = e.reshape(-1, WIDTH) + h.reshape(-1, WIDTH) @ w["o"]
-    z = o @ w["u"]
-    z += w["b"]
-    np.clip(z, -60, 60, out=z)
-    own = z[np.arange(len(z)), classes.ravel()]
-    np.exp(z, out=z)
-    return (own - np.log(z.sum(axis=1))).reshape(n, length - skip)
-
-
-def gradient(w: Weights, rows: np.ndarray, targets: np.ndarray) -> tuple[float, Weights]:
-    """Mean cross-entropy of the classes that follow, and its gradient. Places of which the target is negative do not count."""
-    z, e, q, k, v, a, h, o = forward(w, rows)
-    y, flat = targets.ravel(), lambda x: x.reshape(-1, x.shape[-1])
-    at = np.flatnonzero(y >= 0)
-    m = max(len(at), 1)
-    loss = -z[at, y[at]].sum() / m
-    dz = np.exp(z)
-    dz[at, y[at]] -= 1
-    dz[y < 0] = 0
-    dz /= m
-    g = {"u": flat(o).T @ dz, "b": dz.sum(axis=0)}
-    do = (dz @ w["u"].T).reshape(o.shape)
-    g["o"] = flat(h).T @ flat(do)
-    dh = do @ w["o"].T
-    da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    d = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh], axis=2)
+    e, q, k, v, a, sums, h, o = attend(w, rows)
+    flat = lambda x: x.reshape(-1, x.shape[-1])
+    counted = targets.ravel() >= 0
+    y, place, m = np.maximum(targets.ravel(), 0), np.arange(targets.size), max(int(counted.sum()), 1)
+    order, parts = by_group(y)
+    first, total, second, total2, turned = shares(w, o, order, parts)
+    group, member = y // MEMBERS, (y % MEMBERS)[order]
+    first /= total
+    second /= total2
+    counted2, entropy = counted[order], 0.0
+    if loss:
+        entropy = -sum(np.log(np.maximum(p, 1e-37))[c].sum() for p, c in ((first[group, place], counted), (second[member, place], counted2))) / m
+    first[group, place] -= 1
+    second[member, place] -= 1
+    first *= (counted / m).astype(o.dtype)
+    second *= (counted2 / m).astype(o.dtype)
+    g = {"u": o.T @ first.T, "b": first.sum(axis=1), "c": np.zeros_like(w["c"]), "d": np.zeros_like(w["d"])}
+    back = np.empty_like(turned)
+    for j, x, z in parts:
+        part = second[:, x:z]
+        np.matmul(w["c"][j], part, out=back[:, x:z])
+        np.matmul(turned[:, x:z], part.T, out=g["c"][j])
+        part.sum(axis=1, out=g["d"][j])
+    own = np.empty_like(order)
+    own[order] = place
+    do = first.T @ w["u"].T
+    do += np.ascontiguousarray(back.T).take(own, axis=0)
+    g["o"] = flat(h).T @ do
+    dh = (do @ w["o"].T).reshape(h.shape)
+    dh /= sums  # the weights of attention are not divided by their sums
+    ds = dh @ v.transpose(0, 2, 1)
+    ds -= np.einsum("ijk,ijk->ij", dh, h)[:, :, None]
+    ds *= a
+    d = np.empty((*e.shape[:2], 3 * WIDTH), e.dtype)
+    np.matmul(ds, k, out=d[:, :, :WIDTH])
+    d[:, :, :WIDTH] *= e.dtype.type(WIDTH**-0.5)
+    np.matmul(ds.transpose(0, 2, 1), q, out=d[:, :, WIDTH : 2 * WIDTH])  # q is scaled already
+    np.matmul(a.transpose(0, 2, 1), dh, out=d[:, :, 2 * WIDTH :])
     g["w"] = flat(e).T @ flat(d)
-    de = do + d @ w["w"].T
-    g["p"] = de.sum(axis=0)
-    g["e"] = np.zeros_like(w["e"])
-    order = np.argsort(rows, axis=None, kind="stable")
-    own = rows.ravel()[order]
-    begins = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    g["e"][own[begins]] = np.add.reduceat(flat(de)[order], begins, axis=0)
-    return float(loss), g
-
-
-def train(w: Weights, rows: np.ndarray, targets: np.ndarray, step: float = RATE_OF_STEP) -> Weights:
-    """One pass over the windows in batches, with moment estimates (Adam) and a step that falls to a tenth."""
-    w = {k: x.copy() for k, x in w.items()}
-    first, second = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    batches = range(0, len(rows), BATCH)
-    for t, i in enumerate(batches, 1):
-        _, g = gradient(w, rows[i : i + BATCH], targets[i : i + BATCH])
-        rate = step * (1 - 0.9 * (t - 1) / len(batches))
-        for k in w:
-            first[k] += 0.1 * (g[k] - first[k])
-            second[k] += 0.01 * (g[k] ** 2 - second[k])
-            w[k] -= (rate * first[k] / (1 - 0.9**t) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-    return w
-
-
-def score_batch(w: Weights, vocab: Vocabulary, texts: list[np.ndarray], at_once: int = 256) -> np.ndarray:
+    de = do + flat(d) @ w["w"].T
+    g["p"] = de.reshape(e.shape).sum(axis=0)
+    at = rows.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+    g["e"] = np.bincount(at.ravel(), de.ravel(), w["e"].size).reshape(w["e"].shape).astype(e.dtype)
+    return float(entropy), g
+
+
+class Learner:
+    """A copy of the weights in training, by moment estimates (Adam) with a falling step."""
+
+    def __init__(self, w: Weights, rate: float = RATE_OF_STEP):
+        self.w, self.rate, self.t, self.targets = {k: x.copy() for k, x in w.items()}, rate, 0, 0
+        self.first, self.second = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+
+    def learn(self, rows: np.ndarray, targets: np.ndarray) -> None:
+        """One pass over some windows, BATCH at a step."""
+        for i in range(0, len(rows), BATCH):
+            self.t += 1
+            self.targets += int((targets[i : i + BATCH] >= 0).sum())
+            rate = self.rate / (1 + self.t / HALVED)
+            up, down = rate / (1 - 0.9**self.t), 1 / (1 - 0.99**self.t)
+            for k, g in gradient(self.w, rows[i : i + BATCH], targets[i : i + BATCH], False)[1].items():
+                first, second = self.first[k], self.second[k]
+                first += 0.1 * (g - first)
+                g *= g
+                second += 0.01 * (g - second)
+                self.w[k] -= (up * first / (np.sqrt(second * down) + 1e-8)).astype(np.float32)
+
+
+def keep_memory() -> None:
+    """Has the C library keep what numpy frees: arrays of some 100 KB are made anew at every step, and their pages with them."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        mallopt(-1, 128 << 20)  # M_TRIM_THRESHOLD
+        mallopt(-3, 64 << 20)  # M_MMAP_THRESHOLD
+
+
+def score_batch(w: Weights, vocab: Vocabulary, texts: list[np.ndarray], at_once: int = AT_ONCE) -> np.ndarray:
     """log10 of the probability of each text, given as ids that finish with the end."""
     lengths = np.array([len(x) for x in texts], np.int64)
     if not len(lengths):
@@ -275,125 +439,111 @@ def score_batch(w: Weights, vocab: Vocabulary, texts: list[np.ndarray], at_once:
     text = np.repeat(np.arange(len(texts)), n)
     offset = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
     start, left = begins[text] + offset, lengths[text] - offset
-    total = np.zeros(len(texts))
-    rows, classes, inner = vocab.row_of[inputs], vocab.class_of[targets], vocab.inner[targets]
+    total = np.add.reduceat(vocab.inner[targets].astype(np.float64), begins)
+    rows = sliding_window_view(np.append(vocab.row_of[inputs], np.zeros(WINDOW, np.int32)), WINDOW)
+    classes = np.append(vocab.class_of[targets], np.zeros(WINDOW, np.int32))
     for later in (False, True):  # all places of the first window of a text, the last STRIDE of the others
         skip = (WINDOW - STRIDE) * later
+        ahead = sliding_window_view(classes[skip:], WINDOW - skip)
         own = np.flatnonzero((offset > 0) == later)
         for i in range(0, len(own), at_once):
             some = own[i : i + at_once]
-            at = np.minimum(start[some][:, None] + np.arange(WINDOW), len(targets) - 1)
-            counted = np.arange(skip, WINDOW) < left[some][:, None]
-            logs = log_next(w, rows[at], classes[at[:, skip:]], skip) + inner[at[:, skip:]]
-            total += np.bincount(text[some], np.where(counted, logs, 0).sum(axis=1, dtype=np.float64), len(texts))
+            logs = log_next(w, rows[start[some]], ahead[start[some]], skip)
+            logs *= np.arange(skip, WINDOW) < left[some][:, None]
+            total += np.bincount(text[some], logs.sum(axis=1, dtype=np.float64), len(texts))
     return total / math.log(10)
 
 
 @dataclass(frozen=True)
 class Model:
-    tokenizer: str
     vocab: Vocabulary
     weights: bytes
 
 
-def id_counts(counts: Counts, tokenizer: str) -> np.ndarray:
-    """How often each subword id comes in the training texts, from the distinct words; last, the end."""
-    shipped = counts.words.sparkSession.sparkContext.broadcast(tokenizer)
+def id_counts(prepared: Prepared) -> np.ndarray:
+    """How often each id comes in the training texts; last, the end."""
+    size, kind = prepared.size, prepared.kind
 
     def run(batches):
-        coder = WordCoder(shipped.value)
-        sums = np.zeros(len(coder.bytes_of) + 1, np.int64)
-        for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            numbers = coder.numbers_of([words])[0]
-            sums[:-1] += np.bincount(coder.ids_of(numbers), np.repeat(n, coder.sizes[numbers]), len(sums) - 1).astype(np.int64)
-            coder.forget()
+        sums = np.zeros(size, np.int64)
+        for batch in slices(batches):
+            sums += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=size)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["id", "n"])
 
-    words = counts.words.where(F.col("word") != F.lit(END_OF_WORDS))
-    size = max(bpe.Tokenizer.from_str(tokenizer).get_vocab().values()) + 2
     found = np.zeros(size, np.int64)
-    for i, n in words.mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n")).toLocalIterator():
+    for i, n in prepared.texts.where("NOT held_out").select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n")).toLocalIterator():
         found[i] = n
-    found[-1] = counts.texts
     return found
 
 
-def windows_of(ids: np.ndarray) -> list[np.ndarray]:
-    """The ids of a text between two ends, cut so that each but the first is the target of one window."""
-    return [ids[i : i + WINDOW + 1] for i in range(0, len(ids) - 1, WINDOW)]
-
-
-def padded(windows: list[bytes], vocab: Vocabulary, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the embedding and targets (classes) of each window; behind its end the target is -1."""
-    sizes = np.array([len(x) for x in windows], np.int64) // np.dtype(kind).itemsize
-    flat = np.frombuffer(b"".join(windows), kind).astype(np.int64)
-    at = np.arange(WINDOW + 1) < sizes[:, None]
-    ids = np.full(at.shape, vocab.end)
-    ids[at] = flat
-    return vocab.row_of[ids[:, :-1]].astype(np.int32), np.where(at[:, 1:], vocab.class_of[ids[:, 1:]], -1).astype(np.int8)
-
-
-def fit(texts: DataFrame, counts: Counts, tokenizer: str) -> Model:
-    """Trains on all ids of all texts."""
-    spark = texts.sparkSession
-    found = id_counts(counts, tokenizer)
-    vocab = vocabulary(found)
-    shipped = spark.sparkContext.broadcast((tokenizer, vocab))
-    kind = "<u2" if len(found) <= 1 << 16 else "<i4"
-    n = int(found.sum()) // WINDOW + counts.texts  # a little more than there are
-    size = min(max(LANE_WINDOWS, n // LANES), MOST_WINDOWS)
-    lanes = max(1, -(-n // size))
-
-    def windows(batches):
-        coder, place = WordCoder(shipped.value[0]), TaskContext.get().partitionId() * 7919
-        for batch in batches:
-            out = []
-            for numbers in coder.numbers_of([words_of(x) for x in batch.column(0).to_pylist()]):
-                end = shipped.value[1].end
-                ids = np.concatenate([[end], coder.ids_of(numbers), [end]]).astype(kind)
-                out += [x.tobytes() for x in windows_of(ids)]
-            for i in range(0, len(out), 10_000):
-                some = out[i : i + 10_000]
-                lane = (place + i + np.arange(len(some))) % lanes
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array(lane, pa.int32())], names=["ids", "lane"])
-            place += len(out)
-
-    dealt = cut(texts.mapInArrow(windows, "ids binary, lane int").repartitionById(lanes, "lane"))
-    state = pack(fresh(vocab))
-    for turn in range(ROUNDS):
-
-        def learn(batches, state=state, turn=turn):
-            found, lane = [], 0
-            for batch in batches:
-                if batch.num_rows:
-                    lane = batch.column(1)[0].as_py()
-                    found += batch.column(0).to_pylist()
-            if found:
-                vocab = shipped.value[1]
-                rows, targets = padded(sorted(found), vocab, kind)
-                order = np.random.default_rng(turn).permutation(len(rows))
-                w = train(unpack(state), rows[order], targets[order], RATE_OF_STEP / (1 + turn))
-                yield pa.RecordBatch.from_pydict({"lane": [lane], "n": [int((targets >= 0).sum())], "w": [pack(w)]}, KIND)
-
-        def average(data: pa.Table) -> pa.Table:
-            n = data.column("n").to_numpy().astype(np.float64)
-            w = sum(np.frombuffer(x, "<f4") * share for x, share in zip(data.column("w").to_pylist(), n / n.sum()))
-            return pa.Table.from_pydict({"lane": [data.column("lane")[0].as_py()], "n": [int(n.sum())], "w": [w.astype("<f4").tobytes()]}, KIND)
-
-        copies, left = dealt.mapInArrow(learn, "lane bigint, n bigint, w binary"), lanes
-        while left > 1:
-            left = -(-left // FAN_IN)
-            copies = copies.withColumn("lane", F.floor(F.col("lane") / FAN_IN)).groupBy("lane").applyInArrow(average, "lane bigint, n bigint, w binary")
-        for row in copies.collect():  # one row
-            state = bytes(row.w)
-    return Model(tokenizer, vocab, state)
+def windows_of(texts: list[np.ndarray], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the embedding and targets (classes) of each window of WINDOW ids; each id of a text is a target once.
+
+    The last window of a text may be short: behind its end the target is -1.
+    """
+    lengths = np.array([len(x) for x in texts], np.int64)
+    ids = np.concatenate([np.empty(0, np.int64), *texts]).astype(np.int64)
+    own, begins, n = vocab.row_of[ids], np.cumsum(lengths) - lengths, -(-lengths // WINDOW)
+    inputs = np.concatenate([own[:1], own[:-1]])
+    inputs[begins] = vocab.row_of[vocab.end]
+    place = np.arange(len(ids)) + np.repeat(WINDOW * (np.cumsum(n) - n) - begins, lengths)
+    rows, targets = np.full(n.sum() * WINDOW, vocab.row_of[vocab.end], np.int32), np.full(n.sum() * WINDOW, -1, np.int32)
+    rows[place], targets[place] = inputs, vocab.class_of[ids]
+    return rows.reshape(-1, WINDOW), targets.reshape(-1, WINDOW)
 
 
 KIND = pa.schema([("lane", pa.int64()), ("n", pa.int64()), ("w", pa.binary())])
 
 
+def copies(texts: DataFrame, vocab: Broadcast, kind: str, state: bytes, turn: int) -> DataFrame:
+    """lane, n, w: a copy of the weights for each task, trained on all windows of its texts, n targets."""
+
+    def train(batches):
+        keep_memory()
+        learner = Learner(unpack(state), RATE_OF_STEP / (1 + turn))
+        for i, batch in enumerate(slices(batches)):
+            rows, targets = windows_of([np.frombuffer(x, kind) for x in batch.column(0).to_pylist()], vocab.value)
+            order = np.random.default_rng([turn, i]).permutation(len(rows))
+            learner.learn(rows[order], targets[order])
+        if learner.targets:
+            yield pa.RecordBatch.from_pydict({"lane": [TaskContext.get().partitionId()], "n": [learner.targets], "w": [pack(learner.w)]}, KIND)
+
+    return cut(texts.select("ids").mapInArrow(train, "lane bigint, n bigint, w binary"))
+
+
+def averaged(copies: DataFrame) -> DataFrame:
+    """One copy, or none: the average by targets, FAN_IN lanes at a time."""
+
+    def average(data: pa.Table) -> pa.Table:
+        n = data.column("n").to_numpy().astype(np.float64)
+        w = sum(np.frombuffer(x, "<f4") * share for x, share in zip(data.column("w").to_pylist(), n / n.sum()))
+        return pa.Table.from_pydict({"lane": [data.column("lane")[0].as_py()], "n": [int(n.sum())], "w": [w.astype("<f4").tobytes()]}, KIND)
+
+    left = (copies.agg(F.max("lane")).first()[0] or 0) + 1
+    while left > 1:
+        left = -(-left // FAN_IN)
+        copies = copies.withColumn("lane", F.floor(F.col("lane") / FAN_IN)).groupBy("lane").applyInArrow(average, "lane bigint, n bigint, w binary")
+    return copies
+
+
+def share(texts: DataFrame, turn: int, rounds: int) -> DataFrame:
+    """The texts of one round: each is in one."""
+    return texts.where(F.col("row") % rounds == turn)
+
+
+def fit(prepared: Prepared, rounds: int = ROUNDS) -> Model:
+    """Trains on all ids of all texts that are not held out, each as a target once."""
+    texts = prepared.texts.where("NOT held_out")
+    vocab = vocabulary(id_counts(prepared))
+    shipped = texts.sparkSession.sparkContext.broadcast(vocab)
+    state = pack(fresh(vocab))
+    for turn in range(rounds):
+        for row in averaged(copies(share(texts, turn, rounds), shipped, prepared.kind, state, turn)).collect():  # one row
+            state = bytes(row.w)
+    return Model(vocab, state)
+
+
 def most_frequent(words: DataFrame, most: int) -> DataFrame:
     """Words from the least count on, in steps of 1/16 of a power of two, that leaves at most so many: a filter, no sort."""
     level = F.floor(F.log2("c") * 16)
@@ -405,63 +555,67 @@ def most_frequent(words: DataFrame, most: int) -> DataFrame:
     return words.where(level >= least) if least is not None else words.limit(0)
 
 
-def score(docs: DataFrame, counts: Counts, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+class Logs(dict):
+    """log10(c + 1) of words whose count is known here; others are noted, and 0."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray):
+        super().__init__(zip(words, np.log10(counts + 1.0).tolist()))
+        self.missed: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> float:
+        self.missed.append(word)
+        return 0.0
+
+
+def score(prepared: Prepared, counts: Counts, model: Model) -> DataFrame:
     """id, held_out, n_tokens, n_known, base_score and score of each row. A null text is only an end."""
-    small_batches(docs.sparkSession, 500)
+    spark, kind = prepared.rows.sparkSession, prepared.kind
     words = counts.words.where(F.col("word") != F.lit(END_OF_WORDS))
-    top = most_frequent(words, TOP)
-    packed_words, packed_counts = [], []
-    for row in top.toLocalIterator():
-        packed_words.append(bytes(row.word))
-        packed_counts.append(row.c)
-    shipped = docs.sparkSession.sparkContext.broadcast((model, b" ".join(packed_words), np.array(packed_counts, np.int64)))
-    base, ends, complete = counts.base, counts.texts, len(packed_words) == counts.distinct - (counts.texts > 0)
-    del packed_words, packed_counts
-    names = ["row", "id", "held_out", "word", "n", "n_tokens", "n_known", "base_score", "score"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    top_words, top_counts = [], []
+    for row in most_frequent(words, TOP).toLocalIterator():
+        top_words.append(bytes(row.word))
+        top_counts.append(row.c)
+    shipped = spark.sparkContext.broadcast((model, b" ".join(top_words), np.array(top_counts, np.int64)))
+    base, ends, complete = counts.base, counts.texts, len(top_words) == counts.distinct - (counts.texts > 0)
+    del top_words, top_counts
+    schema = "row bigint, id bigint, held_out boolean, word binary, n_tokens bigint, n_known bigint, base_score double, score double"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
-        m, words, n = shipped.value
-        coder = WordCoder(m.tokenizer, dict(zip(words.split(), n.tolist())))
-        weights, row = unpack(m.weights), TaskContext.get().partitionId() << 40
-        for batch in batches:
-            numbers = coder.numbers_of([words_of(x) for x in batch.column(2).to_pylist()])
-            texts = [np.append(coder.ids_of(x), m.vocab.end) for x in numbers]
+        keep_memory()
+        m, packed, n = shipped.value
+        logs, weights = Logs(packed.split(), n), unpack(m.weights)
+        for batch in slices(batches):
+            row = batch.column(0).to_numpy()
+            texts = [np.frombuffer(x, kind).astype(np.int64) for x in batch.column(4).to_pylist()]
             scores = score_batch(weights, m.vocab, texts)
-            sums, rare = [], []
-            for i, own in enumerate(numbers):
-                c = coder.counts[own]
-                missing = c < 0
-                if complete:
-                    c, missing = np.maximum(c, 0), np.zeros(len(c), bool)
-                logs = np.log10(c[~missing] + 1.0).sum() + math.log10(ends + 1) - base * (len(own) + 1)
-                sums.append((row + i, None, len(own) + 1, int((c > 0).sum()) + (ends > 0), float(logs)))
-                if missing.any():
-                    at, times = np.unique(own[missing], return_counts=True)
-                    rare += [(row + i, coder.asked[a][1:], t) for a, t in zip(at.tolist(), times.tolist())]
-            k = len(rare)
-            r, w, t = zip(*rare) if rare else ((), (), ())
-            row_, _, tokens, known, logs = zip(*sums) if sums else ((),) * 5
+            sums, missed, tokens = [], [], []
+            for body in batch.column(3).to_pylist():
+                own = body.split()
+                before = len(logs.missed)
+                sums.append(math.fsum(map(logs.__getitem__, own)) + math.log10(ends + 1) - base * (len(own) + 1))
+                missed.append(len(logs.missed) - before)
+                tokens.append(len(own) + 1)
+            missed = np.array(missed, np.int64)
+            known = np.array(tokens, np.int64) - missed - (ends == 0)
             # a row for each text has a key of its own, no word: it holds a space
-            columns = [
-                [*row_, *r], [*batch.column(0).to_pylist(), *[None] * k], [*batch.column(1).to_pylist(), *[None] * k], [*(b" %d" % x for x in row_), *w],
-                [*[0] * len(sums), *t], [*tokens, *[0] * k], [*known, *[0] * k], [*logs, *[0.0] * k], [*scores.tolist(), *[0.0] * k],
-            ]
-            row += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], names=names)
-
-    rows = docs.select(F.col(key).cast("bigint").alias("id"), held_out(key).alias("held_out"), F.col(text)).mapInArrow(
-        run, "row bigint, id bigint, held_out boolean, word binary, n bigint, n_tokens bigint, n_known bigint, base_score double, score double"
-    )
-    joined = rows.join(counts.words, "word", "left")
+            keys = pa.array([b" %d" % x for x in row.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), keys, pa.array(tokens, pa.int64()), pa.array(known), pa.array(sums, pa.float64()), pa.array(scores)], names=names)
+            if not complete and len(logs.missed):
+                k = len(logs.missed)
+                blank = [pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.array(logs.missed, pa.binary()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row, missed)), *blank], names=names)
+            logs.missed.clear()
+
+    joined = prepared.texts.select("row", "id", "held_out", "body", "ids").mapInArrow(run, schema).join(counts.words, "word", "left")
     return (
         joined.groupBy("row")
         .agg(
             F.max("id").alias("id"),
             F.max("held_out").alias("held_out"),
             F.sum("n_tokens").alias("n_tokens"),
-            F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"),
-            F.sum(F.col("base_score") + F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("base_score"),
+            (F.sum("n_known") + F.count("c")).alias("n_known"),
+            (F.sum("base_score") + F.coalesce(F.sum(F.log10(F.col("c") + 1.0)), F.lit(0.0))).alias("base_score"),
             F.sum("score").alias("score"),
         )
         .drop("row")
@@ -470,10 +624,7 @@ def score(docs: DataFrame, counts: Counts, model: Model, key: str = "doc_id", te
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both scores of every whole text, learning from those not held out."""
-    docs = table(spark, sf_dir, "documents")
-    small_batches(spark)
-    texts = docs.where(~held_out("doc_id")).select("text")
-    counts = count_words(texts)
-    model = fit(texts, counts, bpe.model_from_file(public_tokenizers.path("byte_bpe_50k.json")))
-    found = score(docs, counts, model)
+    prepared = prepare(table(spark, sf_dir, "documents"))
+    counts = count_words(prepared)
+    found = score(prepared, counts, fit(prepared))
     return found.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(counts.total).alias("train_tokens"), "base_score", "score")

@@ -1,4 +1,4 @@
-"""Language-model scores: the base against brute force, the attention model by its gradient and on held-out texts."""
+"""Language-model scores: the base against brute force, the attention model by its gradient, against a plain loop, and on held-out texts."""
 
 import math
 import zlib
@@ -11,7 +11,7 @@ import pytest
 from noctua.llm import bpe, lm
 from tests.llm import edge
 
-TOKENIZER = bpe.model_from_file(P.path("byte_bpe_50k.json"))
+CODER = lm.coder_of(bpe.read_ranks(P.path(lm.RANKS)))
 
 
 def brute(rows):
@@ -26,10 +26,10 @@ def brute(rows):
         yield r.doc_id, held[id(r)], len(tokens), sum(counts[t] > 0 for t in tokens), n, sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in tokens)
 
 
-def scored(spark, docs):
-    texts = docs.where(~lm.held_out("doc_id")).select("text")
-    counts = lm.count_words(texts)
-    return lm.score(docs, counts, lm.fit(texts, counts, TOKENIZER)), counts
+def scored(docs):
+    prepared = lm.prepare(docs)
+    counts = lm.count_words(prepared)
+    return lm.score(prepared, counts, lm.fit(prepared)), counts
 
 
 @pytest.mark.parametrize("top, held", [(300_000, 400_000), (5, 10)])
@@ -38,7 +38,7 @@ def test_base_against_brute_force(spark, monkeypatch, top, held):
     monkeypatch.setattr(lm, "TOP", top)
     monkeypatch.setattr(lm, "HELD", held)
     docs = edge.documents(spark)
-    found, counts = scored(spark, docs)
+    found, counts = scored(docs)
     key = lambda r: (str(r[0]), r[2], r[5])
     own = sorted(((r.id, r.held_out, r.n_tokens, r.n_known, counts.total, r.base_score) for r in found.collect()), key=key)
     wanted = sorted(brute(docs.collect()), key=key)
@@ -47,15 +47,51 @@ def test_base_against_brute_force(spark, monkeypatch, top, held):
 
 
 def test_no_rows(spark):
-    found, counts = scored(spark, edge.documents(spark, empty=True))
+    found, counts = scored(edge.documents(spark, empty=True))
     assert found.count() == 0 and (counts.total, counts.distinct) == (0, 0)
-    # nothing learned: scores are those of the uniform start
-    empty = lm.count_words(edge.documents(spark, empty=True).select("text"))
-    model = lm.fit(edge.documents(spark, empty=True).select("text"), empty, TOKENIZER)
-    rows = lm.score(edge.documents(spark), empty, model).collect()
+    # nothing learned: scores are those of the start
+    empty = lm.prepare(edge.documents(spark, empty=True))
+    rows = lm.score(lm.prepare(edge.documents(spark)), lm.count_words(empty), lm.fit(empty)).collect()
     assert all(r.base_score == 0 and r.n_known == 0 and np.isfinite(r.score) and r.score < 0 for r in rows)
 
 
+def plain_log10(w, vocab, ids):
+    """The log10 probability of one text, place by place, in plain Python."""
+    width, row = lm.WIDTH, [int(vocab.row_of[i]) for i in [vocab.end, *ids[:-1]]]
+    turn = lambda x, m: [math.fsum(x[i] * float(m[i][j]) for i in range(width)) for j in range(len(m[0]))]
+    total = 0.0
+    for t, target in enumerate(ids):
+        window = 0 if t < lm.WINDOW else -(-(t + 1 - lm.WINDOW) // lm.STRIDE)
+        begin = window * lm.STRIDE
+        e = [[float(a) + float(b) for a, b in zip(w["e"][row[i]], w["p"][i - begin])] for i in range(begin, t + 1)]
+        q, keys, values = (turn(e[-1], w["w"][:, :width]), *([turn(x, w["w"][:, k * width : (k + 1) * width]) for x in e] for k in (1, 2)))
+        seen = [math.exp(sum(a * b for a, b in zip(q, k)) / math.sqrt(width)) for k in keys]
+        mixed = [sum(s * v[j] for s, v in zip(seen, values)) / sum(seen) for j in range(width)]
+        o = [a + b for a, b in zip(e[-1], turn(mixed, w["o"]))]
+        group, member = divmod(int(vocab.class_of[target]), lm.MEMBERS)
+        first = [math.exp(a + float(b)) for a, b in zip(turn(o, w["u"]), w["b"])]
+        second = [math.exp(a + float(b)) for a, b in zip(turn(o, w["c"][group]), w["d"][group])]
+        total += math.log10(first[group] / sum(first)) + math.log10(second[member] / sum(second)) + float(vocab.inner[target]) / math.log(10)
+    return total
+
+
+def test_query_against_plain_loops(spark, sf_dir, monkeypatch):
+    """The registered query: base against brute force, and the model that it fits against plain loops."""
+    models, fit = [], lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *a: models.append(fit(*a)) or models[-1])
+    found = {r.doc_id: r for r in lm.op10_lm_scores(spark, sf_dir).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert len(found) == len(docs)
+    for doc, held, tokens, known, n, base in brute(docs):
+        r = found[doc]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, tokens, known, n)
+        assert r.base_score == pytest.approx(base)
+    w, vocab = lm.unpack(models[0].weights), models[0].vocab
+    for r in sorted(docs, key=lambda r: len(r.text or ""))[:12] + sorted(docs, key=lambda r: len(r.text or ""))[60:66]:
+        ids = [*CODER.ids(lm.words_of(r.text)).tolist(), vocab.end]
+        assert found[r.doc_id].score == pytest.approx(plain_log10(w, vocab, ids), rel=1e-3)
+
+
 def tiny():
     rng = np.random.default_rng(0)
     vocab = lm.vocabulary(rng.integers(0, 50, 3000))
@@ -68,8 +104,8 @@ def test_gradient():
     rows, targets = rng.integers(0, 200, (2, 5)), rng.integers(0, lm.CLASSES, (2, 5))
     _, g = lm.gradient(w, rows, targets)
     for k in w:
-        at = tuple(rng.integers(0, s) for s in w[k].shape) if k != "e" else (rows[0, 1], 3)
-        at = (1, 3) if k == "p" else at
+        group, member = divmod(int(targets[0, 1]), lm.MEMBERS)
+        at = {"e": (rows[0, 1], 3), "p": (1, 3), "c": (group, 2, 5), "d": (group, member)}.get(k) or tuple(rng.integers(0, s) for s in w[k].shape)
         moved = []
         for step in (1e-5, -1e-5):
             other = {**w, k: w[k].copy()}
@@ -88,8 +124,17 @@ def test_probabilities_add_up_and_look_only_back():
     other[0, 4] = 7
     same = lm.log_next(w, rows, np.zeros((1, 6), int)) == lm.log_next(w, other, np.zeros((1, 6), int))
     assert same[0, :4].all() and not same[0, 4:].any()
-    z = lm.forward(w, rows)[0]
-    assert lm.log_next(w, rows, np.full((1, 6), 9))[0] == pytest.approx(z[:, 9], abs=1e-4)
+    assert lm.log_next(w, rows, np.full((1, 4), 9), 2)[0] == pytest.approx(lm.log_next(w, rows, np.full((1, 6), 9))[0, 2:], rel=1e-5)
+
+
+def test_classes_without_ids_have_no_probability():
+    """A few frequent ids take the room of several classes."""
+    vocab = lm.vocabulary(np.array([1000, 10, 5, 5, 1, 0, 0]))
+    w = lm.fresh(vocab)
+    used = np.unique(vocab.class_of)
+    assert len(used) < lm.CLASSES and (used == np.arange(len(used))).all()
+    every = np.exp([lm.log_next(w, np.zeros((1, 1), int), np.full((1, 1), c))[0, 0] for c in used])
+    assert every.sum() == pytest.approx(1, rel=1e-4)
 
 
 @pytest.mark.parametrize("n", [1, 31, 32, 33, 56, 57, 200])
@@ -97,48 +142,47 @@ def test_each_token_is_scored_once(n):
     vocab, w, rng = tiny()
     texts = [rng.integers(0, 3000, n), rng.integers(0, 3000, 40)]
     found = lm.score_batch(w, vocab, texts, at_once=3)
-    for ids, score in zip(texts, found):
-        inputs = vocab.row_of[np.concatenate([[vocab.end], ids[:-1]])]
-        total = 0.0
-        for t in range(len(ids)):
-            window = 0 if t < lm.WINDOW else -(-(t + 1 - lm.WINDOW) // lm.STRIDE)
-            start = window * lm.STRIDE
-            logs = lm.log_next(w, inputs[None, start : t + 1], vocab.class_of[ids[None, start : t + 1]])
-            total += float(logs[0, -1]) + float(vocab.inner[ids[t]])
-        assert score == pytest.approx(total / math.log(10), rel=1e-4)
+    assert found == pytest.approx([plain_log10(w, vocab, ids.tolist()) for ids in texts], rel=1e-4)
 
 
 def test_context_helps_on_held_out_texts(spark, sf_dir):
     """Against the same vocabulary without context."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    texts = docs.where(~lm.held_out("doc_id")).select("text")
-    counts = lm.count_words(texts)
-    model = lm.fit(texts, counts, TOKENIZER)
-    coder, w = lm.WordCoder(TOKENIZER), lm.unpack(model.weights)
-    held = [np.append(coder.ids_of(x), model.vocab.end) for x in coder.numbers_of([lm.words_of(r.text) for r in docs.where(lm.held_out("doc_id")).collect()])]
-    flat = {**w, "u": np.zeros_like(w["u"]), "b": model.vocab.class_mass}
-    assert lm.score_batch(w, model.vocab, held).sum() > lm.score_batch(flat, model.vocab, held).sum()
+    model = lm.fit(lm.prepare(docs))
+    w, vocab = lm.unpack(model.weights), model.vocab
+    held = [np.append(CODER.ids(lm.words_of(r.text)), vocab.end) for r in docs.where(lm.held_out("doc_id")).collect()]
+    mass = vocab.class_mass.reshape(lm.GROUPS, lm.MEMBERS)
+    flat = {**w, "u": np.zeros_like(w["u"]), "c": np.zeros_like(w["c"]), "b": np.logaddexp.reduce(mass, axis=1), "d": mass}
+    gained = (lm.score_batch(w, vocab, held).sum() - lm.score_batch(flat, vocab, held).sum()) / sum(map(len, held))
+    assert gained > 0.1
 
 
 def test_short_texts_train(spark):
     """A table of texts that are all shorter than a window is trained on, their ends included."""
-    texts = spark.createDataFrame([(f"{a} {b}",) for a, b in (("red", "apple"), ("green", "pear"), ("blue", "plum")) * 50], "text string")
-    counts = lm.count_words(texts)
-    model = lm.fit(texts, counts, TOKENIZER)
-    assert model.weights != lm.pack(lm.fresh(model.vocab))
-    coder = lm.WordCoder(TOKENIZER)
-    ids = [np.append(coder.ids_of(x), model.vocab.end) for x in coder.numbers_of([[b"red", b"apple"], [b"blue", b"plum"]])]
+    texts = [f"{a} {b}" for a, b in (("red", "apple"), ("green", "pear"), ("blue", "plum")) * 100]
+    model = lm.fit(lm.prepare(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    ids = [np.append(CODER.ids(x), model.vocab.end) for x in ([b"red", b"apple"], [b"blue", b"plum"])]
     start = lm.score_batch(lm.fresh(model.vocab), model.vocab, ids)
     assert (lm.score_batch(lm.unpack(model.weights), model.vocab, ids) > start).all()
 
 
+def test_rounds_share_the_windows(spark, sf_dir):
+    """Each id of each training text, and its end, is a target in one round and in one task."""
+    prepared = lm.prepare(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    counts = lm.id_counts(prepared)
+    vocab, texts = lm.vocabulary(counts), prepared.texts.where("NOT held_out")
+    shipped, state = spark.sparkContext.broadcast(vocab), lm.pack(lm.fresh(vocab))
+    taught = [lm.copies(lm.share(texts, turn, 3), shipped, prepared.kind, state, turn).agg({"n": "sum"}).first()[0] for turn in range(3)]
+    assert sum(taught) == counts.sum() and min(taught) > 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 30, 31, 32, 33, 63, 64, 100])
 def test_each_id_is_trained_on_once(n):
     vocab, _, rng = tiny()
-    ids = np.concatenate([[vocab.end], rng.integers(0, 3000, n), [vocab.end]]).astype("<u2")
-    rows, targets = lm.padded([x.tobytes() for x in lm.windows_of(ids)], vocab, "<u2")
-    assert targets[targets >= 0].tolist() == vocab.class_of[ids[1:]].tolist()
-    assert rows[targets >= 0].tolist() == vocab.row_of[ids[:-1]].tolist()
+    texts = [np.append(rng.integers(0, 3000, k), vocab.end) for k in (n, 5, n)]
+    rows, targets = lm.windows_of(texts, vocab)
+    assert targets[targets >= 0].tolist() == vocab.class_of[np.concatenate(texts)].tolist()
+    assert rows[targets >= 0].tolist() == [int(vocab.row_of[i]) for ids in texts for i in [vocab.end, *ids[:-1]]]
 
 
 def test_padding_has_no_gradient():
@@ -151,3 +195,19 @@ def test_padding_has_no_gradient():
     assert not padded_g["p"][5:].any()
     padded_g["p"] = padded_g["p"][:5]
     assert all(padded_g[k] == pytest.approx(g[k], rel=1e-3, abs=1e-6) for k in g)
+
+
+def test_long_words_and_unicode():
+    words = ["x" * 1000, "é🙂" * 200, "plain"]
+    ids = CODER.ids([w.encode() for w in words])
+    assert CODER.library.decode(ids.tolist()) == " " + " ".join(words)
+
+
+@pytest.mark.parametrize("texts", [[[]], [[], [b"one"], []], [[b"one", b"two", b"one"], [], [b"x" * 500, "é🙂".encode() * 90, b"two"]], []])
+def test_words_are_encoded_once_and_counted(texts):
+    words = lm.Words(CODER)
+    for some in (texts, texts):
+        numbers = words.numbers(some)
+        words.count(numbers)
+        assert [np.frombuffer(x, CODER.kind).tolist() for x in words.packed(numbers)] == [[*CODER.ids(t).tolist(), CODER.end] for t in some]
+    assert dict(zip(words.asked, words.counts.tolist())) == Counter(w for t in texts for w in t for _ in range(2))
