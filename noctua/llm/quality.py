@@ -3,10 +3,12 @@
 Two histograms of a document are compared with the reference of its language by the Jensen-Shannon distance (the
 square root of the divergence in bits, 0 to 1): character classes, and the language's most common words with all
 other words as one more bin. A document too short for a histogram is not judged by it. References are counted over
-all documents of a language. For large languages the common words are found exactly in two passes: a word that makes up
-a share of all words makes up that share of some task's words, so tasks report words from that share on, and only those
-are then counted everywhere; neither pass moves a vocabulary. Of all other languages, however many, the words are counted
-by a shuffle, and references meet the documents in a join.
+all documents of a language, however many or few: tasks count words and characters, and a shuffle adds them up. The
+references of large languages (a thousandth of the rows or more, so under a thousand) are sent to the tasks; those of
+all others meet their documents in a join.
+
+Null and empty texts have no words and fail the base rules; texts are read whole; repeated rows count and are judged as
+often as they come. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noctua.llm.common import small_batches, table
+from noctua.llm.common import cut, look_up, slices, stored, table
 
 SYMBOLS = b"#*$%&|<>"
 MARKS = b".,;:!?\"'()"
@@ -28,7 +30,7 @@ CLASSES = ("lower", "upper", "beyond_ascii", "digit", "blank", "break", "mark",
 SHARE, COMMON = 1 / 1000, 100
 #: A language is large if it is that of one in so many documents at least, so there are no more large languages than that.
 LANGUAGES = 1000
-#: Distinct words of small languages that a counting task holds before it passes them on.
+#: Distinct words that a counting task holds before it passes them on.
 HELD = 200_000
 
 
@@ -108,112 +110,56 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
 
 
 Reference = dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]
+WORD, CLASS, TEXT = 0, 1, 2
+COUNT = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("word", pa.binary()), ("n", pa.int64())])
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> Reference:
-    """Of each large language: the class histogram, the place of each common word, and the histogram of common words.
+def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """lang, texts, classes (histogram), words (the common ones), histogram (of them and all others) of each language.
 
-    Rows without a language do not count. At most LANGUAGES languages of COMMON words come to the driver.
+    Rows without a language or a text do not count.
     """
-    small_batches(docs.sparkSession)
     pairs = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
 
-    def counted(batches, keep):
-        classes, words = defaultdict(lambda: np.zeros(len(CLASSES), np.int64)), defaultdict(Counter)
-        for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = body.encode()
-                if keep is None:
-                    words[name].update(plain(data.lower().split()))
-                else:
-                    classes[name] += class_counts(data)
-                    known, found = keep.get(name, ()), plain(data.lower().split())
-                    words[name].update(w for w in found if w in known)
-                    words[name][b""] += len(found) - sum(w in known for w in found)
-            if keep is None:
-                for name, own in words.items():
-                    if len(own) > 1_000_000:  # what is rare in a million words of a task is counted from the next word on
-                        yield from common(name, own)
-                        own.clear()
+    def rows(words, classes, texts):
         for name, own in words.items():
-            if keep is None:
-                yield from common(name, own)
-            else:
-                yield name, own, classes[name]
-
-    def common(name, own):
-        least = SHARE * own.total()
-        yield name, [w for w, n in own.items() if n >= least and w], own.total()
-
-    def candidates(batches):
-        for name, found, _ in counted(batches, None):
-            yield pa.RecordBatch.from_pydict({"lang": [name] * len(found), "word": found}, pa.schema([("lang", pa.string()), ("word", pa.binary())]))
-
-    kinds = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
-    shares = pairs.groupBy("lang").count()
-    most = shares.agg(F.sum("count")).first()[0] or 0
-    large = {r.lang for r in shares.where(F.col("count") >= max(most / LANGUAGES, 1)).collect()}
-    found = pairs.mapInArrow(candidates, "lang string, word binary").distinct().where(F.col("lang").isin(list(large)) if large else F.lit(False))
-    keep = defaultdict(set)
-    for row in found.toLocalIterator():
-        keep[row.lang].add(bytes(row.word))
-    keep = dict(keep)
-
-    def totals(batches):
-        for name, own, classes in counted(batches, keep):
-            data = [(name, "word", w, n) for w, n in own.items()] + [(name, "class", CLASSES[i].encode(), int(n)) for i, n in enumerate(classes)]
-            yield pa.RecordBatch.from_pydict(dict(zip(kinds.names, map(list, zip(*data)))), kinds)
-
-    classes, words = defaultdict(lambda: np.zeros(len(CLASSES))), defaultdict(dict)
-    sums = pairs.where(F.col("lang").isin(list(large)) if large else F.lit(False)).mapInArrow(totals, "lang string, kind string, word binary, n bigint").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
-    for row in sums.toLocalIterator():
-        if row.kind == "class":
-            classes[row.lang][CLASSES.index(bytes(row.word).decode())] = row.n
-        else:
-            words[row.lang][bytes(row.word)] = row.n
-    result = {}
-    for name in classes:
-        own = words[name]
-        total = sum(own.values())
-        rest = own.pop(b"", 0)
-        ranked = sorted((w for w in own if own[w] >= SHARE * total), key=lambda w: (-own[w], w))[:COMMON]
-        rest += sum(n for w, n in own.items() if w not in set(ranked))
-        result[name] = (classes[name], {w: i for i, w in enumerate(ranked)}, np.array([*(own[w] for w in ranked), rest], float))
-    return result
-
-
-def small_references(docs: DataFrame, reference: Reference, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang, classes, words, histogram: what references() gives, of each language that is not in ``reference``."""
-    small_batches(docs.sparkSession)
-    pairs = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    pairs = pairs.where(~F.col("lang").isin(list(reference))) if reference else pairs
-
-    def rows(held):
-        names, kinds, words = zip(*held) if held else ((),) * 3
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(kinds, pa.bool_()), pa.array(words, pa.binary()), pa.array(held.values(), pa.int64())], names=["lang", "of_word", "word", "n"])
+            facts = [(CLASS, c.encode(), int(n)) for c, n in zip(CLASSES, classes[name])] + [(TEXT, b"", texts[name])]
+            kinds, keys, n = zip(*facts)
+            k = len(own)
+            columns = [[name] * (k + len(facts)), [WORD] * k + [*kinds], [*own, *keys], [*own.values(), *n]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, COUNT.types)], names=COUNT.names)
 
     def counted(batches):
-        held: Counter = Counter()
-        for batch in batches:
+        words, classes, texts = defaultdict(Counter), defaultdict(lambda: np.zeros(len(CLASSES), np.int64)), Counter()
+        for batch in slices(batches):
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = body.encode()
-                held.update((name, True, w) for w in plain(data.lower().split()))
-                for c, n in zip(CLASSES, class_counts(data).tolist()):
-                    held[name, False, c.encode()] += n
-                if len(held) > HELD:
-                    yield from rows(held)
-                    held.clear()
-        yield from rows(held)
-
-    sums = pairs.mapInArrow(counted, "lang string, of_word boolean, word binary, n bigint").groupBy("lang", "of_word", "word").agg(F.sum("n").alias("n"))
-    per_class = [F.sum(F.when(~F.col("of_word") & (F.col("word") == F.lit(c.encode())), F.col("n")).otherwise(0)) for c in CLASSES]
-    facts = sums.groupBy("lang").agg(F.array(*per_class).alias("classes"), F.sum(F.when(F.col("of_word"), F.col("n")).otherwise(0)).alias("total"))
-    common = sums.where("of_word AND length(word) > 0").join(facts.select("lang", "total"), "lang").where(F.col("n") >= SHARE * F.col("total"))
+                words[name].update(plain(data.lower().split()))
+                classes[name] += class_counts(data)
+                texts[name] += 1
+            if sum(map(len, words.values())) > HELD:
+                yield from rows(words, classes, texts)
+                words.clear(), classes.clear(), texts.clear()
+        yield from rows(words, classes, texts)
+
+    sums = stored(pairs.mapInArrow(counted, "lang string, kind int, word binary, n bigint").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n")), "references")
+    per_class = [F.sum(F.when((F.col("kind") == CLASS) & (F.col("word") == F.lit(c.encode())), F.col("n")).otherwise(0)) for c in CLASSES]
+    of_kind = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
+    facts = cut(sums.groupBy("lang").agg(F.array(*per_class).alias("classes"), of_kind(WORD).alias("total"), of_kind(TEXT).alias("texts"), F.count("*").alias("rows")))
+    words = sums.where((F.col("kind") == WORD) & (F.length("word") > 0)).select("lang", "word", "n")
+    common = look_up(words, facts.select("lang", "total", "rows"), "lang", "rows", sums.count()).where(F.col("n") >= SHARE * F.col("total"))  # under 1 / SHARE words a language
     common = common.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= COMMON)
     found = common.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "word", "n"))).alias("found"), F.sum("n").alias("covered"))
     both = facts.join(found, "lang", "left")
     bins = F.concat(F.coalesce("found.n", F.array().cast("array<bigint>")), F.array(F.col("total") - F.coalesce("covered", F.lit(0))))
-    return both.select("lang", "classes", F.coalesce("found.word", F.array().cast("array<binary>")).alias("words"), bins.alias("histogram"))
+    return cut(both.select("lang", "texts", "classes", F.coalesce("found.word", F.array().cast("array<binary>")).alias("words"), bins.alias("histogram")))
+
+
+def large_ones(found: DataFrame, languages: int = LANGUAGES) -> Reference:
+    """The references of the languages that have one in so many texts or more; there are no more than that."""
+    total = found.agg(F.sum("texts")).first()[0] or 0
+    rows = found.where(F.col("texts") >= max(total / languages, 1)).collect()
+    return {r.lang: (np.array(r.classes, float), {bytes(w): i for i, w in enumerate(r.words)}, np.array(r.histogram, float)) for r in rows}
 
 
 def judge(docs: DataFrame, reference: Reference, key: str = "doc_id", text: str = "text", lang: str = "lang", rules: Rules = Rules(), small: DataFrame | None = None) -> DataFrame:
@@ -224,7 +170,6 @@ def judge(docs: DataFrame, reference: Reference, key: str = "doc_id", text: str
     one of another language if ``small`` is not given. Without any reference only the base rules count. Distances are
     null where a histogram is not judged.
     """
-    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(reference)
     schema = "id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, class_distance double, word_distance double, kept boolean"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -251,12 +196,12 @@ def judge(docs: DataFrame, reference: Reference, key: str = "doc_id", text: str
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 9, kinds))], names=names)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             every = list(shipped.value.values())
             yield judged(batch, [[shipped.value[x]] if x in shipped.value else every for x in batch.column(2).to_pylist()])
 
     def run_small(batches):
-        for batch in batches:
+        for batch in slices(batches):
             known: dict = {}
             nears = []
             for name, c, w, h in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
@@ -275,7 +220,7 @@ def judge(docs: DataFrame, reference: Reference, key: str = "doc_id", text: str
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counters, divergences and verdict of every document."""
     docs = table(spark, sf_dir, "documents")
-    reference = references(docs)
-    others = docs.where(~F.col("lang").isin(list(reference))) if reference else docs
-    small = None if others.where("lang IS NOT NULL").isEmpty() else small_references(docs, reference)
-    return judge(docs, reference, small=small).withColumnRenamed("id", "doc_id")
+    found = references(docs)
+    large = large_ones(found)
+    small = found.where(~F.col("lang").isin(list(large))) if large else found
+    return judge(docs, large, small=None if small.isEmpty() else small).withColumnRenamed("id", "doc_id")

@@ -28,12 +28,12 @@ def test_counters(spark):
     phrase = "one two three four five six seven eight "
     extra = spark.createDataFrame([(900, phrase * 2 + "# $x a&b <c> | *", "en"), (901, "w " * 50, "en"), (902, phrase + "nine ten " + phrase + "x " * 3, None)], "doc_id long, text string, lang string")
     docs = docs.select("doc_id", "text", "lang").union(extra)
-    found = quality.judge(docs, quality.references(docs)).collect()
+    found = quality.judge(docs, quality.large_ones(quality.references(docs))).collect()
     wanted = Counter((r.doc_id, *counters(r.text)) for r in docs.collect())
     assert Counter((r.id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in found) == wanted
     assert not any(r.kept and r.base_failed for r in found)
     empty = edge.documents(spark, empty=True)
-    assert quality.judge(empty, quality.references(empty)).count() == 0
+    assert quality.judge(empty, quality.large_ones(quality.references(empty))).count() == 0
 
 
 def test_distance():
@@ -44,7 +44,7 @@ def test_distance():
 
 def test_references_are_exact(spark):
     docs = edge.documents(spark).select("doc_id", "text", "lang").where("lang IN ('en', 'fr')")
-    found = quality.references(docs.repartition(5))
+    found = quality.large_ones(quality.references(docs.repartition(5)))
     for lang in ("en", "fr"):
         words, classes = Counter(), np.zeros(len(quality.CLASSES))
         for r in docs.collect():
@@ -88,17 +88,62 @@ def test_small_languages_have_their_own_reference(spark, tmp_path):
     assert not found[6000].kept and found[6001].word_distance is None
 
 
-def test_small_references_are_those_of_large_ones(spark):
-    docs = edge.documents(spark).select("doc_id", "text", "lang")
-    large = quality.references(docs)
-    found = {r.lang: r for r in quality.small_references(docs, {}).collect()}
-    assert set(found) == set(large) and large
-    for lang, (classes, at, histogram) in large.items():
-        r = found[lang]
-        assert r.classes == classes.tolist() and [bytes(w) for w in r.words] == sorted(at, key=at.get) and r.histogram == histogram.tolist()
-    assert quality.small_references(docs, large).count() == 0
+def test_references_by_join_are_those_sent(spark, monkeypatch):
+    """The same verdicts, whether a language's reference is broadcast or joined, and if tasks hold few words."""
+    docs = edge.documents(spark).select("doc_id", "text", "lang").where("lang IS NOT NULL")
     key = lambda r: str(tuple(r))
-    by_join = quality.judge(docs, {}, small=quality.small_references(docs, {})).where("id IS NOT NULL")
-    wanted = quality.judge(docs.where("lang IS NOT NULL"), large).where("id IS NOT NULL").collect()
-    ids = {r.id for r in wanted}
-    assert sorted((r for r in by_join.collect() if r.id in ids), key=key) != [] and set(map(key, wanted)) <= set(map(key, by_join.collect()))
+    sent = sorted(quality.judge(docs, quality.large_ones(quality.references(docs))).collect(), key=key)
+    monkeypatch.setattr(quality, "HELD", 5)
+    joined = sorted(quality.judge(docs, {}, small=quality.references(docs)).collect(), key=key)
+    assert sent == joined and len(sent) == docs.count()
+
+
+def brute_verdicts(rows):
+    """kept and both distances of each row, by counting everything anew in plain Python."""
+    kinds = {"lower": "[a-z]", "upper": "[A-Z]", "beyond": "[^\x00-\x7f]", "digit": "[0-9]", "blank": "[ \t\x0b\x0c\r]", "break": "\n", "mark": r"[.,;:!?\"'()\-]", "symbol": r"[#*$%&|<>]"}
+
+    def classes(text):
+        found = Counter({k: len(re.findall(p, text)) for k, p in kinds.items()})
+        # lead bytes of two to four make one character; what is left is the class of all others
+        found["other"] = len(text) - found.total()
+        return found
+
+    def words(text):
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+        return [w.strip(".,;:!?\"'()") for w in re.findall(r"[^\x20\x09-\x0D]+", lower)]
+
+    def far(p, q):
+        a, b, out = sum(p.values()), sum(q.values()), 0.0
+        if not a or not b:
+            return 1.0
+        for k in set(p) | set(q):
+            x, y = p.get(k, 0) / a, q.get(k, 0) / b
+            out += sum(v * np.log2(2 * v / (x + y)) for v in (x, y) if v) / 2
+        return max(out, 0) ** 0.5
+
+    per_lang, of_words = {}, {}
+    for r in rows:
+        if r.lang is not None and r.text is not None:
+            per_lang.setdefault(r.lang, Counter()).update(classes(r.text))
+            of_words.setdefault(r.lang, Counter()).update(words(r.text))
+    common = {k: sorted((w for w in c if w and 1000 * c[w] >= c.total()), key=lambda w: (-c[w], w.encode()))[:100] for k, c in of_words.items()}
+    fold = lambda lang, c: Counter({w: c[w] for w in common[lang]}) + Counter({None: c.total() - sum(c[w] for w in common[lang])})
+    for r in rows:
+        n, *_, failed = counters(r.text)
+        near = [r.lang] if r.lang in per_lang else list(per_lang) if r.lang is None else []
+        by_class = min((far(classes(r.text), per_lang[k]) for k in near), default=None) if n >= 50 else None
+        by_word = min((far(fold(k, Counter(words(r.text))), fold(k, of_words[k])) for k in near), default=None) if n >= 100 else None
+        yield r.doc_id, not failed and (by_class is None or by_class <= 0.30) and (by_word is None or by_word <= 0.45), by_class, by_word
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    found = {r.doc_id: r for r in quality.op9_quality(spark, sf_dir).collect()}
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert len(found) == len(rows)
+    for (doc, kept, by_class, by_word), r in zip(brute_verdicts(rows), rows):
+        own = found[doc]
+        assert (own.n_words, own.word_chars, own.n_symbols, own.n_dup_lines, own.n_repeat_words, own.base_failed) == counters(r.text)
+        assert (own.class_distance is None, own.word_distance is None) == (by_class is None, by_word is None)
+        assert by_class is None or own.class_distance == pytest.approx(by_class, abs=1e-6)
+        assert by_word is None or own.word_distance == pytest.approx(by_word, abs=1e-6)
+        assert own.kept == kept
