@@ -115,9 +115,3 @@ def write_file(uri: str, parts) -> None:
 def unsigned(hash_column: Column) -> Column:
     """A 64-bit hash as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(hash_column), 16, "0"))
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows: texts are long, and a batch is held in a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

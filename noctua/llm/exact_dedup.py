@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noctua.llm.common import WHITE, cut, look_up, only, small_batches, table
+from noctua.llm.common import WHITE, cut, look_up, only, slices, table
 
 #: Rows of all runs of a range, about, before equal ones collapse.
 RANGE_ROWS = 50_000
@@ -36,7 +36,7 @@ def digest_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches):
         at = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in slices(batches):
             points, digests = [], []
             for x in batch.column(1).to_pylist():
                 data = (x or "").encode()
@@ -102,7 +102,6 @@ def annotate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     Null texts count as empty; all empty texts are one group. Of repeated rows (equal in key and text) one is kept.
     """
-    small_batches(docs.sparkSession)
     rows = digest_rows(docs, key, text)
     total = rows.count()
     best = best_rows(rows, total).select("digest", F.expr(f"nullif(id, {LARGEST})").alias("keep_id"), F.col("row").alias("keep_row"), F.col("n").alias("group_size"))

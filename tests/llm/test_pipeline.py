@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from noctua.llm import bpe_job, langid
+from noctua.llm import bpe_job, langid, mixing
 from tests.llm import edge
 from tests.llm.test_dedup import brute_similar
 
@@ -22,7 +22,11 @@ def test_run_against_brute_force(spark, sf_dir):
     ids = [r.doc_id for i, r in enumerate(rows) if roots[i] == i]
     every = {r.doc_id: tuple(r) for r in bpe_job.digests(docs).collect()}
     found = corpus_pipeline.run(spark, sf_dir).collect()
-    assert len({r.doc_id for r in found}) == len(found) and all(every[r.doc_id] == tuple(r) for r in found)
+    assert len({r.doc_id for r in found}) == len(found) and all(every[r.doc_id] == (r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in found)
+    # the place of each document is that of the mix of those that are kept
+    left = docs.where(docs.doc_id.isin([r.doc_id for r in found]))
+    slots = {r.doc_id: (r.slot, r.place) for r in mixing.mix(left).collect()}
+    assert [r.doc_id for r in sorted(found, key=lambda r: (r.mix_part, r.mix_row))] == sorted(slots, key=slots.get)
     # no document is lost that is not a copy; fingerprints propose nearly all pairs of similar texts, not all
     more = {r.doc_id for r in found} - set(ids)
     assert set(ids) <= {r.doc_id for r in found} and more <= {r.doc_id for r in rows} and len(more) <= 0.02 * len(ids)
