@@ -77,6 +77,17 @@ def look_up(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
 
 
+def most_frequent(words: DataFrame, most: int) -> DataFrame:
+    """Rows from the least count ``c`` on, in steps of 1/16 of a power of two, that leaves at most so many: a filter, no sort."""
+    level = F.floor(F.log2("c") * 16)
+    least, left = None, most
+    for at, n in words.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # about a thousand rows at most
+        if n > left:
+            break
+        least, left = at, left - n
+    return words.where(level >= least) if least is not None else words.limit(0)
+
+
 def only(docs: DataFrame, key: str, text: str, rows: DataFrame) -> DataFrame:
     """The rows of docs that ``rows`` (id, exact, kept: one row for each row of docs) keeps, once each.
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noctua.llm import bpe
-from noctua.llm.common import cut, shared_folder, slices, stored, table
+from noctua.llm.common import cut, most_frequent, shared_folder, slices, stored, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: A word with the space before it; pieces of longer words are encoded on their own, so no word is slow.
@@ -544,17 +544,6 @@ def fit(prepared: Prepared, rounds: int = ROUNDS) -> Model:
     return Model(vocab, state)
 
 
-def most_frequent(words: DataFrame, most: int) -> DataFrame:
-    """Words from the least count on, in steps of 1/16 of a power of two, that leaves at most so many: a filter, no sort."""
-    level = F.floor(F.log2("c") * 16)
-    least, left = None, most
-    for at, n in words.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # about a thousand rows at most
-        if n > left:
-            break
-        least, left = at, left - n
-    return words.where(level >= least) if least is not None else words.limit(0)
-
-
 class Logs(dict):
     """log10(c + 1) of words whose count is known here; others are noted, and 0."""
 
