@@ -40,11 +40,13 @@ from noctua.llm.common import most_frequent, quoted, shared_folder, slices, stor
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Units, and tokens of them, that a worker keeps, at most; then it starts anew.
-KEEP_UNITS, KEEP_TOKENS = 200_000, 2_000_000
+KEEP_UNITS, KEEP_TOKENS = 300_000, 3_000_000
 #: Distinct pairs that a task counts before it passes them on and begins anew.
 HELD = 400_000
 #: Pairs whose counts tasks hold, at most: 17 bytes each.
 TOP = 1_000_000
+#: Units of one text for the library of A.
+CALL = 4000
 #: The only places where texts are cut.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 SPACE = "▁"
@@ -147,15 +149,16 @@ class Aligner:
 
     def learn(self, units: list[str]) -> None:
         """Encodes and aligns units; each is told without the space before it."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
-        b = self.b.encode(units, num_threads=1)
+        ids, counts = zip(self.encode_a(units), self.encode_b(units))
         spelt = np.ones(len(units), bool)
-        for i, (u, x, y) in enumerate(zip(units, a, b)):
-            whole = b" " + u.encode()
-            if b"".join(map(self.a_bytes.__getitem__, x)) != whole or b"".join(map(self.b_bytes.__getitem__, y)) != whole:
-                spelt[i], a[i], b[i] = False, [], []
-        counts = [np.fromiter(map(len, x), np.int64, len(units)) for x in (a, b)]
-        ids = [np.fromiter(chain.from_iterable(x), np.int64, n.sum()) for x, n in zip((a, b), counts)]
+        whole = ("".join(f" {u}" for u in units)).encode()
+        if any(b"".join(map(names.__getitem__, x.tolist())) != whole for names, x in zip((self.a_bytes, self.b_bytes), ids)):
+            for names, x, n in zip((self.a_bytes, self.b_bytes), ids, counts):
+                each, at = x.tolist(), np.cumsum(n).tolist()
+                for i, (u, y, z) in enumerate(zip(units, [0, *at], at)):
+                    spelt[i] &= b"".join(map(names.__getitem__, each[y:z])) == b" " + u.encode()
+            ids = [x[np.repeat(spelt, n)] for x, n in zip(ids, counts)]
+            counts = [n * spelt for n in counts]
         groups = jump(np.cumsum(self.a_lengths[ids[0]]), np.cumsum(self.b_lengths[ids[1]]))
         total = int(groups[1][-1]) + 1 if len(groups[1]) else 0
         unit = np.repeat(np.arange(len(units)), counts[1])
@@ -176,15 +179,38 @@ class Aligner:
         self.n_links = np.concatenate([self.n_links, before[ends] - before[ends - per_unit]])
         self.written += self.write(ids, groups, counts)
 
+    def encode_a(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A of all units, and how many each has. Units without white space go to the library joined, CALL at a time."""
+        plain = np.fromiter((u != "" and len(u.split(None, 1)) == 1 and not u[0].isspace() and not u[-1].isspace() for u in units), bool, len(units))
+        joined, odd = [u for u, p in zip(units, plain) if p], [u for u, p in zip(units, plain) if not p]
+        texts = ["".join(f" {u}" for u in joined[i : i + CALL]) for i in range(0, len(joined), CALL)]
+        found = [e.ids for e in self.a.encode_batch_fast([*texts, *(" " + u for u in odd)], add_special_tokens=False)]
+        together = np.fromiter(chain.from_iterable(found[: len(texts)]), np.int64)
+        ends = np.cumsum(np.fromiter((len(u.encode()) + 1 for u in joined), np.int64, len(joined)))
+        cuts = np.searchsorted(np.cumsum(self.a_lengths[together]), ends, "right")  # no token crosses units
+        counts = np.zeros(len(units), np.int64)
+        counts[plain], counts[~plain] = np.diff(cuts, prepend=0), [len(x) for x in found[len(texts) :]]
+        ids = np.empty(counts.sum(), np.int64)
+        own = np.repeat(plain, counts)
+        ids[own], ids[~own] = together, np.fromiter(chain.from_iterable(found[len(texts) :]), np.int64)
+        return ids, counts
+
+    def encode_b(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.b.encode(units, num_threads=1)  # it adds the space
+        counts = np.fromiter(map(len, found), np.int64, len(units))
+        return np.fromiter(chain.from_iterable(found), np.int64, counts.sum()), counts
+
     @staticmethod
     def write(ids: list[np.ndarray], groups: tuple[np.ndarray, np.ndarray], counts: list[np.ndarray]) -> list[bytes]:
         """The groups of each unit as text: ids of A, a bar, ids of B; groups parted by semicolons."""
         order = np.argsort(np.concatenate([2 * groups[0], 2 * groups[1] + 1]), kind="stable")
         after = [np.where(np.diff(g, append=-1) == 0, ",", mark) for g, mark in zip(groups, "|;")]
-        marks, all_ids = np.concatenate(after)[order].tolist(), np.concatenate(ids)[order].tolist()
-        pieces = [f"{i}{m}" for i, m in zip(all_ids, marks)]
-        ends = np.cumsum(counts[0] + counts[1]).tolist()
-        return ["".join(pieces[x:y])[:-1].encode() for x, y in zip([0, *ends], ends)]
+        some = counts[1] > 0
+        after[1][np.cumsum(counts[1])[some] - 1] = "\n"  # the last of a unit
+        marks, each = np.concatenate(after)[order].tolist(), np.concatenate(ids)[order].tolist()
+        lines = "".join(map(str.__add__, map(str, each), marks)).encode().split(b"\n")
+        lines = iter(lines)
+        return [next(lines) if x else b"" for x in some.tolist()]
 
     def aligned(self, texts: list[str | None]):
         """For each text: its units (none if it is not spelt)."""
