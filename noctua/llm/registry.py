@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from noctua.llm import alignment, bpe_job, exact_dedup, langid, lm, mixing, negatives, quality, sharding, simhash, token_files, warc
+from noctua.llm import alignment, bpe_job, exact_dedup, langid, lm, mixing, negatives, positive_unlabelled, quality, sharding, simhash, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": langid.op1_langid,
         "op10_lm_scores": lm.op10_lm_scores,
+        "op11_quality_classifier": positive_unlabelled.op11_quality_classifier,
         "op12_hard_negatives": negatives.op12_hard_negatives,
         "op13_alignment": alignment.op13_alignment,
         "op2_simhash": simhash.op2_simhash,
