@@ -6,7 +6,7 @@ import os
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A group is hot from this share of the rows; there are at most HOT_SHARE hot groups, so they may be broadcast.
@@ -24,31 +24,38 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
-def slices(batches, rows: int = 500):
+def slices(batches, rows: int = 500, most: int | None = None):
     """The Arrow batches of a task in pieces of at most so many rows, so few are held as Python objects.
 
-    Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB by default).
+    With ``most``, pieces of more bytes are halved down to single rows. Spark bounds the bytes of a batch
+    (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB by default).
     """
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+            yield from halved(batch.slice(i, rows), most)
+
+
+def halved(batch, most: int | None):
+    if most is None or batch.num_rows < 2 or batch.nbytes <= most:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from halved(batch.slice(0, half), most)
+        yield from halved(batch.slice(half), most)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where that is unset, a folder of the warehouse."""
+    """The folder all executors share, as Spark resolves spark.checkpoint.dir; where that is unset, one below the warehouse."""
     context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
-        root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/noctua-checkpoints"
-        context.setCheckpointDir(root)
-    return root or context.getCheckpointDir()
+        own = context.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/noctua-checkpoints"
+        context.setCheckpointDir(own)
+    return context.getCheckpointDir()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder, as a URI."""
-    root = checkpoint_root(spark)
-    root = root if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -100,9 +107,10 @@ def only(docs: DataFrame, key: str, text: str, rows: DataFrame) -> DataFrame:
     repeated = known.where("copies > 1")
     if repeated.isEmpty():
         return found
-    first = Window.partitionBy(f"`{key}`", F.xxhash64(f"`{text}`")).orderBy(F.lit(1))
-    more = docs.join(repeated, here, "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    return found.unionByName(more)
+    again = docs.join(repeated, here, "left_semi")
+    # a row of each from each task, then one: no task gets all repetitions
+    one = again.groupBy(quoted(key).alias("__k"), F.xxhash64(quoted(text)).alias("__h")).agg(F.first(F.struct(*map(quoted, docs.columns))).alias("__row"))
+    return found.unionByName(one.select(*(F.col("__row").getField(c).alias(c) for c in docs.columns)))
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:

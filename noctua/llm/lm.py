@@ -9,9 +9,10 @@ overlap: each begins STRIDE ids after the last one, and an id is scored in the f
 prepare() reads the texts once and writes a table: of each text its words and ids, and of the training texts the words
 that a task has counted. Everything else reads that table: word counts (partial sums, then a shuffle), id counts,
 training and scores. Training takes all ids of all training texts, ends included, each as a target once; short windows
-are padded and masked. Each task trains its own copy from common weights where the ids lie, on one of ROUNDS shares of
-the texts; the copies are averaged in a tree, and that is done ROUNDS times. Batches pass by, none is held. What is
-learned depends a little on how the table is split, as in any such training; counts and base scores do not.
+are padded and masked. Texts are dealt to lanes, as many as there are rows for, by a hash of key and ids, and come in the
+order of that hash, so what is learned does not hang on how the table is split. Each lane trains its own copy from common
+weights on one of ROUNDS shares of the texts; the copies are averaged in a tree, and that is done ROUNDS times. Batches
+pass by, none is held.
 
 Scoring sends the TOP most frequent words to the tasks with their counts; other words leave as one row each, are joined
 with the counts by a shuffle, and come back as sums for each text.
@@ -49,6 +50,10 @@ GROUPS, MEMBERS, OWN_ROWS, WIDTH, WINDOW, STRIDE = 8, 20, 1024, 16, 32, 28
 CLASSES = GROUPS * MEMBERS
 #: Rounds of training, windows of a step, size of the first steps and steps after which it is halved; copies averaged at once.
 ROUNDS, BATCH, RATE_OF_STEP, HALVED, FAN_IN = 3, 256, 0.02, 500, 64
+#: Training texts of a lane, about, up to so many lanes; then lanes grow.
+LANE, MOST_LANES = 4096, 10_000
+#: Bytes of ids or words that a task handles at once, about.
+PIECE_BYTES = 4 << 20
 #: Windows that are scored at once.
 AT_ONCE = 256
 END_OF_WORDS = b""  # no word is empty
@@ -181,7 +186,7 @@ def prepare(docs: DataFrame, key: str = "doc_id", text: str = "text", held: Colu
     def run(batches):
         row, texts = TaskContext.get().partitionId() << 40, 0
         words = Words(coder_of(shipped.value))
-        for batch in slices(batches):
+        for batch in slices(batches, most=PIECE_BYTES):
             held, split = batch.column(1).to_pylist(), list(map(words_of, batch.column(2).to_pylist()))
             numbers = words.numbers(split)
             words.count([x for x, own in zip(numbers, held) if not own])
@@ -202,7 +207,7 @@ def prepare(docs: DataFrame, key: str = "doc_id", text: str = "text", held: Colu
 
     rows = docs.select(F.col(key).cast("bigint").alias("id"), (held_out(key) if held is None else held).alias("held_out"), F.col(text))
     folder = shared_folder(spark, "lm")
-    rows.mapInArrow(run, ROW).write.option("compression", "snappy").parquet(folder)
+    rows.mapInArrow(run, ROW).write.option("compression", "zstd").parquet(folder)
     return Prepared(spark.read.schema(ROW).parquet(folder), max(ranks.values()) + 2)
 
 
@@ -496,26 +501,43 @@ def windows_of(texts: list[np.ndarray], vocab: Vocabulary) -> tuple[np.ndarray,
 KIND = pa.schema([("lane", pa.int64()), ("n", pa.int64()), ("w", pa.binary())])
 
 
-def copies(texts: DataFrame, vocab: Broadcast, kind: str, state: bytes, turn: int) -> DataFrame:
-    """lane, n, w: a copy of the weights for each task, trained on all windows of its texts, n targets."""
+def copies(texts: DataFrame, vocab: Broadcast, kind: str, state: bytes, turn: int, lanes: int) -> DataFrame:
+    """lane, n, w: a copy of the weights for each lane, trained on all windows of its texts, n targets."""
 
     def train(batches):
         keep_memory()
-        learner = Learner(unpack(state), RATE_OF_STEP / (1 + turn))
-        for i, batch in enumerate(slices(batches)):
-            rows, targets = windows_of([np.frombuffer(x, kind) for x in batch.column(0).to_pylist()], vocab.value)
+        learner, lane = Learner(unpack(state), RATE_OF_STEP / (1 + turn)), 0
+        for i, texts in enumerate(regrouped(batches)):
+            lane = texts[0][0]
+            rows, targets = windows_of([np.frombuffer(x, kind) for _, x in texts], vocab.value)
             order = np.random.default_rng([turn, i]).permutation(len(rows))
             learner.learn(rows[order], targets[order])
         if learner.targets:
-            yield pa.RecordBatch.from_pydict({"lane": [TaskContext.get().partitionId()], "n": [learner.targets], "w": [pack(learner.w)]}, KIND)
+            yield pa.RecordBatch.from_pydict({"lane": [lane], "n": [learner.targets], "w": [pack(learner.w)]}, KIND)
+
+    dealt = texts.withColumn("lane", F.pmod("h", F.lit(lanes)).cast("int")).repartitionById(lanes, "lane").sortWithinPartitions("lane", "h", "ids")
+    return cut(dealt.select("lane", "ids").mapInArrow(train, "lane bigint, n bigint, w binary"))
 
-    return cut(texts.select("ids").mapInArrow(train, "lane bigint, n bigint, w binary"))
+
+def regrouped(batches, most: int = PIECE_BYTES // 8):
+    """(lane, ids) of a task in pieces of so many bytes, which do not hang on how Spark cuts its batches."""
+    held, size = [], 0
+    for batch in slices(batches):
+        for lane, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held.append((lane, ids))
+            size += len(ids)
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def averaged(copies: DataFrame) -> DataFrame:
     """One copy, or none: the average by targets, FAN_IN lanes at a time."""
 
     def average(data: pa.Table) -> pa.Table:
+        data = data.sort_by("lane")  # sums of fractions hang on their order
         n = data.column("n").to_numpy().astype(np.float64)
         w = sum(np.frombuffer(x, "<f4") * share for x, share in zip(data.column("w").to_pylist(), n / n.sum()))
         return pa.Table.from_pydict({"lane": [data.column("lane")[0].as_py()], "n": [int(n.sum())], "w": [w.astype("<f4").tobytes()]}, KIND)
@@ -528,8 +550,8 @@ def averaged(copies: DataFrame) -> DataFrame:
 
 
 def share(texts: DataFrame, turn: int, rounds: int) -> DataFrame:
-    """The texts of one round: each is in one."""
-    return texts.where(F.col("row") % rounds == turn)
+    """The texts of one round: each is in one. h: a hash of key and ids."""
+    return texts.withColumn("h", F.xxhash64("id", "ids")).where(F.pmod(F.shiftrightunsigned("h", 40), F.lit(rounds)) == turn)
 
 
 def fit(prepared: Prepared, rounds: int = ROUNDS) -> Model:
@@ -538,8 +560,9 @@ def fit(prepared: Prepared, rounds: int = ROUNDS) -> Model:
     vocab = vocabulary(id_counts(prepared))
     shipped = texts.sparkSession.sparkContext.broadcast(vocab)
     state = pack(fresh(vocab))
+    lanes = min(-(-max(texts.count(), 1) // LANE), MOST_LANES)
     for turn in range(rounds):
-        for row in averaged(copies(share(texts, turn, rounds), shipped, prepared.kind, state, turn)).collect():  # one row
+        for row in averaged(copies(share(texts, turn, rounds), shipped, prepared.kind, state, turn, lanes)).collect():  # one row
             state = bytes(row.w)
     return Model(vocab, state)
 
@@ -574,7 +597,7 @@ def score(prepared: Prepared, counts: Counts, model: Model) -> DataFrame:
         keep_memory()
         m, packed, n = shipped.value
         logs, weights = Logs(packed.split(), n), unpack(m.weights)
-        for batch in slices(batches):
+        for batch in slices(batches, most=PIECE_BYTES):
             row = batch.column(0).to_numpy()
             texts = [np.frombuffer(x, kind).astype(np.int64) for x in batch.column(4).to_pylist()]
             scores = score_batch(weights, m.vocab, texts)

@@ -15,13 +15,14 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noctua.llm.common import cut, look_up, slices, stored, table
+from noctua.llm.common import cut, look_up, quoted, slices, stored, table
 
 SYMBOLS = b"#*$%&|<>"
 MARKS = b".,;:!?\"'()"
@@ -159,6 +160,10 @@ def large_ones(found: DataFrame, languages: int = LANGUAGES) -> Reference:
     """The references of the languages that have one in so many texts or more; there are no more than that."""
     total = found.agg(F.sum("texts")).first()[0] or 0
     rows = found.where(F.col("texts") >= max(total / languages, 1)).collect()
+    return as_reference(rows)
+
+
+def as_reference(rows: list) -> Reference:
     return {r.lang: (np.array(r.classes, float), {bytes(w): i for i, w in enumerate(r.words)}, np.array(r.histogram, float)) for r in rows}
 
 
@@ -167,7 +172,7 @@ def judge(docs: DataFrame, reference: Reference, key: str = "doc_id", text: str
 
     Rows of a language that is not in ``reference`` are judged by its row of ``small``; of a language without one only
     the base rules count. A row without a language is held against all of ``reference`` and judged by the nearest, as is
-    one of another language if ``small`` is not given. Without any reference only the base rules count. Distances are
+    one of another language if ``small`` is not given (judge_without_language() holds it against small languages too). Without any reference only the base rules count. Distances are
     null where a histogram is not judged.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(reference)
@@ -217,10 +222,33 @@ def judge(docs: DataFrame, reference: Reference, key: str = "doc_id", text: str
     return rows.where(~other).mapInArrow(run, schema).unionByName(rows.where(other).join(small, "lang", "left").select("id", "text", "lang", "classes", "words", "histogram").mapInArrow(run_small, schema))
 
 
+def judge_without_language(docs: DataFrame, reference: Reference, small: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rules: Rules = Rules(), block: int = LANGUAGES) -> DataFrame:
+    """judge() of the rows without a language against every reference, those of small languages too, ``block`` at a time.
+
+    The nearest reference counts, whichever pass meets it. There are as many passes as there are blocks of small languages.
+    """
+    numbered = docs.where(quoted(lang).isNull()).select(quoted(key).cast("bigint").alias("key"), quoted(text).alias("text"), quoted(lang).alias("lang"))
+    rows = stored(numbered.withColumn("row", F.monotonically_increasing_id()), "unlabelled")
+    blocks = -(-small.count() // block)
+    passes = [judge(rows, reference, "row", "text", "lang", rules)]
+    for i in range(blocks):
+        some = small.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == i).collect()  # about ``block`` languages
+        passes.append(judge(rows, as_reference(some), "row", "text", "lang", rules))
+    counters = [c for c in passes[0].columns if c not in ("id", "class_distance", "word_distance", "kept")]
+    least = reduce(DataFrame.unionByName, passes).groupBy("id").agg(*(F.first(c).alias(c) for c in counters), *(F.min(c).alias(c) for c in ("class_distance", "word_distance")))
+    near = lambda c, most: F.col(c).isNull() | (F.col(c) <= most)
+    kept = ~F.col("base_failed") & near("class_distance", rules.class_distance) & near("word_distance", rules.word_distance)
+    judged = least.withColumn("kept", kept).withColumnRenamed("id", "row").join(rows.select("row", F.col("key").alias("id")), "row")
+    return judged.select(*passes[0].columns)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counters, divergences and verdict of every document."""
     docs = table(spark, sf_dir, "documents")
     found = references(docs)
     large = large_ones(found)
     small = found.where(~F.col("lang").isin(list(large))) if large else found
-    return judge(docs, large, small=None if small.isEmpty() else small).withColumnRenamed("id", "doc_id")
+    if small.isEmpty():
+        return judge(docs, large).withColumnRenamed("id", "doc_id")
+    known = judge(docs.where("lang IS NOT NULL"), large, small=small)
+    return known.unionByName(judge_without_language(docs, large, small)).withColumnRenamed("id", "doc_id")

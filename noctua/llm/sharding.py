@@ -16,7 +16,7 @@ import random
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noctua.llm.common import cut, table
+from noctua.llm.common import HOT_SHARE, cut, table
 
 #: Rows of a part, and of a bucket of a shard, about; parts, at most: beyond it they grow.
 PART_ROWS, MOST_PARTS = 20_000, 4096
@@ -68,17 +68,19 @@ def shard(rows: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
     """Adds ``shard`` (0 to shards - 1, sizes at most one apart) and ``slot`` (gapless from 0 in each shard).
 
     The result depends on the rows and the seed, not on how they were read. Wholly equal rows may take each other's
-    places; nulls and any number of columns are fine. Columns named shard or slot are replaced. An empty table gives none.
+    places; nulls, texts of any length and any number of columns are fine. Columns named shard or slot are replaced. An
+    empty table gives none.
     """
     columns = [c for c in rows.columns if c not in ("shard", "slot")]
     names = {c: f"c{i}" for i, c in enumerate(columns)}
     own = list(names.values())
     base = cut(rows.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())))
     total = base.count()
+    base, copy = numbered_copies(base, own, total)
     parts = min(max(1, -(-total // PART_ROWS)), MOST_PARTS)
 
     def key(salt: int):
-        return F.xxhash64(F.lit(seed * 4 + salt), *own)
+        return F.xxhash64(F.lit(seed * 4 + salt), *own, *copy)
 
     placed = base.withColumn("part", F.pmod(key(0), F.lit(parts)).cast("int"))
     sizes = dict(placed.groupBy("part").count().collect())
@@ -89,7 +91,7 @@ def shard(rows: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
     local = placed.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(key(1), *own)))
     dealt = local.join(F.broadcast(drawn), "part").withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("k"))))
     buckets = max(1, -(-total // (shards * PART_ROWS)))
-    dealt = cut(dealt.withColumn("bucket", F.pmod(key(2), F.lit(buckets)).cast("int")).select(*own, "shard", "bucket"))
+    dealt = cut(dealt.withColumn("bucket", F.pmod(key(2), F.lit(buckets)).cast("int")).select(*own, *copy, "shard", "bucket"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy("shard", "bucket").count().select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     place = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(key(3), *own))
@@ -97,6 +99,26 @@ def shard(rows: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
     return found.select(*(F.col(n).alias(c) for c, n in names.items()), "shard", (F.col("base") + F.col("place") - 1).alias("slot"))
 
 
+def numbered_copies(base: DataFrame, own: list[str], total: int) -> tuple[DataFrame, list[str]]:
+    """Adds ``copy`` where rows have very many equal to them: the number of the row among these, for all others 0.
+
+    So equal rows do not share one part. Rows with over a HOT_SHARE-th of all equal to them are of HOT_SHARE kinds at most.
+    A copy's number is that within its partition and the copies in partitions before it, so no task gets all of a kind.
+    """
+    same = F.xxhash64(*own)
+    counts = base.groupBy(same.alias("same")).count()
+    hot = cut(counts.where(F.col("count") > max(PART_ROWS, total // HOT_SHARE)).select("same"))
+    if hot.isEmpty():
+        return base, []
+    kept = cut(base.withColumns({"same": same, "pid": F.spark_partition_id()}).join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), "same", "left"))
+    some = kept.where("is_hot")
+    here = Window.partitionBy("same", "pid")
+    before = Window.partitionBy("same").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    bases = some.groupBy("same", "pid").count().select("same", "pid", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    each = some.withColumn("n", F.row_number().over(here.orderBy("same"))).join(F.broadcast(bases), ["same", "pid"]).select(*own, (F.col("base") + F.col("n")).alias("copy"))
+    return cut(kept.where("is_hot IS NULL").select(*own, F.lit(0).cast("bigint").alias("copy")).unionByName(each)), ["copy"]
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt to 40 shards by the law ``rows``."""
     text = F.coalesce("text", F.lit(""))

@@ -47,19 +47,26 @@ class TokenSet:
 
 
 def bounds_of(docs: DataFrame, key: str) -> list[int]:
-    """Keys that cut the documents into as many parts as the scan has; fewer where keys are few. Reads the key only."""
+    """Keys that cut the documents into as many parts as the scan has. Reads the key only.
+
+    A key that fills several parts is a bound several times; those without a key come first, as NULL_KEY.
+    """
     n = docs.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0]
     parts = min((n or 0) + 1, MOST_PARTS)
-    shares = [(i + 1) / parts for i in range(parts - 1)]
-    if not shares:
+    if parts < 2:
         return []
-    found = docs.agg(F.percentile_approx(key, F.array(*map(F.lit, shares)), F.lit(max(10_000, 20 * parts)))).first()[0]
-    return sorted(set(found or []))
+    rows, known = docs.agg(F.count("*"), F.count(key)).first()
+    blank = round(parts * (rows - known) / max(rows, 1))
+    left = parts - blank
+    shares = [(i + 1) / left for i in range(left - 1)]
+    found = docs.agg(F.percentile_approx(key, F.array(*map(F.lit, shares)), F.lit(max(10_000, 20 * parts)))).first()[0] if shares else None
+    return [NULL_KEY] * min(blank, parts - 1) + sorted(found or [])
 
 
 def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", end_id: int = 2, model: str | None = None) -> TokenSet:
-    """Encodes all documents and writes the set. Null texts are empty: the end id alone. Keys are integers; documents of
-    one key are in one part, in the order of their ids."""
+    """Encodes all documents and writes the set. Null texts are empty: the end id alone. Keys are integers, in ascending
+    order. Documents of one key are in the order of their ids; if they fill several parts, of a hash of these, then that.
+    An empty table gives a set without documents."""
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(model or bpe.model_from_file(public_tokenizers.path(MODEL)))
     bounds = np.array(bounds_of(docs, key), np.int64)
@@ -71,7 +78,9 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
         for batch in slices(batches, 1000):
             keys = batch.column(0).cast(pa.int64()).fill_null(NULL_KEY)
             ids = [np.concatenate([x, end]).tobytes() for x in coder.encode_batch(batch.column(1).to_pylist())]
-            part = np.searchsorted(bounds, keys.to_numpy(), "left").astype(np.int32)
+            part, after = (np.searchsorted(bounds, keys.to_numpy(), side).astype(np.int32) for side in ("left", "right"))
+            for i in np.flatnonzero(after - part > 1).tolist():
+                part[i] += zlib.crc32(ids[i]) % int(after[i] - part[i])
             yield pa.RecordBatch.from_arrays([pa.array(part), keys, pa.array(ids, pa.binary())], names=["part", "key", "ids"])
 
     def put(batches):

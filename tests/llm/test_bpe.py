@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import public_tokenizers as P
 import tiktoken
 from hypothesis import given, settings
@@ -117,3 +118,18 @@ def test_token_files(spark):
     index = np.concatenate([np.asarray(token_files.read_array(f"{folder}/{p}.idx", "<i8"))[:-1] for p in range(tokens.parts) if tokens.bases[p] < tokens.bases[p + 1]])
     assert index.tolist() == [w[1] for w in wanted]
     assert token_files.read(spark, token_files.write(edge.documents(spark, empty=True), folder + "0")).count() == 0
+
+
+@pytest.mark.parametrize("hot", [5, None])
+def test_documents_of_one_key_fill_several_parts(spark, hot):
+    """Two thirds of the rows have one key, or none: no part holds them all, and keys still ascend."""
+    rows = [(i, f"text {i}") for i in range(300)] + [(hot, f"copy {i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    tokens = token_files.write(docs, common.shared_folder(spark, "tokens"))
+    found = sorted(map(tuple, token_files.read(spark, tokens).collect()), key=lambda r: r[1])
+    assert np.diff(tokens.doc_bases).max() < 250 and len(found) == 900
+    assert [r[0] for r in found] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0))
+    assert [r[1] for r in found] == np.concatenate([[0], np.cumsum([r[2] for r in found])[:-1]]).tolist()
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    crc = lambda t: zlib.crc32(np.array(library.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes())
+    assert Counter((r[0], r[3]) for r in found if r[0] == hot) == Counter((k, crc(t)) for k, t in rows if k == hot)

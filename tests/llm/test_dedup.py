@@ -268,3 +268,33 @@ def test_recall_over_true_pairs_however_the_table_is_split(spark):
         assert all(top(d) == found[d][0] or found[d][0] == empty for d in found if found[d][0] != d)
         kept.add(frozenset(d for d, (_, k) in found.items() if k))
     assert len(kept) == 1
+
+
+def test_near_query_as_registered(spark, sf_dir):
+    """op2 over the whole table: fingerprints, their digits and components by plain loops."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    fps = {d: brute_fingerprint(t) for d, t in docs.items()}
+    root = {d: d for d in docs}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in docs:
+        for b in docs:
+            if a < b and (fps[a] ^ fps[b]).bit_count() <= 2:
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    found = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op2_simhash(spark, sf_dir).collect()}
+    assert found == {d: (f"{fps[d]:016x}", top(d)) for d in docs}
+
+
+def test_of_repeated_rows_one_is_returned(spark):
+    from noctua.llm.common import only
+
+    rows = [(1, "a", i % 2) for i in range(500)] + [(None, None, 3)] * 40 + [(2, "b", 4), (3, "c", 5), (1, "b", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `odd.name` int").repartition(7)
+    known = docs.selectExpr("doc_id AS id", "xxhash64(text) AS exact", "doc_id IS NULL OR doc_id <> 3 AS kept")
+    found = only(docs, "doc_id", "text", known)
+    assert found.columns == docs.columns and sorted((tuple(r)[:2] for r in found.collect()), key=str) == sorted([(1, "a"), (1, "b"), (2, "b"), (None, None)], key=str)

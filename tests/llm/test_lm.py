@@ -172,7 +172,7 @@ def test_rounds_share_the_windows(spark, sf_dir):
     counts = lm.id_counts(prepared)
     vocab, texts = lm.vocabulary(counts), prepared.texts.where("NOT held_out")
     shipped, state = spark.sparkContext.broadcast(vocab), lm.pack(lm.fresh(vocab))
-    taught = [lm.copies(lm.share(texts, turn, 3), shipped, prepared.kind, state, turn).agg({"n": "sum"}).first()[0] for turn in range(3)]
+    taught = [lm.copies(lm.share(texts, turn, 3), shipped, prepared.kind, state, turn, 2).agg({"n": "sum"}).first()[0] for turn in range(3)]
     assert sum(taught) == counts.sum() and min(taught) > 0
 
 
@@ -211,3 +211,14 @@ def test_words_are_encoded_once_and_counted(texts):
         words.count(numbers)
         assert [np.frombuffer(x, CODER.kind).tolist() for x in words.packed(numbers)] == [[*CODER.ids(t).tolist(), CODER.end] for t in some]
     assert dict(zip(words.asked, words.counts.tolist())) == Counter(w for t in texts for w in t for _ in range(2))
+
+
+def test_scores_do_not_hang_on_the_split(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+    def scores(parts):
+        prepared = lm.prepare(docs.repartition(parts))
+        return {r.id: r.score / r.n_tokens for r in lm.score(prepared, lm.count_words(prepared), lm.fit(prepared)).collect()}
+
+    one, many = scores(1), scores(16)
+    assert one.keys() == many.keys() and max(abs(one[k] - many[k]) for k in one) < 1e-4

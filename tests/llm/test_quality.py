@@ -88,6 +88,22 @@ def test_small_languages_have_their_own_reference(spark, tmp_path):
     assert not found[6000].kept and found[6001].word_distance is None
 
 
+@pytest.mark.parametrize("block", [1, 1000])
+def test_rows_without_a_language_meet_small_references(spark, block):
+    """As if all references were sent: none of a small language is passed over."""
+    rng = np.random.default_rng(6)
+    text = lambda letter, n=150: " ".join(f"{letter}{k}" for k in rng.integers(0, 40, n))
+    rows = [(i, text("e"), "en") for i in range(40)] + [(100 + i, text(x), f"{x}{x}") for x in "xyz" for i in range(2)] + [(200 + i, text(x), None) for i, x in enumerate("exyzq")] + [(300, None, None), (201, text("x"), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    found = quality.references(docs)
+    large = quality.large_ones(found, 4)
+    assert list(large) == ["en"]
+    own = quality.judge_without_language(docs, large, found.where("lang <> 'en'"), block=block)
+    every = quality.judge(docs.where("lang IS NULL"), quality.large_ones(found, 10**6))
+    assert own.columns == every.columns and sorted(map(str, own.collect())) == sorted(map(str, every.collect()))
+    assert sorted((r.id, r.kept) for r in own.collect()) == [(200, True), (201, True), (201, True), (202, True), (203, True), (204, False), (300, False)]
+
+
 def test_references_by_join_are_those_sent(spark, monkeypatch):
     """The same verdicts, whether a language's reference is broadcast or joined, and if tasks hold few words."""
     docs = edge.documents(spark).select("doc_id", "text", "lang").where("lang IS NOT NULL")

@@ -45,6 +45,21 @@ def test_shards(spark, monkeypatch, rows):
     assert sharding.shard(edge.documents(spark, empty=True)).count() == 0
 
 
+def test_equal_rows_share_no_part(spark, monkeypatch):
+    """Of 3000 rows 2000 are equal: no window holds more than a few parts' worth, and reading has no say."""
+    monkeypatch.setattr(sharding, "PART_ROWS", 100)
+    rows = spark.range(1000).selectExpr("id", "CAST(id AS STRING) AS t").unionByName(spark.range(2000).selectExpr("7 AS id", "'same' AS t"))
+    base, copy = sharding.numbered_copies(rows.repartition(6), ["id", "t"], 3000)
+    numbers = sorted(r.copy for r in base.where("t = 'same'").collect())
+    assert copy == ["copy"] and numbers == list(range(1, 2001)) and base.where("t <> 'same'").agg({"copy": "max"}).first()[0] == 0
+    parts = base.groupBy(F.pmod(F.xxhash64(F.lit(28), "id", "t", *copy), F.lit(30))).count().agg({"count": "max"}).first()[0]
+    assert parts < 180
+    found = sharding.shard(rows.repartition(6), shards=4)
+    sizes = Counter(r.shard for r in found.collect())
+    assert set(sizes.values()) == {750}
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, sharding.shard(rows.repartition(11), shards=4).collect()))
+
+
 def test_shuffle_is_uniform(spark):
     """Every row reaches every shard and every half of a shard about equally often over seeds."""
     base = spark.range(64)
