@@ -107,3 +107,63 @@ def display_power(epochs: np.ndarray, fs: float, tapers: np.ndarray | None = Non
     weights = np.full(len(tapers), 1 / len(tapers)) if weights is None else weights
     power = sum(w * np.abs(np.fft.rfft(epochs * t, axis=1)) ** 2 / (fs * (t**2).sum()) for w, t in zip(weights, tapers))
     return power[:, low:high]
+
+
+@lru_cache(8)
+def slepian(n: int, half_bandwidth: float, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``count`` discrete prolate spheroidal sequences of n points, of length one, and their concentrations.
+
+    Among sequences of n points these hold most of their energy within half_bandwidth / n of frequency zero. They are the
+    eigenvectors of largest eigenvalues of a symmetric tridiagonal matrix that commutes with the problem's own: d[i] =
+    ((n - 1 - 2 i) / 2)^2 cos(2 pi w), e[i] = i (n - i) / 2, w = half_bandwidth / n. Eigenvalues come from counting sign
+    changes (bisection), eigenvectors from inverse iteration, concentrations from the sinc kernel by autocorrelation.
+    """
+    w = half_bandwidth / n
+    d = ((n - 1 - 2 * np.arange(n)) / 2) ** 2 * np.cos(2 * np.pi * w)
+    e = np.arange(1, n) * (n - np.arange(1, n)) / 2
+    reach = np.abs(np.append(e, 0)) + np.abs(np.append(0, e))
+    low, high = np.full(count, (d - reach).min()), np.full(count, (d + reach).max())
+    rank = np.arange(count)  # the rank-th largest has that many above it
+    squares, tiny = np.append(0, e**2), np.finfo(float).tiny
+    for _ in range(80):
+        middle = (low + high) / 2
+        above, q = np.zeros(count, int), np.ones(count)
+        for i in range(n):
+            q = d[i] - middle - squares[i] / np.where(q == 0, tiny, q)
+            above += q > 0
+        more = above > rank
+        low, high = np.where(more, middle, low), np.where(more, high, middle)
+    out = np.empty((count, n))
+    for k in range(count):
+        x = np.sin(np.pi * (k + 1) * (np.arange(n) + 0.5) / n)  # of the symmetry that the k-th has
+        shift = (low[k] + high[k]) / 2
+        for _ in range(4):
+            x = tridiagonal(d - shift, e, x)
+            for other in out[:k]:
+                x -= (other @ x) * other
+            x /= np.sqrt(x @ x)
+        out[k] = x * (np.sign(x.sum()) if k % 2 == 0 else np.sign(x @ ((n - 1) / 2 - np.arange(n))))
+    size = 1 << (2 * n - 1).bit_length()
+    kernel = np.append(2 * w, np.sin(2 * np.pi * w * np.arange(1, n)) / (np.pi * np.arange(1, n)))
+    lags = np.fft.irfft(np.abs(np.fft.rfft(out, size)) ** 2, size)[:, :n]
+    return out, lags[:, 0] * kernel[0] + 2 * lags[:, 1:] @ kernel[1:]
+
+
+def tridiagonal(d: np.ndarray, e: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Solves the symmetric tridiagonal system by elimination with exchange of rows, so it may be nearly singular."""
+    n = len(d)
+    a, b, c, x = d.astype(float).copy(), np.append(e, 0.0), np.zeros(n), y.astype(float).copy()
+    for i in range(n - 1):
+        below, first, second = e[i], a[i + 1], b[i + 1]
+        if abs(below) > abs(a[i]):
+            a[i], below = below, a[i]
+            b[i], first = first, b[i]
+            c[i], second = second, 0.0
+            x[i], x[i + 1] = x[i + 1], x[i]
+        ratio = below / (a[i] or np.finfo(float).tiny)
+        a[i + 1], b[i + 1] = first - ratio * b[i], second - ratio * c[i]
+        x[i + 1] -= ratio * x[i]
+    for i in range(n - 1, -1, -1):
+        rest = (b[i] * x[i + 1] if i + 1 < n else 0.0) + (c[i] * x[i + 2] if i + 2 < n else 0.0)
+        x[i] = (x[i] - rest) / (a[i] or np.finfo(float).eps * abs(d).max())
+    return x

@@ -132,12 +132,72 @@ def resample(samples: DataFrame, target: int = 256, block: int = 8192) -> DataFr
     return same.select(*columns).unionByName(done)
 
 
-def display_spectra(epochs: DataFrame, low: int = 3, high: int = 303) -> DataFrame:
+def resample_blocks(blocks: DataFrame, target: int = 256, seconds: int = 10) -> DataFrame:
+    """resample() of signals that come as blocks of so many seconds (the last may be shorter): blocks at the target rate.
+
+    Each block sends the HALO samples at its edges to its neighbours and is resampled with what it gets; samples never
+    become rows. Blocks shorter than the halo get less of it, so rates under HALO / seconds are less exact. Blocks at the
+    target rate pass through. A last block of too few samples for one new sample is left out.
+    """
+    columns = ["night_id", "channel", "fs", "epoch_idx", "samples"]
+    blocks = blocks.select(*columns[:4], F.col("samples").cast("array<double>").alias("samples"))
+    same, other = blocks.where(F.col("fs") == target), blocks.where(F.col("fs") != target)
+    none = F.lit(None).cast("array<double>")
+    size = F.size("samples")
+    start = F.greatest(size - HALO + 1, F.lit(1))
+    to_next = other.select(*KEY[:2], (F.col("epoch_idx") + 1).alias("epoch_idx"), F.slice("samples", start, HALO).alias("before"), none.alias("after"))
+    to_last = other.select(*KEY[:2], (F.col("epoch_idx") - 1).alias("epoch_idx"), none.alias("before"), F.slice("samples", 1, HALO).alias("after"))
+    edges = to_next.unionByName(to_last).groupBy(*KEY).agg(F.first("before", ignorenulls=True).alias("before"), F.first("after", ignorenulls=True).alias("after"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fs, epoch = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            parts = [[np.asarray(v if v is not None else (), float) for v in batch.column(i).to_pylist()] for i in (4, 5, 6)]
+            last = [v is None or not len(v) for v in parts[2]]
+            shapes: dict[tuple, list[int]] = {}
+            for i, (x, before, after) in enumerate(zip(*parts)):
+                shapes.setdefault((int(fs[i]), len(before), len(x), len(after), bool(last[i])), []).append(i)
+            made: list[np.ndarray] = [np.zeros(0)] * batch.num_rows
+            for (rate, halo, n, _, ends), at in shapes.items():
+                whole = np.stack([np.concatenate([parts[1][i], parts[0][i], parts[2][i]]) for i in at])
+                if not ends:
+                    places = np.arange(seconds * target) * (rate / target) + halo
+                    for i, row in zip(at, spectral.spline(whole, places)):
+                        made[i] = row
+                    continue
+                for i, row in zip(at, whole):  # a signal's end: int(all its samples * target / rate) in all
+                    count = int((int(epoch[i]) * rate * seconds + n) * (target / rate)) - int(epoch[i]) * seconds * target
+                    if count > 0:
+                        made[i] = spectral.spline(row[None], np.arange(count) * (rate / target) + halo)[0]
+            some = [i for i, x in enumerate(made) if len(x)]
+            if some:
+                kept = batch.take(pa.array(some))
+                samples = pa.array([made[i] for i in some], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(np.full(len(some), target, np.int32)), kept.column(3), samples], names=columns)
+
+    joined = other.join(edges, KEY, "left").select(*columns, "before", "after")
+    return same.unionByName(joined.mapInArrow(run, "night_id string, channel string, fs int, epoch_idx int, samples array<double>"))
+
+
+#: Tapers of the display and the half bandwidth (time by frequency) they are concentrated in.
+TAPERS, HALF_BANDWIDTH = 5, 3.0
+
+
+def display_spectra(epochs: DataFrame, low: int = 3, high: int = 303, tapers: str = "hann") -> DataFrame:
     """Per epoch and channel the dB of bins low to high - 1, after scaling the powers of a night to 0 .. 10.
 
-    The tapers of the published display are not known; one Hann taper stands for them.
+    tapers: ``hann`` for one Hann window, ``slepian`` for TAPERS sequences weighted by how concentrated they are.
     """
-    power = with_vector(epochs, "power", lambda x, fs: spectral.display_power(x, fs, low=low, high=high)).select(*KEY, "power")
+    if tapers not in ("hann", "slepian"):
+        raise ValueError(f"no tapers {tapers}")
+
+    def helper(x: np.ndarray, fs: float) -> np.ndarray:
+        if tapers == "hann":
+            return spectral.display_power(x, fs, low=low, high=high)
+        own, share = spectral.slepian(x.shape[1], HALF_BANDWIDTH, TAPERS)
+        return spectral.display_power(x, fs, own, share / share.sum(), low, high)
+
+    power = with_vector(epochs, "power", helper).select(*KEY, "power")
     range_ = power.groupBy("night_id").agg(F.min(F.array_min("power")).alias("least"), F.max(F.array_max("power")).alias("most"))
     scaled = lambda x: (x - F.col("least")) / F.nullif(F.col("most") - F.col("least"), F.lit(0.0)) * 10
     return power.join(range_, "night_id").select(*KEY, F.transform("power", lambda x: 10 * F.log10(F.greatest(scaled(x), F.lit(1e-10)))).alias("db"))

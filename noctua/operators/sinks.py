@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from dataclasses import asdict
 
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,13 +28,101 @@ def rejected_scores(scores: DataFrame, config: Config = Config()) -> DataFrame:
     return timestamps(scores.select("night_id", "epoch_idx", "stage"), config.sleep_len, config)
 
 
-def write_nights(rows: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Writes rows by night, each night's rows in the order of epochs. One shuffle, by night; re-running replaces."""
-    ordered = rows.repartition("night_id").sortWithinPartitions("night_id", "epoch_idx")
-    writer = ordered.write.mode("overwrite").partitionBy("night_id")
+def write_nights(rows: DataFrame, path: str, kind: str = "parquet", only_these: bool = False) -> None:
+    """Writes rows by night, each night's rows in the order of epochs. One shuffle, by night; re-running replaces.
+
+    With only_these, nights that are not among the rows keep what they have; else the whole table is replaced.
+    """
+    order = [c for c in ("night_id", "epoch_idx") if c in rows.columns]
+    ordered = rows.repartition("night_id").sortWithinPartitions(*order)
+    writer = ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if only_these else "static").partitionBy("night_id")
     (writer.option("header", True).csv if kind == "csv" else writer.parquet)(path)
 
 
+LEDGER = "night_id string, step string, config_hash string"
+
+
+def ledger(spark: SparkSession, out: str) -> DataFrame:
+    """night_id, step, config_hash of the outputs below a folder that are whole; none where nothing was written yet."""
+    folder = f"{out}/ledger"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(LEDGER).parquet(folder).distinct() if there else spark.createDataFrame([], LEDGER)
+
+
+def enter(nights: DataFrame, out: str, step: str, config: Config) -> None:
+    """Notes that a step of these nights is done. To be called after its files are written."""
+    entries = nights.select(F.col("night_id").cast("string").alias("night_id")).distinct()
+    entries.select("night_id", F.lit(step).alias("step"), F.lit(config_hash(config)).alias("config_hash")).write.mode("append").parquet(f"{out}/ledger")
+
+
+def save_features(rows: DataFrame, name: str, buckets: int = 64) -> None:
+    """Saves features as a table whose buckets (by night and epoch) are sorted: pairing channels with the acceleration from two
+    such tables of as many buckets needs no shuffle, nor does putting epochs back, where
+    spark.sql.requireAllClusterKeysForCoPartition is false."""
+    laid = rows.repartition(buckets, "night_id", "epoch_idx")  # a bucket is one file, so its order is known
+    laid.write.mode("overwrite").bucketBy(buckets, "night_id", "epoch_idx").sortBy("night_id", "epoch_idx").format("parquet").saveAsTable(name)
+
+
+def write_edf(rows: DataFrame, folder: str, channels: list[str], rate: int, low: dict[str, float], high: dict[str, float], file: str = "night.edf", seconds: int = 10) -> DataFrame:
+    """Writes each night as an EDF file ``folder/night_id/file`` of one-second records; night_id, path, records of each.
+
+    rows: night_id, epoch_idx (from 0, without gaps), an array of rate * seconds physical values for each channel. Values
+    outside a channel's physical range are cut to it. Arrays pass by in the order of epochs, so no task holds a night; a
+    file is written under another name and then moved.
+    """
+    counts = rows.groupBy(F.col("night_id").alias("__night")).agg(F.count("*").alias("__epochs"))
+    # the channels' names may be anything
+    named = rows.select("night_id", "epoch_idx", *(F.col(f"`{c}`").cast("array<double>").alias(f"c{i}") for i, c in enumerate(channels))).repartition("night_id")
+    laid = named.join(counts, named["night_id"] == counts["__night"]).drop("__night").sortWithinPartitions("night_id", "epoch_idx")
+    bottom, top = np.array([low[c] for c in channels]), np.array([high[c] for c in channels])
+    head = edf_header(channels, rate, bottom, top)
+
+    def put(batches):
+        night, out = None, None
+        for batch in batches:
+            for i, name in enumerate(batch.column(0).to_pylist()):
+                if name != night:
+                    if out:
+                        yield out.close()
+                    night, out = name, EdfFile(f"{folder}/{name}/{file}", name, head.replace(b"RECORDS.", str(batch.column(-1)[i].as_py() * seconds).ljust(8).encode()))
+                physical = np.stack([np.asarray(batch.column(2 + k)[i].as_py(), float).reshape(seconds, rate) for k in range(len(channels))], axis=1)
+                share = (physical - bottom[:, None]) / (top - bottom)[:, None]
+                out.add(np.clip(np.rint(share * 65535 - 32768), -32768, 32767).astype("<i2").tobytes(), seconds)
+        if out:
+            yield out.close()
+
+    return laid.mapInArrow(put, "night_id string, path string, records bigint")
+
+
+def edf_header(channels: list[str], rate: int, low: np.ndarray, high: np.ndarray) -> bytes:
+    """The header of an EDF file of one-second records; in place of their number stands RECORDS. (with the point)."""
+    n, text = len(channels), lambda values, width: "".join(str(v)[:width].ljust(width) for v in values)
+    fixed = text(["0"], 8) + " " * 160 + "01.01.0101.01.01" + text([256 * (n + 1)], 8) + " " * 44 + "RECORDS." + text(["1"], 8) + text([n], 4)
+    each = text(channels, 16) + " " * 80 * n + text([""] * n, 8) + text([f"{x:g}" for x in low], 8) + text([f"{x:g}" for x in high], 8) + text([-32768] * n, 8) + text([32767] * n, 8) + " " * 80 * n + text([rate] * n, 8) + " " * 32 * n
+    return (fixed + each).encode("latin-1", "replace")
+
+
+class EdfFile:
+    """A file in the making."""
+
+    def __init__(self, path: str, night: str, head: bytes):
+        self.system, self.path = (fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+        self.system.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.night, self.uri, self.attempt, self.records = night, path, f"{self.path}.{uuid.uuid4().hex}", 0
+        self.out = self.system.open_output_stream(self.attempt)
+        self.out.write(head)
+
+    def add(self, data: bytes, records: int) -> None:
+        self.out.write(data)
+        self.records += records
+
+    def close(self) -> pa.RecordBatch:
+        self.out.close()
+        self.system.move(self.attempt, self.path)
+        return pa.RecordBatch.from_pydict({"night_id": [self.night], "path": [self.uri], "records": [self.records]})
+
+
 def reusable(features: DataFrame, signal: DataFrame) -> DataFrame:
     """night_id of saved features that fit the signal: as many epochs, as many channels."""
 

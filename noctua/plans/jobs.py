@@ -1,25 +1,37 @@
-"""Whole jobs, each a lazy plan over all nights: nothing is collected, and a night's failure leaves only its own rows out."""
+"""Whole jobs over all nights. Each recording is decoded once: its blocks are written to a work folder with their counts and
+bounds beside them, and all else reads tables from there. A night's failure leaves only its own rows out.
+
+A job's results can be written by night (write_results()): a ledger then names the steps of each night that are done, so a
+job that was stopped goes on with the nights that are left, and repeating it changes nothing.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from noctua.functions.config import Config
 from noctua.operators import bedtime, checks, epochs, majority, signals, sinks, sleepstats
 from noctua.operators.epochs import KEY
-from noctua.sources import edf, nights
+from noctua.sources import edf, nights, recordings
 
 Model = Callable[[np.ndarray], np.ndarray]
+#: Acceleration outside this range fails a night.
+LOWEST, HIGHEST = -2.0, 2.0
 
 
 @dataclass(frozen=True)
 class Setup:
-    """What a job is told: channels, models (matrix of features to probabilities), settings."""
+    """What a job is told: channels, models (matrix of features to probabilities), settings.
+
+    axes: none where there is no accelerometer; a constant one then stands for it, and there is no mobility. per_channel:
+    each channel is a file of its name. lite: spectrograms only; lite_mobility: powers of the axes instead of statistics.
+    """
 
     channels: list[str]
     usability: Model
@@ -27,45 +39,79 @@ class Setup:
     axes: tuple[str, ...] = epochs.AXES
     config: Config = Config()
     least_run: int | None = None
-    lite: bool = False  # spectrograms only
+    lite: bool = False
+    lite_mobility: bool = True
+    per_channel: bool = False
+    ignore_m_shaped: bool = True
+
+
+@dataclass(frozen=True)
+class Signals:
+    epochs: DataFrame  # night_id, channel, epoch_idx, fs, samples: whole epochs at the configured rate
+    facts: DataFrame  # night_id, seconds: of nights without a fault
+    faults: DataFrame  # night_id, code
 
 
 @dataclass(frozen=True)
 class Results:
     faults: DataFrame  # night_id, code
-    usability: DataFrame
-    mobility: DataFrame
+    usability: DataFrame  # with probs
+    mobility: DataFrame  # with probs
     rejected: DataFrame
     lights: DataFrame
     statistics: DataFrame
+    facts: DataFrame
+
+
+STEPS = ("usability", "rejected", "mobility", "lights", "rejected_tib", "usability_tib", "statistics")
+
+
+def table(rows: DataFrame, path: str) -> DataFrame:
+    """The rows, written once and read from there."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def nights_to_do(files: DataFrame, outputs: DataFrame, step: str, config: Config) -> DataFrame:
-    """Files of the nights that have no output of the step under these settings yet."""
-    found = nights.nights(files.select(F.concat_ws("/", "src_path", "file").alias("path"))).select(F.col("src_path").alias("night_id"))
+    """Files (path) of the nights that have no output of the step under these settings yet."""
+    night = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    found = nights.nights(files.select("path")).select(F.col("src_path").alias("night_id"))
     left = nights.to_do(found, outputs, step, sinks.config_hash(config))
-    return files.join(left.select(F.col("night_id").alias("src_path")), "src_path", "left_semi")
+    return files.withColumn("night_id", night).join(left, "night_id", "left_semi").drop("night_id")
 
 
-def signal_epochs(files: DataFrame, setup: Setup) -> tuple[DataFrame, DataFrame]:
+def signal_epochs(files: DataFrame, setup: Setup, work: str) -> Signals:
     """Epochs of the channels and axes of each night at the configured rate, and the faults of nights left out.
 
-    Blocks are decoded as epochs. Those at another rate go through samples and splines; whole epochs of the shortest
-    channel are kept.
+    files: path, length. Headers are read first; nights with a fault there are not decoded. Blocks at another rate exchange
+    their edges with their neighbours and are resampled. Channels and axes are each cut to the whole epochs of the
+    shortest of their own.
     """
+    config, rate, seconds = setup.config, setup.config.rate, setup.config.usability_len
+    if seconds != edf.BLOCK_SECONDS:
+        raise ValueError(f"epochs are blocks of {edf.BLOCK_SECONDS} seconds")
     wanted = [*setup.channels, *setup.axes]
-    probed = edf.probe(files)
-    blocks = edf.read_combined(files, wanted, probed).withColumnRenamed("src_path", "night_id").withColumn("samples", F.col("samples").cast("array<double>"))
-    faults = edf.combined_faults(files, wanted, probed).withColumnRenamed("src_path", "night_id")
-    rate, seconds = setup.config.rate, setup.config.usability_len
-    other = blocks.where(F.col("fs") != rate)
-    samples = epochs.to_samples(other, edf.BLOCK_SECONDS)
-    whole = blocks.where((F.col("fs") == rate) & (F.size("samples") == rate * seconds)).unionByName(epochs.to_epochs(signals.resample(samples, rate), seconds))
-    each = blocks.groupBy("night_id", "channel").agg((F.sum(F.size("samples")) / F.first("fs")).alias("s"))
-    length = each.groupBy("night_id").agg(F.min("s").alias("s"))
-    short = length.where("s < 60").select("night_id", F.lit(2).alias("code"))
-    kept = whole.join(length.where("s >= 60"), "night_id").where((F.col("epoch_idx") + 1) * seconds <= F.col("s")).drop("s")
-    return kept, faults.unionByName(short)
+    found = table(recordings.catalog(files), f"{work}/catalog")
+    chosen, faults = recordings.per_channel(found, wanted) if setup.per_channel else recordings.combined(found, wanted)
+    faults = faults.select(F.col("src_path").alias("night_id"), "code")
+    decoded = table(recordings.blocks(chosen, None if setup.per_channel else wanted), f"{work}/blocks").withColumnRenamed("src_path", "night_id")
+    other = signals.resample_blocks(decoded.where(F.col("fs") != rate), rate, seconds)
+    other = other.withColumns({"n": F.size("samples"), "least": F.array_min("samples").cast("float"), "most": F.array_max("samples").cast("float")})
+    columns = ["night_id", "channel", "epoch_idx", "fs", "n", "least", "most", "samples"]
+    same = decoded.where(F.col("fs") == rate).withColumn("samples", F.col("samples").cast("array<double>"))
+    if any(r.fs != rate for r in decoded.select("fs").distinct().collect()):  # rates are few
+        same = same.select(columns).unionByName(table(other.select(columns), f"{work}/resampled"))
+    is_axis = F.col("channel").isin(*setup.axes) if setup.axes else F.lit(False)
+    lengths = decoded.groupBy("night_id", "channel").agg((F.sum("n") / F.first("fs")).alias("seconds"))
+    each = same.groupBy("night_id", "channel").agg(F.floor(F.sum("n") / (rate * seconds)).cast("int").alias("whole"))
+    whole = each.groupBy("night_id", is_axis.alias("axis")).agg(F.min("whole").alias("whole"))
+    firsts = [setup.channels[0], *setup.axes[:1]]
+    first = lengths.where(F.col("channel").isin(*firsts)).groupBy("night_id").agg(F.min("seconds").alias("least"), F.max(F.when(F.col("channel") == firsts[0], F.col("seconds"))).alias("seconds"))
+    inside = same.withColumn("axis", is_axis).join(whole, ["night_id", "axis"]).where("epoch_idx < whole")
+    range_ = inside.where("axis").groupBy("night_id").agg(F.min("least").alias("low"), F.max("most").alias("high"))
+    facts = table(first.join(range_, "night_id", "left").select("night_id", "seconds", F.when(F.col("least") < 60, 2).when((F.col("low") < LOWEST) | (F.col("high") > HIGHEST), 12).cast("int").alias("code")), f"{work}/facts")
+    kept = inside.join(facts.where("code IS NULL").select("night_id"), "night_id", "left_semi").where(F.col("n") == rate * seconds)
+    return Signals(kept.select(*KEY, "fs", "samples"), facts.where("code IS NULL").drop("code"), faults.unionByName(facts.where("code IS NOT NULL").select("night_id", "code")))
 
 
 def features_of(eeg: DataFrame, acceleration: DataFrame, setup: Setup) -> DataFrame:
@@ -73,26 +119,100 @@ def features_of(eeg: DataFrame, acceleration: DataFrame, setup: Setup) -> DataFr
 
     def of(rows: DataFrame) -> DataFrame:
         rows = signals.spectrogram_features(rows)
-        return rows if setup.lite else signals.statistical_features(rows)
+        return (rows if setup.lite else signals.statistical_features(rows)).drop("samples")
 
     columns = ["spec"] if setup.lite else ["spec", "stat"]
     paired = epochs.pair_with_acceleration(of(eeg), of(acceleration), columns)
     return epochs.lite_vector(paired) if setup.lite else epochs.usability_vector(paired)
 
 
-def night_statistics(files: DataFrame, stages: DataFrame, setup: Setup) -> Results:
+def split_signals(whole: DataFrame, setup: Setup) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Epochs of the channels, of the axes (None if there are none), and of the one acceleration."""
+    eeg = whole.where(F.col("channel").isin(*setup.channels))
+    if not setup.axes:
+        return eeg, None, epochs.pseudo_acceleration(eeg)
+    axes = whole.where(F.col("channel").isin(*setup.axes))
+    return eeg, axes, epochs.norm_of_epochs(axes, setup.axes)
+
+
+def night_statistics(files: DataFrame, stages: DataFrame, setup: Setup, work: str) -> Results:
     """From files and sleep stages to usability, mobility, rejected stages, lights and statistics of all nights."""
-    whole, faults = signal_epochs(files, setup)
-    axes, eeg = whole.where(F.col("channel").isin(*setup.axes)), whole.where(F.col("channel").isin(*setup.channels))
-    usability = signals.predict(features_of(eeg, epochs.norm_of_epochs(axes, setup.axes), setup), setup.usability).select(*KEY, "label")
-    powers = epochs.mobility_vector(signals.power_features(axes), "pow", setup.axes)
-    mobility = signals.predict(powers, setup.mobility).select("night_id", "epoch_idx", "label")
-    unified = checks.unify_rem(stages)
-    rejected = majority.overlay(majority.ignore_m_shaped(usability), unified, setup.config)
-    lights = bedtime.lights(mobility, setup.config, setup.least_run)
-    wrong = majority.length_mismatch(usability, unified, setup.config).select("night_id", F.lit(7).alias("code"))
-    dark = bedtime.without_lights(mobility, lights).select("night_id", F.lit(9).alias("code"))
-    return Results(faults.unionByName(wrong).unionByName(dark), usability, mobility, rejected, lights, sleepstats.sleep_statistics(rejected, lights, setup.config))
+    return labelled(signal_epochs(files, setup, work), stages, setup, work)
+
+
+def labelled(found: Signals, stages: DataFrame, setup: Setup, work: str) -> Results:
+    """The results of nights whose epochs are at hand. Labels are predicted once and written to the work folder.
+
+    stages: night_id, epoch_idx, stage (null where it could not be read) of nights that have been scored; other nights have
+    no rejected stages. Faults of stages: 4, 5, 7, 6, the first that holds; such nights go no farther.
+    """
+    config = setup.config
+    eeg, axes, acceleration = split_signals(found.epochs, setup)
+    usability = table(signals.predict(features_of(eeg, acceleration, setup), setup.usability).select(*KEY, "label", "probs"), f"{work}/usability")
+    stages = stages.join(found.facts.select("night_id"), "night_id", "left_semi")
+    sizes = usability.groupBy("night_id").agg((F.max("epoch_idx") + 1).alias("n_usability"))
+    wrong = table(checks.stage_faults(stages, found.facts.join(sizes, "night_id", "left"), config).where("code IS NOT NULL"), f"{work}/stage_faults")
+    good = checks.unify_rem(stages.join(wrong.select("night_id"), "night_id", "left_anti"))
+    seen = majority.ignore_m_shaped(usability) if setup.ignore_m_shaped else usability
+    rejected = table(majority.overlay(seen.drop("probs"), good, config), f"{work}/rejected")
+    if axes is None:
+        mobility = usability.select("night_id", "epoch_idx", "label", "probs").where("false")
+        lights, dark = bedtime.lights(mobility, config, setup.least_run), mobility.select("night_id", F.lit(9).alias("code"))
+    else:
+        vectors = epochs.mobility_vector(signals.power_features(axes), "pow", setup.axes) if setup.lite_mobility else epochs.mobility_vector(signals.statistical_features(axes), "stat", setup.axes)
+        mobility = table(signals.predict(vectors, setup.mobility).select("night_id", "epoch_idx", "label", "probs"), f"{work}/mobility")
+        lights = table(bedtime.lights(mobility, config, setup.least_run), f"{work}/lights")
+        dark = bedtime.without_lights(mobility, lights).select("night_id", F.lit(9).alias("code"))
+    statistics = table(sleepstats.sleep_statistics(rejected, lights, config), f"{work}/statistics")
+    scored = rejected.select("night_id").distinct()
+    short = scored.join(statistics, "night_id", "left_anti").select("night_id", F.lit(11).alias("code"))
+    unscored = found.facts.join(scored, "night_id", "left_anti").join(wrong, "night_id", "left_anti").select("night_id", F.lit(10).alias("code"))
+    faults = reduce(DataFrame.unionByName, (found.faults, wrong, dark, short, unscored))
+    return Results(faults, usability, mobility, rejected, lights, statistics, found.facts)
+
+
+def write_results(results: Results, setup: Setup, out: str) -> dict[str, float]:
+    """Writes all results by night below ``out``, and enters each step of each night in the ledger after its files.
+
+    Nights that are not among the results keep their files. Returns counts taken on the way, without another pass: nights,
+    failed nights, and the usable percent of all epochs.
+    """
+    spark, config = results.usability.sparkSession, setup.config
+    counted = Observation("usability")
+    usability = results.usability.observe(counted, F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 0).alias("usable"))
+    usability.select(*KEY, "label", F.col("probs").alias("percent")).repartition("night_id").sortWithinPartitions("night_id", "epoch_idx").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("night_id").parquet(f"{out}/usability_probabilities")
+    lights = results.lights
+    wide = sinks.wide_usability(results.usability, setup.channels, config)
+    inside = bedtime.crop(results.usability.drop("probs"), lights, config.usability_len, config)
+    tables = {
+        "usability": wide,
+        "rejected": sinks.rejected_scores(results.rejected, config),
+        "mobility": results.mobility.select("night_id", "epoch_idx", "label", F.col("probs").alias("percent")),
+        "lights": lights,
+        "rejected_tib": sinks.rejected_scores(bedtime.crop(results.rejected, lights, config.sleep_len, config), config),
+        "usability_tib": sinks.wide_usability(inside, setup.channels, config),
+        "statistics": sleepstats.to_pairs(results.statistics),
+    }
+    for step in STEPS:
+        sinks.write_nights(tables[step], f"{out}/{step}", only_these=True)
+        sinks.enter(tables[step].select("night_id"), out, step, config)
+    report = checks.error_report([results.faults])
+    every = results.facts.select("night_id").unionByName(report.select("night_id")).distinct()
+    status = every.join(report.groupBy("night_id").agg(F.sort_array(F.collect_list("code")).alias("codes"), F.max("fatal").alias("fatal")), "night_id", "left")
+    outcome = Observation("nights")
+    observed = status.observe(outcome, F.count(F.lit(1)).alias("n_nights"), F.count_if("fatal").alias("n_failed"))
+    sinks.write_nights(observed, f"{out}/nights", only_these=True)
+    sinks.enter(spark.read.parquet(f"{out}/nights").join(every, "night_id", "left_semi").select("night_id"), out, "nights", config)
+    share = {"n": 0} if results.facts.isEmpty() else counted.get  # Spark leaves out what it knows to be empty
+    return outcome.get | {"usable_percent": 100 * share["usable"] / share["n"] if share["n"] else float("nan")}
+
+
+def run(files: DataFrame, stages: DataFrame, setup: Setup, work: str, out: str) -> dict[str, float]:
+    """The whole job for the nights of a listing (path, length) that the ledger does not have yet."""
+    left = nights_to_do(files, sinks.ledger(files.sparkSession, out), "nights", setup.config)
+    if left.isEmpty():
+        return {"n_nights": 0, "n_failed": 0, "usable_percent": float("nan")}
+    return write_results(night_statistics(left, stages, setup, work), setup, out)
 
 
 def filter_spiky_epochs(eeg: DataFrame, acceleration: DataFrame, usability: DataFrame, setup: Setup, spiky: int = 3, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -103,5 +223,11 @@ def filter_spiky_epochs(eeg: DataFrame, acceleration: DataFrame, usability: Data
     labelled = eeg.join(usability.select(*KEY, "label"), KEY)
     filtered = signals.filter_spiky(labelled, spiky=spiky, **options)
     changed = features_of(filtered.where(F.col("label") == spiky).drop("label"), acceleration, setup)
-    rescored = signals.rescore(usability, changed, setup.usability)
+    rescored = signals.rescore(usability.select(*KEY, "label"), changed, setup.usability)
     return filtered.drop("label"), rescored, majority.recovery(usability, rescored, spiky)
+
+
+def write_filtered(filtered: DataFrame, folder: str, setup: Setup, low: float, high: float) -> DataFrame:
+    """The filtered signal as an EDF file of all channels for each night: night_id, path, records."""
+    wide = filtered.groupBy("night_id", "epoch_idx").agg(*(F.first(F.when(F.col("channel") == c, F.col("samples")), ignorenulls=True).alias(c) for c in setup.channels))
+    return sinks.write_edf(wide.dropna(), folder, setup.channels, setup.config.rate, dict.fromkeys(setup.channels, low), dict.fromkeys(setup.channels, high))

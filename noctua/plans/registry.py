@@ -5,19 +5,19 @@ Each query binds an operator to stand-ins derived from the driver's tables (plan
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from noctua.functions import trees
 from noctua.functions.config import Config
 from noctua.operators import bedtime, checks, epochs, majority, signals, sinks, sleepstats
 from noctua.plans import bindings as b
 from noctua.plans import jobs
-from noctua.sources import edf, nights, scores
+from noctua.sources import nights, recordings, scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,9 +42,12 @@ def each(rows: DataFrame, column: str) -> DataFrame:
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new folder that executors and driver share: below spark.checkpoint.dir, or the warehouse where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root if ':' in root else 'file://' + os.path.abspath(root)}/{name}-{uuid.uuid4().hex}"
+    """A new folder that executors and driver share: below spark.checkpoint.dir as Spark resolves it, or, where that is unset, below the warehouse."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        own = context.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/noctua-checkpoints"
+        context.setCheckpointDir(own)
+    return f"{context.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 U, S, M = "WITH " + b.USABILITY, "WITH " + b.USABILITY + "," + b.STAGES, "WITH " + b.NUMBERED + "," + b.MOBILITY
@@ -390,8 +393,36 @@ def g1_resample_between(spark, sf_dir):
     return tripled.select("night_id", "channel", "sample_idx", F.round("value", 6).alias("value"))
 
 
-@query("WITH " + b.AXES + """, x AS (SELECT night_id, channel, CAST(sample_idx // 160 AS INTEGER) AS epoch_idx, count(*) AS n, round(sum(value), 6) AS total FROM a GROUP BY ALL HAVING count(*) = 160)
-SELECT p.night_id, p.channel, p.epoch_idx, p.total, q.total AS acc_total FROM x p JOIN x q ON q.channel = 'dZ' AND p.channel <> 'dZ' AND p.night_id = q.night_id AND p.epoch_idx = q.epoch_idx""")
+@query(resampled(3))
+def g1_resample_blocks(spark, sf_dir):
+    """The same from blocks of 64 seconds, which send their edges to their neighbours."""
+    part = F.floor(F.col("sample_idx") / 64).cast("int").alias("epoch_idx")
+    blocks = b.samples(spark, sf_dir).groupBy("night_id", "channel", part).agg(F.first("fs").alias("fs"), F.sort_array(F.collect_list(F.struct("sample_idx", "value"))).alias("s"))
+    made = signals.resample_blocks(blocks.withColumn("samples", F.transform("s", lambda x: x["value"])), 3, 64)
+    rows = each(made, "samples")
+    return rows.select("night_id", "channel", (F.col("epoch_idx").cast("long") * 192 + F.col("pos")).alias("sample_idx"), F.round("value", 6).alias("value"))
+
+
+PAIRED = "WITH " + b.AXES + """, x AS (SELECT night_id, channel, CAST(sample_idx // 160 AS INTEGER) AS epoch_idx, count(*) AS n, round(sum(value), 6) AS total FROM a GROUP BY ALL HAVING count(*) = 160)
+SELECT p.night_id, p.channel, p.epoch_idx, p.total, q.total AS acc_total FROM x p JOIN x q ON q.channel = 'dZ' AND p.channel <> 'dZ' AND p.night_id = q.night_id AND p.epoch_idx = q.epoch_idx"""
+
+
+def saved_totals(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Totals of epochs of dX and dY, and of dZ, as two tables of buckets."""
+    names = [f"features_{part}_{uuid.uuid4().hex}" for part in ("eeg", "acc")]
+    whole = epochs.to_epochs(b.axes(spark, sf_dir)).withColumn("total", F.round(F.aggregate("samples", F.lit(0.0), lambda t, v: t + v), 6)).drop("samples", "fs")
+    for name, part in zip(names, (whole.where("channel <> 'dZ'"), whole.where("channel = 'dZ'"))):
+        sinks.save_features(part, name, 8)
+    return tuple(spark.table(n) for n in names)
+
+
+@query(PAIRED)
+def s8_j1_from_saved_features(spark, sf_dir):
+    """Channels paired with the acceleration from saved features, without a shuffle."""
+    return epochs.pair_with_acceleration(*saved_totals(spark, sf_dir), ["total"]).select(*epochs.KEY, "total", "acc_total")
+
+
+@query(PAIRED)
 def j1_pair_with_acceleration(spark, sf_dir):
     whole = epochs.to_epochs(b.axes(spark, sf_dir)).withColumn("total", F.round(F.aggregate("samples", F.lit(0.0), lambda t, v: t + v), 6)).drop("samples")
     return epochs.pair_with_acceleration(whole.where("channel <> 'dZ'"), whole.where("channel = 'dZ'"), ["total"]).select(*epochs.KEY, "total", "acc_total")
@@ -504,6 +535,112 @@ def x5_all_features(spark, sf_dir):
     return signals.statistical_features(epochs.to_epochs(b.recording(spark, sf_dir))).select(*epochs.KEY, "stat")
 
 
+def statistics_in_sql() -> str:
+    """All statistical and temporal features of the vectors (64 points, 64 a second) as name and value, each by its own formula."""
+    total = lambda f, over="range(1, 65)": f"list_sum([{f} FOR i IN {over}])"
+    middle = lambda f, over: f"list_median([{f} FOR i IN {over}])"
+    d = "range(1, 64)"
+    named = [(f"ecdf_{i}", f"{i + 1} / 64") for i in range(10)]
+    named += [("ecdf_percentile_0.2", "s[13]"), ("ecdf_percentile_0.8", "s[52]"), ("ecdf_count_0.2", "13"), ("ecdf_count_0.8", "52")]
+    named += [(f"histogram_{k}", f"len([1 FOR i IN range(1, 65) IF least(CAST(floor((x[i] - lo) / ((hi - lo) / 10)) AS INTEGER), 9) = {k}]) / (64 * ((hi - lo) / 10))") for k in range(10)]
+    named += [
+        ("interquartile_range", "list_aggregate(x, 'quantile_cont', 0.75) - list_aggregate(x, 'quantile_cont', 0.25)"), ("kurtosis", total("power(x[i] - mu, 4)") + " / 64 / power(va, 2) - 3"), ("max", "hi"), ("mean", "mu"),
+        ("mean_abs_deviation", total("abs(x[i] - mu)") + " / 64"), ("median", "me"), ("median_abs_deviation", middle("abs(x[i] - me)", "range(1, 65)")), ("min", "lo"), ("rms", "sqrt(en / 64)"),
+        ("skewness", total("power(x[i] - mu, 3)") + " / 64 / power(va, 1.5)"), ("std", "sqrt(va)"), ("variance", "va"), ("absolute_energy", "en"), ("area_under_curve", total("abs(x[i] + x[i + 1])", d) + " / 128"),
+        ("autocorrelation", "coalesce(list_min([k FOR k IN range(0, 64) IF list_sum([(x[i] - mu) * (x[i + k] - mu) FOR i IN range(1, 65 - k)]) / (64 * va) <= exp(-1)]), 0)"),
+        ("centroid", total("(i - 1) / 64 * x[i] * x[i]") + " / en"), ("entropy", "-" + total("CASE WHEN x[i] = 0 THEN 0 ELSE x[i] * x[i] / en * log2(x[i] * x[i] / en) END") + " / 6"),
+        ("mean_abs_diff", total("abs(x[i + 1] - x[i])", d) + " / 63"), ("mean_diff", "(x[64] - x[1]) / 63"), ("median_abs_diff", middle("abs(x[i + 1] - x[i])", d)), ("median_diff", middle("x[i + 1] - x[i]", d)),
+        ("negative_turning", "len([1 FOR i IN range(2, 64) IF x[i] < x[i - 1] AND x[i + 1] > x[i]])"), ("neighbourhood_peaks", "len([1 FOR i IN range(11, 55) IF x[i] > list_max(x[i - 10 : i - 1]) AND x[i] > list_max(x[i + 1 : i + 10])])"),
+        ("peak_to_peak", "hi - lo"), ("positive_turning", "len([1 FOR i IN range(2, 64) IF x[i] > x[i - 1] AND x[i + 1] < x[i]])"), ("distance", total("sqrt(1 + power(x[i + 1] - x[i], 2))", d)),
+        ("slope", total("(x[i] - mu) * (i - 32.5)") + " / " + total("power(i - 32.5, 2)")), ("sum_abs_diff", total("abs(x[i + 1] - x[i])", d)), ("total_energy", "en / (63 / 64)"), ("zero_crossings", f"len([1 FOR i IN {d} IF (x[i] < 0) <> (x[i + 1] < 0)])"),
+    ]
+    names, values = ", ".join(f"'{n}'" for n, _ in named), ", ".join(f"CAST({f} AS DOUBLE)" for _, f in named)
+    return "WITH " + b.VECTORS + f""", w AS (SELECT night_id, epoch_idx, samples AS x, list_sort(samples) AS s, list_min(samples) AS lo, list_max(samples) AS hi, list_avg(samples) AS mu, list_median(samples) AS me, list_var_pop(samples) AS va,
+  list_sum([y * y FOR y IN samples]) AS en FROM v),
+f AS (SELECT night_id, 'EEG' AS channel, epoch_idx, unnest([{names}]) AS name, unnest([{values}]) AS value FROM w)
+SELECT night_id, channel, epoch_idx, name, CASE WHEN round(value, 5) = 0 THEN 0 ELSE round(value, 5) END AS value FROM f"""
+
+
+@query(statistics_in_sql())
+def x3_x4_all_features(spark, sf_dir):
+    """All 54 statistical and temporal features by name."""
+    from noctua.functions.features import STATISTICAL, TEMPORAL
+
+    names = F.array(*map(F.lit, STATISTICAL + TEMPORAL))
+    found = signals.statistical_features(b.vectors(spark, sf_dir)).select(*epochs.KEY, F.posexplode(F.slice("stat", 1, 54)).alias("at", "value"))
+    return found.select(*epochs.KEY, F.get(names, F.col("at")).alias("name"), (F.round("value", 5) + 0.0).alias("value"))
+
+
+#: A small model in the text format of tree ensembles: three trees of a binary score.
+TREES = """tree
+version=v4
+num_class=1
+num_tree_per_iteration=1
+objective=binary sigmoid:1
+
+Tree=0
+num_leaves=3
+split_feature=0 5
+threshold=0 0.05
+decision_type=2 2
+left_child=1 -2
+right_child=-1 -3
+leaf_value=0.4 -0.3 0.1
+
+Tree=1
+num_leaves=4
+split_feature=63 10 2
+threshold=0.02 -0.01 0.1
+decision_type=2 2 2
+left_child=1 -1 -2
+right_child=2 -3 -4
+leaf_value=0.25 -0.15 -0.35 0.05
+
+Tree=2
+num_leaves=2
+split_feature=31
+threshold=-0.03
+decision_type=2
+left_child=-1
+right_child=-2
+leaf_value=-0.2 0.3
+
+end of trees
+"""
+
+
+@query("WITH " + b.VECTORS + """, z AS (SELECT night_id, epoch_idx,
+CASE WHEN samples[1] <= 0 THEN CASE WHEN samples[6] <= 0.05 THEN -0.3 ELSE 0.1 END ELSE 0.4 END
++ CASE WHEN samples[64] <= 0.02 THEN CASE WHEN samples[11] <= -0.01 THEN 0.25 ELSE -0.35 END ELSE CASE WHEN samples[3] <= 0.1 THEN -0.15 ELSE 0.05 END END
++ CASE WHEN samples[32] <= -0.03 THEN -0.2 ELSE 0.3 END AS z FROM v)
+SELECT night_id, 'EEG' AS channel, epoch_idx, CAST(z > 0 AS INTEGER) AS label, round(100 / (1 + exp(-CAST(z AS DOUBLE))), 5) AS percent FROM z""")
+def m1_tree_ensemble(spark, sf_dir):
+    """Scored by a model read from its text."""
+    found = signals.predict(b.vectors(spark, sf_dir), trees.parse(TREES), "samples")
+    return found.select(*epochs.KEY, "label", F.round(F.get("probs", F.lit(1)), 5).alias("percent"))
+
+
+def slepian_in_sql() -> str:
+    """The display with Slepian tapers, which here come from the dense eigenproblem of the sinc kernel."""
+    n, w = 64, signals.HALF_BANDWIDTH / 64
+    lag = np.arange(n)[:, None] - np.arange(n)
+    share, tapers = np.linalg.eigh(2 * w * np.sinc(2 * w * lag))
+    share, tapers = share[::-1][: signals.TAPERS], tapers[:, ::-1][:, : signals.TAPERS]
+    values = ", ".join(f"({k}, {j}, CAST({float(tapers[j, k])!r} AS DOUBLE), CAST({float(share[k] / share.sum())!r} AS DOUBLE))" for k in range(signals.TAPERS) for j in range(n))
+    return "WITH " + b.VECTORS + f""", tp AS (SELECT * FROM (VALUES {values}) AS q(t, j, a, share)),
+z AS (SELECT night_id, epoch_idx, t, j, share, samples[j + 1] * a AS d FROM v, tp),
+y AS (SELECT night_id, epoch_idx, k, t, any_value(share) * (power(sum(d * cos(2 * pi() * k * j / 64)), 2) + power(sum(d * sin(2 * pi() * k * j / 64)), 2)) / 64 AS x FROM z, (SELECT unnest(range(3, 33)) AS k) GROUP BY ALL),
+yy AS (SELECT night_id, epoch_idx, k, sum(x) AS x FROM y GROUP BY ALL),
+r AS (SELECT night_id, 'EEG' AS channel, epoch_idx, k - 3 AS bin, round(10 * log10(greatest((x - min(x) OVER n) / (max(x) OVER n - min(x) OVER n) * 10, 1e-10)), 3) AS db FROM yy WINDOW n AS (PARTITION BY night_id))
+SELECT night_id, channel, epoch_idx, bin, CASE WHEN db = 0 THEN 0 ELSE db END AS db FROM r"""
+
+
+@query(slepian_in_sql())
+def d1_slepian_spectra(spark, sf_dir):
+    found = signals.display_spectra(b.vectors(spark, sf_dir), tapers="slepian")
+    return found.select(*epochs.KEY, F.posexplode("db").alias("bin", "db")).select(*epochs.KEY, F.col("bin").cast("long").alias("bin"), (F.round("db", 3) + 0.0).alias("db"))
+
+
 def linear_model(x: np.ndarray) -> np.ndarray:
     """A fixed stand-in for a trained model: the softmax of the first five values."""
     z = np.exp(x[:, :5] - x[:, :5].max(axis=1, keepdims=True))
@@ -593,6 +730,23 @@ def s5_scores_from_files(spark, sf_dir):
     return scores.to_long(read.withColumn("epoch_idx", F.col("epoch_idx").cast("int")), ["C0", "C1"])
 
 
+@query(U + " SELECT night_id, epoch_idx, channel, label FROM u WHERE channel = 'C0' OR CAST(night_id AS BIGINT) % 3 <> 2")
+def s5_scores_of_differing_channels(spark, sf_dir):
+    """Of three nights one has its columns in the other order, and one lacks the second channel: each file's own header counts."""
+    folder = shared(spark, "differing")
+    wide, kind = s6_wide_usability(spark, sf_dir), F.col("night_id").cast("long") % 3
+    columns = [("C0", "C1"), ("C1", "C0"), ("C0",)]
+    choose = lambda f: F.when(kind == 0, f(columns[0])).when(kind == 1, f(columns[1])).otherwise(f(columns[2]))
+    line = choose(lambda c: F.concat_ws(",", *c, "start_time_sec", "end_time_sec"))
+    head = choose(lambda c: F.lit(",".join([*c, "Start_time_sec", "End_time_sec"])))
+    rows = wide.select(F.col("night_id").alias("n"), F.col("epoch_idx").alias("at"), line.alias("value"))
+    heads = wide.select(F.col("night_id").alias("n"), F.lit(-1).alias("at"), head.alias("value")).distinct()
+    every = rows.unionByName(heads).repartition("n").sortWithinPartitions("n", "at")
+    every.select("value", "n").write.partitionBy("n").text(folder)
+    read = scores.read_scores(spark, f"{folder}/n=*")
+    return read.select(F.regexp_extract("path", r"/n=(\d+)", 1).alias("night_id"), "epoch_idx", "channel", "label")
+
+
 def write_lines(lines: DataFrame, head: dict[int, str], folder: str) -> None:
     """A text file of each n, its lines in the order of ``at``, those of head first."""
     first = lines.select("n").distinct().select("n", F.explode(F.create_map(*(F.lit(x) for kv in head.items() for x in kv))).alias("at", "value"))
@@ -655,53 +809,87 @@ def s1_s15_nights(spark, sf_dir):
     return nights.with_destination(nights.nights(files), "http", "out")
 
 
-def edf_file(labels: tuple[str, ...], per_record: int, seconds: int):
-    """A column of EDF bytes from arrays of digital samples, one for each label; to have files to read."""
-    pad = lambda x, n: x.ljust(n)
-    count = len(labels)
-    body = "".join(pad(x, 16) for x in labels) + " " * 80 * count + pad("uV", 8) * count + pad("-32768", 8) * count + pad("32767", 8) * count + pad("-32768", 8) * count + pad("32767", 8) * count + " " * 80 * count + pad(str(per_record), 8) * count + " " * 32 * count
+WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """A folder of files that are written at the first call in an application; later calls read them."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in WRITTEN:
+        folder = shared(spark, name)
+        write(folder)
+        WRITTEN[key] = folder
+    return WRITTEN[key]
+
 
-    @F.udf("binary")
-    def build(*arrays):
-        records = len(arrays[0]) // per_record
-        fixed = pad("0", 8) + " " * 160 + "01.01.0101.01.01" + pad(str(256 * (count + 1)), 8) + " " * 44 + pad(str(records), 8) + pad(str(seconds), 8) + pad(str(count), 4)
-        data = np.stack([np.array(a[: records * per_record], "<i2").reshape(records, per_record) for a in arrays], axis=1)
-        return bytearray((fixed + body).encode("latin-1") + data.tobytes())
+def vector_samples(spark, sf_dir) -> DataFrame:
+    """night_id, epoch_idx, X, Y: 60 whole numbers of each vector, and their negatives."""
+    x = F.transform(F.slice("samples", 1, 60), lambda v: F.round(v * 100))
+    return b.vectors(spark, sf_dir).select("night_id", "epoch_idx", x.alias("X"), F.transform(x, lambda v: -v).alias("Y"))
 
-    return build
+
+WHOLE = ({"X": -32768.0, "Y": -32768.0}, {"X": 32767.0, "Y": 32767.0})
+
+
+def combined_files(spark, sf_dir) -> DataFrame:
+    """path, length of an EDF file of two channels at 6 samples a second for each night of vectors."""
+    folder = once(spark, sf_dir, "combined", lambda f: sinks.write_edf(vector_samples(spark, sf_dir), f, ["X", "Y"], 6, *WHOLE).count())
+    return recordings.listing(spark, folder)
+
+
+def night_of(path: str):
+    return F.regexp_extract(path, r"([^/]+)$", 1).alias("night_id")
 
 
 @query("WITH " + b.VECTORS + """ SELECT night_id, channel, CAST(epoch_idx // 1 AS INTEGER) AS epoch_idx, round(total, 3) AS total FROM (
 SELECT night_id, 'X' AS channel, epoch_idx, list_sum(list_transform(samples[1:60], lambda v: round(v * 100))) AS total FROM v
 UNION ALL SELECT night_id, 'Y', epoch_idx, list_sum(list_transform(samples[1:60], lambda v: -round(v * 100))) FROM v)""")
 def s2_s3_combined_edf(spark, sf_dir):
-    """Vectors of a label as two channels of an EDF file, ten seconds of 6 Hz a vector, decoded to epochs."""
-    files = nights_of_samples(spark, sf_dir)
-    files = files.select(F.col("night_id").alias("src_path"), F.concat("night_id", F.lit(".edf")).alias("file"), edf_file(("X", "Y"), 6, 1)("x", F.transform("x", lambda v: -v)).alias("content"))
-    return totals(edf.read_combined(files, ["X", "Y"]))
+    """Vectors of a label as two channels of an EDF file, ten seconds of 6 Hz a vector, read in ranges of a few kilobytes."""
+    chosen, _ = recordings.combined(recordings.catalog(combined_files(spark, sf_dir)), ["X", "Y"])
+    return totals(recordings.blocks(chosen, ["X", "Y"], range_bytes=4096))
 
 
-def nights_of_samples(spark, sf_dir):
-    """night_id, x: the digital samples of a night, 60 of each vector."""
-    rounded = F.transform(F.slice("samples", 1, 60), lambda v: F.round(v * 100).cast("int"))
-    every = b.vectors(spark, sf_dir).select("night_id", "epoch_idx", rounded.alias("s"))
-    return every.groupBy("night_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("epoch_idx", "s"))), lambda x: x["s"])).alias("x"))
+@query("WITH " + b.VECTORS + """ SELECT night_id, channel, CAST(epoch_idx // 1 AS INTEGER) AS epoch_idx, round(total, 3) AS total FROM (
+SELECT night_id, 'X' AS channel, epoch_idx, list_sum(list_transform(samples[1:60], lambda v: round(v * 100))) AS total FROM v
+UNION ALL SELECT night_id, 'Y', epoch_idx, list_sum(list_transform(samples[1:60], lambda v: -round(v * 100))) FROM v)""")
+def s3_edf_format(spark, sf_dir):
+    """The same files through spark.read.format("edf")."""
+    folder = combined_files(spark, sf_dir) and WRITTEN[spark.sparkContext.applicationId, sf_dir, "combined"]
+    recordings.register(spark)
+    return totals(spark.read.format("edf").option("rangeBytes", 4096).load(folder))
 
 
 def totals(blocks: DataFrame) -> DataFrame:
-    return blocks.select(F.col("src_path").alias("night_id"), "channel", "epoch_idx", F.round(F.aggregate("samples", F.lit(0.0), lambda t, v: t + v), 3).alias("total"))
+    return blocks.select(night_of("src_path"), "channel", "epoch_idx", F.round(F.aggregate("samples", F.lit(0.0), lambda t, v: t + v), 3).alias("total"))
+
+
+def damage(files: DataFrame, size: int = 600) -> None:
+    """Copies the first bytes of each file: path, target."""
 
+    def run(batches):
+        for batch in batches:
+            for path, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with recordings.open_file(path) as file:
+                    out = sinks.EdfFile(target, "", file.read(size))
+                yield out.close().select(["night_id"])
 
-def channel_files(spark, sf_dir):
+    files.select("path", "target").mapInArrow(run, "night_id string").count()
+
+
+def channel_files(spark, sf_dir) -> DataFrame:
     """A file for each of two channels of a night. Of four nights the second has a damaged file of Y, the third besides
     that a good one of another ending, the fourth none."""
-    one = lambda name, x: edf_file((name,), 6, 1)(x)
-    night = nights_of_samples(spark, sf_dir).select("night_id", one("X", F.col("x")).alias("x"), one("Y", F.transform("x", lambda v: -v)).alias("y"))
-    kind = F.split_part("night_id", F.lit("-"), F.lit(2)).cast("int") % 4
-    file = lambda when, name, content: F.when(when, F.struct(F.lit(name).alias("file"), content.alias("content")))
-    damaged = F.substring("y", 1, 600)
-    every = F.array(file(F.lit(True), "X.edf", F.col("x")), file(kind == 0, "Y.edf", F.col("y")), file(kind.isin(1, 2), "Y.edf", damaged), file(kind == 2, "Y.EDF", F.col("y")))
-    return night.select(F.col("night_id").alias("src_path"), F.explode(F.filter(every, lambda f: f.isNotNull())).alias("f")).select("src_path", "f.file", "f.content")
+
+    def write(folder: str) -> None:
+        rows = vector_samples(spark, sf_dir)
+        kind = F.split_part("night_id", F.lit("-"), F.lit(2)).cast("int") % 4
+        sinks.write_edf(rows.select("night_id", "epoch_idx", "X"), folder, ["X"], 6, *WHOLE, file="X.edf").count()
+        for wanted, name, root in ((kind == 0, "Y.edf", folder), (kind == 2, "Y.EDF", folder), (kind.isin(1, 2), "Y.edf", folder + "-whole")):
+            sinks.write_edf(rows.where(wanted).select("night_id", "epoch_idx", "Y"), root, ["Y"], 6, *WHOLE, file=name).count()
+        damage(recordings.listing(spark, folder + "-whole").withColumn("target", F.replace("path", F.lit("-whole/"), F.lit("/"))))
+
+    return recordings.listing(spark, once(spark, sf_dir, "channels", write))
 
 
 KIND = "CAST(split_part(night_id, '-', 2) AS INTEGER) % 4"
@@ -712,76 +900,137 @@ SELECT night_id, 'X' AS channel, epoch_idx, list_sum(list_transform(samples[1:60
 UNION ALL SELECT night_id, 'Y', epoch_idx, list_sum(list_transform(samples[1:60], lambda v: -round(v * 100))) FROM v) WHERE {KIND} IN (0, 2)""")
 def s2_per_channel_edf(spark, sf_dir):
     """Nights of which each channel has a file that can be read."""
-    return totals(edf.read_per_channel(channel_files(spark, sf_dir), ["X", "Y"]))
+    chosen, _ = recordings.per_channel(recordings.catalog(channel_files(spark, sf_dir)), ["X", "Y"])
+    return totals(recordings.blocks(chosen, None))
 
 
 @query("WITH " + b.VECTORS + f", n AS (SELECT DISTINCT night_id FROM v) SELECT night_id, 1 AS code, 'Y' AS channels FROM n WHERE {KIND} IN (1, 3) UNION ALL SELECT night_id, 13, 'Y' FROM n WHERE {KIND} = 3")
 def s2_per_channel_faults(spark, sf_dir):
-    found = edf.per_channel_faults(channel_files(spark, sf_dir), ["X", "Y"])
-    return found.select(F.col("src_path").alias("night_id"), "code", F.array_join("channels", ",").alias("channels"))
+    _, found = recordings.per_channel(recordings.catalog(channel_files(spark, sf_dir)), ["X", "Y"])
+    return found.select(night_of("src_path"), "code", F.array_join("channels", ",").alias("channels"))
 
 
 @query("WITH " + b.VECTORS + f", n AS (SELECT DISTINCT night_id FROM v) SELECT night_id, CASE {KIND} WHEN 0 THEN 13 ELSE 3 END AS code FROM n WHERE {KIND} <> 3 UNION ALL SELECT night_id, 13 FROM n WHERE {KIND} = 3")
 def s3_combined_faults(spark, sf_dir):
     """The same files, where the whole night should be in one: there are several, or the one lacks a channel."""
     files = channel_files(spark, sf_dir)
-    first = F.split_part("src_path", F.lit("-"), F.lit(2)).cast("int") % 4 == 0
-    return edf.combined_faults(files.where(~first | (F.col("file") == "X.edf")), ["X", "Y"]).select(F.col("src_path").alias("night_id"), "code")
+    first = F.regexp_extract("path", r"-(\d+)/[^/]*$", 1).cast("int") % 4 == 0
+    _, found = recordings.combined(recordings.catalog(files.where(~first | F.col("path").endswith("X.edf"))), ["X", "Y"])
+    return found.select(night_of("src_path"), "code")
 
 
-def job_files(spark, sf_dir):
-    """A file of four channels for each night of wide axes at 16 samples a second: EEG stands for the price of a line.
+#: Lines of an epoch of the jobs' recordings; each line stands for so many samples.
+LINES, EACH = 160, 16
 
-    The lines of 8192 order keys are a night, so nights do not grow with the data.
-    """
-    night = F.floor(F.col("l_orderkey") / 8192).cast("string")
-    order = F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax")))
-    grouped = b.table(spark, sf_dir, "lineitem").groupBy(night.alias("src_path")).agg(order.alias("x"))
-    part = lambda f: F.transform("x", f)
-    channels = [
-        part(lambda v: (v["l_extendedprice"] % 2000 - 1000).cast("int")), part(lambda v: (v["l_quantity"] * 10).cast("int")),
-        part(lambda v: (v["l_discount"] * 1000).cast("int")), part(lambda v: (v["l_tax"] * 1000).cast("int")),
-    ]
-    return grouped.select("src_path", F.lit("night.edf").alias("file"), edf_file(("EEG", "dX", "dY", "dZ"), 16, 1)(*channels).alias("content"))
 
+def job_epochs(spark, sf_dir) -> DataFrame:
+    """night_id, epoch_idx and 2560 values of four channels at 256 Hz: EEG stands for prices, axes for the other numbers.
 
-def parity(first: int, second: int):
-    """A stand-in for a model: one of two labels by whether the mean of the vector lies over 1, with probability 0.9."""
+    The lines of 8192 order keys are a night, so nights do not grow with the data. Amplitudes change from epoch to epoch
+    (EEG) and every twenty epochs (axes), so that all labels come.
+    """
+    night = F.floor(F.col("l_orderkey") / 8192)
+    order = Window.partitionBy(night).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice")
+    rows = b.table(spark, sf_dir, "lineitem").select(night.cast("string").alias("night_id"), (F.row_number().over(order) - 1).alias("rn"), "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    lines = F.sort_array(F.collect_list(F.struct("rn", "l_extendedprice", "l_quantity", "l_discount", "l_tax")))
+    grouped = rows.groupBy("night_id", F.floor(F.col("rn") / LINES).cast("int").alias("epoch_idx")).agg(lines.alias("x")).where(F.size("x") == LINES)
+    j, e = F.sequence(F.lit(0), F.lit(EACH - 1)), F.col("epoch_idx")
+    loud = F.when(F.floor(e / 20) % 2 == 0, 0.02).otherwise(1.0)
+    price = lambda v: F.round((v["l_extendedprice"] % 2000 - 1000) / (1 + e % 4))
+    eeg = F.flatten(F.transform("x", lambda v: F.transform(j, lambda i: price(v) + (i * 7) % 16 - 8)))
+    axis = lambda f: F.flatten(F.transform("x", lambda v: F.array_repeat(f(v) * loud, EACH)))
+    return grouped.select("night_id", "epoch_idx", eeg.alias("EEG"), axis(lambda v: v["l_quantity"] / 25 - 1).alias("dX"), axis(lambda v: v["l_discount"] * 10).alias("dY"), axis(lambda v: v["l_tax"] * 20 - 1).alias("dZ"))
+
+
+def job_files(spark, sf_dir) -> DataFrame:
+    """path, length of an EDF file of four channels for each night of job_epochs()."""
+    axes = epochs.AXES
+    low, high = {"EEG": -32768.0} | dict.fromkeys(axes, -2.0), {"EEG": 32767.0} | dict.fromkeys(axes, 2.0)
+    folder = once(spark, sf_dir, "nights", lambda f: sinks.write_edf(job_epochs(spark, sf_dir), f, ["EEG", *axes], 256, low, high).count())
+    return recordings.listing(spark, folder)
+
+
+def parity(first: int, second: int, least: float):
+    """A stand-in for a model: one of two labels by whether the mean of the vector is over a limit, with probability 0.9."""
 
     def model(x: np.ndarray) -> np.ndarray:
         out = np.full((len(x), 4), 0.1 / 3)
-        out[np.arange(len(x)), np.where(x.mean(axis=1) > 1, first, second)] = 0.9
+        out[np.arange(len(x)), np.where(x.mean(axis=1) > least, first, second)] = 0.9
         return out
 
     return model
 
 
 def job_setup() -> jobs.Setup:
-    return jobs.Setup(["EEG"], parity(0, 3), parity(1, 3), config=Config(rate=16), least_run=2, lite=True)
+    return jobs.Setup(["EEG"], parity(0, 3, 215.0), parity(3, 1, 1e-4), least_run=2, lite=True)
 
 
-def job_stages(whole: DataFrame) -> DataFrame:
-    """A stage for each whole sleep epoch: its number modulo 5."""
-    n = whole.where("channel = 'EEG'").groupBy("night_id").agg(F.floor((F.max("epoch_idx") + 1) / 3).cast("int").alias("n")).where("n > 0")
-    return n.select("night_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("epoch_idx")).withColumn("stage", F.col("epoch_idx") % 5)
+def job_stages(spark, sf_dir) -> DataFrame:
+    """A stage for each whole sleep epoch of the jobs' recordings: its number modulo 5. By path of the night."""
+    found = recordings.catalog(job_files(spark, sf_dir)).select(F.col("src_path").alias("night_id"), F.expr("CAST(records div 30 AS INT)").alias("n")).where("n > 0")
+    return found.select("night_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("epoch_idx")).withColumn("stage", F.col("epoch_idx") % 5)
 
 
-@query()
+#: The mean of a spectrogram is that of the squared windowed samples (Parseval), so labels need no Fourier transform.
+JOB = """WITH li AS (SELECT CAST(l_orderkey // 8192 AS VARCHAR) AS night_id, row_number() OVER (PARTITION BY l_orderkey // 8192 ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice) - 1 AS rn, * FROM lineitem),
+le AS (SELECT *, CAST(rn // 160 AS INTEGER) AS epoch_idx, CASE WHEN rn // 160 // 20 % 2 = 0 THEN 0.02::DOUBLE ELSE 1 END AS loud FROM li QUALIFY count(*) OVER (PARTITION BY night_id, rn // 160) = 160),
+lo AS (SELECT * FROM le QUALIFY max(epoch_idx) OVER (PARTITION BY night_id) >= 5),
+sa AS (SELECT night_id, epoch_idx, (rn % 160) * 16 + j AS i, round((l_extendedprice % 2000 - 1000) / (1 + epoch_idx % 4)) + (j * 7) % 16 - 8 AS eeg,
+  (l_quantity / 25 - 1) * loud AS x, l_discount * 10 * loud AS y, (l_tax * 20 - 1) * loud AS z FROM lo, (SELECT CAST(unnest(range(16)) AS INTEGER) AS j)),
+ch AS (SELECT night_id, epoch_idx, i, unnest(['eeg', 'norm', 'x', 'y', 'z']) AS c, unnest([eeg, sqrt(x * x + y * y + z * z), x, y, z]) AS v FROM sa),
+tw AS (SELECT k, CASE WHEN k < 32 THEN 0.5 * (1 - cos(pi() * k / 32)) WHEN k > 224 THEN 0.5 * (1 - cos(pi() * (256 - k) / 32)) ELSE 1 END AS w, 0.5 - 0.5 * cos(2 * pi() * k / 256) AS h FROM (SELECT CAST(unnest(range(256)) AS INTEGER) AS k)),
+sg AS (SELECT night_id, epoch_idx, c, t, i - t * 224 AS k, v FROM ch, (SELECT CAST(unnest(range(11)) AS INTEGER) AS t) WHERE c IN ('eeg', 'norm') AND i >= t * 224 AND i < t * 224 + 256
+  UNION ALL SELECT night_id, epoch_idx, c, t, i - t * 128, v FROM ch, (SELECT CAST(unnest(range(19)) AS INTEGER) AS t) WHERE c IN ('x', 'y', 'z') AND i >= t * 128 AND i < t * 128 + 256),
+sd AS (SELECT night_id, epoch_idx, c, k, v - avg(v) OVER (PARTITION BY night_id, epoch_idx, c, t) AS d FROM sg),
+en AS (SELECT night_id, epoch_idx, sum(CASE WHEN c IN ('eeg', 'norm') THEN power(d * w, 2) END) / (SELECT sum(w * w) FROM tw) / 2838 AS usable, sum(CASE WHEN c IN ('x', 'y', 'z') THEN power(d * h, 2) END) / (SELECT sum(h * h) FROM tw) / 19 / 387 AS moving
+  FROM sd JOIN tw USING (k) GROUP BY 1, 2),
+u AS (SELECT night_id, epoch_idx, 'EEG' AS channel, CASE WHEN usable > 215 THEN 0 ELSE 3 END AS label FROM en),
+m AS (SELECT night_id, epoch_idx, CASE WHEN moving > 1e-4 THEN 3 ELSE 1 END AS label FROM en),
+s AS (SELECT night_id, CAST(unnest(range(n)) AS INTEGER) AS epoch_idx, unnest(range(n)) % 5 AS stage FROM (SELECT night_id, (max(epoch_idx) + 1) // 3 AS n FROM u GROUP BY 1))"""
+JOB_STATISTICS = JOB + STATISTICS.removeprefix(S).replace("," + b.MOBILITY, "", 1)
+
+
+def job_results(spark, sf_dir) -> jobs.Results:
+    found = jobs.night_statistics(job_files(spark, sf_dir), job_stages(spark, sf_dir), job_setup(), shared(spark, "job"))
+    return found
+
+
+@query(JOB_STATISTICS + " SELECT * FROM st")
 def job_night_statistics(spark, sf_dir):
-    """From files to statistics in one plan: decode, epochs, features, labels, both majorities, lights, statistics."""
-    files, setup = job_files(spark, sf_dir), job_setup()
-    stages = job_stages(jobs.signal_epochs(files, setup)[0])
-    return jobs.night_statistics(files, stages, setup).statistics
+    """From files to statistics: decode once, epochs, features, labels, both majorities, lights, statistics."""
+    found = job_results(spark, sf_dir).statistics
+    return found.withColumn("night_id", night_of("night_id"))
+
+
+@query(JOB + """, r AS (SELECT * FROM u WHERE label = 3 AND epoch_idx % 4 <> 0)
+SELECT night_id, epoch_idx, 'EEG' AS channel, u.label AS usability, m.label AS mobility FROM u JOIN m USING (night_id, epoch_idx)""")
+def job_labels(spark, sf_dir):
+    """Usability and mobility of each epoch, as the job labels them."""
+    found = job_results(spark, sf_dir)
+    both = found.usability.select(*epochs.KEY, F.col("label").alias("usability")).join(found.mobility.select("night_id", "epoch_idx", F.col("label").alias("mobility")), ["night_id", "epoch_idx"])
+    return both.withColumn("night_id", night_of("night_id"))
+
+
+@query(JOB_STATISTICS + """, pa AS (UNPIVOT (SELECT * FROM st) ON COLUMNS(* EXCLUDE (night_id)) INTO NAME key VALUE value)
+SELECT night_id, count(*) AS measures, round(sum(value), 4) AS total FROM pa GROUP BY 1""")
+def job_written_outputs(spark, sf_dir):
+    """The whole job with its outputs, ledger and a second run that finds nothing to do; statistics read back from their files."""
+    setup, files, out = job_setup(), job_files(spark, sf_dir), shared(spark, "outputs")
+    for k in range(2):
+        jobs.run(files, job_stages(spark, sf_dir), setup, shared(spark, "job"), out)
+    read = spark.read.parquet(f"{out}/statistics").where("value IS NOT NULL")
+    return read.groupBy(night_of("night_id")).agg(F.count("*").alias("measures"), F.round(F.sum(F.col("value").cast("double")), 4).alias("total"))
 
 
 @query()
 def job_filter_spiky(spark, sf_dir):
     """The recovery of each night: spiky epochs filtered, their features and labels made anew."""
-    files, setup = job_files(spark, sf_dir), job_setup()
-    whole, _ = jobs.signal_epochs(files, setup)
-    eeg, axes = whole.where("channel = 'EEG'"), whole.where("channel <> 'EEG'")
-    usability = jobs.night_statistics(files, job_stages(whole), setup).usability
-    return jobs.filter_spiky_epochs(eeg, epochs.norm_of_epochs(axes), usability, setup, cutoff=2.0)[2]
+    setup, work = job_setup(), shared(spark, "job")
+    signal = jobs.signal_epochs(job_files(spark, sf_dir), setup, work)
+    usability = jobs.labelled(signal, job_stages(spark, sf_dir), setup, work).usability
+    eeg, _, acceleration = jobs.split_signals(signal.epochs, setup)
+    found = jobs.filter_spiky_epochs(eeg, acceleration, usability, setup, cutoff=2.0)[2]
+    return found.withColumn("night_id", night_of("night_id"))
 
 
 def queries() -> dict[str, Query]:

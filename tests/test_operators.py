@@ -327,22 +327,93 @@ def test_stretched_epochs_against_one_spline_each(spark, sf_dir):
             assert found[r.night_id, r.epoch_idx][t * 129 : (t + 1) * 129] == pytest.approx(power, rel=1e-4, abs=1e-9)
 
 
+def plain_features(x: list, fs: float) -> dict[str, float]:
+    """The spectral features that are not FFT means, each from its own formula: sums, direct transforms, normal equations."""
+    n = len(x)
+    out: dict[str, float] = {}
+    # linear prediction: the normal equations solved directly; cepstra from the sums of powers of the poles
+    r = [sum(x[i] * x[i + k] for i in range(n - k)) for k in range(13)]
+    a = np.linalg.solve([[r[abs(i - j)] for j in range(12)] for i in range(12)], [-v for v in r[1:]])
+    error = r[0] + sum(v * w for v, w in zip(a, r[1:]))
+    poles = np.roots([1.0, *a])
+    out |= {f"lpcc_{k}": float(np.log(error)) if k == 0 else float((poles**k).sum().real / k) for k in range(13)}
+    # mel cepstra
+    y = [x[0], *(x[i] - 0.97 * x[i - 1] for i in range(1, n))]
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(fs / 2) * k / 41 / 2595) - 1) for k in range(42)]
+    window = [0.54 - 0.46 * np.cos(2 * np.pi * i / 511) for i in range(512)]
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(257), np.arange(512)) / 512)
+    logs, frames = np.zeros(40), 0
+    for start in range(0, n - 511, 256):
+        power = np.abs(turn @ (np.array(y[start : start + 512]) * window)) ** 2 / 512
+        for m in range(40):
+            low, mid, high = edges[m : m + 3]
+            total = 0.0
+            for k in range(257):
+                f = k * fs / 512
+                total += power[k] * max(0.0, min((f - low) / (mid - low), (high - f) / (high - mid)))
+            logs[m] += np.log(max(total, 1e-12))
+        frames += 1
+    out |= {f"mfcc_{c}": sum(logs[m] / frames * np.cos(np.pi * c * (m + 0.5) / 40) for m in range(40)) for c in range(1, 13)}
+    # wavelets: plain convolutions
+    energies = []
+    for scale in range(1, 10):
+        t = [k / scale for k in range(-5 * scale, 5 * scale + 1)]
+        kernel = [2 / (np.sqrt(3 * scale) * np.pi**0.25) * (1 - v * v) * np.exp(-v * v / 2) for v in t]
+        w = np.convolve(x, kernel)[5 * scale : 5 * scale + n]
+        energies.append((w * w).sum())
+        out |= {f"wavelet_abs_{scale}": np.abs(w).mean(), f"wavelet_energy_{scale}": energies[-1], f"wavelet_std_{scale}": np.sqrt(((w - w.mean()) ** 2).mean()), f"wavelet_var_{scale}": ((w - w.mean()) ** 2).mean()}
+    p = [v / sum(energies) for v in energies]
+    out["wavelet_entropy"] = -sum(v * np.log2(v) for v in p if v > 0)
+    # shape of the amplitude spectrum, by the direct transform
+    half = n // 2 + 1
+    amp = np.abs(np.array([np.exp(-2j * np.pi * k * np.arange(n) / n) @ np.array(x) for k in range(half)]))
+    f, power = [k * fs / n for k in range(half)], amp**2
+    level = lambda s: next(f[k] for k in range(half) if power[: k + 1].sum() >= s * power.sum() * (1 - 1e-12))
+    mass = amp.sum()
+    centre = sum(v * w for v, w in zip(f, amp)) / mass
+    moment = lambda k: sum(w * (v - centre) ** k for v, w in zip(f, amp)) / mass
+    width = np.sqrt(moment(2))
+    out |= {"fundamental": f[1 + int(amp[1:].argmax())], "human": sum(w for v, w in zip(f, power) if 0.6 <= v <= 2.5) / power.sum(), "max_power": power.max() / (fs * n), "max_frequency": level(0.95), "median_frequency": level(0.5), "bandwidth": level(0.975) - level(0.025)}
+    out["centroid"] = centre
+    out["decrease"] = sum((amp[k] - amp[0]) / k for k in range(1, half)) / amp[1:].sum()
+    out["distance"] = sum(mass * k / (half - 1) - amp[: k + 1].sum() for k in range(half))
+    share = power / power.sum()
+    out["entropy"] = -sum(v * np.log2(v) for v in share if v > 0) / np.log2(half)
+    out["kurtosis"] = moment(4) / width**4
+    out["turning"] = sum(amp[k] > amp[k - 1] and amp[k] > amp[k + 1] for k in range(1, half - 1))
+    out |= {"roll_off": level(0.95), "roll_on": level(0.05), "skewness": moment(3) / width**3}
+    middle = sum(f) / half
+    out["slope"] = sum(w * (v - middle) for v, w in zip(f, amp)) / sum((v - middle) ** 2 for v in f)
+    out["spread"] = width
+    out["variation"] = 1 - sum(amp[k] * amp[k + 1] for k in range(half - 1)) / np.sqrt((amp[:-1] ** 2).sum() * (amp[1:] ** 2).sum())
+    return out
+
+
+#: The names in the order of the vector: four measures of nine scales, measure by measure.
+SPECTRAL = [f"lpcc_{k}" for k in range(13)] + [f"mfcc_{k}" for k in range(1, 13)] + [f"wavelet_{m}_{s}" for m in ("abs", "energy", "std", "var") for s in range(1, 10)] + ["wavelet_entropy"] + [
+    "fundamental", "human", "max_power", "max_frequency", "median_frequency", "bandwidth", "centroid", "decrease", "distance", "entropy", "kurtosis", "turning", "roll_off", "roll_on", "skewness", "slope", "spread", "variation",
+]
+
+
 def test_all_features_of_the_query(spark, sf_dir):
-    """As the helper gives them epoch by epoch; the moments and the spectrum by their definitions."""
+    """Every spectral feature by its own formula; statistical and temporal ones have a query with SQL."""
     from noctua.functions import features
     from noctua.plans import bindings, registry
 
     found = {(r.night_id, r.epoch_idx): r.stat for r in registry.x5_all_features(spark, sf_dir).collect()}
     whole = epochs.to_epochs(bindings.recording(spark, sf_dir)).collect()
-    assert len(found) == len(whole) > 0
+    assert len(found) == len(whole) > 0 and 54 + 256 + len(SPECTRAL) == 390
     at = {n: i for i, n in enumerate(features.STATISTICAL + features.TEMPORAL)}
     for r in whole:
         x, own = np.array(r.samples), found[r.night_id, r.epoch_idx]
-        assert own == pytest.approx(features.all_features(x[None], 256)[0], rel=1e-9, abs=1e-12)
         assert (own[at["variance"]], own[at["skewness"]]) == pytest.approx((x.var(), ((x - x.mean()) ** 3).mean() / x.std() ** 3))
         frames = [x[i : i + 510] - x[i : i + 510].mean() for i in range(0, 2560 - 509, 255)]
         k = np.exp(-2j * np.pi * np.outer(np.arange(256), np.arange(510)) / 510)
         assert own[54 : 54 + 256] == pytest.approx(np.mean([np.abs(k @ f) ** 2 / (256 * 510) for f in frames], axis=0), rel=1e-6, abs=1e-12)
+        wanted = plain_features(x.tolist(), 256.0)
+        for i, name in enumerate(SPECTRAL):
+            assert own[310 + i] == pytest.approx(wanted[name], rel=1e-5, abs=1e-9), name
 
 
 def test_job_against_its_steps(spark, sf_dir):
@@ -350,44 +421,48 @@ def test_job_against_its_steps(spark, sf_dir):
     from noctua.functions import spectral
     from noctua.plans import jobs, registry
 
-    files, setup = registry.job_files(spark, sf_dir).cache(), registry.job_setup()
-    stages = registry.job_stages(jobs.signal_epochs(files, setup)[0])
-    found = jobs.night_statistics(files, stages, setup)
-    usability = {(r.night_id, r.epoch_idx): r.label for r in found.usability.collect()}
-    mobility = {(r.night_id, r.epoch_idx): r.label for r in found.mobility.collect()}
-    rejected = {(r.night_id, r.epoch_idx): r.stage for r in found.rejected.collect()}
+    files, setup = registry.job_files(spark, sf_dir), registry.job_setup()
+    found = registry.job_results(spark, sf_dir)
+    name = lambda path: path.rpartition("/")[2]
+    usability = {(name(r.night_id), r.epoch_idx): r.label for r in found.usability.collect()}
+    mobility = {(name(r.night_id), r.epoch_idx): r.label for r in found.mobility.collect()}
+    rejected = {(name(r.night_id), r.epoch_idx): r.stage for r in found.rejected.collect()}
     statistics = {r.night_id: r for r in registry.job_night_statistics(spark, sf_dir).collect()}
     recovered = {r.night_id: r for r in registry.job_filter_spiky(spark, sf_dir).collect()}
     nights_seen = 0
     for f in files.collect():
-        x = {label: s.astype(float)[: len(s) // 160 * 160].reshape(-1, 160) for label, _, s in edf.signals(bytes(f.content))}
-        n = len(x["EEG"])
+        with open("/" + f.path[5:].lstrip("/"), "rb") as content:
+            x = {label: s.astype(float)[: len(s) // 2560 * 2560].reshape(-1, 2560) for label, _, s in edf.signals(content.read())}
+        night, n = name(f.path.rpartition("/")[0]), len(x["EEG"])
         if n < 6:
             continue
         nights_seen += 1
         norm = np.sqrt(x["dX"] ** 2 + x["dY"] ** 2 + x["dZ"] ** 2)
-        lite = np.concatenate([spectral.spectrogram(x["EEG"], 16), spectral.spectrogram(norm, 16)], axis=1)
-        labels = np.where(lite.mean(axis=1) > 1, 0, 3)
-        power = np.concatenate([spectral.welch(x[a], 16) for a in ("dX", "dY", "dZ")], axis=1)
-        moves = np.where(power.mean(axis=1) > 1, 1, 3)
-        assert [usability[f.src_path, i] for i in range(n)] == labels.tolist()
-        assert [mobility[f.src_path, i] for i in range(n)] == moves.tolist()
+        lite = np.concatenate([spectral.spectrogram(x["EEG"], 256), spectral.spectrogram(norm, 256)], axis=1)
+        labels = setup.usability(lite).argmax(axis=1)
+        power = np.concatenate([spectral.welch(x[a], 256) for a in ("dX", "dY", "dZ")], axis=1)
+        assert [usability[night, i] for i in range(n)] == labels.tolist() and len(set(labels.tolist())) == 2
+        assert [mobility[night, i] for i in range(n)] == setup.mobility(power).argmax(axis=1).tolist()
         wanted = [-1 if 2 * sum(labels[3 * i : 3 * i + 3] != 0) > 3 else i % 5 for i in range(n // 3)]
-        assert [rejected[f.src_path, i] for i in range(n // 3)] == wanted
-        assert f.src_path in statistics and statistics[f.src_path].Scores_duration_min == n // 3 / 2
-        assert recovered[f.src_path].n_spiky == (labels == 3).sum()
+        assert [rejected[night, i] for i in range(n // 3)] == [4 if w == 5 else w for w in wanted]
+        assert statistics[night].Scores_duration_min == n // 3 / 2
+        assert recovered[night].n_spiky == (labels == 3).sum()
     assert nights_seen
 
 
-def test_job_passes_over_finished_and_broken_nights(spark):
+def test_job_passes_over_finished_and_broken_nights(spark, tmp_path):
     from noctua.plans import jobs
+    from noctua.sources import recordings
 
     good = edf_bytes({"A": [1, 2, 3, 4], "B": [5, 6, 7, 8]})
-    files = spark.createDataFrame([("/a", "x.edf", bytearray(good)), ("/b", "x.edf", bytearray(good)), ("/c", "x.edf", bytearray(b"junk"))], "src_path string, file string, content binary")
-    config = Config(rate=2)
-    done = spark.createDataFrame([("/a", "usability", sinks.config_hash(config)), ("/b", "usability", "other")], "night_id string, step string, config_hash string")
+    for name, content in (("a", good), ("b", good), ("c", b"junk")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.edf").write_bytes(content)
+    files, config = recordings.listing(spark, f"file://{tmp_path}"), Config(rate=2)
+    path = lambda n: f"file:{tmp_path}/{n}"
+    done = spark.createDataFrame([(path("a"), "usability", sinks.config_hash(config)), (path("b"), "usability", "other")], "night_id string, step string, config_hash string")
     left = jobs.nights_to_do(files, done, "usability", config)
-    assert sorted(r.src_path for r in left.collect()) == ["/b", "/c"]
+    assert sorted(r.path for r in left.collect()) == [path("b/x.edf"), path("c/x.edf")]
     setup = jobs.Setup(["A"], None, None, axes=("B",), config=config)
-    whole, faults = jobs.signal_epochs(left, setup)
-    assert whole.count() == 0 and rows(faults) == [("/b", 2), ("/c", 1)]
+    found = jobs.signal_epochs(left, setup, f"file://{tmp_path}/work")
+    assert found.epochs.count() == 0 and rows(found.faults) == [(path("b"), 2), (path("c"), 1)]
