@@ -11,11 +11,13 @@ Where pairs are many, a task does not return them but a spanning forest of them
 so a group of n near copies costs n links. Components come from alternating large-star and small-star steps on those links.
 
 annotate() links by fingerprints alone; annotate_similar() has a larger radius and lets the texts' shingles decide: there
-a forest would not do, since a link of it may fail, so what it returns is made of tested pairs only.
+a forest would not do, since a link of it may fail, so what it returns is made of tested pairs only. annotate_copies() finds
+all texts of a similarity, also those whose fingerprints lie farther apart: texts meet under their rarest shingles.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noctua.llm.common import cut, look_up, only, slices, table, unsigned
+from noctua.llm.common import cut, look_up, only, slices, stored, table, unsigned
 
 #: Fingerprints compared within one task at once, at most; more are dealt out as pairs of tiles.
 GROUP = 32_768
@@ -456,9 +458,209 @@ def annotate_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     return found.select("id", "exact", "fp", F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"))
 
 
+#: Buckets in which shingles are counted, so that rare ones come first; all sums of one task are 4 bytes each.
+BUCKETS_LOG2 = 20
+#: Texts under one shingle up to which all their pairs are listed.
+LISTED = 33
+#: Counts of tasks that are added up at once.
+FAN_IN = 32
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How often shingles fall into each bucket: tasks' counts are added up FAN_IN at a time. Any counts give a right
+    result, as they only order shingles; better ones a faster one."""
+    kind = pa.schema([("lane", pa.int64()), ("n", pa.binary())])
+    most = np.iinfo(np.uint32).max
+
+    def count(batches):
+        total = np.zeros(1 << BUCKETS_LOG2, np.int64)
+        for batch in slices(batches):
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4") >> (32 - BUCKETS_LOG2), minlength=len(total))
+        yield pack(TaskContext.get().partitionId(), total)
+
+    def pack(lane: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lane]), pa.array([zlib.compress(np.minimum(total, most).astype("<u4").tobytes(), 1)])], schema=kind)
+
+    def unpack(data: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
+
+    def add(data: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([pack(data.column("lane")[0].as_py(), sum(map(unpack, data.column("n").to_pylist())))])
+
+    partial = cut(sets.select("shingles").mapInArrow(count, "lane bigint, n binary"))
+    left = (partial.agg(F.max("lane")).first()[0] or 0) + 1
+    while left > 1:
+        left = -(-left // FAN_IN)
+        partial = partial.withColumn("lane", F.floor(F.col("lane") / FAN_IN)).groupBy("lane").applyInArrow(add, "lane bigint, n binary")
+    return sum((unpack(bytes(r.n)) for r in partial.collect()), np.zeros(1 << BUCKETS_LOG2, np.int64)).astype("<u4")  # one row
+
+
+def needed(size: int, similarity: float) -> int:
+    """Shingles of a set of that size that any set so similar shares."""
+    return int(np.ceil(similarity * size - 1e-9))
+
+
+def filed(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
+    """at, node, size, nth, last: each set of shingles (node, shingles) under its rarest ones.
+
+    As many as a similar set cannot lack all of: two similar sets share one of these. nth is the place of the shingle among
+    them, 2 at most, and last the two before it. Sets without shingles are under -1.
+    """
+    shipped = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        often = shipped.value
+        for batch in slices(batches):
+            parts: list[list[np.ndarray]] = []
+            for node, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.frombuffer(packed, "<u4")
+                n = len(own)
+                first = own[np.lexsort((own, often[own >> (32 - BUCKETS_LOG2)]))[: n - needed(n, similarity) + 1]].astype(np.int64) if n else np.full(1, -1)
+                k = len(first)
+                before = np.concatenate([[0, 0], first[:-1]])[:k + 1]
+                parts.append([first, np.full(k, node), np.full(k, n), np.minimum(np.arange(k), 2), before[1 : k + 1] << 32 | before[:k]])
+            columns = [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["at", "node", "size", "nth", "last"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "at bigint, node bigint, size bigint, nth bigint, last bigint")
+
+
+def met_before(nth_a, last_a, nth_b, last_b) -> np.ndarray:
+    """Whether two texts share one of the two shingles before the one they meet under: then they have met there."""
+    out = np.zeros(np.broadcast(nth_a, nth_b).shape, bool)
+    low = 0xFFFFFFFF
+    for i, x in ((1, last_a >> 32 & low), (2, last_a & low)):
+        for j, y in ((1, last_b >> 32 & low), (2, last_b & low)):
+            out |= (nth_a >= i) & (nth_b >= j) & (x == y)
+    return out
+
+
+def met(filing: DataFrame, similarity: float) -> DataFrame:
+    """a, b: pairs that meet under a shingle of few texts, if their sizes allow the similarity. Of shingles of over LISTED
+    texts, the rows themselves: node as a, no b, and at, size, nth, last. No group is held."""
+
+    def run(batches):
+        held, large = np.zeros((5, 0), np.int64), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            starts = np.append(0, np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1)
+            sizes = np.diff(np.append(starts, rows.shape[1]))
+            wide = np.repeat((sizes > LISTED) | (rows[0, starts] == large if large is not None else False), sizes)
+            keep_from = rows.shape[1] if wide[-1] else int(starts[-1])  # the last group may go on
+            large = int(rows[0, -1]) if wide[-1] else None
+            yield from told(rows[:, :keep_from], wide[:keep_from])
+            held = rows[:, keep_from:]
+        if held.shape[1]:
+            yield from told(held, np.zeros(held.shape[1], bool))
+
+    def told(rows, wide):
+        if wide.any():
+            at, node, size, nth, last = rows[:, wide]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), *map(pa.array, (at, size, nth, last))], names=MET_NAMES)
+        at, node, size, nth, last = rows[:, ~wide]
+        n = len(at)
+        if n < 2:
+            return
+        starts = np.append(0, np.flatnonzero(at[1:] != at[:-1]) + 1)
+        ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+        partners = ends - np.arange(n) - 1
+        x = np.repeat(np.arange(n), partners)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(partners) - partners, partners) + x + 1
+        near = np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9
+        x, y = x[near], y[near]
+        new = ~met_before(nth[x], last[x], nth[y], last[y])
+        a, b = node[x[new]], node[y[new]]
+        blank = pa.nulls(len(a), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), blank, blank, blank, blank], names=MET_NAMES)
+
+    return filing.repartition("at").sortWithinPartitions("at").mapInArrow(run, ", ".join(f"{c} bigint" for c in MET_NAMES))
+
+
+MET_NAMES = ["a", "b", "at", "size", "nth", "last"]
+
+
+def left_apart(marks: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: similar pairs among rows (node, at, size, nth, last, label) of one shingle that have different labels.
+
+    Sets go to where they meet, under those shingles only whose texts have several labels. More than SETS texts of a
+    shingle are dealt out as pairs of tiles.
+    """
+    kinds = marks.groupBy("at").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least <> most")
+    parts = F.ceil(F.col("n") / SETS).cast("int")
+    rows = marks.join(kinds.select("at", parts.alias("parts")), "at").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("at", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "tile", "node", "size", "nth", "last", "label").join(sets, "node")
+    dealt = dealt.select("at", "t", "u", "tile", "node", "size", "nth", "last", "label", "shingles")
+
+    def compare(batches):
+        for rows, (packed,) in groups_of(batches):
+            t, u, tile, node, size, nth, last, label = rows[1, 0], rows[2, 0], *rows[3:9]
+            sets, tree, used = [np.frombuffer(x, "<u4") for x in packed], np.unique(label, return_inverse=True)[1], []
+            for own in np.flatnonzero(tile == t).tolist():
+                far = (tree != tree[own]) & ((tile == u) if t != u else (np.arange(len(node)) > own))
+                far &= np.minimum(size, size[own]) >= similarity * np.maximum(size, size[own]) - 1e-9
+                others = np.flatnonzero(far & ~met_before(nth, last, nth[own], last[own]))
+                k = 1
+                while len(others := others[tree[others] != tree[own]]):
+                    some, others, k = others[:k], others[k:], min(4 * k, 256)
+                    for other in some[similar(sets, own, some, similarity)].tolist():
+                        if tree[other] != tree[own]:
+                            used.append((own, other))
+                            tree[tree == tree[other]] = tree[own]
+            if used:
+                yield edges_of(*(node[list(side)] for side in zip(*used)))
+
+    return dealt.repartition("at", "t", "u").sortWithinPartitions("at", "t", "u").mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def annotate_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 11, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """As annotate_similar(), for all pairs of texts that are that similar, however far their fingerprints lie apart.
+
+    Each text is filed under its rarest shingles, as many as a similar text cannot lack all of, so similar texts meet under
+    one of these. Pairs under shingles of few texts are tested by joins with the sets. Texts under shingles of many, which
+    mostly are copies by the hundred, are first linked by annotate_similar()'s tiles of fingerprints and tests of sets; then
+    those that this left apart are tested where they meet. Pairs compared grow with texts that share rare shingles.
+    """
+    rows = cut(fingerprints(docs, key, text, words, sets=shingle))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    size = F.min((F.length("shingles") / 4).cast("bigint"))
+    texts = cut(rows.groupBy("exact").agg(first.alias("least"), F.min("fp").alias("fp"), size.alias("size"), F.count("*").alias("n")).withColumn("node", F.col("least.row")))
+    sets = rows.select(F.col("row").alias("node"), "shingles")
+    if texts.count() < rows.count():  # equal texts: one of each
+        sets = sets.join(texts.select("node"), "node", "left_semi")
+    found = stored(met(filed(sets, shingle_counts(rows), similarity), similarity), "met")
+    pairs, marks = found.where("b IS NOT NULL").select("a", "b").distinct(), found.where("b IS NULL").select(F.col("a").alias("node"), "at", "size", "nth", "last")
+
+    def alike(batches):
+        for batch in batches:
+            good = [jaccard(p, q) >= similarity for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    pairs = cut(pairs)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = cut(rows.select(F.col("row").alias("node"), "shingles").join(ends, "node", "left_semi"))  # of texts that a pair is proposed for
+    x, y = (own.select(F.col("node").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
+    good = cut(pairs.join(y, "b").join(x, "a").select("a", "b", "a_set", "b_set").mapInArrow(alike, "a bigint, b bigint"))
+    several = cut(marks.select("node").distinct())
+    if not several.isEmpty():
+        members = cut(several.join(texts.select("node", "fp", "size"), "node").join(rows.select(F.col("row").alias("node"), "shingles"), "node"))
+        good = cut(good.unionByName(verified(members, Reach(radius, similarity), Bands(4, 1))))
+        labels = components(good)
+        labelled_marks = marks.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        good = good.unionByName(left_apart(cut(labelled_marks), members.select("node", "shingles"), similarity))
+    roots = components(good)
+    labelled = cut(texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    groups = labelled.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("texts"))
+    named = cut(look_up(labelled, groups, "root", "texts", texts.count()).select("exact", "first", "n"))
+    back = look_up(rows.drop("shingles"), named, "exact", "n", rows.count())
+    return back.select("id", "exact", "fp", F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"))
+
+
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of docs from each group of near copies (five words, a similarity of 0.8), with all its columns."""
-    return only(docs, key, text, annotate_similar(docs, key, text).select("id", "exact", "kept"))
+    return only(docs, key, text, annotate_copies(docs, key, text).select("id", "exact", "kept"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

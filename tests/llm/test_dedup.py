@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -298,3 +299,55 @@ def test_of_repeated_rows_one_is_returned(spark):
     known = docs.selectExpr("doc_id AS id", "xxhash64(text) AS exact", "doc_id IS NULL OR doc_id <> 3 AS kept")
     found = only(docs, "doc_id", "text", known)
     assert found.columns == docs.columns and sorted((tuple(r)[:2] for r in found.collect()), key=str) == sorted([(1, "a"), (1, "b"), (2, "b"), (None, None)], key=str)
+
+
+def families(spark):
+    """Texts of all degrees of likeness: families of copies with words changed, a passage that many share, none, one word."""
+    rng, rows = random.Random(8), []
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 6)))
+    passage = [word() for _ in range(70)]
+    for family in range(6):
+        base = [word() for _ in range(rng.choice([30, 80, 150]))]
+        for _ in range(rng.choice([2, 5, 40])):
+            own = list(base)
+            for _ in range(rng.randint(0, 5)):
+                own[rng.randrange(len(own))] = word()
+            rows.append(" ".join(own[: len(own) - rng.randint(0, 4)]))
+    rows += [" ".join(passage + [word() for _ in range(rng.randint(0, 40))]) for _ in range(60)]
+    rows += [" ".join(word() for _ in range(60)) for _ in range(40)] + ["", " ", None, "one", "One", "two words", "a b c d e", "a b c d f"] + rows[:3]
+    return spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+
+
+@pytest.mark.parametrize("listed, sets, buckets", [(33, 4096, 20), (2, 4096, 20), (2, 8, 4), (5, 8, 20)])
+def test_copies_against_brute_force(spark, monkeypatch, listed, sets, buckets):
+    """All pairs of 0.8 or more, whether they are listed or met in groups, however rarity is judged and tables are split."""
+    monkeypatch.setattr(simhash, "LISTED", listed)
+    monkeypatch.setattr(simhash, "SETS", sets)
+    monkeypatch.setattr(simhash, "BUCKETS_LOG2", buckets)
+    docs = families(spark)
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    wanted = brute_similar(texts)
+    found = {r.id: r for r in simhash.annotate_copies(docs.repartition(5)).collect()}
+    assert [found[i].component_id for i in range(len(texts))] == list(wanted)
+    assert sorted(i for i, r in found.items() if r.kept) == sorted(set(wanted))
+
+
+def test_listed_pairs_grow_with_the_table(spark):
+    """Twice the texts, about twice the pairs: texts that share a frequent passage do not all meet."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    passage = " ".join(word() for _ in range(60))
+    texts = [" ".join([passage] * (i % 3 == 0) + [word() for _ in range(90)]) for i in range(4000)]
+    met = []
+    for n in (1000, 2000, 4000):
+        sets = spark.createDataFrame([(i, bytearray(simhash.shingle_set(t).tobytes())) for i, t in enumerate(texts[:n])], "node long, shingles binary")
+        met.append(simhash.met(simhash.filed(sets, simhash.shingle_counts(sets), 0.8), 0.8).count())
+    assert met[2] <= 5 * max(met[0], 200) and met[2] < 0.001 * 4000**2
+
+
+def test_copies_on_awkward_rows(spark):
+    docs = edge.documents(spark)
+    found = simhash.annotate_copies(docs).collect()
+    assert len(found) == docs.count() and simhash.annotate_copies(edge.documents(spark, empty=True)).count() == 0
+    kept = simhash.keep(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in found)
