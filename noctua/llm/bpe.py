@@ -12,6 +12,7 @@ Null texts encode as empty, empty texts to no ids; texts of any length are encod
 from __future__ import annotations
 
 import base64
+import gc
 import json
 import os
 import re
@@ -27,7 +28,9 @@ KEEP_UNITS = 600_000
 #: Pretokens of one call of the library.
 CALL = 4000
 #: White space other than spaces and newlines.
-OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+OTHER_ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+OTHER_SPACE = OTHER_ASCII + "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+NONE = np.zeros(0, np.int64)
 
 
 @lru_cache(1)
@@ -168,27 +171,28 @@ class ByteBpe:
                 open_ = piece
         return units + [open_] if open_ else units
 
-    def numbers(self, text: str | None) -> list[int]:
+    def numbers(self, text: str | None) -> np.ndarray:
         if not text:
-            return []
-        if self.at_added and self.at_added.search(text):
+            return NONE
+        if any(token in text for token in self.added):
             found, at = [], 0
             for hit in self.at_added.finditer(text):
-                found += [*self.ordinary(text[at : hit.start()]), self.plain[hit[0]]]
+                found += [self.ordinary(text[at : hit.start()]), np.array([self.plain[hit[0]]])]
                 at = hit.end()
-            return found + self.ordinary(text[at:])
+            return np.concatenate([*found, self.ordinary(text[at:])])
         return self.ordinary(text)
 
-    def ordinary(self, text: str) -> list[int]:
+    def ordinary(self, text: str) -> np.ndarray:
         """Units of a text without added tokens."""
         if not text:
-            return []
+            return NONE
         odd = "  " in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace()
-        if odd or OTHER_SPACE.search(text):
-            return [self.spaced[u[1:]] if u[0] == " " else self.plain[u] for u in self.units(text)]
+        if odd or any(c in text for c in (OTHER_ASCII if text.isascii() else OTHER_SPACE)):
+            units = self.units(text)
+            return np.fromiter((self.spaced[u[1:]] if u[0] == " " else self.plain[u] for u in units), np.int64, len(units))
         pieces = text.split(" ")
         first = self.plain[pieces[0]]
-        numbers = list(map(self.spaced.__getitem__, pieces))
+        numbers = np.fromiter(map(self.spaced.__getitem__, pieces), np.int64, len(pieces))
         numbers[0] = first
         return numbers
 
@@ -197,8 +201,14 @@ class ByteBpe:
             self.forget()
         each = list(map(self.numbers, texts))
         if self.done < len(self.asked):
-            self.learn()
-        units = np.fromiter(chain.from_iterable(each), np.int64, sum(map(len, each)))
+            collects = gc.isenabled()
+            gc.disable()  # it would go through all lists of new units again and again; they make no cycles
+            try:
+                self.learn()
+            finally:
+                if collects:
+                    gc.enable()
+        units = np.concatenate([NONE, *each])
         sizes = self.sizes[units] if len(units) else units
         flat = self.flat[ragged(self.starts[units], sizes)] if len(units) else self.flat[:0]
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(x) for x in each], dtype=np.int64)]
