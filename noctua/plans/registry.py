@@ -684,6 +684,36 @@ def f1_filter_spiky(spark, sf_dir):
     return signals.filter_spiky(acceleration(spark, sf_dir).withColumn("label", F.when(F.col("epoch_idx") % 3 == 0, 3).otherwise(0)), cutoff=5.0)
 
 
+def low_pass_in_sql(cutoff: float, rate: int) -> str:
+    """Both passes of the fourth-order low-pass as recursions over the samples; coefficients are those of two second-order sections."""
+    k, b_, a_ = float(np.tan(np.pi * cutoff / rate)), np.ones(1), np.ones(1)
+    for i in range(2):
+        q = 1 / (2 * np.cos(np.pi * (2 * i + 1) / 8))
+        scale = 1 + k / q + k * k
+        b_ = np.convolve(b_, np.array([1, 2, 1]) * k * k / scale)
+        a_ = np.convolve(a_, np.array([scale, 2 * (k * k - 1), 1 - k / q + k * k]) / scale)
+    z = np.zeros(5)  # the delays under a constant input of 1, whose output is 1
+    for i in range(3, -1, -1):
+        z[i] = b_[i + 1] - a_[i + 1] + z[i + 1]
+    n = lambda v: f"CAST({float(v)!r} AS DOUBLE)"
+    y = f"{n(b_[0])} * x[t + 1] + z1"
+    states = ", ".join(f"{n(b_[i])} * x[t + 1] + {f'z{i + 1}' if i < 4 else '0'} - {n(a_[i])} * ({y})" for i in range(1, 5))
+    begin = ", ".join(f"{n(z[i])} * x[1] AS z{i + 1}" for i in range(4))
+    turn = lambda name, source: f"{name} AS (SELECT night_id, epoch_idx, 0 AS t, x, CAST([] AS DOUBLE[]) AS y, {begin} FROM {source} UNION ALL SELECT night_id, epoch_idx, t + 1, x, list_append(y, {y}), {states} FROM {name} WHERE t < len(x))"
+    first = "WITH RECURSIVE " + b.AXES + """, ep AS (SELECT night_id, CAST(sample_idx // 160 AS INTEGER) AS epoch_idx, list(sqrt(dX * dX + dY * dY + dZ * dZ) ORDER BY sample_idx) AS s FROM w GROUP BY ALL HAVING count(*) = 160),
+sp AS (SELECT night_id, epoch_idx, list_concat([2 * s[1] - v FOR v IN list_reverse(s[2:16])], s, [2 * s[160] - v FOR v IN list_reverse(s[145:159])]) AS x FROM ep WHERE epoch_idx % 3 = 0)"""
+    return f"""{first}, {turn('fo', 'sp')}, mi AS (SELECT night_id, epoch_idx, list_reverse(y) AS x FROM fo WHERE t = len(x)), {turn('ba', 'mi')},
+o AS (SELECT night_id, epoch_idx, list_reverse(y)[16:175] AS y FROM ba WHERE t = len(x))
+SELECT night_id, 'ACCagg' AS channel, epoch_idx, CAST(unnest(range(160)) AS INTEGER) AS pos, unnest([round(v, 6) FOR v IN y]) AS value FROM o"""
+
+
+@query(low_pass_in_sql(5.0, 16))
+def f1_filtered_samples(spark, sf_dir):
+    """The samples of the epochs that are filtered."""
+    changed = f1_filter_spiky(spark, sf_dir).where("label = 3")
+    return each(changed.select(*epochs.KEY, "samples"), "samples").withColumn("value", F.round("value", 6))
+
+
 @query("WITH " + b.AXES + """, x AS (SELECT night_id, CAST(sample_idx // 160 AS INTEGER) AS epoch_idx, list(round(sqrt(dX * dX + dY * dY + dZ * dZ), 6) ORDER BY sample_idx) AS samples FROM w GROUP BY ALL HAVING count(*) = 160)
 SELECT night_id, 'ACCagg' AS channel, epoch_idx, CAST(unnest(range(160)) AS INTEGER) AS pos, unnest(samples) AS value FROM x WHERE epoch_idx % 3 <> 0""")
 def f1_untouched(spark, sf_dir):
