@@ -459,9 +459,11 @@ def annotate_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
 
 #: Buckets in which shingles are counted, so that rare ones come first; all sums of one task are 4 bytes each.
-BUCKETS_LOG2 = 20
+BUCKETS_LOG2 = 22
 #: Texts under one shingle up to which all their pairs are listed.
 LISTED = 33
+#: Numbers of texts that are sent to all tasks, at most (8 bytes each); of more, sets of shingles are shuffled to them.
+SENT = 1_000_000
 #: Counts of tasks that are added up at once.
 FAN_IN = 32
 
@@ -503,8 +505,8 @@ def needed(size: int, similarity: float) -> int:
 def filed(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
     """at, node, size, nth, last: each set of shingles (node, shingles) under its rarest ones.
 
-    As many as a similar set cannot lack all of: two similar sets share one of these. nth is the place of the shingle among
-    them, 2 at most, and last the two before it. Sets without shingles are under -1.
+    As many as a similar set cannot lack all of: two similar sets share one of these. nth is the place of the shingle in the
+    order, last are the two before it. Sets without shingles are under -1.
     """
     shipped = sets.sparkSession.sparkContext.broadcast(counts)
 
@@ -518,7 +520,7 @@ def filed(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
                 first = own[np.lexsort((own, often[own >> (32 - BUCKETS_LOG2)]))[: n - needed(n, similarity) + 1]].astype(np.int64) if n else np.full(1, -1)
                 k = len(first)
                 before = np.concatenate([[0, 0], first[:-1]])[:k + 1]
-                parts.append([first, np.full(k, node), np.full(k, n), np.minimum(np.arange(k), 2), before[1 : k + 1] << 32 | before[:k]])
+                parts.append([first, np.full(k, node), np.full(k, n), np.arange(k), before[1 : k + 1] << 32 | before[:k]])
             columns = [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["at", "node", "size", "nth", "last"])
 
@@ -535,6 +537,13 @@ def met_before(nth_a, last_a, nth_b, last_b) -> np.ndarray:
     return out
 
 
+def may_be_similar(size_a, nth_a, size_b, nth_b, similarity: float) -> np.ndarray:
+    """Whether two texts can be that similar, if they meet for the first time at these places of their orders: by their
+    sizes, and by how many shingles they have from there on. Where they have met before, that meeting counts."""
+    least = similarity / (1 + similarity) * (size_a + size_b)  # shingles in common of a similar pair
+    return (np.minimum(size_a, size_b) >= similarity * np.maximum(size_a, size_b) - 1e-9) & (np.minimum(size_a - nth_a, size_b - nth_b) >= least - 1e-6)
+
+
 def met(filing: DataFrame, similarity: float) -> DataFrame:
     """a, b: pairs that meet under a shingle of few texts, if their sizes allow the similarity. Of shingles of over LISTED
     texts, the rows themselves: node as a, no b, and at, size, nth, last. No group is held."""
@@ -568,7 +577,7 @@ def met(filing: DataFrame, similarity: float) -> DataFrame:
         partners = ends - np.arange(n) - 1
         x = np.repeat(np.arange(n), partners)
         y = np.arange(len(x)) - np.repeat(np.cumsum(partners) - partners, partners) + x + 1
-        near = np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9
+        near = may_be_similar(size[x], nth[x], size[y], nth[y], similarity)
         x, y = x[near], y[near]
         new = ~met_before(nth[x], last[x], nth[y], last[y])
         a, b = node[x[new]], node[y[new]]
@@ -600,7 +609,7 @@ def left_apart(marks: DataFrame, sets: DataFrame, similarity: float) -> DataFram
             sets, tree, used = [np.frombuffer(x, "<u4") for x in packed], np.unique(label, return_inverse=True)[1], []
             for own in np.flatnonzero(tile == t).tolist():
                 far = (tree != tree[own]) & ((tile == u) if t != u else (np.arange(len(node)) > own))
-                far &= np.minimum(size, size[own]) >= similarity * np.maximum(size, size[own]) - 1e-9
+                far &= may_be_similar(size, nth, size[own], nth[own], similarity)
                 others = np.flatnonzero(far & ~met_before(nth, last, nth[own], last[own]))
                 k = 1
                 while len(others := others[tree[others] != tree[own]]):
@@ -639,17 +648,19 @@ def annotate_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     pairs = cut(pairs)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = cut(rows.select(F.col("row").alias("node"), "shingles").join(ends, "node", "left_semi"))  # of texts that a pair is proposed for
+    several = cut(marks.select("node").distinct())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(several).distinct()
+    ends = cut(ends)
+    few = F.broadcast(ends) if ends.count() <= SENT else ends
+    own = stored(rows.select(F.col("row").alias("node"), "shingles").join(few, "node", "left_semi"), "sets")  # of texts that meet others
     x, y = (own.select(F.col("node").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
     good = cut(pairs.join(y, "b").join(x, "a").select("a", "b", "a_set", "b_set").mapInArrow(alike, "a bigint, b bigint"))
-    several = cut(marks.select("node").distinct())
     if not several.isEmpty():
-        members = cut(several.join(texts.select("node", "fp", "size"), "node").join(rows.select(F.col("row").alias("node"), "shingles"), "node"))
+        members = several.join(texts.select("node", "fp", "size"), "node").join(own, "node")
         good = cut(good.unionByName(verified(members, Reach(radius, similarity), Bands(4, 1))))
         labels = components(good)
         labelled_marks = marks.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        good = good.unionByName(left_apart(cut(labelled_marks), members.select("node", "shingles"), similarity))
+        good = good.unionByName(left_apart(cut(labelled_marks), own, similarity))
     roots = components(good)
     labelled = cut(texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     groups = labelled.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("texts"))
