@@ -42,12 +42,20 @@ def write_nights(rows: DataFrame, path: str, kind: str = "parquet", only_these:
 LEDGER = "night_id string, step string, config_hash string"
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def read_nights(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """What write_nights() has written; no rows where that is nothing yet."""
+    return spark.read.schema(schema).parquet(folder) if exists(spark, folder) else spark.createDataFrame([], schema)
+
+
 def ledger(spark: SparkSession, out: str) -> DataFrame:
     """night_id, step, config_hash of the outputs below a folder that are whole; none where nothing was written yet."""
     folder = f"{out}/ledger"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(LEDGER).parquet(folder).distinct() if there else spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(folder).distinct() if exists(spark, folder) else spark.createDataFrame([], LEDGER)
 
 
 def enter(nights: DataFrame, out: str, step: str, config: Config) -> None:

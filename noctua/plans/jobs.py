@@ -8,7 +8,7 @@ job that was stopped goes on with the nights that are left, and repeating it cha
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -31,6 +31,7 @@ class Setup:
 
     axes: none where there is no accelerometer; a constant one then stands for it, and there is no mobility. per_channel:
     each channel is a file of its name. lite: spectrograms only; lite_mobility: powers of the axes instead of statistics.
+    saved: a folder where statistical features are kept between runs; those that fit a night's signal are used again.
     """
 
     channels: list[str]
@@ -43,6 +44,7 @@ class Setup:
     lite_mobility: bool = True
     per_channel: bool = False
     ignore_m_shaped: bool = True
+    saved: str | None = None
 
 
 @dataclass(frozen=True)
@@ -114,15 +116,34 @@ def signal_epochs(files: DataFrame, setup: Setup, work: str) -> Signals:
     return Signals(kept.select(*KEY, "fs", "samples"), facts.where("code IS NULL").drop("code"), faults.unionByName(facts.where("code IS NOT NULL").select("night_id", "code")))
 
 
+def statistics_of(rows: DataFrame, setup: Setup, part: str) -> DataFrame:
+    """night_id, channel, epoch_idx, stat of epochs: kept ones where a night has as many epochs and channels as its signal, others
+    are computed and kept. part: EEG, ACCagg or ACC."""
+    if setup.saved is None:
+        return signals.statistical_features(rows).select(*KEY, "stat")
+    spark, folder = rows.sparkSession, f"{setup.saved}/{part}-{sinks.config_hash(setup.config)}"
+    kind = "channel string, epoch_idx int, stat array<double>, night_id string"
+    own = rows.select("night_id").distinct()
+    kept = sinks.read_nights(spark, folder, kind)
+    missing = sinks.to_compute(rows, kept.drop("stat").join(own, "night_id", "left_semi"))
+    if not missing.isEmpty():
+        sinks.write_nights(signals.statistical_features(missing).select(*KEY, "stat"), folder, only_these=True)
+    return sinks.read_nights(spark, folder, kind).join(own, "night_id", "left_semi")
+
+
 def features_of(eeg: DataFrame, acceleration: DataFrame, setup: Setup) -> DataFrame:
     """The vector of each channel's epoch, with that of the acceleration of its night."""
 
-    def of(rows: DataFrame) -> DataFrame:
-        rows = signals.spectrogram_features(rows)
-        return (rows if setup.lite else signals.statistical_features(rows)).drop("samples")
+    def of(rows: DataFrame, part: str) -> DataFrame:
+        spectrograms = signals.spectrogram_features(rows)
+        if setup.lite:
+            return spectrograms.drop("samples")
+        if setup.saved is None:
+            return signals.statistical_features(spectrograms).drop("samples")
+        return spectrograms.drop("samples").join(statistics_of(rows, setup, part), KEY)
 
     columns = ["spec"] if setup.lite else ["spec", "stat"]
-    paired = epochs.pair_with_acceleration(of(eeg), of(acceleration), columns)
+    paired = epochs.pair_with_acceleration(of(eeg, "EEG"), of(acceleration, "ACCagg"), columns)
     return epochs.lite_vector(paired) if setup.lite else epochs.usability_vector(paired)
 
 
@@ -159,7 +180,7 @@ def labelled(found: Signals, stages: DataFrame, setup: Setup, work: str) -> Resu
         mobility = usability.select("night_id", "epoch_idx", "label", "probs").where("false")
         lights, dark = bedtime.lights(mobility, config, setup.least_run), mobility.select("night_id", F.lit(9).alias("code"))
     else:
-        vectors = epochs.mobility_vector(signals.power_features(axes), "pow", setup.axes) if setup.lite_mobility else epochs.mobility_vector(signals.statistical_features(axes), "stat", setup.axes)
+        vectors = epochs.mobility_vector(signals.power_features(axes), "pow", setup.axes) if setup.lite_mobility else epochs.mobility_vector(statistics_of(axes, setup, "ACC"), "stat", setup.axes)
         mobility = table(signals.predict(vectors, setup.mobility).select("night_id", "epoch_idx", "label", "probs"), f"{work}/mobility")
         lights = table(bedtime.lights(mobility, config, setup.least_run), f"{work}/lights")
         dark = bedtime.without_lights(mobility, lights).select("night_id", F.lit(9).alias("code"))
@@ -222,7 +243,7 @@ def filter_spiky_epochs(eeg: DataFrame, acceleration: DataFrame, usability: Data
     """
     labelled = eeg.join(usability.select(*KEY, "label"), KEY)
     filtered = signals.filter_spiky(labelled, spiky=spiky, **options)
-    changed = features_of(filtered.where(F.col("label") == spiky).drop("label"), acceleration, setup)
+    changed = features_of(filtered.where(F.col("label") == spiky).drop("label"), acceleration, replace(setup, saved=None))
     rescored = signals.rescore(usability.select(*KEY, "label"), changed, setup.usability)
     return filtered.drop("label"), rescored, majority.recovery(usability, rescored, spiky)
 

@@ -292,6 +292,30 @@ def test_statistics_of_axes_for_mobility(spark, recorded):
     assert seen == 19
 
 
+def test_kept_features_are_used_again(spark, recorded):
+    """Features of a night that fit its signal are not computed again; others are, and are kept too."""
+    raw, kept = f"file://{recorded}/raw", f"file://{recorded}/kept"
+    own = setup(lite=False, lite_mobility=False, saved=kept)
+    stages = stages_of(spark, recorded)
+    plain = jobs.night_statistics(recordings.listing(spark, f"{raw}/good"), stages, setup(lite=False, lite_mobility=False), f"file://{recorded}/w0")
+    first = jobs.night_statistics(recordings.listing(spark, f"{raw}/good"), stages, own, f"file://{recorded}/w1")
+    assert rows(first.usability.select("channel", "epoch_idx", "probs")) == rows(plain.usability.select("channel", "epoch_idx", "probs"))
+    assert rows(first.mobility.select("epoch_idx", "probs")) == rows(plain.mobility.select("epoch_idx", "probs"))
+    folder = f"{kept}/EEG-{sinks.config_hash(own.config)}"
+    saved = spark.read.parquet(folder)
+    assert saved.count() == 38 and {f.rpartition("/")[2].split("-")[0] for f in os.listdir(f"{recorded}/kept")} == {"EEG", "ACCagg", "ACC"}
+    marked = spark.createDataFrame([(r.channel, r.epoch_idx, [7.5] * 390, r.night_id) for r in saved.collect()], "channel string, epoch_idx int, stat array<double>, night_id string")
+    sinks.write_nights(marked, folder, only_these=True)
+    put(recorded, "raw/later/x.edf", signal_file(130))
+    jobs.night_statistics(recordings.listing(spark, raw).where("path LIKE '%/good/%' OR path LIKE '%/later/%'"), stages, own, f"file://{recorded}/w2")
+    now = spark.read.parquet(folder)
+    assert {r.night_id.rpartition("/")[2]: r.n for r in now.groupBy("night_id").agg(F.count_if(F.col("stat")[5] == 7.5).alias("n")).collect()} == {"good": 38, "later": 0}
+    sinks.write_nights(spark.createDataFrame([tuple(r) for r in now.where("night_id LIKE '%good' AND epoch_idx < 5").collect()], now.schema), folder, only_these=True)
+    jobs.night_statistics(recordings.listing(spark, f"{raw}/good"), stages, own, f"file://{recorded}/w3")
+    again = spark.read.parquet(folder).where("night_id LIKE '%good'")
+    assert again.count() == 38 and again.where("stat[5] = 7.5").count() == 0  # those that did not fit were made anew
+
+
 def test_filtered_signal_as_files(spark, recorded):
     own = setup()
     work = f"file://{recorded}/work"
