@@ -45,7 +45,7 @@ PIECE = " ?[^ ]{1,64}"
 #: Words whose counts tasks hold, at most: about 50 MB in a worker.
 TOP = 300_000
 #: Distinct words that a task knows before it passes their counts on and begins anew.
-HELD = 120_000
+HELD = 250_000
 GROUPS, MEMBERS, OWN_ROWS, WIDTH, WINDOW, STRIDE = 8, 20, 1024, 16, 32, 28
 CLASSES = GROUPS * MEMBERS
 #: Rounds of training, windows of a step, size of the first steps and steps after which it is halved; copies averaged at once.
@@ -427,8 +427,8 @@ def keep_memory() -> None:
     """Has the C library keep what numpy frees: arrays of some 100 KB are made anew at every step, and their pages with them."""
     mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
     if mallopt:
-        mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
-        mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD
+        mallopt(-1, 96 << 20)  # M_TRIM_THRESHOLD
+        mallopt(-3, 48 << 20)  # M_MMAP_THRESHOLD
 
 
 def score_batch(w: Weights, vocab: Vocabulary, texts: list[np.ndarray], at_once: int = AT_ONCE) -> np.ndarray:
