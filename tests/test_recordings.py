@@ -247,7 +247,7 @@ def test_stopped_and_repeated_jobs(spark, recorded, monkeypatch):
     assert again["n_nights"] == 1
     assert {r.night_id.rpartition("/")[2] for r in spark.read.parquet(f"file://{recorded}/two/usability").select("night_id").distinct().collect()} >= {"good", "later"}
     assert jobs.run(recordings.listing(spark, raw), stages, own, f"file://{recorded}/w5", f"file://{recorded}/two")["n_nights"] == 0
-    assert jobs.nights_to_do(files, sinks.ledger(spark, f"file://{recorded}/two"), "nights", Config(rate=16)).count() > 0  # other settings
+    assert jobs.nights_to_do(recordings.listing(spark, raw), sinks.ledger(spark, f"file://{recorded}/two"), "nights", Config(rate=16)).count() > 0  # other settings
 
 
 def test_counts_on_the_way_are_those_of_the_report(spark, recorded):
