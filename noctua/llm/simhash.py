@@ -654,14 +654,17 @@ def annotate_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     few = F.broadcast(ends) if ends.count() <= SENT else ends
     own = stored(rows.select(F.col("row").alias("node"), "shingles").join(few, "node", "left_semi"), "sets")  # of texts that meet others
     x, y = (own.select(F.col("node").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "ab")
-    good = cut(pairs.join(y, "b").join(x, "a").select("a", "b", "a_set", "b_set").mapInArrow(alike, "a bigint, b bigint"))
-    if not several.isEmpty():
+    good = pairs.join(y, "b").join(x, "a").select("a", "b", "a_set", "b_set").mapInArrow(alike, "a bigint, b bigint")
+    if several.isEmpty():
+        roots = components(stored(good, "links"))
+    else:
         members = several.join(texts.select("node", "fp", "size"), "node").join(own, "node")
-        good = cut(good.unionByName(verified(members, Reach(radius, similarity), Bands(4, 1))))
-        labels = components(good)
-        labelled_marks = marks.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        good = good.unionByName(left_apart(cut(labelled_marks), own, similarity))
-    roots = components(good)
+        good = stored(good.unionByName(verified(members, Reach(radius, similarity), Bands(4, 1))), "links")  # read back in few partitions
+        roots = components(good)
+        apart = marks.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        more = stored(left_apart(apart, own, similarity), "links")
+        if not more.isEmpty():
+            roots = components(good.unionByName(more))
     labelled = cut(texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     groups = labelled.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("texts"))
     named = cut(look_up(labelled, groups, "root", "texts", texts.count()).select("exact", "first", "n"))
