@@ -28,14 +28,26 @@ def rejected_scores(scores: DataFrame, config: Config = Config()) -> DataFrame:
     return timestamps(scores.select("night_id", "epoch_idx", "stage"), config.sleep_len, config)
 
 
+#: Tasks put their files in place themselves, at once; else the driver moves the folders of all nights, one after another.
+#: Only for folders that are read, or entered in the ledger, after the whole write.
+AT_ONCE = ("mapreduce.fileoutputcommitter.algorithm.version", "2")
+
+
+def dealt(rows: DataFrame, night: str) -> DataFrame:
+    """Rows by night in spark.sql.shuffle.partitions parts. Their number is said: of parts of few bytes adaptive execution would
+    make one, and a single task would write the files of all nights. They go by a hash, since Spark leaves out a shuffle by a column
+    that rows seem to be dealt by already, and then a night may lie in two parts."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(night))
+
+
 def write_nights(rows: DataFrame, path: str, kind: str = "parquet", only_these: bool = False) -> None:
     """Writes rows by night, each night's rows in the order of epochs. One shuffle, by night; re-running replaces.
 
     With only_these, nights that are not among the rows keep what they have; else the whole table is replaced.
     """
     order = [c for c in ("night_id", "epoch_idx") if c in rows.columns]
-    ordered = rows.repartition("night_id").sortWithinPartitions(*order)
-    writer = ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if only_these else "static").partitionBy("night_id")
+    ordered = dealt(rows, "night_id").sortWithinPartitions(*order)
+    writer = ordered.write.mode("overwrite").option(*AT_ONCE).option("partitionOverwriteMode", "dynamic" if only_these else "static").partitionBy("night_id")
     (writer.option("header", True).csv if kind == "csv" else writer.parquet)(path)
 
 

@@ -771,8 +771,7 @@ def s5_scores_of_differing_channels(spark, sf_dir):
     head = choose(lambda c: F.lit(",".join([*c, "Start_time_sec", "End_time_sec"])))
     rows = wide.select(F.col("night_id").alias("n"), F.col("epoch_idx").alias("at"), line.alias("value"))
     heads = wide.select(F.col("night_id").alias("n"), F.lit(-1).alias("at"), head.alias("value")).distinct()
-    every = rows.unionByName(heads).repartition("n").sortWithinPartitions("n", "at")
-    every.select("value", "n").write.partitionBy("n").text(folder)
+    write_texts(rows.unionByName(heads), folder)
     read = scores.read_scores(spark, f"{folder}/n=*")
     return read.select(F.regexp_extract("path", r"/n=(\d+)", 1).alias("night_id"), "epoch_idx", "channel", "label")
 
@@ -780,8 +779,15 @@ def s5_scores_of_differing_channels(spark, sf_dir):
 def write_lines(lines: DataFrame, head: dict[int, str], folder: str) -> None:
     """A text file of each n, its lines in the order of ``at``, those of head first."""
     first = lines.select("n").distinct().select("n", F.explode(F.create_map(*(F.lit(x) for kv in head.items() for x in kv))).alias("at", "value"))
-    every = lines.unionByName(first).repartition("n").sortWithinPartitions("n", "at")
-    every.select("value", "n").write.partitionBy("n").text(folder)
+    write_texts(lines.unionByName(first), folder)
+
+
+def write_texts(lines: DataFrame, folder: str) -> None:
+    """A text file of each n, written as one row, so that no plan can put its lines into two files or another order: parts of a
+    union are coalesced apart, and a shuffle by n after it is left out. A night has about a thousand lines."""
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "\n", "")
+    texts = lines.groupBy("n").agg(text.alias("value"))
+    sinks.dealt(texts, "n").write.option(*sinks.AT_ONCE).partitionBy("n").text(folder)
 
 
 @query(S + " SELECT night_id, epoch_idx, stage FROM s")

@@ -5,6 +5,7 @@ import shutil
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from noctua.functions import spectral, trees
@@ -399,3 +400,24 @@ def test_slepian_tapers(n, half, count):
     assert np.abs(v @ v.T - np.eye(count)).max() < 1e-10
     assert share == pytest.approx(np.linalg.eigvalsh(kernel)[::-1][:count], abs=1e-10)
     assert np.abs(kernel @ v.T - v.T * share).max() < 1e-10
+
+
+def test_a_night_is_one_text_file_whatever_is_coalesced(spark, tmp_path):
+    """Parts of a union are coalesced apart, so a shuffle by night that is left out splits nights over files."""
+    settings = {
+        "spark.sql.shuffle.partitions": "100", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 4_000, 1, 4).select((F.col("id") % 100).cast("string").alias("n"), F.floor(F.col("id") / 100).cast("int").alias("at"))
+        lines = rows.withColumn("m", F.count("*").over(Window.partitionBy("n"))).where("m > 0").select("n", "at", F.col("at").cast("string").alias("value"))
+        registry.write_lines(lines, dict.fromkeys(range(-5, 0), "head"), f"file://{tmp_path}/lines")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = list(tmp_path.glob("lines/n=*/*.txt"))
+    assert len(files) == 100
+    assert all(f.read_text() == "head\n" * 5 + "".join(f"{i}\n" for i in range(40)) for f in files)
