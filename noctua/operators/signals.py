@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,20 +21,38 @@ ARRAY = T.ArrayType(T.DoubleType())
 Helper = Callable[[np.ndarray, float], np.ndarray]
 
 
+#: Values of the matrix that a helper gets at once: what it makes on its way is up to some hundred bytes for each.
+CHUNK = 1 << 17
+
+
+def by_chunks(helper: Helper, samples: pa.Array, rates: np.ndarray) -> pa.Array:
+    """The helper's row for each row of samples; null where there are none, or no rate. Rows of one length and rate are
+    stacked CHUNK values at a time, so memory does not hang on how many rows an Arrow batch has."""
+    sizes = samples.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts, values = samples.offsets.to_numpy()[:-1].astype(np.int64), samples.values.to_numpy(zero_copy_only=False)
+    made, widths = [], np.zeros(len(samples), np.int64)
+    for n, fs in sorted({(n, fs) for n, fs in zip(sizes.tolist(), rates.tolist()) if n and fs}):
+        own = np.flatnonzero((sizes == n) & (rates == fs))
+        step = max(CHUNK // n, 1)
+        for at in (own[k : k + step] for k in range(0, len(own), step)):
+            found = np.asarray(helper(values[starts[at][:, None] + np.arange(n)].astype(float), fs))
+            widths[at] = found.shape[1]
+            made.append((at, found))
+    ends = np.append(0, np.cumsum(widths))
+    flat = np.empty(ends[-1])
+    while made:
+        at, found = made.pop()
+        flat[ends[at][:, None] + np.arange(found.shape[1])] = found
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array(widths == 0))
+
+
 def on_rows(helper: Helper):
     """A column function of (samples, fs): the helper's row for each row."""
 
-    @F.pandas_udf(ARRAY)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ARRAY)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for samples, rates in batches:
-            out = pd.Series([None] * len(samples), dtype=object)
-            sizes = pd.DataFrame({"n": [0 if s is None else len(s) for s in samples], "fs": rates.fillna(0).to_numpy()})
-            for (n, fs), at in sizes.groupby(["n", "fs"]).groups.items():
-                if n and fs:
-                    found = helper(np.stack([samples[i] for i in at]).astype(float), float(fs))
-                    for i, row in zip(at, found):
-                        out[i] = row.astype(float)
-            yield out
+            yield by_chunks(helper, samples, rates.fill_null(0).to_numpy(zero_copy_only=False).astype(float))
 
     return run
 
@@ -72,16 +89,10 @@ def filter_spiky(epochs: DataFrame, label: str = "label", spiky: int = 3, **opti
 def predict(rows: DataFrame, model: Callable[[np.ndarray], np.ndarray], column: str = "features") -> DataFrame:
     """Adds probs (percent) and label: the first class of the largest probability. model: matrix -> probabilities."""
 
-    @F.pandas_udf(ARRAY)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ARRAY)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = pd.Series([None] * len(batch), dtype=object)
-            sizes = pd.Series([0 if v is None else len(v) for v in batch])
-            for n, at in sizes.groupby(sizes).groups.items():
-                if n:
-                    for i, row in zip(at, np.asarray(model(np.stack([batch[i] for i in at]).astype(float)), float) * 100):
-                        out[i] = row
-            yield out
+            yield by_chunks(lambda x, _: np.asarray(model(x), float) * 100, batch, np.ones(len(batch)))
 
     return with_label(rows.withColumn("probs", run(column)))
 

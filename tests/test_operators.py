@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -466,3 +467,18 @@ def test_job_passes_over_finished_and_broken_nights(spark, tmp_path):
     setup = jobs.Setup(["A"], None, None, axes=("B",), config=config)
     found = jobs.signal_epochs(left, setup, f"file://{tmp_path}/work")
     assert found.epochs.count() == 0 and rows(found.faults) == [(path("b"), 2), (path("c"), 1)]
+
+
+def test_helpers_get_few_values_at_once(monkeypatch):
+    """However many rows a batch has; rows keep their places, and rows without samples or a rate are null."""
+    seen = []
+
+    def helper(x, fs):
+        seen.append(x.size)
+        return x[:, :2] * fs
+
+    monkeypatch.setattr(signals, "CHUNK", 40)
+    values = [[float(i), 1.0, 2.0, 3.0] if i % 3 else [float(i)] * 5 for i in range(100)] + [None, [], [7.0] * 60]
+    found = signals.by_chunks(helper, pa.array(values), np.array([2.0] * 50 + [0.0] + [2.0] * 52)).to_pylist()
+    assert max(seen) == 60 and sorted(set(seen)) != [60]
+    assert found == [[2 * x for x in v[:2]] if v and i != 50 else None for i, v in enumerate(values)]
