@@ -12,7 +12,8 @@ so a group of n near copies costs n links. Components come from alternating larg
 
 annotate() links by fingerprints alone; annotate_similar() has a larger radius and lets the texts' shingles decide: there
 a forest would not do, since a link of it may fail, so what it returns is made of tested pairs only. annotate_copies() finds
-all texts of a similarity, also those whose fingerprints lie farther apart: texts meet under their rarest shingles.
+all texts of a similarity: fingerprints propose, sets decide, and those whose fingerprints lie farther apart meet under their
+rarest shingles.
 """
 
 from __future__ import annotations
@@ -381,6 +382,15 @@ def verified(nodes: DataFrame, reach: Reach, bands: Bands) -> DataFrame:
     return dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+#: Links in a part, about: a round of components() shuffles several times, and each part then makes files, however few its rows.
+LINKS = 250_000
+
+
+def packed(rows: DataFrame, count: int) -> DataFrame:
+    """The rows in no more parts than their number asks for."""
+    return rows.coalesce(max(-(-count // LINKS), 1))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: each node of an edge but the root itself, with the least node of its component.
 
@@ -388,6 +398,7 @@ def components(edges: DataFrame) -> DataFrame:
     of the nodes. The least neighbour of each node comes from a partial aggregate, and meets the edges by look_up().
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    edges = packed(edges, edges.count())
     state = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -396,11 +407,12 @@ def components(edges: DataFrame) -> DataFrame:
         state, total = now, now[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = look_up(both, least, "u", "n", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
+        large = look_up(both, least, "u", "n", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(packed(packed(large, 2 * total).distinct(), total))
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = look_up(large, least, "u", "n", total).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        small = packed(small.unionByName(least.select("u", F.col("m").alias("v"))), 2 * total)
+        edges = cut(packed(small.distinct(), total))
 
 
 def annotate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
@@ -460,6 +472,8 @@ def annotate_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
 #: Buckets in which shingles are counted, so that rare ones come first; all sums of one task are 4 bytes each.
 BUCKETS_LOG2 = 22
+#: Bits up to which any two fingerprints propose a pair of texts, before rare shingles do.
+NEAR = 2
 #: Texts under one shingle up to which all their pairs are listed.
 LISTED = 33
 #: Numbers of texts that are sent to all tasks, at most (8 bytes each); of more, sets of shingles are shuffled to them.
@@ -627,8 +641,9 @@ def left_apart(marks: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 def annotate_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 11, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """As annotate_similar(), for all pairs of texts that are that similar, however far their fingerprints lie apart.
 
-    Each text is filed under its rarest shingles, as many as a similar text cannot lack all of, so similar texts meet under
-    one of these. Pairs under shingles of few texts are tested by joins with the sets. Texts under shingles of many, which
+    SimHash comes first, as in annotate(): all fingerprints are compared in tiles and propose at NEAR bits, sets decide. It finds
+    most copies, but not all that are that similar. So each text is also filed under its rarest shingles, as many as a similar
+    text cannot lack all of, and similar texts meet under one of these. Pairs under shingles of few texts are tested by joins with the sets. Texts under shingles of many, which
     mostly are copies by the hundred, are first linked by annotate_similar()'s tiles of fingerprints and tests of sets; then
     those that this left apart are tested where they meet. Pairs compared grow with texts that share rare shingles.
     """
@@ -640,15 +655,16 @@ def annotate_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     if texts.count() < rows.count():  # equal texts: one of each
         sets = sets.join(texts.select("node"), "node", "left_semi")
     found = stored(met(filed(sets, shingle_counts(rows), similarity), similarity), "met")
-    pairs, marks = found.where("b IS NOT NULL").select("a", "b").distinct(), found.where("b IS NULL").select(F.col("a").alias("node"), "at", "size", "nth", "last")
+    pairs, marks = found.where("b IS NOT NULL").select("a", "b"), found.where("b IS NULL").select(F.col("a").alias("node"), "at", "size", "nth", "last")
 
     def alike(batches):
         for batch in batches:
             good = [jaccard(p, q) >= similarity for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    pairs = cut(pairs)
-    several = cut(marks.select("node").distinct())
+    near = cut(proposals(texts, Reach(NEAR, similarity), Bands(NEAR + 1), forests=False))
+    pairs = cut(pairs.unionByName(near.where("a <> b")).distinct())
+    several = cut(marks.select("node").unionByName(near.where("a = b").select(F.col("a").alias("node"))).distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(several).distinct()
     ends = cut(ends)
     few = F.broadcast(ends) if ends.count() <= SENT else ends

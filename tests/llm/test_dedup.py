@@ -352,3 +352,23 @@ def test_copies_on_awkward_rows(spark):
     assert len(found) == docs.count() and simhash.annotate_copies(edge.documents(spark, empty=True)).count() == 0
     kept = simhash.keep(docs)
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in found)
+
+
+def test_copies_are_proposed_by_fingerprints_first(spark, monkeypatch):
+    """Where shingles propose nothing, SimHash alone finds pairs within NEAR bits that are similar."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:-1], "x"]), " ".join(words[::-1])]
+    near = {i for i in (1, 2) if (simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[i])).bit_count() <= simhash.NEAR}
+    assert near == {1}
+    monkeypatch.setattr(simhash, "met", lambda filing, similarity: filing.sparkSession.createDataFrame([], ", ".join(f"{c} bigint" for c in simhash.MET_NAMES)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.id: r.component_id for r in simhash.annotate_copies(docs).collect()} == {0: 0, 1: 0, 2: 2}
+
+
+def test_components_shuffle_few_links_in_few_parts(spark, monkeypatch):
+    """Parts of the links' tables follow from how many links there are, not from the shuffle's parts."""
+    monkeypatch.setattr(simhash, "LINKS", 30)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 100) if i % 10 < 9], "a bigint, b bigint").repartition(16)
+    found = simhash.components(edges)
+    assert {(r.node, r.root) for r in found.collect()} == {(i, i - i % 10) for i in range(100) if i % 10}
+    assert found.rdd.getNumPartitions() <= 3
