@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from dataclasses import asdict
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
+from pyarrow import fs, parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +29,6 @@ def rejected_scores(scores: DataFrame, config: Config = Config()) -> DataFrame:
     return timestamps(scores.select("night_id", "epoch_idx", "stage"), config.sleep_len, config)
 
 
-#: Tasks put their files in place themselves, at once; else the driver moves the folders of all nights, one after another.
-#: Only for folders that are read, or entered in the ledger, after the whole write.
-AT_ONCE = ("mapreduce.fileoutputcommitter.algorithm.version", "2")
-
-
 def dealt(rows: DataFrame, night: str) -> DataFrame:
     """Rows by night in spark.sql.shuffle.partitions parts. Their number is said: of parts of few bytes adaptive execution would
     make one, and a single task would write the files of all nights. They go by a hash, since Spark leaves out a shuffle by a column
@@ -41,14 +37,60 @@ def dealt(rows: DataFrame, night: str) -> DataFrame:
 
 
 def write_nights(rows: DataFrame, path: str, kind: str = "parquet", only_these: bool = False) -> None:
-    """Writes rows by night, each night's rows in the order of epochs. One shuffle, by night; re-running replaces.
+    """Writes rows by night as ``path/night_id=.../night.parquet``, each night's rows in the order of epochs. One shuffle, by
+    night; re-running replaces.
 
-    With only_these, nights that are not among the rows keep what they have; else the whole table is replaced.
+    With only_these, nights that are not among the rows keep what they have; else the whole table is replaced. Tasks stream
+    rows into a file under another name and move it into place: a folder for each night costs Spark's own writer several
+    calls for its rights and its move, which with many nights is most of the time. Text (kind csv) is left to that writer.
     """
     order = [c for c in ("night_id", "epoch_idx") if c in rows.columns]
-    ordered = dealt(rows, "night_id").sortWithinPartitions(*order)
-    writer = ordered.write.mode("overwrite").option(*AT_ONCE).option("partitionOverwriteMode", "dynamic" if only_these else "static").partitionBy("night_id")
-    (writer.option("header", True).csv if kind == "csv" else writer.parquet)(path)
+    others = [c for c in rows.columns if c != "night_id"]
+    named = rows.select(F.nullif(F.col("night_id").cast("string"), F.lit("")).alias("night_id"), *others)  # none and '' share a folder
+    ordered = dealt(named, "night_id").sortWithinPartitions(*order)
+    if kind == "csv":
+        mode = "dynamic" if only_these else "static"
+        ordered.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("night_id").option("header", True).csv(path)
+        return
+    spark = rows.sparkSession
+    final = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    folder = path if only_these else f"{path.rstrip('/')}.{uuid.uuid4().hex}"  # rows may be read from what they replace
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system.mkdirs(target)
+
+    def put(batches):
+        night, out, writer = None, None, None
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            body = batch.select(others)
+            starts = [i for i in range(len(names)) if not i or names[i] != names[i - 1]]
+            for begin, end in zip(starts, [*starts[1:], len(names)]):
+                if out is None or names[begin] != night:
+                    if out:
+                        writer.close()
+                        yield out.close().select(["night_id"])
+                    night = names[begin]
+                    out = NightFile(f"{folder}/night_id={escaped(night)}/night.parquet", night, alone=True)
+                    writer = parquet.ParquetWriter(out.out, body.schema)
+                writer.write_batch(body.slice(begin, end - begin))
+        if out:
+            writer.close()
+            yield out.close().select(["night_id"])
+
+    ordered.mapInArrow(put, "night_id string").write.format("noop").mode("overwrite").save()
+    if not only_these:
+        system.delete(final, True)
+        system.rename(target, final)
+
+
+#: What Spark writes as % and two digits in the name of a partition's folder.
+ESCAPED = re.compile("[\\x01-\\x1f\"#%'*/:=?\\\\\\x7f{\\[\\]^]")
+
+
+def escaped(value: str | None) -> str:
+    """The value of a partition column as its folder is named."""
+    return ESCAPED.sub(lambda c: f"%{ord(c[0]):02X}", value) if value else "__HIVE_DEFAULT_PARTITION__"
 
 
 LEDGER = "night_id string, step string, config_hash string"
@@ -105,7 +147,7 @@ def write_edf(rows: DataFrame, folder: str, channels: list[str], rate: int, low:
                 if name != night:
                     if out:
                         yield out.close()
-                    night, out = name, EdfFile(f"{folder}/{name}/{file}", name, head.replace(b"RECORDS.", str(batch.column(-1)[i].as_py() * seconds).ljust(8).encode()))
+                    night, out = name, NightFile(f"{folder}/{name}/{file}", name, head.replace(b"RECORDS.", str(batch.column(-1)[i].as_py() * seconds).ljust(8).encode()))
                 physical = np.stack([np.asarray(batch.column(2 + k)[i].as_py(), float).reshape(seconds, rate) for k in range(len(channels))], axis=1)
                 share = (physical - bottom[:, None]) / (top - bottom)[:, None]
                 out.add(np.clip(np.rint(share * 65535 - 32768), -32768, 32767).astype("<i2").tobytes(), seconds)
@@ -123,13 +165,16 @@ def edf_header(channels: list[str], rate: int, low: np.ndarray, high: np.ndarray
     return (fixed + each).encode("latin-1", "replace")
 
 
-class EdfFile:
-    """A file in the making."""
+class NightFile:
+    """A file in the making: it is written under a hidden name, and takes its place when it is whole; alone: also that of all
+    other files in its folder."""
 
-    def __init__(self, path: str, night: str, head: bytes):
+    def __init__(self, path: str, night: str | None, head: bytes = b"", alone: bool = False):
         self.system, self.path = (fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
-        self.system.create_dir(self.path.rpartition("/")[0], recursive=True)
-        self.night, self.uri, self.attempt, self.records = night, path, f"{self.path}.{uuid.uuid4().hex}", 0
+        folder, _, name = self.path.rpartition("/")
+        self.system.create_dir(folder, recursive=True)
+        self.night, self.uri, self.attempt, self.records = night, path, f"{folder}/.{name}.{uuid.uuid4().hex}", 0
+        self.alone = fs.FileSelector(folder) if alone else None
         self.out = self.system.open_output_stream(self.attempt)
         self.out.write(head)
 
@@ -140,7 +185,10 @@ class EdfFile:
     def close(self) -> pa.RecordBatch:
         self.out.close()
         self.system.move(self.attempt, self.path)
-        return pa.RecordBatch.from_pydict({"night_id": [self.night], "path": [self.uri], "records": [self.records]})
+        for other in self.system.get_file_info(self.alone) if self.alone else ():
+            if other.is_file and other.base_name[0] not in "._" and other.base_name != self.path.rpartition("/")[2]:
+                self.system.delete_file(other.path)
+        return pa.RecordBatch.from_pydict({"night_id": pa.array([self.night], pa.string()), "path": [self.uri], "records": [self.records]})
 
 
 def reusable(features: DataFrame, signal: DataFrame) -> DataFrame:

@@ -201,7 +201,7 @@ def write_results(results: Results, setup: Setup, out: str) -> dict[str, float]:
     spark, config = results.usability.sparkSession, setup.config
     counted = Observation("usability")
     usability = results.usability.observe(counted, F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 0).alias("usable"))
-    usability.select(*KEY, "label", F.col("probs").alias("percent")).repartition("night_id").sortWithinPartitions("night_id", "epoch_idx").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("night_id").parquet(f"{out}/usability_probabilities")
+    sinks.write_nights(usability.select(*KEY, "label", F.col("probs").alias("percent")), f"{out}/usability_probabilities", only_these=True)
     lights = results.lights
     wide = sinks.wide_usability(results.usability, setup.channels, config)
     inside = bedtime.crop(results.usability.drop("probs"), lights, config.usability_len, config)

@@ -756,7 +756,7 @@ def s5_scores_from_files(spark, sf_dir):
     lines = wide.select(F.col("night_id").alias("n"), F.col("epoch_idx").alias("at"), F.concat_ws(",", "night_id", "epoch_idx", "C0", "C1", "start_time_sec", "end_time_sec").alias("value"))
     head = {-2: "# usability scores", -1: "night_id,epoch_idx,C0,C1,Start_time_sec,End_time_sec"}
     write_lines(lines, head, folder)
-    read = scores.read_wide_scores(spark, f"{folder}/n=*")
+    read = scores.read_wide_scores(spark, f"{folder}/n=*", ["night_id", "epoch_idx", "C0", "C1"])
     return scores.to_long(read.withColumn("epoch_idx", F.col("epoch_idx").cast("int")), ["C0", "C1"])
 
 
@@ -783,11 +783,19 @@ def write_lines(lines: DataFrame, head: dict[int, str], folder: str) -> None:
 
 
 def write_texts(lines: DataFrame, folder: str) -> None:
-    """A text file of each n, written as one row, so that no plan can put its lines into two files or another order: parts of a
-    union are coalesced apart, and a shuffle by n after it is left out. A night has about a thousand lines."""
+    """A text file of each n, written from one row, so that no plan can put its lines into two files or another order: parts of a
+    union are coalesced apart, and a shuffle by n after it is left out. A night has about a thousand lines. Tasks write the files
+    themselves: Spark's writer takes many calls for a folder of one file."""
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "\n", "")
     texts = lines.groupBy("n").agg(text.alias("value"))
-    sinks.dealt(texts, "n").write.option(*sinks.AT_ONCE).partitionBy("n").text(folder)
+
+    def put(batches):
+        for batch in batches:
+            for n, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out = sinks.NightFile(f"{folder}/n={sinks.escaped(n)}/lines.txt", n, f"{value}\n".encode())
+                yield out.close().select(["night_id"])
+
+    sinks.dealt(texts, "n").mapInArrow(put, "night_id string").write.format("noop").mode("overwrite").save()
 
 
 @query(S + " SELECT night_id, epoch_idx, stage FROM s")
@@ -907,7 +915,7 @@ def damage(files: DataFrame, size: int = 600) -> None:
         for batch in batches:
             for path, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with recordings.open_file(path) as file:
-                    out = sinks.EdfFile(target, "", file.read(size))
+                    out = sinks.NightFile(target, "", file.read(size))
                 yield out.close().select(["night_id"])
 
     files.select("path", "target").mapInArrow(run, "night_id string").count()

@@ -421,3 +421,21 @@ def test_a_night_is_one_text_file_whatever_is_coalesced(spark, tmp_path):
     files = list(tmp_path.glob("lines/n=*/*.txt"))
     assert len(files) == 100
     assert all(f.read_text() == "head\n" * 5 + "".join(f"{i}\n" for i in range(40)) for f in files)
+
+
+def test_nights_are_written_whole_and_alone(spark, tmp_path):
+    """One file for each night in its order, whatever its name; other nights stay, files of another writer do not."""
+    names = ["plain", "file:/a b/[x]=1%", "", None, "n'\u00e4"]
+    out = f"file://{tmp_path}/out"
+    frame = lambda nights, n, v: spark.createDataFrame([(x, i, [v] * i) for x in nights for i in range(n)][::-1], "night_id string, epoch_idx int, v array<double>")
+    frame(names, 3, 1.0).write.partitionBy("night_id").parquet(out)  # by Spark's writer, in several files
+    folders = {f.name for f in (tmp_path / "out").glob("night_id=*")}
+    sinks.write_nights(frame(names[1:], 5, 2.0), out, only_these=True)
+    assert {f.name for f in (tmp_path / "out").glob("night_id=*")} == folders
+    read = lambda: sorted(((r.night_id or "", r.epoch_idx, r.v) for r in spark.read.schema("epoch_idx int, v array<double>, night_id string").parquet(out).collect()))
+    assert read() == sorted([(x or "", i, [2.0] * i) for x in names[1:] for i in range(5)] + [("plain", i, [1.0] * i) for i in range(3)])
+    for folder in folders - {"night_id=plain"}:
+        assert [f.name for f in (tmp_path / "out" / folder).iterdir() if f.suffix == ".parquet"] == ["night.parquet"]
+    again = spark.read.schema("epoch_idx int, v array<double>, night_id string").parquet(out).where("epoch_idx < 2")
+    sinks.write_nights(again.select("night_id", "epoch_idx", "v"), out)  # read from what it replaces
+    assert [r[:2] for r in read()] == sorted((x or "", i) for x in names for i in range(2))
