@@ -7,8 +7,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from noctua.functions.config import Config
 
@@ -73,8 +77,25 @@ def norm_of_epochs(epochs: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame
     """Epochs of the norm from epochs of the axes; those that lack an axis are left out. One shuffle, of arrays."""
     wide = epochs.where(F.col("channel").isin(*axes)).groupBy("night_id", "epoch_idx")
     wide = wide.agg(F.first("fs").alias("fs"), *(F.first(F.when(F.col("channel") == x, F.col("samples")), ignorenulls=True).alias(x) for x in axes)).dropna(subset=list(axes))
-    made = F.transform(F.arrays_zip(*axes), lambda p: F.sqrt(reduce(lambda a, b: a + b, (p[x] * p[x] for x in axes))))
-    return wide.select("night_id", F.lit("ACCagg").alias("channel"), "epoch_idx", "fs", made.alias("samples"))
+    return wide.select("night_id", F.lit("ACCagg").alias("channel"), "epoch_idx", "fs", norm_of_arrays(*axes).alias("samples"))
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def norm_of_arrays(*axes: pa.Array) -> pa.Array:
+    """The Euclidean norm at each place of arrays; null where one of them has no value."""
+    sizes = np.stack([x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for x in axes])
+    most = sizes.max(axis=0)
+    ends = np.append(0, np.cumsum(most))
+    place = np.arange(ends[-1]) - np.repeat(ends[:-1], most)
+
+    def padded(x: pa.Array, own: np.ndarray) -> pa.Array:
+        if (own == most).all():
+            return x.flatten().cast(pa.float64())
+        at = np.repeat(np.cumsum(own) - own, most) + place
+        return x.flatten().cast(pa.float64()).take(pa.array(at, mask=place >= np.repeat(own, most)))
+
+    values = [padded(x, own) for x, own in zip(axes, sizes)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pc.sqrt(reduce(pc.add, (pc.multiply(v, v) for v in values))))
 
 
 def timestamps(epochs: DataFrame, seconds: int, config: Config = Config()) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict
 
 import numpy as np
@@ -126,12 +127,17 @@ def save_features(rows: DataFrame, name: str, buckets: int = 64) -> None:
     laid.write.mode("overwrite").bucketBy(buckets, "night_id", "epoch_idx").sortBy("night_id", "epoch_idx").format("parquet").saveAsTable(name)
 
 
-def write_edf(rows: DataFrame, folder: str, channels: list[str], rate: int, low: dict[str, float], high: dict[str, float], file: str = "night.edf", seconds: int = 10) -> DataFrame:
+#: Epochs that a writer turns to bytes at once.
+TOGETHER = 32
+
+
+def write_edf(rows: DataFrame, folder: str, channels: list[str], rate: int, low: dict[str, float], high: dict[str, float], file: str = "night.edf", seconds: int = 10, make: Callable[[str, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Writes each night as an EDF file ``folder/night_id/file`` of one-second records; night_id, path, records of each.
 
     rows: night_id, epoch_idx (from 0, without gaps), an array of rate * seconds physical values for each channel. Values
     outside a channel's physical range are cut to it. Arrays pass by in the order of epochs, so no task holds a night; a
-    file is written under another name and then moved.
+    file is written under another name and then moved. make(channel, matrix of arrays): arrays of the values, where rows hold
+    shorter ones of equal length; so what is shuffled may be less than what is written.
     """
     counts = rows.groupBy(F.col("night_id").alias("__night")).agg(F.count("*").alias("__epochs"))
     # the channels' names may be anything
@@ -140,17 +146,30 @@ def write_edf(rows: DataFrame, folder: str, channels: list[str], rate: int, low:
     bottom, top = np.array([low[c] for c in channels]), np.array([high[c] for c in channels])
     head = edf_header(channels, rate, bottom, top)
 
+    def values(channel: str, column: pa.Array) -> np.ndarray:
+        matrix = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        matrix = make(channel, matrix) if make else matrix
+        sizes = column.value_lengths()
+        if sizes.null_count or len(set(sizes.to_pylist())) > 1 or matrix.shape[1] != seconds * rate:
+            raise ValueError(f"an epoch of {channel} has not {seconds * rate} values")
+        return matrix.reshape(-1, seconds, rate)
+
     def put(batches):
         night, out = None, None
         for batch in batches:
-            for i, name in enumerate(batch.column(0).to_pylist()):
-                if name != night:
+            names = batch.column(0).to_pylist()
+            starts = [i for i in range(len(names)) if not i or names[i] != names[i - 1]]
+            for begin, end in zip(starts, [*starts[1:], len(names)]):
+                if names[begin] != night:
                     if out:
                         yield out.close()
-                    night, out = name, NightFile(f"{folder}/{name}/{file}", name, head.replace(b"RECORDS.", str(batch.column(-1)[i].as_py() * seconds).ljust(8).encode()))
-                physical = np.stack([np.asarray(batch.column(2 + k)[i].as_py(), float).reshape(seconds, rate) for k in range(len(channels))], axis=1)
-                share = (physical - bottom[:, None]) / (top - bottom)[:, None]
-                out.add(np.clip(np.rint(share * 65535 - 32768), -32768, 32767).astype("<i2").tobytes(), seconds)
+                    night = names[begin]
+                    out = NightFile(f"{folder}/{night}/{file}", night, head.replace(b"RECORDS.", str(batch.column(-1)[begin].as_py() * seconds).ljust(8).encode()))
+                for at in range(begin, end, TOGETHER):
+                    part = batch.slice(at, min(TOGETHER, end - at))
+                    physical = np.stack([values(c, part.column(2 + k)) for k, c in enumerate(channels)], axis=2)
+                    share = (physical - bottom[:, None]) / (top - bottom)[:, None]
+                    out.add(np.clip(np.rint(share * 65535 - 32768), -32768, 32767).astype("<i2").tobytes(), len(part) * seconds)
         if out:
             yield out.close()
 

@@ -100,13 +100,14 @@ def signal_epochs(files: DataFrame, setup: Setup, work: str) -> Signals:
     other = signals.resample_blocks(decoded.where(F.col("fs") != rate), rate, seconds)
     other = other.withColumns({"n": F.size("samples"), "least": F.array_min("samples").cast("float"), "most": F.array_max("samples").cast("float")})
     columns = ["night_id", "channel", "epoch_idx", "fs", "n", "least", "most", "samples"]
-    same = decoded.where(F.col("fs") == rate).withColumn("samples", F.col("samples").cast("array<double>"))
+    same = decoded.where(F.col("fs") == rate)
     if any(r.fs != rate for r in decoded.select("fs").distinct().collect()):  # rates are few
-        same = same.select(columns).unionByName(table(other.select(columns), f"{work}/resampled"))
+        same = same.withColumn("samples", F.col("samples").cast("array<double>")).select(columns).unionByName(table(other.select(columns), f"{work}/resampled"))
     is_axis = F.col("channel").isin(*setup.axes) if setup.axes else F.lit(False)
     lengths = decoded.groupBy("night_id", "channel").agg((F.sum("n") / F.first("fs")).alias("seconds"))
     each = same.groupBy("night_id", "channel").agg(F.floor(F.sum("n") / (rate * seconds)).cast("int").alias("whole"))
-    whole = each.groupBy("night_id", is_axis.alias("axis")).agg(F.min("whole").alias("whole"))
+    # a table, so that its size is known: else samples are shuffled to meet it
+    whole = table(each.groupBy("night_id", is_axis.alias("axis")).agg(F.min("whole").alias("whole")), f"{work}/whole")
     firsts = [setup.channels[0], *setup.axes[:1]]
     first = lengths.where(F.col("channel").isin(*firsts)).groupBy("night_id").agg(F.min("seconds").alias("least"), F.max(F.when(F.col("channel") == firsts[0], F.col("seconds"))).alias("seconds"))
     inside = same.withColumn("axis", is_axis).join(whole, ["night_id", "axis"]).where("epoch_idx < whole")

@@ -968,29 +968,34 @@ LINES, EACH = 160, 16
 
 
 def job_epochs(spark, sf_dir) -> DataFrame:
-    """night_id, epoch_idx and 2560 values of four channels at 256 Hz: EEG stands for prices, axes for the other numbers.
+    """night_id, epoch_idx and the numbers of an epoch's lines: EEG stands for prices, axes for the other numbers.
 
     The lines of 8192 order keys are a night, so nights do not grow with the data. Amplitudes change from epoch to epoch
-    (EEG) and every twenty epochs (axes), so that all labels come.
+    (EEG) and every twenty epochs (axes), so that all labels come. A line is computed before lines are brought together.
     """
-    night = F.floor(F.col("l_orderkey") / 8192)
-    order = Window.partitionBy(night).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice")
-    rows = b.table(spark, sf_dir, "lineitem").select(night.cast("string").alias("night_id"), (F.row_number().over(order) - 1).alias("rn"), "l_extendedprice", "l_quantity", "l_discount", "l_tax")
-    lines = F.sort_array(F.collect_list(F.struct("rn", "l_extendedprice", "l_quantity", "l_discount", "l_tax")))
-    grouped = rows.groupBy("night_id", F.floor(F.col("rn") / LINES).cast("int").alias("epoch_idx")).agg(lines.alias("x")).where(F.size("x") == LINES)
-    j, e = F.sequence(F.lit(0), F.lit(EACH - 1)), F.col("epoch_idx")
+    night = F.floor(F.col("l_orderkey") / 8192).cast("string")
+    order = Window.partitionBy("night_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice")
+    numbered = b.table(spark, sf_dir, "lineitem").withColumn("night_id", night).withColumn("rn", F.row_number().over(order) - 1)
+    e = F.floor(F.col("rn") / LINES).cast("int")
     loud = F.when(F.floor(e / 20) % 2 == 0, 0.02).otherwise(1.0)
-    price = lambda v: F.round((v["l_extendedprice"] % 2000 - 1000) / (1 + e % 4))
-    eeg = F.flatten(F.transform("x", lambda v: F.transform(j, lambda i: price(v) + (i * 7) % 16 - 8)))
-    axis = lambda f: F.flatten(F.transform("x", lambda v: F.array_repeat(f(v) * loud, EACH)))
-    return grouped.select("night_id", "epoch_idx", eeg.alias("EEG"), axis(lambda v: v["l_quantity"] / 25 - 1).alias("dX"), axis(lambda v: v["l_discount"] * 10).alias("dY"), axis(lambda v: v["l_tax"] * 20 - 1).alias("dZ"))
+    axes = {"dX": F.col("l_quantity") / 25 - 1, "dY": F.col("l_discount") * 10, "dZ": F.col("l_tax") * 20 - 1}
+    price = F.round((F.col("l_extendedprice") % 2000 - 1000) / (1 + e % 4))
+    rows = numbered.select("night_id", e.alias("epoch_idx"), "rn", price.alias("EEG"), *((v * loud).alias(k) for k, v in axes.items()))
+    grouped = rows.groupBy("night_id", "epoch_idx").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("rn", "EEG", *axes))).alias("x"))
+    return grouped.where(F.col("n") == LINES).select("night_id", "epoch_idx", *(F.col(f"x.{c}").alias(c) for c in ("EEG", *axes)))
+
+
+def line_samples(channel: str, lines: np.ndarray) -> np.ndarray:
+    """The samples of lines at 256 Hz: a number stands for EACH samples; those of the EEG go up and down about it."""
+    wave = np.arange(EACH) * 7 % 16 - 8 if channel == "EEG" else np.zeros(EACH)
+    return (lines[:, :, None] + wave).reshape(len(lines), -1)
 
 
 def job_files(spark, sf_dir) -> DataFrame:
     """path, length of an EDF file of four channels for each night of job_epochs()."""
     axes = epochs.AXES
     low, high = {"EEG": -32768.0} | dict.fromkeys(axes, -2.0), {"EEG": 32767.0} | dict.fromkeys(axes, 2.0)
-    folder = once(spark, sf_dir, "nights", lambda f: sinks.write_edf(job_epochs(spark, sf_dir), f, ["EEG", *axes], 256, low, high).count())
+    folder = once(spark, sf_dir, "nights", lambda f: sinks.write_edf(job_epochs(spark, sf_dir), f, ["EEG", *axes], 256, low, high, make=line_samples).count())
     return recordings.listing(spark, folder)
 
 

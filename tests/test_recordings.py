@@ -439,3 +439,29 @@ def test_nights_are_written_whole_and_alone(spark, tmp_path):
     again = spark.read.schema("epoch_idx int, v array<double>, night_id string").parquet(out).where("epoch_idx < 2")
     sinks.write_nights(again.select("night_id", "epoch_idx", "v"), out)  # read from what it replaces
     assert [r[:2] for r in read()] == sorted((x or "", i) for x in names for i in range(2))
+
+
+def test_shorter_arrays_are_made_longer_where_files_are_written(spark, tmp_path):
+    frame = spark.createDataFrame([("a", e, [float(e), -1.0]) for e in range(40)], "night_id string, epoch_idx int, X array<double>")
+    done = sinks.write_edf(frame, f"file://{tmp_path}/out", ["X"], 2, {"X": -32768.0}, {"X": 32767.0}, make=lambda _, x: np.repeat(x, 10, axis=1)).collect()
+    assert [(r.night_id, r.records) for r in done] == [("a", 400)]
+    found = cells(recordings.blocks(recordings.catalog(recordings.listing(spark, f"file://{tmp_path}/out")), ["X"]))
+    assert [list(r[4]) for r in sorted(found, key=lambda r: r[3])] == [[float(e)] * 10 + [-1.0] * 10 for e in range(40)]
+
+
+def test_samples_do_not_meet_lengths_by_a_shuffle(spark, recorded):
+    """Facts of a night are small tables; blocks stay where they were decoded, though they are larger than what is broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+        found = jobs.signal_epochs(recordings.listing(spark, f"file://{recorded}/raw/good"), setup(), f"file://{recorded}/work")
+        plan = found.epochs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange hashpartitioning" not in plan
+
+
+def test_norm_of_axes_of_differing_lengths(spark):
+    data = [("n", c, 0, 1, v) for c, v in (("dX", [3.0, 1.0]), ("dY", [4.0, None]), ("dZ", [0.0, 2.0, 5.0]))] + [("n", c, 1, 1, [2.0, 6.0]) for c in ("dX", "dY", "dZ")]
+    made = epochs.norm_of_epochs(spark.createDataFrame(data, "night_id string, channel string, epoch_idx int, fs int, samples array<double>"))
+    assert {r.epoch_idx: r.samples for r in made.collect()} == {0: [5.0, None, None], 1: [12.0**0.5, 108.0**0.5]}
