@@ -875,10 +875,14 @@ def vector_samples(spark, sf_dir) -> DataFrame:
 WHOLE = ({"X": -32768.0, "Y": -32768.0}, {"X": 32767.0, "Y": 32767.0})
 
 
+def combined_folder(spark, sf_dir) -> str:
+    """A folder with an EDF file of two channels at 6 samples a second for each night of vectors."""
+    return once(spark, sf_dir, "combined", lambda f: sinks.write_edf(vector_samples(spark, sf_dir), f, ["X", "Y"], 6, *WHOLE).count())
+
+
 def combined_files(spark, sf_dir) -> DataFrame:
-    """path, length of an EDF file of two channels at 6 samples a second for each night of vectors."""
-    folder = once(spark, sf_dir, "combined", lambda f: sinks.write_edf(vector_samples(spark, sf_dir), f, ["X", "Y"], 6, *WHOLE).count())
-    return recordings.listing(spark, folder)
+    """path, length of the files of combined_folder()."""
+    return recordings.listing(spark, combined_folder(spark, sf_dir))
 
 
 def night_of(path: str):
@@ -899,9 +903,8 @@ SELECT night_id, 'X' AS channel, epoch_idx, list_sum(list_transform(samples[1:60
 UNION ALL SELECT night_id, 'Y', epoch_idx, list_sum(list_transform(samples[1:60], lambda v: -round(v * 100))) FROM v)""")
 def s3_edf_format(spark, sf_dir):
     """The same files through spark.read.format("edf")."""
-    folder = combined_files(spark, sf_dir) and WRITTEN[spark.sparkContext.applicationId, sf_dir, "combined"]
     recordings.register(spark)
-    return totals(spark.read.format("edf").option("rangeBytes", 4096).load(folder))
+    return totals(spark.read.format("edf").option("rangeBytes", 4096).load(combined_folder(spark, sf_dir)))
 
 
 def totals(blocks: DataFrame) -> DataFrame:

@@ -24,6 +24,10 @@ from noctua.sources.edf import per_channel_faults as faults_of_channels
 
 #: Bytes of a file that one task reads at once, about.
 RANGE_BYTES = 32 << 20
+#: What opening a range counts for beside its bytes: a task reads many small ranges, but not too many.
+OPENING = 128 << 10
+#: Partitions of the format at least, if there are as many ranges.
+LEAST_PARTS = 64
 CATALOG = (
     "path string, src_path string, file string, bytes bigint, labels array<string>, per_record array<int>, low array<double>, high array<double>, "
     "digital_low array<double>, digital_high array<double>, start bigint, records bigint, seconds double, wide boolean, error string"
@@ -137,14 +141,19 @@ def blocks_between(reader: Ranges, where: str, channel: str, signals: list[int],
     yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat))], names=NAMES)
 
 
+def tasks_for(size: int, pieces: int, range_bytes: int, least: int) -> int:
+    """Tasks for so many ranges of so many bytes in all: ranges under RANGE_BYTES share one; at least ``least``, if there are as many ranges."""
+    return max(min(-(-(size + pieces * OPENING) // max(range_bytes, RANGE_BYTES)), 1_000_000), min(least, pieces), 1)
+
+
 def blocks(chosen: DataFrame, channels: list[str] | None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Blocks of the named channels of each file of a catalog; without channels all signals of a file, one after another, are
     the channel of the file's name. The catalog should be a table: its sizes are summed up first."""
     spark = chosen.sparkSession
     good = chosen.where("error IS NULL AND records > 0")
-    total = good.agg(F.sum("bytes")).first()[0] or 0
-    parts = max(min(-(-total // range_bytes), 1_000_000), spark.sparkContext.defaultParallelism if total > range_bytes else 1)
     pieces = F.greatest(F.ceil(F.col("bytes") / range_bytes), F.lit(1)).cast("int")
+    total = good.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum(pieces), F.lit(0))).first()
+    parts = tasks_for(total[0], total[1], range_bytes, spark.sparkContext.defaultParallelism)
     ranges = good.select("*", F.posexplode(F.sequence(F.lit(1), pieces)).alias("piece", "nth")).withColumn("pieces", pieces)
     names = [c.split()[0] for c in CATALOG.split(", ")]
 
@@ -184,9 +193,11 @@ def per_channel(found: DataFrame, channels: list[str], nights: DataFrame | None
 
 
 class EdfPartition(InputPartition):
-    def __init__(self, path: str, piece: int, pieces: int):
-        super().__init__((path, piece, pieces))
-        self.path, self.piece, self.pieces = path, piece, pieces
+    """Ranges of files: path, number of the range, ranges of the file."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        super().__init__(len(ranges))
+        self.ranges = ranges
 
 
 class EdfReader(DataSourceReader):
@@ -199,23 +210,28 @@ class EdfReader(DataSourceReader):
         info = system.get_file_info(root)
         found = [info] if info.is_file else system.get_file_info(fs.FileSelector(root, recursive=True))
         files = [f for f in found if f.is_file and f.path.lower().endswith((".edf", ".bdf"))]
-        return [EdfPartition(scheme + f.path, i, n) for f in files for n in [max(math.ceil(f.size / self.range_bytes), 1)] for i in range(n)]
+        sizes = [(f, max(math.ceil(f.size / self.range_bytes), 1)) for f in files]
+        pieces = sum(n for _, n in sizes)
+        parts = tasks_for(sum(f.size for f in files), pieces, self.range_bytes, LEAST_PARTS)
+        ranges = [(scheme + f.path, i, n) for f, n in sizes for i in range(n)]
+        return [EdfPartition(ranges[pieces * k // parts : pieces * (k + 1) // parts]) for k in range(parts)] if ranges else []
 
     def read(self, partition):
-        with open_file(partition.path) as file:
-            h = facts_of(file, file.size())
-            reader, where = Ranges(file, h), partition.path.rpartition("/")[0]
-            for i, label in enumerate(h["labels"]):
-                most = epochs_of(h, [i]) if h["per_record"][i] else 0
-                first, last = most * partition.piece // partition.pieces, most * (partition.piece + 1) // partition.pieces
-                if first < last:
-                    yield from blocks_between(reader, where, label, [i], first, last)
+        for path, piece, pieces in partition.ranges:
+            with open_file(path) as file:
+                h = facts_of(file, file.size())
+                reader, where = Ranges(file, h), path.rpartition("/")[0]
+                for i, label in enumerate(h["labels"]):
+                    most = epochs_of(h, [i]) if h["per_record"][i] else 0
+                    first, last = most * piece // pieces, most * (piece + 1) // pieces
+                    if first < last:
+                        yield from blocks_between(reader, where, label, [i], first, last)
 
 
 class EdfSource(DataSource):
     """``spark.read.format("edf").option("rangeBytes", n).load(folder)``: blocks of all signals of all recordings below it.
 
-    A file is as many partitions as it has ranges. A file that cannot be read fails the query; a catalog tells which are.
+    Small ranges share a partition. A file that cannot be read fails the query; a catalog tells which are.
     """
 
     @classmethod

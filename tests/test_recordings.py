@@ -465,3 +465,17 @@ def test_norm_of_axes_of_differing_lengths(spark):
     data = [("n", c, 0, 1, v) for c, v in (("dX", [3.0, 1.0]), ("dY", [4.0, None]), ("dZ", [0.0, 2.0, 5.0]))] + [("n", c, 1, 1, [2.0, 6.0]) for c in ("dX", "dY", "dZ")]
     made = epochs.norm_of_epochs(spark.createDataFrame(data, "night_id string, channel string, epoch_idx int, fs int, samples array<double>"))
     assert {r.epoch_idx: r.samples for r in made.collect()} == {0: [5.0, None, None], 1: [12.0**0.5, 108.0**0.5]}
+
+
+def test_small_ranges_share_a_task(spark, tmp_path):
+    """150 files are read in no more tasks than there are slots, by both readers, with the rows of single ranges."""
+    for i in range(150):
+        put(tmp_path, f"n{i}/x.edf", night(30))
+    found = recordings.catalog(recordings.listing(spark, f"file://{tmp_path}"))
+    own = recordings.blocks(found, ["A", "B"], 300)
+    recordings.register(spark)
+    read = spark.read.format("edf").option("rangeBytes", 300).load(f"file://{tmp_path}")
+    assert own.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and read.rdd.getNumPartitions() <= 64
+    one = cells(recordings.blocks(found.where("src_path LIKE '%/n0'"), ["A", "B"]))
+    wanted = sorted((f"n{i}", *r[1:]) for i in range(150) for r in one)
+    assert cells(own) == cells(read) == wanted
