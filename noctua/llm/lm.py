@@ -25,11 +25,14 @@ from __future__ import annotations
 
 import ctypes
 import math
+import uuid
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import Broadcast, TaskContext
@@ -80,6 +83,20 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def split_words(lowered: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of some texts in lower case, as words_of() has them, without a Python object for each word.
+
+    Returns how many words each text has, the number of each word, and the different words by number.
+    """
+    lists = pc.ascii_split_whitespace(lowered)
+    flat = lists.flatten()
+    filled = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # white space at an end leaves an empty word
+    before = np.concatenate([[0], np.cumsum(filled)])
+    sizes = np.diff(before[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])])
+    coded = flat.filter(pa.array(filled)).dictionary_encode()
+    return sizes, coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.binary())
+
+
 class Coder:
     """The byte-level tokenizer of some ranks. The id after the last rank is the end of a text."""
 
@@ -187,11 +204,12 @@ def prepare(docs: DataFrame, key: str = "doc_id", text: str = "text", held: Colu
         row, texts = TaskContext.get().partitionId() << 40, 0
         words = Words(coder_of(shipped.value))
         for batch in slices(batches, most=PIECE_BYTES):
-            held, split = batch.column(1).to_pylist(), list(map(words_of, batch.column(2).to_pylist()))
-            numbers = words.numbers(split)
+            held, lowered = batch.column(1).to_pylist(), pc.ascii_lower(batch.column(2).fill_null(""))
+            sizes, which, different = split_words(lowered)
+            numbers = np.split(words.numbers([different.to_pylist()])[0][which], np.cumsum(sizes)[:-1])
             words.count([x for x, own in zip(numbers, held) if not own])
             n, texts = len(held), texts + held.count(False)
-            columns = [pa.array(np.arange(row, row + n)), batch.column(0), batch.column(1), pa.array(list(map(b" ".join, split)), pa.binary()), pa.array(words.packed(numbers), pa.binary())]
+            columns = [pa.array(np.arange(row, row + n)), batch.column(0), batch.column(1), lowered.cast(pa.binary()), pa.array(words.packed(numbers), pa.binary())]
             row += n
             yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names=names)
             if len(words) > HELD:
@@ -280,73 +298,95 @@ def fresh(vocab: Vocabulary, seed: int = 5) -> Weights:
 
 #: Which keys (last axis) a place may see.
 SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
-def exponentials(z: np.ndarray, axis: int, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+#: Of each class: its group, its number in the group. Of each row of the embedding: the places of its values.
+GROUP_OF, MEMBER_OF = (np.arange(CLASSES) // MEMBERS).astype(np.uint8), np.arange(CLASSES) % MEMBERS
+PLACES = np.arange((OWN_ROWS + CLASSES) * WIDTH).reshape(-1, WIDTH)
+
+
+def exponentials(z: np.ndarray, axis: int, seen: np.ndarray | None = None, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Of z, and their sums over an axis, which is kept; those that are not seen are 0.
 
     Scores are small, so nothing is subtracted first; only where a sum has overflowed or vanished is that done.
     """
     with np.errstate(over="ignore"):
-        e = np.exp(z)
+        e = np.exp(z, out=out)
     if seen is not None:
         e *= seen
     sums = (e.reshape(-1, e.shape[-1]) @ np.ones((e.shape[-1], 1), e.dtype)).reshape(*e.shape[:-1], 1) if axis == e.ndim - 1 else e.sum(axis=axis, keepdims=True)
     if np.isfinite(sums).all() and (sums > 0).all():
         return e, sums
     z = z if seen is None else np.where(seen > 0, z, -np.inf)
-    e = np.exp(z - z.max(axis=axis, keepdims=True))
+    e = np.exp(z - z.max(axis=axis, keepdims=True), out=out)
     return e, e.sum(axis=axis, keepdims=True)
 
 
+def products(w: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """Queries by keys, scaled, and values by output: with one head, only these products of the maps are needed at places."""
+    q, k, v = np.split(w["w"], 3, axis=1)
+    return q @ k.T * q.dtype.type(WIDTH**-0.5), v @ w["o"]
+
+
 def attend(w: Weights, rows: np.ndarray, skip: int = 0):
     """What stands at each place of each window from ``skip`` on, after attention to it and what lies before it.
 
-    Returns the embedding, queries, keys, values, weights of attention and their sums, the mixture, the result.
+    Returns the embedding, what meets it as queries, weights of attention and their sums, the mixture, the result.
     """
     n, length = rows.shape
+    meet, out = products(w)
     e = w["e"].take(rows.ravel(), axis=0).reshape(n, length, WIDTH)
     e += w["p"][:length]
-    both = (e.reshape(-1, WIDTH) @ w["w"][:, WIDTH:]).reshape(n, length, 2 * WIDTH)
-    k, v = both[:, :, :WIDTH], both[:, :, WIDTH:]
     own = np.ascontiguousarray(e[:, skip:]) if skip else e
-    q = (own.reshape(-1, WIDTH) @ (w["w"][:, :WIDTH] * e.dtype.type(WIDTH**-0.5))).reshape(own.shape)
-    a, sums = exponentials(q @ k.transpose(0, 2, 1), 2, SEEN[skip:length, :length])
-    h = a @ v
+    q = (own.reshape(-1, WIDTH) @ meet).reshape(own.shape)
+    a, sums = exponentials(q @ e.transpose(0, 2, 1), 2, SEEN[skip:length, :length])
+    h = a @ e
     h /= sums
-    o = own.reshape(-1, WIDTH) + h.reshape(-1, WIDTH) @ w["o"]
-    return e, q, k, v, a, sums, h, o
+    o = h.reshape(-1, WIDTH) @ out
+    o += own.reshape(-1, WIDTH)
+    return e, q, a, sums, h, o
 
 
 def by_group(classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """The order of places by the group of their class, and each group with where it begins and ends in that order."""
-    groups = (classes // MEMBERS).astype(np.uint8)
+    groups = GROUP_OF.take(classes)
     order = np.argsort(groups, kind="stable")
     cuts = np.cumsum(np.bincount(groups, minlength=GROUPS)).tolist()
     return order, [(j, a, b) for j, (a, b) in enumerate(zip([0, *cuts], cuts)) if a < b]
 
 
+def maps(w: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """Of each group: the maps to all groups and to its members, one below the other, and their biases."""
+    m = np.concatenate([np.broadcast_to(w["u"].T, (GROUPS, GROUPS, WIDTH)), w["c"].transpose(0, 2, 1)], axis=1)
+    return m, np.concatenate([np.broadcast_to(w["b"], (GROUPS, GROUPS)), w["d"]], axis=1)[:, :, None]
+
+
 def shares(w: Weights, o: np.ndarray, order: np.ndarray, parts: list[tuple[int, int, int]]) -> tuple[np.ndarray, ...]:
-    """Exponentials for the groups at each place (group, place) and for the members of its group (member, place in order).
+    """Exponentials for the groups, and below them for the members of its group, at each place in order (number, place).
 
-    Also their sums, and the places in order.
+    Also the sums of both, the places in order, and the maps.
     """
-    first = w["u"].T @ o.T
-    first += w["b"][:, None]
-    sorted_o, second = o.take(order, axis=0), np.empty((MEMBERS, len(o)), o.dtype)
-    turned = np.ascontiguousarray(sorted_o.T)
+    m, bias = maps(w)
+    turned, z = np.ascontiguousarray(o.take(order, axis=0).T), np.empty((GROUPS + MEMBERS, len(o)), o.dtype)
     for j, a, b in parts:
-        np.matmul(w["c"][j].T, turned[:, a:b], out=second[:, a:b])
-        second[:, a:b] += w["d"][j][:, None]
-    return *exponentials(first, 0), *exponentials(second, 0), turned
+        part = z[:, a:b]
+        np.matmul(m[j], turned[:, a:b], out=part)
+        part += bias[j]
+    both = np.empty_like(z)
+    sums, sums2 = (exponentials(z[x], 0, out=both[x])[1][0] for x in (slice(GROUPS), slice(GROUPS, None)))
+    return both, sums, sums2, turned, m
 
 
 def log_next(w: Weights, rows: np.ndarray, classes: np.ndarray, skip: int = 0) -> np.ndarray:
     """Log probabilities of the classes that follow, from place ``skip`` of each window on; earlier places are only seen."""
     o, y = attend(w, rows, skip)[-1], classes.ravel()
     order, parts = by_group(y)
-    first, sums, second, sums2, _ = shares(w, o, order, parts)
-    place = np.arange(len(y))
-    p = first[y // MEMBERS, place] / sums[0]
-    p[order] *= second[(y % MEMBERS)[order], place] / sums2[0]
+    both, sums, sums2, *_ = shares(w, o, order, parts)
+    own = both.ravel().take((GROUPS + MEMBER_OF.take(y.take(order))) * len(y) + np.arange(len(y)))
+    own /= sums2
+    own /= sums
+    for j, a, b in parts:
+        own[a:b] *= both[j, a:b]
+    p = np.empty_like(own)
+    p[order] = own
     return np.log(np.maximum(p, np.finfo(p.dtype).tiny)).reshape(classes.shape)
 
 
@@ -355,49 +395,49 @@ def gradient(w: Weights, rows: np.ndarray, targets: np.ndarray, loss: bool = Tru
 
     Places of which the target is negative do not count.
     """
-    e, q, k, v, a, sums, h, o = attend(w, rows)
+    e, q, a, sums, h, o = attend(w, rows)
     flat = lambda x: x.reshape(-1, x.shape[-1])
-    counted = targets.ravel() >= 0
-    y, place, m = np.maximum(targets.ravel(), 0), np.arange(targets.size), max(int(counted.sum()), 1)
+    y = np.maximum(targets.ravel(), 0)
     order, parts = by_group(y)
-    first, total, second, total2, turned = shares(w, o, order, parts)
-    group, member = y // MEMBERS, (y % MEMBERS)[order]
-    first /= total
-    second /= total2
-    counted2, entropy = counted[order], 0.0
+    both, total, total2, turned, m = shares(w, o, order, parts)
+    counted = targets.ravel().take(order) >= 0
+    n, entropy = max(int(counted.sum()), 1), 0.0
+    member = (GROUPS + MEMBER_OF.take(y.take(order))) * len(y) + np.arange(len(y))
     if loss:
-        entropy = -sum(np.log(np.maximum(p, 1e-37))[c].sum() for p, c in ((first[group, place], counted), (second[member, place], counted2))) / m
-    first[group, place] -= 1
-    second[member, place] -= 1
-    first *= (counted / m).astype(o.dtype)
-    second *= (counted2 / m).astype(o.dtype)
-    g = {"u": o.T @ first.T, "b": first.sum(axis=1), "c": np.zeros_like(w["c"]), "d": np.zeros_like(w["d"])}
-    back = np.empty_like(turned)
+        of_group = np.concatenate([both[j, x:z] for j, x, z in parts])
+        entropy = -sum(np.log(np.maximum(p, 1e-37))[counted].sum() for p in (of_group / total, both.ravel()[member] / total2)) / n
+    weight = (counted / n).astype(o.dtype)
+    both[:GROUPS] *= weight / total
+    both[GROUPS:] *= weight / total2
+    both.ravel()[member] -= weight
+    back, gm, gb = np.empty_like(turned), np.zeros_like(m), np.zeros(m.shape[:2], m.dtype)
     for j, x, z in parts:
-        part = second[:, x:z]
-        np.matmul(w["c"][j], part, out=back[:, x:z])
-        np.matmul(turned[:, x:z], part.T, out=g["c"][j])
-        part.sum(axis=1, out=g["d"][j])
-    own = np.empty_like(order)
-    own[order] = place
-    do = first.T @ w["u"].T
-    do += np.ascontiguousarray(back.T).take(own, axis=0)
-    g["o"] = flat(h).T @ do
-    dh = (do @ w["o"].T).reshape(h.shape)
+        part = both[:, x:z]
+        part[j] -= weight[x:z]
+        np.matmul(m[j].T, part, out=back[:, x:z])
+        np.matmul(part, turned[:, x:z].T, out=gm[j])
+        part.sum(axis=1, out=gb[j])
+    g = {"u": gm[:, :GROUPS].sum(axis=0).T, "b": gb[:, :GROUPS].sum(axis=0), "c": gm[:, GROUPS:].transpose(0, 2, 1), "d": gb[:, GROUPS:]}
+    do = np.empty_like(o)
+    do[order] = back.T
+    meet, out = products(w)
+    dh = (do @ out.T).reshape(h.shape)
     dh /= sums  # the weights of attention are not divided by their sums
-    ds = dh @ v.transpose(0, 2, 1)
-    ds -= np.einsum("ijk,ijk->ij", dh, h)[:, :, None]
+    ds = dh @ e.transpose(0, 2, 1)
+    ds -= (flat(dh * h) @ np.ones((WIDTH, 1), h.dtype)).reshape(sums.shape)
     ds *= a
-    d = np.empty((*e.shape[:2], 3 * WIDTH), e.dtype)
-    np.matmul(ds, k, out=d[:, :, :WIDTH])
-    d[:, :, :WIDTH] *= e.dtype.type(WIDTH**-0.5)
-    np.matmul(ds.transpose(0, 2, 1), q, out=d[:, :, WIDTH : 2 * WIDTH])  # q is scaled already
-    np.matmul(a.transpose(0, 2, 1), dh, out=d[:, :, 2 * WIDTH :])
-    g["w"] = flat(e).T @ flat(d)
-    de = do + flat(d) @ w["w"].T
+    dq = ds @ e
+    of_meet, of_out = flat(e).T @ flat(dq) * e.dtype.type(WIDTH**-0.5), flat(h).T @ do
+    wq, wk, wv = np.split(w["w"], 3, axis=1)
+    g["o"] = wv.T @ of_out
+    g["w"] = np.hstack([of_meet @ wk, of_meet.T @ wq, of_out @ w["o"].T])
+    de = ds.transpose(0, 2, 1) @ q
+    de += a.transpose(0, 2, 1) @ dh
+    de = flat(de)
+    de += do
+    de += flat(dq) @ meet.T
     g["p"] = de.reshape(e.shape).sum(axis=0)
-    at = rows.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
-    g["e"] = np.bincount(at.ravel(), de.ravel(), w["e"].size).reshape(w["e"].shape).astype(e.dtype)
+    g["e"] = np.bincount(PLACES.take(rows.ravel(), axis=0).ravel(), de.ravel(), w["e"].size).reshape(w["e"].shape).astype(e.dtype)
     return float(entropy), g
 
 
@@ -567,16 +607,15 @@ def fit(prepared: Prepared, rounds: int = ROUNDS) -> Model:
     return Model(vocab, state)
 
 
-class Logs(dict):
-    """log10(c + 1) of words whose count is known here; others are noted, and 0."""
+_LOGS: dict[str, dict[bytes, float]] = {}
 
-    def __init__(self, words: list[bytes], counts: np.ndarray):
-        super().__init__(zip(words, np.log10(counts + 1.0).tolist()))
-        self.missed: list[bytes] = []
 
-    def __missing__(self, word: bytes) -> float:
-        self.missed.append(word)
-        return 0.0
+def logs_of(key: str, packed: bytes, counts: np.ndarray) -> dict[bytes, float]:
+    """log10(c + 1) of words whose count is known here; kept by the worker for its later tasks with that key."""
+    if key not in _LOGS:
+        _LOGS.clear()
+        _LOGS[key] = dict(zip(packed.split(), np.log10(counts + 1.0).tolist()))
+    return _LOGS[key]
 
 
 def score(prepared: Prepared, counts: Counts, model: Model) -> DataFrame:
@@ -588,6 +627,7 @@ def score(prepared: Prepared, counts: Counts, model: Model) -> DataFrame:
         top_words.append(bytes(row.word))
         top_counts.append(row.c)
     shipped = spark.sparkContext.broadcast((model, b" ".join(top_words), np.array(top_counts, np.int64)))
+    key = uuid.uuid4().hex
     base, ends, complete = counts.base, counts.texts, len(top_words) == counts.distinct - (counts.texts > 0)
     del top_words, top_counts
     schema = "row bigint, id bigint, held_out boolean, word binary, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -596,28 +636,23 @@ def score(prepared: Prepared, counts: Counts, model: Model) -> DataFrame:
     def run(batches):
         keep_memory()
         m, packed, n = shipped.value
-        logs, weights = Logs(packed.split(), n), unpack(m.weights)
+        logs, weights = logs_of(key, packed, n), unpack(m.weights)
         for batch in slices(batches, most=PIECE_BYTES):
             row = batch.column(0).to_numpy()
             texts = [np.frombuffer(x, kind).astype(np.int64) for x in batch.column(4).to_pylist()]
             scores = score_batch(weights, m.vocab, texts)
-            sums, missed, tokens = [], [], []
-            for body in batch.column(3).to_pylist():
-                own = body.split()
-                before = len(logs.missed)
-                sums.append(math.fsum(map(logs.__getitem__, own)) + math.log10(ends + 1) - base * (len(own) + 1))
-                missed.append(len(logs.missed) - before)
-                tokens.append(len(own) + 1)
-            missed = np.array(missed, np.int64)
-            known = np.array(tokens, np.int64) - missed - (ends == 0)
+            sizes, which, different = split_words(batch.column(3).cast(pa.string()))
+            found = np.fromiter(map(logs.get, different.to_pylist(), repeat(-1.0)), np.float64, len(different))
+            text, missing = np.repeat(np.arange(len(row)), sizes), (found < 0)[which]
+            sums = np.bincount(text, np.maximum(found, 0)[which], len(row)) + math.log10(ends + 1) - base * (sizes + 1)
+            known = sizes + 1 - np.bincount(text[missing], minlength=len(row)) - (ends == 0)
             # a row for each text has a key of its own, no word: it holds a space
             keys = pa.array([b" %d" % x for x in row.tolist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), keys, pa.array(tokens, pa.int64()), pa.array(known), pa.array(sums, pa.float64()), pa.array(scores)], names=names)
-            if not complete and len(logs.missed):
-                k = len(logs.missed)
-                blank = [pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.array(logs.missed, pa.binary()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row, missed)), *blank], names=names)
-            logs.missed.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), keys, pa.array(sizes + 1), pa.array(known), pa.array(sums), pa.array(scores)], names=names)
+            if not complete and missing.any():
+                k = int(missing.sum())
+                blank = [pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), different.take(pa.array(which[missing])), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([pa.array(row[text[missing]]), *blank], names=names)
 
     joined = prepared.texts.select("row", "id", "held_out", "body", "ids").mapInArrow(run, schema).join(counts.words, "word", "left")
     return (

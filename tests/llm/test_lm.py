@@ -6,6 +6,8 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from noctua.llm import bpe, lm
@@ -222,3 +224,21 @@ def test_scores_do_not_hang_on_the_split(spark, sf_dir):
 
     one, many = scores(1), scores(16)
     assert one.keys() == many.keys() and max(abs(one[k] - many[k]) for k in one) < 1e-4
+
+
+@pytest.mark.parametrize("texts", [[], [None], ["", " ", None, "x"], [" a", "a ", "\t\n a  B\x0b\x0cc\r\n", "\xc0B c", " \x1c ", "a\x00B", "a\xa0b\x85 a"], ["".join(chr(i) + "Q" for i in range(0x100))]])
+def test_words_are_split_as_python_does(texts):
+    sizes, which, different = lm.split_words(pc.ascii_lower(pa.array(texts, pa.string()).fill_null("")))
+    words = [different[i].as_py() for i in which.tolist()]
+    assert len(set(different.to_pylist())) == len(different)
+    assert [words[b - n : b] for n, b in zip(sizes, np.cumsum(sizes))] == [lm.words_of(x) for x in texts]
+
+
+def test_attention_needs_no_keys_and_values():
+    """The maps' products are all that places meet: at each place 16 numbers are kept where there were 48."""
+    vocab, w, rng = tiny()
+    rows = rng.integers(0, 200, (3, 9))
+    e, q, a, sums, h, o = lm.attend(w, rows, 2)
+    queries, keys, values = np.split(e @ w["w"], 3, axis=2)
+    assert q @ e.transpose(0, 2, 1) == pytest.approx(queries[:, 2:] @ keys.transpose(0, 2, 1) / lm.WIDTH**0.5, rel=1e-3, abs=1e-4)
+    assert o == pytest.approx((e[:, 2:] + (a / sums) @ values @ w["o"]).reshape(o.shape), rel=1e-3, abs=1e-4)
