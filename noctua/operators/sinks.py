@@ -6,7 +6,8 @@ import hashlib
 import json
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import asdict
 
 import numpy as np
@@ -30,6 +31,22 @@ def rejected_scores(scores: DataFrame, config: Config = Config()) -> DataFrame:
     return timestamps(scores.select("night_id", "epoch_idx", "stage"), config.sleep_len, config)
 
 
+#: Whether Spark removes the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files: else these lie on disk until the driver happens to collect its garbage, and
+    those of all steps of a job add up."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def dealt(rows: DataFrame, night: str) -> DataFrame:
     """Rows by night in spark.sql.shuffle.partitions parts. Their number is said: of parts of few bytes adaptive execution would
     make one, and a single task would write the files of all nights. They go by a hash, since Spark leaves out a shuffle by a column

@@ -12,9 +12,11 @@ from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from noctua.functions import features, filters, spectral
 from noctua.functions.config import Config
 from noctua.operators import bedtime, checks, epochs, majority, signals, sinks, sleepstats
 from noctua.operators.epochs import KEY
@@ -52,6 +54,8 @@ class Signals:
     epochs: DataFrame  # night_id, channel, epoch_idx, fs, samples: whole epochs at the configured rate
     facts: DataFrame  # night_id, seconds: of nights without a fault
     faults: DataFrame  # night_id, code
+    #: the same, all channels of an epoch in a row: night_id, epoch_idx, channel and samples (lists), whole and whole_axes (epochs of a night)
+    together: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -68,12 +72,17 @@ class Results:
 STEPS = ("usability", "rejected", "mobility", "lights", "rejected_tib", "usability_tib", "statistics")
 
 
-def table(rows: DataFrame, path: str) -> DataFrame:
+def table(rows: DataFrame, path: str, **options) -> DataFrame:
     """The rows, written once and read from there."""
-    rows.write.mode("overwrite").parquet(path)
+    with sinks.shuffles_removed(rows.sparkSession):
+        rows.write.mode("overwrite").options(**options).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+#: How tables of samples are written.
+SAMPLES = {"compression": "zstd"}
+
+
 def nights_to_do(files: DataFrame, outputs: DataFrame, step: str, config: Config) -> DataFrame:
     """Files (path) of the nights that have no output of the step under these settings yet."""
     night = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
@@ -87,7 +96,7 @@ def signal_epochs(files: DataFrame, setup: Setup, work: str) -> Signals:
 
     files: path, length. Headers are read first; nights with a fault there are not decoded. Blocks at another rate exchange
     their edges with their neighbours and are resampled. Channels and axes are each cut to the whole epochs of the
-    shortest of their own.
+    shortest of their own. All channels of an epoch are one row from the decoding on.
     """
     config, rate, seconds = setup.config, setup.config.rate, setup.config.usability_len
     if seconds != edf.BLOCK_SECONDS:
@@ -96,25 +105,117 @@ def signal_epochs(files: DataFrame, setup: Setup, work: str) -> Signals:
     found = table(recordings.catalog(files), f"{work}/catalog")
     chosen, faults = recordings.per_channel(found, wanted) if setup.per_channel else recordings.combined(found, wanted)
     faults = faults.select(F.col("src_path").alias("night_id"), "code")
-    decoded = table(recordings.blocks(chosen, None if setup.per_channel else wanted), f"{work}/blocks").withColumnRenamed("src_path", "night_id")
-    other = signals.resample_blocks(decoded.where(F.col("fs") != rate), rate, seconds)
-    other = other.withColumns({"n": F.size("samples"), "least": F.array_min("samples").cast("float"), "most": F.array_max("samples").cast("float")})
-    columns = ["night_id", "channel", "epoch_idx", "fs", "n", "least", "most", "samples"]
-    same = decoded.where(F.col("fs") == rate)
-    if any(r.fs != rate for r in decoded.select("fs").distinct().collect()):  # rates are few
-        same = same.withColumn("samples", F.col("samples").cast("array<double>")).select(columns).unionByName(table(other.select(columns), f"{work}/resampled"))
+    decoded = table(recordings.together(chosen, None if setup.per_channel else wanted), f"{work}/blocks", **SAMPLES).withColumnRenamed("src_path", "night_id")
+    same, narrow = decoded, blocks_of(decoded, "fs", "n", "least", "most")
+    with sinks.shuffles_removed(files.sparkSession):
+        rates = {r.fs for r in narrow.select("fs").distinct().collect()}  # few
+    if rates - {rate}:
+        same = table(at_rate(decoded, rate, seconds), f"{work}/resampled", **SAMPLES)
     is_axis = F.col("channel").isin(*setup.axes) if setup.axes else F.lit(False)
-    lengths = decoded.groupBy("night_id", "channel").agg((F.sum("n") / F.first("fs")).alias("seconds"))
-    each = same.groupBy("night_id", "channel").agg(F.floor(F.sum("n") / (rate * seconds)).cast("int").alias("whole"))
-    # a table, so that its size is known: else samples are shuffled to meet it
-    whole = table(each.groupBy("night_id", is_axis.alias("axis")).agg(F.min("whole").alias("whole")), f"{work}/whole")
+    lengths = narrow.groupBy("night_id", "channel").agg((F.sum("n") / F.first("fs")).alias("seconds"))
+    ours = blocks_of(same, "n", "least", "most").withColumn("axis", is_axis)
+    each = ours.groupBy("night_id", "channel", "axis").agg(F.floor(F.sum("n") / (rate * seconds)).cast("int").alias("n"))
+    whole = table(each.groupBy("night_id").agg(F.min(F.when(~F.col("axis"), F.col("n"))).alias("whole"), F.min(F.when(F.col("axis"), F.col("n"))).alias("whole_axes")), f"{work}/whole")
     firsts = [setup.channels[0], *setup.axes[:1]]
     first = lengths.where(F.col("channel").isin(*firsts)).groupBy("night_id").agg(F.min("seconds").alias("least"), F.max(F.when(F.col("channel") == firsts[0], F.col("seconds"))).alias("seconds"))
-    inside = same.withColumn("axis", is_axis).join(whole, ["night_id", "axis"]).where("epoch_idx < whole")
-    range_ = inside.where("axis").groupBy("night_id").agg(F.min("least").alias("low"), F.max("most").alias("high"))
+    inside = ours.where("axis").join(F.broadcast(whole), "night_id").where("epoch_idx < whole_axes")
+    range_ = inside.groupBy("night_id").agg(F.min("least").alias("low"), F.max("most").alias("high"))
     facts = table(first.join(range_, "night_id", "left").select("night_id", "seconds", F.when(F.col("least") < 60, 2).when((F.col("low") < LOWEST) | (F.col("high") > HIGHEST), 12).cast("int").alias("code")), f"{work}/facts")
-    kept = inside.join(facts.where("code IS NULL").select("night_id"), "night_id", "left_semi").where(F.col("n") == rate * seconds)
-    return Signals(kept.select(*KEY, "fs", "samples"), facts.where("code IS NULL").drop("code"), faults.unionByName(facts.where("code IS NOT NULL").select("night_id", "code")))
+    # a row for each night, which is told to go to the tasks: else samples are shuffled to meet it
+    limits = F.broadcast(table(whole.join(facts.where("code IS NULL").select("night_id"), "night_id"), f"{work}/limits"))
+    beside = same.join(limits, "night_id").where("epoch_idx < greatest(whole, whole_axes)")
+    kept = blocks_of(beside, "fs", "n", "samples", more=("whole", "whole_axes")).where(F.when(is_axis, F.col("epoch_idx") < F.col("whole_axes")).otherwise(F.col("epoch_idx") < F.col("whole"))).where(F.col("n") == rate * seconds)
+    faults = faults.unionByName(facts.where("code IS NOT NULL").select("night_id", "code"))
+    return Signals(kept.select(*KEY, "fs", "samples"), facts.where("code IS NULL").drop("code"), faults, beside.select("night_id", "epoch_idx", "channel", "samples", "whole", "whole_axes"))
+
+
+def blocks_of(together: DataFrame, *columns: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """night_id, channel, epoch_idx and the columns of each block of rows that hold all channels of an epoch. No other list is read."""
+    each = F.explode(F.arrays_zip("channel", *columns)).alias("block")
+    return together.select("night_id", "epoch_idx", *more, each).select("night_id", "block.channel", "epoch_idx", *more, *(f"block.{c}" for c in columns))
+
+
+def at_rate(decoded: DataFrame, rate: int, seconds: int) -> DataFrame:
+    """Rows of all channels of an epoch, with the blocks at another rate resampled. Those meet the others by a shuffle."""
+    columns = ["channel", "fs", "n", "least", "most", "samples"]
+    each = blocks_of(decoded, *columns[1:])
+    other = signals.resample_blocks(each.where(F.col("fs") != rate), rate, seconds)
+    other = other.withColumns({"n": F.size("samples"), "least": F.array_min("samples").cast("float"), "most": F.array_max("samples").cast("float")})
+    same = each.where(F.col("fs") == rate).withColumn("samples", F.col("samples").cast("array<double>"))
+    rows = same.select("night_id", "epoch_idx", *columns).unionByName(other.select("night_id", "epoch_idx", *columns))
+    found = rows.groupBy("night_id", "epoch_idx").agg(F.collect_list(F.struct(*columns)).alias("x"))
+    return found.select("night_id", "epoch_idx", *(F.col(f"x.{c}").alias(c) for c in columns))
+
+
+def predictions(together: DataFrame, setup: Setup, spiky: int | None = None, **options) -> DataFrame:
+    """night_id, channel, epoch_idx, probs of each channel's epochs, and of mobility where there is no channel (null).
+
+    All channels of an epoch are at hand, so norm, features, vector and model follow one another on a few rows at once, and
+    what leaves a task is probabilities: no feature is shuffled or stored. With spiky there is no mobility; the samples of a
+    channel's epochs of that label are filtered (options), and their new probabilities come as rows of probs_after, else null.
+    """
+    rate, n, axes = float(setup.config.rate), setup.config.rate * setup.config.usability_len, list(setup.axes)
+    step = max(signals.CHUNK // n, 1)
+
+    def features_at(x: np.ndarray) -> list[np.ndarray]:
+        return [spectral.spectrogram(x, rate)] + ([] if setup.lite else [features.all_features(x, rate)])
+
+    def vectors(own: list[np.ndarray], acceleration: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([x for pair in zip(own, acceleration) for x in pair], axis=1).astype(float)
+
+    def power(x: np.ndarray) -> np.ndarray:
+        return spectral.welch(x, rate) if setup.lite_mobility else features.all_features(x, rate)
+
+    def run(batches):
+        for batch in batches:
+            night, epoch, names, samples, whole, whole_axes = batch.columns
+            sizes, blocks = names.value_lengths().to_numpy(), samples.flatten()
+            row = np.repeat(np.arange(len(night)), sizes)
+            fits = blocks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == n
+            starts, values = blocks.offsets.to_numpy()[:-1], blocks.values.to_numpy(zero_copy_only=False)
+            names, at = names.flatten().to_numpy(zero_copy_only=False), {}
+            for c in [*setup.channels, *axes]:
+                of = np.flatnonzero((names == c) & fits)[::-1]
+                at[c] = np.full(len(night), -1, np.int64)
+                at[c][row[of]] = starts[of]
+            epochs_ = epoch.to_numpy()
+            most, most_axes = (x.fill_null(0).to_numpy(zero_copy_only=False) for x in (whole, whole_axes))
+            moves = reduce(np.logical_and, (at[a] >= 0 for a in axes), epochs_ < most_axes) if axes else np.ones(len(night), bool)
+            usable = {c: moves & (at[c] >= 0) & (epochs_ < most) for c in setup.channels}
+            matrix = lambda c, rows: values[at[c][rows][:, None] + np.arange(n)].astype(float)
+
+            def acceleration(rows: np.ndarray) -> list[np.ndarray]:
+                return features_at(np.sqrt(reduce(np.add, (x * x for x in (matrix(a, rows) for a in axes)))) if axes else np.ones((len(rows), n)))
+
+            def found(rows: np.ndarray, channel: str | None, probs: np.ndarray, after: bool = False) -> pa.RecordBatch:
+                ends = pa.array(np.arange(0, probs.size + 1, probs.shape[1]), pa.int32())
+                taken = pa.array(rows)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(probs.ravel())), pa.nulls(len(rows), pa.list_(pa.float64()))]
+                return pa.RecordBatch.from_arrays([night.take(taken), pa.array([channel] * len(rows), pa.string()), epoch.take(taken), *lists[:: -1 if after else 1]], names=["night_id", "channel", "epoch_idx", "probs", "probs_after"])
+
+            marked: dict[str, list[np.ndarray]] = {c: [] for c in setup.channels}
+            anyone = np.flatnonzero(reduce(np.logical_or, usable.values(), moves & bool(axes)))
+            for rows in (anyone[k : k + step] for k in range(0, len(anyone), step)):
+                if axes and spiky is None and moves[rows].any():
+                    own = rows[moves[rows]]
+                    vector = np.concatenate([power(matrix(a, own)) for a in axes], axis=1).astype(float)
+                    yield found(own, None, np.asarray(setup.mobility(vector), float) * 100)
+                some = rows[reduce(np.logical_or, (usable[c][rows] for c in setup.channels))]
+                beside = acceleration(some) if len(some) else []
+                for c in setup.channels if len(some) else ():
+                    here = usable[c][some]
+                    own = some[here]
+                    if not len(own):
+                        continue
+                    probs = np.asarray(setup.usability(vectors(features_at(matrix(c, own)), [x[here] for x in beside])), float) * 100
+                    marked[c].append(own[probs.argmax(axis=1) == spiky])
+                    yield found(own, c, probs)
+            for c, own in ((c, np.concatenate(x)) for c, x in marked.items() if spiky is not None and x):
+                for rows in (own[k : k + step] for k in range(0, len(own), step)):
+                    again = features_at(filters.remove_spikes(matrix(c, rows), rate, **options))
+                    yield found(rows, c, np.asarray(setup.usability(vectors(again, acceleration(rows))), float) * 100, after=True)
+
+    return together.mapInArrow(run, "night_id string, channel string, epoch_idx int, probs array<double>, probs_after array<double>")
 
 
 def statistics_of(rows: DataFrame, setup: Setup, part: str) -> DataFrame:
@@ -249,6 +350,16 @@ def filter_spiky_epochs(eeg: DataFrame, acceleration: DataFrame, usability: Data
     return filtered.drop("label"), rescored, majority.recovery(usability, rescored, spiky)
 
 
+def recovered(found: Signals, setup: Setup, work: str, spiky: int = 3, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Usability, usability with spiky epochs filtered and scored anew, and the recovery of each night, as filter_spiky_epochs() gives
+    them, from rows that hold all channels of an epoch: label, filter and second label are made in one pass, and no sample is shuffled."""
+    rows = table(predictions(found.together, setup, spiky, **options), f"{work}/recovered")
+    usability = signals.with_label(rows.where("probs IS NOT NULL").drop("probs_after"))
+    both = rows.groupBy(*KEY).agg(F.first("probs", ignorenulls=True).alias("probs"), F.first("probs_after", ignorenulls=True).alias("after"))
+    rescored = signals.with_label(both.select(*KEY, F.coalesce("after", "probs").alias("probs"))).drop("probs")
+    return usability, rescored, majority.recovery(usability, rescored, spiky)
+
+
 def write_filtered(filtered: DataFrame, folder: str, setup: Setup, low: float, high: float) -> DataFrame:
     """The filtered signal as an EDF file of all channels for each night: night_id, path, records."""
     wide = filtered.groupBy("night_id", "epoch_idx").agg(*(F.first(F.when(F.col("channel") == c, F.col("samples")), ignorenulls=True).alias(c) for c in setup.channels))

@@ -1078,10 +1078,7 @@ def job_written_outputs(spark, sf_dir):
 def job_filter_spiky(spark, sf_dir):
     """The recovery of each night: spiky epochs filtered, their features and labels made anew."""
     setup, work = job_setup(), shared(spark, "job")
-    signal = jobs.signal_epochs(job_files(spark, sf_dir), setup, work)
-    usability = jobs.labelled(signal, job_stages(spark, sf_dir), setup, work).usability
-    eeg, _, acceleration = jobs.split_signals(signal.epochs, setup)
-    found = jobs.filter_spiky_epochs(eeg, acceleration, usability, setup, cutoff=2.0)[2]
+    found = jobs.recovered(jobs.signal_epochs(job_files(spark, sf_dir), setup, work), setup, work, cutoff=2.0)[2]
     return found.withColumn("night_id", night_of("night_id"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from noctua.operators.sinks import shuffles_removed
 from noctua.sources.edf import BLOCK_SECONDS, header
 from noctua.sources.edf import combined_faults as faults_of_combined
 from noctua.sources.edf import per_channel_faults as faults_of_channels
@@ -34,6 +36,10 @@ CATALOG = (
 )
 BLOCKS = "src_path string, channel string, fs int, epoch_idx int, n int, least float, most float, samples array<float>"
 NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
+#: A row of together(): the blocks of one place of a night, each list in the order of its channels.
+TOGETHER = "src_path string, epoch_idx int, channel array<string>, fs array<int>, n array<int>, least array<float>, most array<float>, samples array<array<float>>"
+#: Samples of all channels that together() reads at once.
+AT_ONCE = 1 << 21
 
 
 def open_file(path: str):
@@ -161,10 +167,7 @@ def blocks(chosen: DataFrame, channels: list[str] | None, range_bytes: int = RAN
         for batch in batches:
             for row in batch.to_pylist():
                 with open_file(row["path"]) as file:
-                    reader = Ranges(file, row)
-                    labels = row["labels"]
-                    own = [(c, [i]) for i, c in enumerate(labels) if c in channels] if channels is not None else [(row["file"].rpartition(".")[0], list(range(len(labels))))]
-                    own = [(c, s) for c, s in own if row["per_record"][s[0]] > 0]
+                    reader, own = Ranges(file, row), signals_of(row, channels)
                     most = max((epochs_of(row, s) for _, s in own), default=0)
                     first, last = most * row["piece"] // row["pieces"], most * (row["piece"] + 1) // row["pieces"]
                     for channel, s in own if first < last else ():
@@ -173,6 +176,54 @@ def blocks(chosen: DataFrame, channels: list[str] | None, range_bytes: int = RAN
     return ranges.repartition(parts, "path", "piece").select(*names, "piece", "pieces").mapInArrow(run, BLOCKS)
 
 
+def signals_of(h: dict, channels: list[str] | None) -> list[tuple[str, list[int]]]:
+    """The channels to read of a file, each with its signals; without channels all signals are the channel of the file's name."""
+    labels = h["labels"]
+    own = [(c, [i]) for i, c in enumerate(labels) if c in channels] if channels is not None else [(h["file"].rpartition(".")[0], list(range(len(labels))))]
+    return [(c, s) for c, s in own if h["per_record"][s[0]] > 0]
+
+
+def together(chosen: DataFrame, channels: list[str] | None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The blocks of blocks(), all those of one place of a night in one row: the night's files are read side by side, so channels
+    meet where they are decoded and no sample is shuffled for it. The catalog should be a table: its sizes are summed up first."""
+    spark = chosen.sparkSession
+    names = [c.split()[0] for c in CATALOG.split(", ")]
+    nights = chosen.where("error IS NULL AND records > 0").groupBy("src_path").agg(F.collect_list(F.struct(*names)).alias("files"), F.sum("bytes").alias("bytes"))
+    pieces = F.greatest(F.ceil(F.col("bytes") / range_bytes), F.lit(1)).cast("int")
+    with shuffles_removed(spark):
+        total = nights.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum(pieces), F.lit(0))).first()
+    parts = tasks_for(total[0], total[1], range_bytes, spark.sparkContext.defaultParallelism)
+    ranges = nights.select("*", F.posexplode(F.sequence(F.lit(1), pieces)).alias("piece", "nth")).withColumn("pieces", pieces)
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                with ExitStack() as opened:
+                    own = [(Ranges(opened.enter_context(open_file(h["path"])), h), h) for h in row["files"]]
+                    own = [(reader, c, s) for reader, h in own for c, s in signals_of(h, channels)]
+                    most = max((epochs_of(reader.h, s) for reader, _, s in own), default=0)
+                    first, last = most * row["piece"] // row["pieces"], most * (row["piece"] + 1) // row["pieces"]
+                    step = max(AT_ONCE // max(sum(rate(reader.h, s[0]) * BLOCK_SECONDS for reader, _, s in own), 1), 1)
+                    for at in range(first, last, step):
+                        found = [x for reader, c, s in own for x in blocks_between(reader, row["src_path"], c, s, at, min(at + step, last))]
+                        if found:
+                            yield side_by_side(found)
+
+    return ranges.repartition(parts, "src_path", "piece").select("src_path", "files", "piece", "pieces").mapInArrow(run, TOGETHER)
+
+
+def side_by_side(found: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Blocks of a night's channels as rows of TOGETHER."""
+    rows = pa.concat_batches(found)
+    rows = rows.take(pa.array(np.argsort(rows.column("epoch_idx").to_numpy(), kind="stable")))
+    epochs = rows.column("epoch_idx").to_numpy()
+    starts = np.flatnonzero(np.append(True, epochs[1:] != epochs[:-1]))
+    ends = pa.array(np.append(starts, len(epochs)), pa.int32())
+    lists = ["channel", "fs", "n", "least", "most", "samples"]
+    heads = rows.select(["src_path", "epoch_idx"]).take(pa.array(starts))
+    return pa.RecordBatch.from_arrays([*heads.columns, *(pa.ListArray.from_arrays(ends, rows.column(c)) for c in lists)], names=["src_path", "epoch_idx", *lists])
+
+
 def combined(found: DataFrame, channels: list[str]) -> tuple[DataFrame, DataFrame]:
     """The files to read where each night is one file with all channels, and the faults (src_path, code) of other nights."""
     faults = faults_of_combined(found, channels, found)

@@ -479,3 +479,39 @@ def test_small_ranges_share_a_task(spark, tmp_path):
     one = cells(recordings.blocks(found.where("src_path LIKE '%/n0'"), ["A", "B"]))
     wanted = sorted((f"n{i}", *r[1:]) for i in range(150) for r in one)
     assert cells(own) == cells(read) == wanted
+
+
+def shuffled(spark) -> int:
+    """Bytes that all stages so far have written to shuffles."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_recovery_shuffles_labels_only(spark, sf_dir):
+    """job_filter_spiky: neither samples nor features are shuffled (a feature vector has 23 KB)."""
+    registry.job_files(spark, sf_dir)
+    before = shuffled(spark)
+    n = sum(r.n_spiky for r in registry.job_filter_spiky(spark, sf_dir).collect())
+    assert n and shuffled(spark) - before < 150_000
+
+
+def test_recovery_is_that_of_separate_tables(spark, recorded):
+    """In one pass over all channels of an epoch, or by tables that meet by night and epoch; also of resampled nights."""
+
+    def by_digits(x):
+        out = np.full((len(x), 4), 0.1)
+        out[np.arange(len(x)), np.where(np.floor(x.sum(axis=1) * 100) % 2, 3, 0)] = 0.7
+        return out
+
+    own, work = setup(usability=by_digits), f"file://{recorded}/work"
+    signal = jobs.signal_epochs(recordings.listing(spark, f"file://{recorded}/raw"), own, work)
+    usability, rescored, recovery = jobs.recovered(signal, own, work, cutoff=2.0)
+    eeg, _, acc = jobs.split_signals(signal.epochs, own)
+    plain = signals.predict(jobs.features_of(eeg, acc, own), own.usability).select(*epochs.KEY, "label", "probs").cache()
+    wanted = jobs.filter_spiky_epochs(eeg, acc, plain, own, cutoff=2.0)
+    columns = (*epochs.KEY, "label")
+    for found, other in ((usability.select(*columns, "probs"), plain.select(*columns, "probs")), (rescored.select(*columns), wanted[1].select(*columns)), (recovery, wanted[2])):
+        assert rows(found) == rows(other) and found.count()
+    assert sum(r.n_spiky for r in recovery.collect()) and rows(rescored.select(*columns)) != rows(usability.select(*columns))
+    plain.unpersist()
