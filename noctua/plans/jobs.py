@@ -271,7 +271,11 @@ def labelled(found: Signals, stages: DataFrame, setup: Setup, work: str) -> Resu
     """
     config = setup.config
     eeg, axes, acceleration = split_signals(found.epochs, setup)
-    usability = table(signals.predict(features_of(eeg, acceleration, setup), setup.usability).select(*KEY, "label", "probs"), f"{work}/usability")
+    if found.together is not None and setup.saved is None:
+        predicted = table(signals.with_label(predictions(found.together, setup).drop("probs_after")), f"{work}/predicted")
+        usability, moving = predicted.where("channel IS NOT NULL").select(*KEY, "label", "probs"), predicted.where("channel IS NULL").drop("channel")
+    else:
+        usability, moving = table(signals.predict(features_of(eeg, acceleration, setup), setup.usability).select(*KEY, "label", "probs"), f"{work}/usability"), None
     stages = stages.join(found.facts.select("night_id"), "night_id", "left_semi")
     sizes = usability.groupBy("night_id").agg((F.max("epoch_idx") + 1).alias("n_usability"))
     wrong = table(checks.stage_faults(stages, found.facts.join(sizes, "night_id", "left"), config).where("code IS NOT NULL"), f"{work}/stage_faults")
@@ -282,8 +286,10 @@ def labelled(found: Signals, stages: DataFrame, setup: Setup, work: str) -> Resu
         mobility = usability.select("night_id", "epoch_idx", "label", "probs").where("false")
         lights, dark = bedtime.lights(mobility, config, setup.least_run), mobility.select("night_id", F.lit(9).alias("code"))
     else:
-        vectors = epochs.mobility_vector(signals.power_features(axes), "pow", setup.axes) if setup.lite_mobility else epochs.mobility_vector(statistics_of(axes, setup, "ACC"), "stat", setup.axes)
-        mobility = table(signals.predict(vectors, setup.mobility).select("night_id", "epoch_idx", "label", "probs"), f"{work}/mobility")
+        if moving is None:
+            vectors = epochs.mobility_vector(signals.power_features(axes), "pow", setup.axes) if setup.lite_mobility else epochs.mobility_vector(statistics_of(axes, setup, "ACC"), "stat", setup.axes)
+            moving = table(signals.predict(vectors, setup.mobility).select("night_id", "epoch_idx", "label", "probs"), f"{work}/mobility")
+        mobility = moving.select("night_id", "epoch_idx", "label", "probs")
         lights = table(bedtime.lights(mobility, config, setup.least_run), f"{work}/lights")
         dark = bedtime.without_lights(mobility, lights).select("night_id", F.lit(9).alias("code"))
     statistics = table(sleepstats.sleep_statistics(rejected, lights, config), f"{work}/statistics")

@@ -488,6 +488,19 @@ def shuffled(spark) -> int:
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
+@pytest.fixture()
+def long_night(spark, tmp_path):
+    """A night of 600 epochs whose samples take 0.9 MB; tables are not broadcast by themselves."""
+    put(tmp_path, "raw/n/x.edf", signal_file(6000, rates=dict.fromkeys(("A", "B", "X"), 16)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield tmp_path
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+LONG = {"config": Config(rate=16)}
+
+
 def test_recovery_shuffles_labels_only(spark, sf_dir):
     """job_filter_spiky: neither samples nor features are shuffled (a feature vector has 23 KB)."""
     registry.job_files(spark, sf_dir)
@@ -515,3 +528,13 @@ def test_recovery_is_that_of_separate_tables(spark, recorded):
         assert rows(found) == rows(other) and found.count()
     assert sum(r.n_spiky for r in recovery.collect()) and rows(rescored.select(*columns)) != rows(usability.select(*columns))
     plain.unpersist()
+
+
+def test_labels_shuffle_no_features(spark, long_night):
+    """job_labels: 1,200 vectors of two spectrograms would be 27 MB; what is shuffled are labels."""
+    own, work = setup(**LONG), f"file://{long_night}/work"
+    before = shuffled(spark)
+    found = jobs.signal_epochs(recordings.listing(spark, f"file://{long_night}/raw"), own, work)
+    results = jobs.labelled(found, spark.createDataFrame([], "night_id string, epoch_idx int, stage int"), own, work)
+    assert results.usability.count() == 1200 and results.mobility.count() == 600
+    assert shuffled(spark) - before < 900_000
