@@ -96,7 +96,8 @@ def write_nights(rows: DataFrame, path: str, kind: str = "parquet", only_these:
             writer.close()
             yield out.close().select(["night_id"])
 
-    ordered.mapInArrow(put, "night_id string").write.format("noop").mode("overwrite").save()
+    with shuffles_removed(spark):
+        ordered.mapInArrow(put, "night_id string").write.format("noop").mode("overwrite").save()
     if not only_these:
         system.delete(final, True)
         system.rename(target, final)
@@ -133,7 +134,8 @@ def ledger(spark: SparkSession, out: str) -> DataFrame:
 def enter(nights: DataFrame, out: str, step: str, config: Config) -> None:
     """Notes that a step of these nights is done. To be called after its files are written."""
     entries = nights.select(F.col("night_id").cast("string").alias("night_id")).distinct()
-    entries.select("night_id", F.lit(step).alias("step"), F.lit(config_hash(config)).alias("config_hash")).write.mode("append").parquet(f"{out}/ledger")
+    with shuffles_removed(nights.sparkSession):
+        entries.select("night_id", F.lit(step).alias("step"), F.lit(config_hash(config)).alias("config_hash")).write.mode("append").parquet(f"{out}/ledger")
 
 
 def save_features(rows: DataFrame, name: str, buckets: int = 64) -> None:

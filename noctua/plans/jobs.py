@@ -79,8 +79,8 @@ def table(rows: DataFrame, path: str, **options) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-#: How tables of samples are written.
-SAMPLES = {"compression": "zstd"}
+#: How tables of samples are written: readers hold a group of rows at once, and a row is all channels of an epoch.
+SAMPLES = {"compression": "zstd", "parquet.block.row.count.limit": 256}
 
 
 def nights_to_do(files: DataFrame, outputs: DataFrame, step: str, config: Config) -> DataFrame:

@@ -538,3 +538,13 @@ def test_labels_shuffle_no_features(spark, long_night):
     results = jobs.labelled(found, spark.createDataFrame([], "night_id string, epoch_idx int, stage int"), own, work)
     assert results.usability.count() == 1200 and results.mobility.count() == 600
     assert shuffled(spark) - before < 900_000
+
+
+def test_samples_are_read_in_small_groups(spark, long_night):
+    """job_written_outputs: a reader holds a group of rows at once, so groups are few rows."""
+    import pyarrow.parquet as pq
+
+    jobs.signal_epochs(recordings.listing(spark, f"file://{long_night}/raw"), setup(**LONG), f"file://{long_night}/work")
+    files = [pq.ParquetFile(f).metadata for f in (long_night / "work/blocks").glob("*.parquet")]
+    groups = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert max(groups) <= 256 and sum(groups) >= 600
