@@ -162,6 +162,43 @@ def write_edf(rows: DataFrame, folder: str, channels: list[str], rate: int, low:
     # the channels' names may be anything
     named = rows.select("night_id", "epoch_idx", *(F.col(f"`{c}`").cast("array<double>").alias(f"c{i}") for i, c in enumerate(channels))).repartition("night_id")
     laid = named.join(counts, named["night_id"] == counts["__night"]).drop("__night").sortWithinPartitions("night_id", "epoch_idx")
+    return laid.mapInArrow(edf_writer(folder, channels, rate, low, high, file, seconds, make), WRITTEN)
+
+
+def write_edf_of_lines(lines: DataFrame, size: int, folder: str, channels: list[str], rate: int, low: dict[str, float], high: dict[str, float], file: str = "night.edf", seconds: int = 10, make: Callable[[str, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """write_edf() of rows that hold a value of each channel, ``size`` of them an epoch, and come by night and in order, as a window
+    leaves them; so nothing is shuffled here. Column epochs: how many there are of the night. A night that is not whole where it
+    is written fails."""
+    write = edf_writer(folder, channels, rate, low, high, file, seconds, make)
+
+    def run(batches):
+        yield from write(arrays_of(batches, size))
+
+    rows = lines.select("night_id", *(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(channels)), "epochs")
+    return rows.mapInArrow(run, WRITTEN)
+
+
+def arrays_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of epochs from those of lines: columns of numbers become columns of arrays of so many."""
+    left = None
+    for batch in batches:
+        rows = batch if left is None else pa.concat_batches([left, batch])
+        n = rows.num_rows // size
+        if n:
+            heads, ends = pa.array(np.arange(n) * size), pa.array(np.arange(n + 1) * size, pa.int32())
+            night, *values, epochs = rows.slice(0, n * size).columns
+            lists = [pa.ListArray.from_arrays(ends, x) for x in values]
+            yield pa.RecordBatch.from_arrays([night.take(heads), pa.nulls(n, pa.int32()), *lists, epochs.take(heads)], names=[str(i) for i in range(len(lists) + 3)])
+        left = rows.slice(n * size)
+    if left is not None and left.num_rows:
+        raise ValueError(f"a night's lines are no multiple of {size}")
+
+
+WRITTEN = "night_id string, path string, records bigint"
+
+
+def edf_writer(folder: str, channels: list[str], rate: int, low: dict[str, float], high: dict[str, float], file: str, seconds: int, make: Callable[[str, np.ndarray], np.ndarray] | None):
+    """A function of Arrow batches (night, epoch, an array for each channel, epochs of the night) that writes them as files."""
     bottom, top = np.array([low[c] for c in channels]), np.array([high[c] for c in channels])
     head = edf_header(channels, rate, bottom, top)
 
@@ -173,26 +210,31 @@ def write_edf(rows: DataFrame, folder: str, channels: list[str], rate: int, low:
             raise ValueError(f"an epoch of {channel} has not {seconds * rate} values")
         return matrix.reshape(-1, seconds, rate)
 
+    def closed(out: NightFile, promised: int) -> pa.RecordBatch:
+        if out.records != promised:
+            raise ValueError(f"night {out.night} has {out.records} of {promised} records where it is written")
+        return out.close()
+
     def put(batches):
-        night, out = None, None
+        night, out, promised = None, None, 0
         for batch in batches:
             names = batch.column(0).to_pylist()
             starts = [i for i in range(len(names)) if not i or names[i] != names[i - 1]]
             for begin, end in zip(starts, [*starts[1:], len(names)]):
                 if names[begin] != night:
                     if out:
-                        yield out.close()
-                    night = names[begin]
-                    out = NightFile(f"{folder}/{night}/{file}", night, head.replace(b"RECORDS.", str(batch.column(-1)[begin].as_py() * seconds).ljust(8).encode()))
+                        yield closed(out, promised)
+                    night, promised = names[begin], batch.column(batch.num_columns - 1)[begin].as_py() * seconds
+                    out = NightFile(f"{folder}/{night}/{file}", night, head.replace(b"RECORDS.", str(promised).ljust(8).encode()))
                 for at in range(begin, end, TOGETHER):
                     part = batch.slice(at, min(TOGETHER, end - at))
                     physical = np.stack([values(c, part.column(2 + k)) for k, c in enumerate(channels)], axis=2)
                     share = (physical - bottom[:, None]) / (top - bottom)[:, None]
                     out.add(np.clip(np.rint(share * 65535 - 32768), -32768, 32767).astype("<i2").tobytes(), len(part) * seconds)
         if out:
-            yield out.close()
+            yield closed(out, promised)
 
-    return laid.mapInArrow(put, "night_id string, path string, records bigint")
+    return put
 
 
 def edf_header(channels: list[str], rate: int, low: np.ndarray, high: np.ndarray) -> bytes:

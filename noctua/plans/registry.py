@@ -970,22 +970,23 @@ def s3_combined_faults(spark, sf_dir):
 LINES, EACH = 160, 16
 
 
-def job_epochs(spark, sf_dir) -> DataFrame:
-    """night_id, epoch_idx and the numbers of an epoch's lines: EEG stands for prices, axes for the other numbers.
+def job_lines(spark, sf_dir) -> DataFrame:
+    """night_id, the numbers of each line of whole epochs, and how many epochs a night has: EEG stands for prices, axes for the other
+    numbers. A night's lines come together and in order.
 
     The lines of 8192 order keys are a night, so nights do not grow with the data. Amplitudes change from epoch to epoch
-    (EEG) and every twenty epochs (axes), so that all labels come. A line is computed before lines are brought together.
+    (EEG) and every twenty epochs (axes), so that all labels come. One shuffle, of the lines.
     """
-    night = F.floor(F.col("l_orderkey") / 8192).cast("string")
-    order = Window.partitionBy("night_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice")
-    numbered = b.table(spark, sf_dir, "lineitem").withColumn("night_id", night).withColumn("rn", F.row_number().over(order) - 1)
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice"]
+    night = Window.partitionBy("night")
+    lines = b.table(spark, sf_dir, "lineitem").select(*columns, "l_quantity", "l_discount", "l_tax", F.floor(F.col("l_orderkey") / 8192).alias("night")).where("night IS NOT NULL")
+    numbered = lines.withColumns({"rn": F.row_number().over(night.orderBy(*columns)) - 1, "n": F.count("*").over(night)})
     e = F.floor(F.col("rn") / LINES).cast("int")
     loud = F.when(F.floor(e / 20) % 2 == 0, 0.02).otherwise(1.0)
     axes = {"dX": F.col("l_quantity") / 25 - 1, "dY": F.col("l_discount") * 10, "dZ": F.col("l_tax") * 20 - 1}
     price = F.round((F.col("l_extendedprice") % 2000 - 1000) / (1 + e % 4))
-    rows = numbered.select("night_id", e.alias("epoch_idx"), "rn", price.alias("EEG"), *((v * loud).alias(k) for k, v in axes.items()))
-    grouped = rows.groupBy("night_id", "epoch_idx").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("rn", "EEG", *axes))).alias("x"))
-    return grouped.where(F.col("n") == LINES).select("night_id", "epoch_idx", *(F.col(f"x.{c}").alias(c) for c in ("EEG", *axes)))
+    epochs_ = F.floor(F.col("n") / LINES).cast("int")
+    return numbered.where(e < epochs_).select(F.col("night").cast("string").alias("night_id"), price.alias("EEG"), *((v * loud).alias(k) for k, v in axes.items()), epochs_.alias("epochs"))
 
 
 def line_samples(channel: str, lines: np.ndarray) -> np.ndarray:
@@ -995,11 +996,15 @@ def line_samples(channel: str, lines: np.ndarray) -> np.ndarray:
 
 
 def job_files(spark, sf_dir) -> DataFrame:
-    """path, length of an EDF file of four channels for each night of job_epochs()."""
+    """path, length of an EDF file of four channels for each night of job_lines()."""
     axes = epochs.AXES
     low, high = {"EEG": -32768.0} | dict.fromkeys(axes, -2.0), {"EEG": 32767.0} | dict.fromkeys(axes, 2.0)
-    folder = once(spark, sf_dir, "nights", lambda f: sinks.write_edf(job_epochs(spark, sf_dir), f, ["EEG", *axes], 256, low, high, make=line_samples).count())
-    return recordings.listing(spark, folder)
+
+    def write(folder: str) -> None:
+        with sinks.shuffles_removed(spark):
+            sinks.write_edf_of_lines(job_lines(spark, sf_dir), LINES, folder, ["EEG", *axes], 256, low, high, make=line_samples).count()
+
+    return recordings.listing(spark, once(spark, sf_dir, "nights", write))
 
 
 def parity(first: int, second: int, least: float):

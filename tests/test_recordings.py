@@ -548,3 +548,33 @@ def test_samples_are_read_in_small_groups(spark, long_night):
     files = [pq.ParquetFile(f).metadata for f in (long_night / "work/blocks").glob("*.parquet")]
     groups = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
     assert max(groups) <= 256 and sum(groups) >= 600
+
+
+def test_steps_of_a_job_leave_no_shuffle_files(spark, long_night):
+    """job_night_statistics: shuffle files of a step are gone after it."""
+
+    def names():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size())}
+
+    files, stages = recordings.listing(spark, f"file://{long_night}/raw"), spark.range(200).selectExpr(f"'file:{long_night}/raw/n' night_id", "int(id) epoch_idx", "int(id % 5) stage")
+    before = names()
+    found = jobs.night_statistics(files, stages, setup(**LONG), f"file://{long_night}/work")
+    left = [n for n in names() - before if n.startswith("shuffle_") and n.endswith(".data")]
+    assert found.statistics.count() == 1 and not left
+
+
+def test_lines_become_files_without_a_shuffle(spark, tmp_path):
+    """Lines that come by night and in order give the files that epochs give; a night that lies in two parts fails."""
+    lines = spark.createDataFrame([(n, float(v), e) for n, e in (("a", 3), ("b", 1)) for v in range(e * 4)], "night_id string, X double, epochs int").coalesce(1)
+    made = lambda _, x: np.repeat(x, 5, axis=1)
+    frame = spark.createDataFrame([(n, i, [4.0 * i + k for k in range(4)]) for n, e in (("a", 3), ("b", 1)) for i in range(e)], "night_id string, epoch_idx int, X array<double>")
+    range_ = {"X": -32768.0}, {"X": 32767.0}
+    done = sinks.write_edf_of_lines(lines, 4, f"file://{tmp_path}/lines", ["X"], 2, *range_, make=made)
+    assert "Exchange hash" not in done._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.night_id, r.records) for r in done.collect()) == [("a", 30), ("b", 10)]
+    sinks.write_edf(frame, f"file://{tmp_path}/epochs", ["X"], 2, *range_, make=made).count()
+    for n in "ab":
+        assert (tmp_path / "lines" / n / "night.edf").read_bytes() == (tmp_path / "epochs" / n / "night.edf").read_bytes()
+    with pytest.raises(Exception, match="of 30 records"):
+        sinks.write_edf_of_lines(lines.where("night_id = 'a' AND X < 4"), 4, f"file://{tmp_path}/part", ["X"], 2, *range_, make=made).count()
